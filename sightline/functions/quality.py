@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightline.functions.geometry import Box, height, width
+from sightline.functions.text import fixed
 from sightline.params import EnrolParams, QualityParams
 
 LEFT_EYE, RIGHT_EYE, NOSE, LEFT_MOUTH, RIGHT_MOUTH = range(5)
@@ -170,14 +171,17 @@ def first_failure(b: Box, landmarks: Column, blur: Column, p: QualityParams = Qu
                 h.cast("int").cast("string"), F.lit(f"px < {int(p.min_size)}px)"),
             ),
         )
-        .when(eyes < p.min_eye_distance, F.format_string("Low eye resolution (%.1fpx)", eyes))
+        .when(
+            eyes < p.min_eye_distance,
+            F.concat(F.lit("Low eye resolution ("), fixed(eyes, 1), F.lit("px)")),
+        )
         .when(
             symmetry > p.max_symmetry,
-            F.format_string("Extreme head yaw/turn (symmetry diff %.2f)", symmetry),
+            F.concat(F.lit("Extreme head yaw/turn (symmetry diff "), fixed(symmetry, 2), F.lit(")")),
         )
         .when(
             blur < p.min_blur,
-            F.format_string(f"Blurry image (score: %.1f < threshold: {p.min_blur})", blur),
+            F.concat(F.lit("Blurry image (score: "), fixed(blur, 1), F.lit(f" < threshold: {p.min_blur})")),
         )
         .otherwise("Good Quality Face")
     )

@@ -70,8 +70,13 @@ def confidence_band(similarity: Column) -> Column:
     return F.when(similarity >= 0.85, "high").when(similarity >= 0.70, "medium").otherwise("low")
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Text with that many decimals, rounded from the exact binary value, ties to even."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
+
+
 def percent_text(similarity: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.coalesce(similarity, F.lit(0.0)) * 100)
+    return F.concat(fixed(F.coalesce(similarity, F.lit(0.0)) * 100, digits), F.lit("%"))
 
 
 def match_status(similarity: Column, p: MatchParams = MatchParams()) -> Column:

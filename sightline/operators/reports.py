@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.text import (
-    any_contains, contains_text, day_key, is_known, or_default, percent_text, snapshot_url, stamp,
+    any_contains, contains_text, day_key, fixed, is_known, or_default, percent_text, snapshot_url, stamp,
 )
 
 
@@ -277,7 +277,7 @@ def csv_rows(sightings: DataFrame) -> DataFrame:
         F.col("id").alias("ID"),
         or_default(F.col("entity_id"), "unknown").alias("Entity ID"),
         or_default(F.col("name"), "Unknown").alias("Name"),
-        F.format_string("%.4f", F.coalesce("similarity", F.lit(0.0))).alias("Similarity"),
+        fixed(F.coalesce("similarity", F.lit(0.0)), 4).alias("Similarity"),
         or_default(F.col("source_id"), "default").alias("Source"),
         F.col("track_id").alias("Track ID"),
         stamp(F.col("ts")).alias("Timestamp"),

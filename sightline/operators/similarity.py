@@ -130,4 +130,4 @@ def similarity_topk(
         first = F.row_number().over(W.partitionBy(query_id, "match_label").orderBy(*best))
         hits = hits.withColumn("_n", first).where("_n = 1").drop("_n")
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(*best))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

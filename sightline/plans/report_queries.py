@@ -288,10 +288,10 @@ def cooldown_source_entity(spark, sf):
     return cooldown(rows, ["source_id", "entity_id"], "ts", 12 * HOUR, ["id"]).select("id", "source_id", "entity_id")
 
 
-@query("cooldown_track_entity", cooldown_check("track_id,entity_id", 21600, "id, track_id, entity_id"))
+@query("cooldown_track_entity", cooldown_check("track_id,entity_id", 864000, "id, track_id, entity_id"))
 def cooldown_track_entity(spark, sf):
     rows = rules.known_only(views.sightings(spark, sf)).select("id", "track_id", "entity_id", "ts")
-    return cooldown(rows, ["track_id", "entity_id"], "ts", 6 * HOUR, ["id"]).select("id", "track_id", "entity_id")
+    return cooldown(rows, ["track_id", "entity_id"], "ts", 240 * HOUR, ["id"]).select("id", "track_id", "entity_id")
 
 
 @query("cooldown_source", cooldown_check("source_id", 3600, "id, source_id", where="true"))

@@ -59,8 +59,8 @@ def main() -> int:
             if not good:
                 print("   columns", sorted(got.columns), sorted(want.columns))
                 if b is not None:
-                    print("   only spark", [r for r in a if r not in set(b)][:3])
-                    print("   only check", [r for r in b if r not in set(a)][:3])
+                    print("   only spark", sorted(set(a) - set(b))[:3])
+                    print("   only check", sorted(set(b) - set(a))[:3])
         except Exception as error:
             bad += 1
             print(f"FAIL {name} {type(error).__name__}: {str(error)[:600]}", flush=True)

@@ -180,7 +180,8 @@ def enrich_gallery(
     near-duplicate of the gallery or of one added before it, and fewer than
     ``max_active`` rows are active. ``version_step`` is the bump it causes.
     """
-    good = matches.where((F.col("similarity") >= p.match) & (F.col("quality") >= p.quality))
+    # Few matches pass the gates, and they are read three times below.
+    good = checkpointed(matches.where((F.col("similarity") >= p.match) & (F.col("quality") >= p.quality)))
     seen = near_duplicates(good, gallery, row_id, gallery_id, entity, p.duplicate)
     fresh = good.join(seen.where("NOT is_duplicate").select(row_id), row_id)
     vec = F.col("embedding").cast("array<double>")

@@ -743,3 +743,37 @@ def target_lock(session, p, schema):
         yield out.take()
 
     return run
+
+
+class BoxOverlap:
+    """One-to-one links between the boxes of two frames by mutual best IoU."""
+
+    def shares(self, a, b):
+        wide = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+        tall = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+        inter = np.maximum(wide, 0.0) * np.maximum(tall, 0.0)
+        size_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+        size_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        union = size_a[:, None] + size_b[None, :] - inter
+        return np.divide(inter, union, out=np.zeros_like(inter), where=(inter > 0) & (union > 0))
+
+    def mutual(self, shares, rows, columns, threshold):
+        """Mutual best pairs among the given rows and columns; first index on ties."""
+        if len(rows) == 0 or len(columns) == 0:
+            return []
+        part = shares[np.ix_(rows, columns)]
+        best_column, best_row = part.argmax(axis=1), part.argmax(axis=0)
+        return [
+            (int(rows[i]), int(columns[j]))
+            for i, j in enumerate(best_column)
+            if best_row[j] == i and part[i, j] >= threshold
+        ]
+
+    def links(self, old, new, scores, high_score, high_iou, low_iou):
+        shares = self.shares(old, new)
+        high = np.flatnonzero(scores >= high_score)
+        low = np.flatnonzero(scores < high_score)
+        first = self.mutual(shares, np.arange(len(old)), high, high_iou)
+        taken = {i for i, _ in first}
+        free = np.array([i for i in range(len(old)) if i not in taken], dtype=int)
+        return first + self.mutual(shares, free, low, low_iou)

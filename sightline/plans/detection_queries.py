@@ -175,7 +175,7 @@ ANGLES = f"""
 
 
 @query("pose_angles", check_sql(ANGLES + """
-SELECT det_key, round(yaw,6) AS yaw, round(pitch,6) AS pitch, round(0.0-yaw,6) AS enrol_yaw, round(pitch+0.01,6) AS enrol_pitch,
+SELECT det_key, round(yaw,6)+0.0 AS yaw, round(pitch,6) AS pitch, round(0.0-yaw,6)+0.0 AS enrol_yaw, round(pitch+0.01,6) AS enrol_pitch,
   CASE WHEN smile>0.62 THEN 'SMILE' WHEN yaw < -0.40 THEN 'LEFT_60' WHEN yaw > 0.40 THEN 'RIGHT_60' WHEN yaw < -0.15 THEN 'LEFT_30'
   WHEN yaw > 0.15 THEN 'RIGHT_30' WHEN pitch > 0.18 THEN 'UP' WHEN pitch < -0.18 THEN 'DOWN' ELSE 'FRONTAL' END AS with_smile
 FROM angles""", "landmark_points"))
@@ -354,7 +354,7 @@ STATE_SQL = """
 , k AS (SELECT track_id, entity_id, row_number() OVER (PARTITION BY track_id ORDER BY id) AS rn FROM sightings
   WHERE similarity>=0.95 AND coalesce(entity_id<>'unknown', false)),
 t AS (SELECT track_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows FROM sightings GROUP BY 1)
-SELECT t.track_id, rows, CASE WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00')-epoch_us(last_seen)>43200*1000000 THEN 'LOST'
+SELECT t.track_id, rows, CASE WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00')-epoch_us(last_seen)>43200000000 THEN 'LOST'
   WHEN k.entity_id IS NOT NULL THEN 'RECOGNIZED' ELSE 'TRACKING' END AS state
 FROM t LEFT JOIN k ON k.track_id=t.track_id AND rn=1"""
 

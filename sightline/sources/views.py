@@ -72,7 +72,7 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 # Detections as rows of tracks: eight frames a second, 25 frames to a track.
 TRACK_ROWS = """
 SELECT source_id, concat(source_id,':',CAST(CAST(floor(frame_id/25) AS BIGINT)*10+det_id AS VARCHAR(20))) AS track_id,
-  frame_id*0.125 AS second, det_key, x1, y1, x2, y2, score, sharpness
+  CAST(frame_id AS DOUBLE)/8 AS second, det_key, x1, y1, x2, y2, score, sharpness
 FROM detections"""
 
 # Five points of the box; the nose is shifted sideways by detection.

@@ -12,6 +12,7 @@ from sightline.functions.text import next_missing, progress_percent
 from sightline.operators import kernels
 from sightline.operators.greedy import BLOCK_ROWS, LANES, _strike, greedy_keep
 from sightline.operators.match import check_duplicates, near_duplicates
+from sightline.operators.registry import append_gallery, audit_rows, upsert_entities
 from sightline.params import POSES_SESSION, EnrichParams, EnrolParams
 from sightline.session import checkpointed
 
@@ -208,3 +209,36 @@ def committable(
     enough = samples.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= p.min_samples)
     clash = check_duplicates(samples, gallery, row_id, gallery_id, entity, duplicate_threshold)
     return samples.join(enough.select(entity), entity, "left_semi").join(clash.select(entity), entity, "left_anti")
+
+
+def commit_sessions(
+    samples: DataFrame, people: DataFrame, entities: DataFrame, gallery: DataFrame, row_id: str, gallery_id: str,
+    duplicate_threshold: float, p: EnrolParams = EnrolParams(),
+) -> dict[str, DataFrame]:
+    """Commit finished sessions: the new registry, gallery and audit rows.
+
+    ``samples`` has ``entity_id``, ``pose`` and ``embedding``; ``people`` the registry
+    fields of each session's entity. A session with too few samples or a duplicate
+    of another entity changes nothing.
+    """
+    good = checkpointed(committable(samples, gallery, "entity_id", row_id, gallery_id, duplicate_threshold, p))
+    done = good.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_samples"))
+    registry = upsert_entities(entities, people.join(done.select("entity_id"), "entity_id", "left_semi"))
+    nth = F.row_number().over(W.partitionBy("entity_id").orderBy(row_id))
+    file = F.concat(F.lit("sample_"), F.col("sample_no"), F.lit("_"), F.lower("pose"), F.lit(".jpg"))
+    versions = registry.select("entity_id", "gallery_version")
+    new = (
+        good.withColumn("sample_no", nth.cast("long"))
+        .withColumn("image_path", F.concat(F.col("entity_id"), F.lit("/"), file))
+        .join(versions, "entity_id")
+        .withColumn("is_active", F.lit(True))
+    )
+    names = people.select("entity_id", F.col("name").alias("_name"))
+    details = F.concat(
+        F.lit("Registered "), F.col("_name"), F.lit(" with "), F.col("_samples"), F.lit(" gallery face samples.")
+    )
+    return {
+        "entities": registry,
+        "gallery": append_gallery(gallery, new, row_id, gallery_id=gallery_id),
+        "audit": audit_rows(done.join(names, "entity_id"), "REGISTER_PERSON", details),
+    }

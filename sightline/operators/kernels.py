@@ -340,8 +340,8 @@ def rate_series(keys, keep, gain, columns, schema):
 class GalleryBlock:
     """One block of gallery rows held while its queries stream by."""
 
-    def __init__(self, ids, labels, vectors, per_label):
-        self.ids, self.vectors = ids, unit_rows(vectors)
+    def __init__(self, ids, labels, vectors, positions, per_label):
+        self.ids, self.vectors, self.positions = ids, unit_rows(vectors), positions
         self.rank = np.empty(len(ids), dtype=np.int64)
         self.rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
         self.labels = labels
@@ -354,7 +354,7 @@ class GalleryBlock:
             self.starts = np.arange(len(ids))
         self.stops = np.append(self.starts[1:], len(ids))
 
-    def search(self, vectors, labels, ids, k, floor, exclude_label, exclude_id):
+    def search(self, vectors, labels, ids, positions, k, floor, exclude_label, exclude_id):
         """Yield (query row, gallery row, similarity), best first per query."""
         scores = np.round(unit_rows(vectors) @ self.vectors.T, 12)
         if exclude_label:
@@ -364,6 +364,8 @@ class GalleryBlock:
             for row, at in enumerate(pc.index_in(ids, value_set=self.ids).to_pylist()):
                 if at is not None:
                     scores[row, at] = -np.inf
+        if positions is not None:
+            scores[self.positions[None, :] > positions[:, None]] = -np.inf
         scores[scores < floor] = -np.inf
         best = np.maximum.reduceat(scores, self.starts, axis=1)
         for row in range(len(best)):
@@ -386,13 +388,14 @@ class GalleryBlock:
         return int(start + ties[np.argmin(self.rank[start:stop][ties])])
 
 
-def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, schema):
+def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, earlier, schema):
     """Stream queries past the gallery block of their cell; emit top-k per query."""
 
     def run(batches):
         parts, block = [], None
         for batch, spans in batch_runs(batches, cell):
             sides = numbers(batch, "_side")
+            places_in_order = numbers(batch, "_pos")
             vec, ids, labels = batch.column("_vec"), batch.column("_gid"), batch.column("_label")
             for start, stop, fresh in spans:
                 if fresh:
@@ -400,7 +403,9 @@ def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, schema):
                 split = start + int(np.searchsorted(sides[start:stop], 1))
                 if split > start:
                     n = split - start
-                    parts.append((ids.slice(start, n), labels.slice(start, n), matrix(vec, start, split)))
+                    parts.append(
+                        (ids.slice(start, n), labels.slice(start, n), matrix(vec, start, split), places_in_order[start:split])
+                    )
                 if split == stop:
                     continue
                 if block is None and parts:
@@ -408,6 +413,7 @@ def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, schema):
                         pa.concat_arrays([p[0] for p in parts]),
                         pa.concat_arrays([p[1] for p in parts]),
                         np.vstack([p[2] for p in parts]),
+                        np.concatenate([p[3] for p in parts]),
                         per_label,
                     )
                     parts = []
@@ -419,7 +425,7 @@ def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, schema):
                     found = list(
                         block.search(
                             matrix(vec, at, end), labels.slice(at, end - at), batch.column("_gid").slice(at, end - at),
-                            k, floor, exclude_label, exclude_id,
+                            places_in_order[at:end] if earlier else None, k, floor, exclude_label, exclude_id,
                         )
                     )
                     if found:
@@ -437,6 +443,23 @@ def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, schema):
     return run
 
 
+def sign_codes(tables, bits, seed):
+    """Bucket names of a vector: one per table, from the signs of its projections."""
+
+    def codes(vectors):
+        import pandas as pd
+
+        if len(vectors) == 0:
+            return pd.Series([], dtype=object)
+        rows = np.vstack(vectors.to_numpy())
+        planes = np.random.default_rng(seed).standard_normal((rows.shape[1], tables * bits))
+        signs = (rows @ planes > 0).reshape(len(rows), tables, bits)
+        numbers_ = signs @ (1 << np.arange(bits))
+        return pd.Series([[f"{t}:{c}" for t, c in enumerate(row)] for row in numbers_.tolist()])
+
+    return codes
+
+
 # --------------------------------------------------------------- greedy keep
 
 

@@ -38,19 +38,24 @@ def similarity_topk(
     per_label: bool = False,
     exclude_label: bool = False,
     exclude_id: bool = False,
+    earlier: str | None = None,
+    distinct: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best ``k`` gallery rows per query with cosine ≥ ``floor``.
 
     ``per_label``: the best row of each label, best ``k`` labels. ``by``: only
     rows with an equal value of that column are compared. ``exclude_label`` and
-    ``exclude_id`` skip gallery rows that share the query's label or id.
+    ``exclude_id`` skip gallery rows that share the query's label or id; ``earlier``
+    names a numeric column in which the gallery row must come before the query.
+    ``distinct`` is for queries that stand in several ``by`` groups.
     Ties go to the smaller gallery id. Columns: ``query_id``, ``gallery_id``,
     ``label``, ``similarity``, ``rank``.
     """
     spark = queries.sparkSession
     id_type = gallery.schema[gallery_id].dataType
     label_type = gallery.schema[label].dataType
+    position = F.col(earlier).cast("double") if earlier else F.lit(0.0)
     own_label = F.col(query_label) if query_label else F.lit(None)
     own_id = F.col(query_id).cast(id_type) if exclude_id else F.lit(None).cast(id_type)
 
@@ -60,6 +65,7 @@ def similarity_topk(
         F.col(gallery_id).alias("_gid"),
         F.col(label).alias("_label"),
         F.col(gallery_vec).cast("array<double>").alias("_vec"),
+        position.alias("_pos"),
     )
     q = queries.where(F.col(query_vec).isNotNull()).select(
         *([F.col(by).alias("_by")] if by else []),
@@ -67,6 +73,7 @@ def similarity_topk(
         own_id.alias("_gid"),
         own_label.cast(label_type).alias("_label"),
         F.col(query_vec).cast("array<double>").alias("_vec"),
+        position.alias("_pos"),
     )
 
     if by:
@@ -102,7 +109,7 @@ def similarity_topk(
     q = q.withColumn("_lane", F.pmod(F.xxhash64("_qid"), F.greatest(lanes, one)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.greatest(blocks, one) - 1))
     )
-    columns = [*cell, "_side", "_qid", "_gid", "_label", "_vec"]
+    columns = [*cell, "_side", "_qid", "_gid", "_label", "_vec", "_pos"]
     rows = g.withColumn("_side", F.lit(0)).select(columns).unionByName(
         q.withColumn("_side", F.lit(1)).select(columns)
     )
@@ -120,14 +127,38 @@ def similarity_topk(
         .sortWithinPartitions(*cell, *order)
         .mapInArrow(
             kernels.topk_cells(
-                cell, k, floor, per_label, exclude_label, exclude_id, to_arrow_schema(schema)
+                cell, k, floor, per_label, exclude_label, exclude_id, earlier is not None, to_arrow_schema(schema)
             ),
             schema,
         )
     )
     best = [F.desc("similarity"), F.asc("match_id")]
+    if distinct:
+        hits = hits.dropDuplicates([query_id, "match_id"])
     if several and per_label:
         first = F.row_number().over(W.partitionBy(query_id, "match_label").orderBy(*best))
         hits = hits.withColumn("_n", first).where("_n = 1").drop("_n")
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(*best))
     return hits.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def lsh_topk(
+    queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, k: int, floor: float,
+    query_vec: str = "embedding", gallery_vec: str = "embedding", tables: int = 12, bits: int = 4, seed: int = 7,
+    **options,
+) -> DataFrame:
+    """Approximate top-k: rows meet when the signs of ``bits`` random projections agree
+    in one of ``tables`` tables; the similarity of those that meet is exact.
+
+    A bucket that holds many rows is cut into blocks like any other key.
+    """
+
+    def bucketed(df: DataFrame, vec: str) -> DataFrame:
+        codes = kernels.sign_codes(tables, bits, seed)
+        coded = F.pandas_udf(codes, "array<string>")(F.col(vec).cast("array<double>"))
+        return df.where(F.col(vec).isNotNull()).withColumn("_bucket", F.explode(coded))
+
+    return similarity_topk(
+        bucketed(queries, query_vec), bucketed(gallery, gallery_vec), query_id, gallery_id, k, floor,
+        query_vec=query_vec, gallery_vec=gallery_vec, by="_bucket", distinct=True, **options,
+    )

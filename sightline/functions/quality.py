@@ -1,12 +1,12 @@
 """Pose and quality expressions over five landmarks and measured values.
 
 Landmarks are ``ARRAY<ARRAY<DOUBLE>>`` in the order left eye, right eye, nose,
-left mouth corner, right mouth corner.
+left mouth corner, right mouth corner. ``with_face`` turns them into distances.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.geometry import Box, height, width
@@ -29,51 +29,66 @@ def distance(a, b) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def eye_distance(landmarks: Column) -> Column:
-    return distance(point(landmarks, LEFT_EYE), point(landmarks, RIGHT_EYE))
+FACE = ("face_points", "face_left", "face_right", "face_drop", "face_mouth", "face_eyes", "face_smile")
+
+
+def with_face(df: DataFrame, landmarks: Column) -> DataFrame:
+    """Append the distances the pose and quality expressions read.
+
+    They are columns of their own, so each is computed once per row and the
+    generated code of the expressions above them stays small.
+    """
+    nose, left_eye, right_eye = (point(landmarks, i) for i in (NOSE, LEFT_EYE, RIGHT_EYE))
+    left_mouth, right_mouth = point(landmarks, LEFT_MOUTH), point(landmarks, RIGHT_MOUTH)
+    eyes, mouth = midpoint(left_eye, right_eye), midpoint(left_mouth, right_mouth)
+    return df.withColumns(
+        {
+            "face_points": F.size(landmarks),
+            "face_left": distance(nose, left_eye),
+            "face_right": distance(nose, right_eye),
+            "face_drop": distance(nose, eyes),
+            "face_mouth": distance(mouth, eyes),
+            "face_eyes": distance(left_eye, right_eye),
+            "face_smile": distance(left_mouth, right_mouth),
+        }
+    )
 
 
-def _nose_sides(landmarks: Column):
-    nose = point(landmarks, NOSE)
-    return distance(nose, point(landmarks, LEFT_EYE)), distance(nose, point(landmarks, RIGHT_EYE))
+def _side() -> Column:
+    """Nose position between the eyes, -1 to 1, positive when nearer the right eye."""
+    left, right = F.col("face_left"), F.col("face_right")
+    return (left - right) / (left + right + F.lit(1e-6))
 
 
-def _nose_drop(landmarks: Column):
-    """Eye-line to nose and eye-line to mouth distances."""
-    eyes = midpoint(point(landmarks, LEFT_EYE), point(landmarks, RIGHT_EYE))
-    mouth = midpoint(point(landmarks, LEFT_MOUTH), point(landmarks, RIGHT_MOUTH))
-    return distance(point(landmarks, NOSE), eyes), distance(mouth, eyes)
+def _tilt() -> Column:
+    return F.col("face_drop") / (F.col("face_mouth") + F.lit(1e-6))
 
 
-def pose_yaw(landmarks: Column) -> Column:
+def pose_yaw() -> Column:
     """Quality convention: positive when the nose is nearer the right eye."""
-    left, right = _nose_sides(landmarks)
-    return F.when(F.size(landmarks) >= 3, (left - right) / (left + right + F.lit(1e-6))).otherwise(0.0)
+    return F.when(F.col("face_points") >= 3, _side()).otherwise(0.0)
 
 
-def pose_pitch(landmarks: Column) -> Column:
-    nose, mouth = _nose_drop(landmarks)
-    return F.when(F.size(landmarks) >= 5, nose / (mouth + F.lit(1e-6)) - F.lit(0.45)).otherwise(0.0)
+def pose_pitch() -> Column:
+    return F.when(F.col("face_points") >= 5, _tilt() - F.lit(0.45)).otherwise(0.0)
 
 
-def enrol_yaw(landmarks: Column) -> Column:
+def enrol_yaw() -> Column:
     """Enrolment convention: the opposite sign."""
-    left, right = _nose_sides(landmarks)
-    return F.when(F.size(landmarks) >= 5, (right - left) / (left + right + F.lit(1e-6))).otherwise(0.0)
+    return F.when(F.col("face_points") >= 5, -_side()).otherwise(0.0)
 
 
-def enrol_pitch(landmarks: Column) -> Column:
-    nose, mouth = _nose_drop(landmarks)
-    return F.when(F.size(landmarks) >= 5, nose / (mouth + F.lit(1e-6)) - F.lit(0.44)).otherwise(0.0)
+def enrol_pitch() -> Column:
+    return F.when(F.col("face_points") >= 5, _tilt() - F.lit(0.44)).otherwise(0.0)
 
 
-def smile_ratio(landmarks: Column) -> Column:
-    mouth = distance(point(landmarks, RIGHT_MOUTH), point(landmarks, LEFT_MOUTH))
-    return mouth / (eye_distance(landmarks) + F.lit(1e-6))
+def smile_ratio() -> Column:
+    return F.col("face_smile") / (F.col("face_eyes") + F.lit(1e-6))
 
 
-def pose_bin(yaw: Column, pitch: Column, landmarks: Column | None = None) -> Column:
-    """Seven-way bin of the quality convention; a smile wins when landmarks are given."""
+def pose_bin(yaw: Column, pitch: Column, smile: bool = False) -> Column:
+    """Seven-way bin of the quality convention; with ``smile`` the face distances are
+    read as well and a smile wins."""
     bins = (
         F.when(yaw < -0.40, "LEFT_60")
         .when(yaw > 0.40, "RIGHT_60")
@@ -83,9 +98,9 @@ def pose_bin(yaw: Column, pitch: Column, landmarks: Column | None = None) -> Col
         .when(pitch < -0.18, "DOWN")
         .otherwise("FRONTAL")
     )
-    if landmarks is None:
+    if not smile:
         return bins
-    smiling = (F.size(landmarks) >= 5) & (smile_ratio(landmarks) > 0.62)
+    smiling = (F.col("face_points") >= 5) & (smile_ratio() > 0.62)
     return F.when(smiling, "SMILE").otherwise(bins)
 
 
@@ -157,11 +172,9 @@ def six_factor_score(
     )
 
 
-def first_failure(b: Box, landmarks: Column, blur: Column, p: QualityParams = QualityParams()) -> Column:
-    """Text of the first failing check, or the pass text."""
-    left, right = _nose_sides(landmarks)
-    eyes = eye_distance(landmarks)
-    symmetry = F.abs(left - right) / (left + right + F.lit(1e-6))
+def first_failure(b: Box, blur: Column, p: QualityParams = QualityParams()) -> Column:
+    """Text of the first failing check, or the pass text; reads the face distances."""
+    eyes, symmetry = F.col("face_eyes"), F.abs(_side())
     w, h = width(b), height(b)
     return (
         F.when(

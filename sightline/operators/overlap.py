@@ -9,6 +9,7 @@ boxes far apart are never compared.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.geometry import area, association_score, box, iou, spatial_score
@@ -87,32 +88,34 @@ def frame_links(
     ``high_iou``; the earlier ones still free are then linked to detections in the
     low band at IoU ≥ ``low_iou``. A link is a mutual best match.
     Columns: ``prev_<row_id>``, ``next_<row_id>``, ``iou``, ``band``.
+
+    The pairs above a threshold are few beside the detections; they are computed
+    once and checkpointed, and both passes read them.
     """
     usable = detections.where(F.col("score") >= p.low_score).select(source, frame, row_id, "score", *CORNERS)
-    # Equal boxes of one frame and band compete on equal terms and the smallest
-    # id wins, so the others never take part in a link of that band.
-    high = usable.withColumn("_high", F.col("score") >= p.high_score)
-    single = high.groupBy(source, frame, *CORNERS, "_high").agg(F.min(row_id).alias(row_id))
-    before = usable.groupBy(source, frame, *CORNERS).agg(F.min(row_id).alias(row_id))
-    earlier = before.withColumn(frame, F.col(frame) + 1)
-    prev, nxt = f"left_{row_id}", f"right_{row_id}"
-
-    def linked(rows: DataFrame, earlier_rows: DataFrame, threshold: float, band: str) -> DataFrame:
-        pairs = overlap_pairs(earlier_rows, rows, [source, frame], threshold, [row_id])
-        return _mutual_best(pairs, prev, nxt).withColumn("band", F.lit(band))
-
-    first = linked(single.where("_high"), earlier, p.high_iou, "high")
-    taken = first.select(F.col(prev).alias(row_id))
-    # A taken box may have copies that are still free for the low band.
-    free = (
-        usable.join(taken, row_id, "left_anti")
-        .groupBy(source, frame, *CORNERS)
-        .agg(F.min(row_id).alias(row_id))
-        .withColumn(frame, F.col(frame) + 1)
-    )
-    second = linked(single.where("NOT _high"), free, p.low_iou, "low")
-    return first.unionByName(second).select(
-        F.col(prev).alias(f"prev_{row_id}"), F.col(nxt).alias(f"next_{row_id}"), "iou", "band"
+    # Equal boxes of a frame and band compete on equal terms and the smaller id
+    # wins: the first takes part in the first pass, the second at most in the
+    # other one, and any further copy in none.
+    copies = usable.withColumn("high", F.col("score") >= p.high_score)
+    nth = F.row_number().over(W.partitionBy(source, frame, *CORNERS, "high").orderBy(row_id))
+    boxes = copies.withColumn("_rn", nth).where(F.col("_rn") <= 2).drop("_rn")
+    earlier = boxes.withColumn(frame, F.col(frame) + 1)
+    found = overlap_pairs(earlier, boxes, [source, frame], min(p.high_iou, p.low_iou), [row_id, "high"])
+    prev, nxt = f"prev_{row_id}", f"next_{row_id}"
+    enough = F.col("iou") >= F.when(F.col("right_high"), p.high_iou).otherwise(p.low_iou)
+    pairs = checkpointed(
+        found.where(enough).select(
+            F.col(f"left_{row_id}").alias(prev), F.col(f"right_{row_id}").alias(nxt), "iou",
+            F.col("right_high").alias("high"),
+        )
+    )
+    first = _mutual_best(pairs.where("high"), prev, nxt)
+    free = pairs.where("NOT high").join(first.select(prev), prev, "left_anti")
+    second = _mutual_best(free, prev, nxt)
+    return (
+        first.withColumn("band", F.lit("high"))
+        .unionByName(second.withColumn("band", F.lit("low")))
+        .select(prev, nxt, "iou", "band")
     )
 
 

@@ -174,18 +174,23 @@ ANGLES = f"""
 """
 
 
+def faces(spark, sf):
+    return fq.with_face(views.landmark_rows(spark, sf), F.col("landmarks")).drop("landmarks")
+
+
 @query("pose_angles", check_sql(ANGLES + """
 SELECT det_key, round(yaw,6)+0.0 AS yaw, round(pitch,6) AS pitch, round(0.0-yaw,6)+0.0 AS enrol_yaw, round(pitch+0.01,6) AS enrol_pitch,
   CASE WHEN smile>0.62 THEN 'SMILE' WHEN yaw < -0.40 THEN 'LEFT_60' WHEN yaw > 0.40 THEN 'RIGHT_60' WHEN yaw < -0.15 THEN 'LEFT_30'
   WHEN yaw > 0.15 THEN 'RIGHT_30' WHEN pitch > 0.18 THEN 'UP' WHEN pitch < -0.18 THEN 'DOWN' ELSE 'FRONTAL' END AS with_smile
 FROM angles""", "landmark_points"))
 def pose_angles(spark, sf):
-    lm = F.col("landmarks")
-    yaw, pitch = fq.pose_yaw(lm), fq.pose_pitch(lm)
-    return views.landmark_rows(spark, sf).select(
-        "det_key", F.round(yaw, 6).alias("yaw"), F.round(pitch, 6).alias("pitch"),
-        F.round(fq.enrol_yaw(lm), 6).alias("enrol_yaw"), F.round(fq.enrol_pitch(lm), 6).alias("enrol_pitch"),
-        fq.pose_bin(yaw, pitch, lm).alias("with_smile"),
+    rows = faces(spark, sf).select(
+        "det_key", fq.pose_yaw().alias("yaw"), fq.pose_pitch().alias("pitch"), fq.enrol_yaw().alias("enrol_yaw"),
+        fq.enrol_pitch().alias("enrol_pitch"), *fq.FACE,
+    )
+    return rows.select(
+        "det_key", *[(F.round(c, 6) + 0.0).alias(c) for c in ("yaw", "pitch", "enrol_yaw", "enrol_pitch")],
+        fq.pose_bin(F.col("yaw"), F.col("pitch"), smile=True).alias("with_smile"),
     )
 
 
@@ -198,11 +203,10 @@ SELECT det_key, round(greatest(0,least(1,0.4*least(sharpness/100,1)+0.3*(1-abs({
     +0.15*least(1,greatest(0,({BRIGHT}-40)/180))+0.10*(1-0.25)+0.10*least(1,greatest(0,sharpness/1000)),6) AS six_factor
 FROM angles""", "landmark_points"))
 def quality_score_b(spark, sf):
-    lm, sharp = F.col("landmarks"), F.col("sharpness")
-    bright = F.expr(BRIGHT)
-    six = fq.six_factor_score(sharp, geo.area(geo.box()), fq.pose_yaw(lm), bright, F.lit(0.25), sharp)
-    return views.landmark_rows(spark, sf).select(
-        "det_key", fq.sample_score(sharp, bright, fq.eye_distance(lm), digits=8).alias("score"),
+    sharp, bright = F.col("sharpness"), F.expr(BRIGHT)
+    six = fq.six_factor_score(sharp, geo.area(geo.box()), fq.pose_yaw(), bright, F.lit(0.25), sharp)
+    return faces(spark, sf).select(
+        "det_key", fq.sample_score(sharp, bright, F.col("face_eyes"), digits=8).alias("score"),
         F.round(six, 6).alias("six_factor"),
     )
 
@@ -219,14 +223,12 @@ OUT_WEBCAM = "(x1+x2)/2<12 OR (x1+x2)/2>228 OR (y1+y2)/2<8 OR (y1+y2)/2>152"
 , r AS (SELECT det_key, {REASONS.format(frame=OUT_CCTV)} AS cctv, {REASONS.format(frame=OUT_WEBCAM)} AS webcam FROM angles)
 SELECT det_key, cctv, webcam, cctv='' AS passed FROM r""", "landmark_points"))
 def quality_reasons(spark, sf):
-    lm = F.col("landmarks")
-
     def reasons(method):
         return fq.failing_checks(
-            geo.box(), fq.eye_distance(lm), F.col("sharpness"), F.expr(BRIGHT), 240.0, 160.0, method
+            geo.box(), F.col("face_eyes"), F.col("sharpness"), F.expr(BRIGHT), 240.0, 160.0, method
         )
 
-    return views.landmark_rows(spark, sf).select(
+    return faces(spark, sf).select(
         "det_key", F.array_join(reasons("CCTV"), "; ").alias("cctv"), F.array_join(reasons("WEBCAM"), "; ").alias("webcam"),
         (F.size(reasons("CCTV")) == 0).alias("passed"),
     )
@@ -241,8 +243,8 @@ SELECT det_key, CASE WHEN x2-x1<45 OR y2-y1<45 THEN concat('Face size too small
   ELSE 'Good Quality Face' END AS reason FROM angles""", "landmark_points"))
 def first_fail_reason(spark, sf):
     p = QualityParams(min_size=45.0, min_eye_distance=22.0, max_symmetry=0.05)
-    return views.landmark_rows(spark, sf).select(
-        "det_key", fq.first_failure(geo.box(), F.col("landmarks"), F.col("sharpness"), p).alias("reason")
+    return faces(spark, sf).select(
+        "det_key", fq.first_failure(geo.box(), F.col("sharpness"), p).alias("reason")
     )
 
 

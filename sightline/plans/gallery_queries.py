@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sightline import schemas
 from sightline.functions import quality as fq
 from sightline.operators import match, registry
 from sightline.operators.enrolment import accept_samples, committable, enrich_gallery, pose_coverage
@@ -499,9 +501,8 @@ def entity_patch(spark, sf):
 SELECT entity_id, id, name, department, role, CAST(NULL AS VARCHAR) AS phone, CAST(1 AS INTEGER) AS gallery_version FROM entities""",
     "entities"))
 def schema_conform(spark, sf):
-    from sightline.schemas import ENTITIES
-
-    wanted = type(ENTITIES)([f for f in ENTITIES if f.name in ("id", "entity_id", "name", "department", "role", "phone", "gallery_version")])
+    names = ("id", "entity_id", "name", "department", "role", "phone", "gallery_version")
+    wanted = T.StructType([f for f in schemas.struct("entities") if f.name in names])
     return registry.conform_schema(views.entities(spark, sf), wanted, {"gallery_version": 1})
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.schemas import GALLERY_MAP, SOURCE_FILE, TABLES
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """One of the persisted tables, with its explicit schema."""
@@ -39,9 +43,8 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     missing fields get their defaults. Credentials and device addresses are not in
     the schema and are never read. An empty file gives one default source.
     """
-    element = f"array<{SOURCE_FILE.simpleString()}>"
     items = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.from_json("value", element)).alias("pos", "c")
+        F.posexplode(F.from_json("value", SOURCE_FILE)).alias("pos", "c")
     )
     place = F.col("pos") + 1
     numbered = F.format_string("cam_%02d", place)
@@ -74,23 +77,21 @@ def read_gallery_map(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
 def _from_blob(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4").astype("f8"))
 
 
-@F.pandas_udf("binary")
 def _to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
 def decode_embedding(blob: Column) -> Column:
     """Float32 bytes as ``ARRAY<DOUBLE>``, an Arrow batch at a time."""
-    return _from_blob(blob)
+    return F.pandas_udf(_from_blob, "array<double>")(blob)
 
 
 def encode_embedding(vector: Column) -> Column:
-    return _to_blob(vector)
+    return F.pandas_udf(_to_blob, "binary")(vector)
 
 
 def extract_embeddings(

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import json
 import pickle
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,8 @@ from sightline.operators import kernels
 from sightline.operators.enrolment import lock_parameters, lock_schema
 from sightline.params import EnrolParams, TrackParams
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EVENT_TIME = GroupStateTimeout.EventTimeTimeout
 MICROS = 1_000_000
 LANES = 256
@@ -244,6 +248,7 @@ def track_frames(
         T.StructType([stream.schema[row_id], T.StructField("track_id", T.StringType())])
     )
     overlap = kernels.BoxOverlap()
+    low, limits, new = p.low_score, (p.high_score, p.high_iou, p.low_iou), p.new_score
     idle = int(idle_seconds * MICROS)
 
     def step(key, frames, state: GroupState):
@@ -252,17 +257,17 @@ def track_frames(
             return
         last, before = json.loads(state.get[0]) if state.exists else (None, [])
         rows = _gather(frames, [frame, row_id])
-        rows = rows[rows["score"] >= p.low_score]
+        rows = rows[rows["score"] >= low]
         out = []
         for number, group in rows.groupby(frame, sort=True):
             boxes, scores = group[corners].to_numpy(dtype=float), group["score"].to_numpy()
             tracks = [None] * len(group)
             if last == number - 1 and before:
                 old = np.array([b[0] for b in before])
-                for i, j in overlap.links(old, boxes, scores, p.high_score, p.high_iou, p.low_iou):
+                for i, j in overlap.links(old, boxes, scores, *limits):
                     tracks[j] = before[i][1]
             for j, rid in enumerate(group[row_id].tolist()):
-                if tracks[j] is None and scores[j] >= p.new_score:
+                if tracks[j] is None and scores[j] >= new:
                     tracks[j] = f"{key[0]}:{rid}"
                 if tracks[j] is not None:
                     out.append((rid, tracks[j]))

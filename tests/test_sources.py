@@ -82,6 +82,12 @@ def test_dense_ids(spark, span):
     assert got == {i: n + 5 for n, i in enumerate(ids)}
 
 
+def test_dense_ids_over_sparse_keys(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("h")).repartition(5)
+    got = dense_ids(df, "h", "n", sparse=True).collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.h)] == list(range(5000))
+
+
 def test_payload_listing(spark):
     path = put(spark, "payload", "x")
     listed = registry.list_payloads(spark, path.rsplit("/", 1)[0]).collect()

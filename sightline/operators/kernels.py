@@ -24,27 +24,31 @@ MAX_CELLS = 4_000_000
 # ---------------------------------------------------------------- run walking
 
 
+def run_breaks(batch, names, last):
+    """Mask of the rows whose key differs from the row before, and the last key."""
+    n = batch.num_rows
+    breaks = np.zeros(n, dtype=bool)
+    for name in names:
+        column = batch.column(name)
+        left, right = column.slice(0, n - 1), column.slice(1)
+        differ = pc.fill_null(pc.not_equal(left, right), False)
+        nulls = pc.xor(pc.is_null(left), pc.is_null(right))
+        breaks[1:] |= pc.or_(differ, nulls).to_numpy(zero_copy_only=False)
+    breaks[0] = last is None or key_of(batch, 0, names) != last
+    return breaks, key_of(batch, n - 1, names)
+
+
 def batch_runs(batches, names):
     """Yield (batch, spans); a span (start, stop, fresh) holds rows of one key."""
     last = None
     for batch in batches:
-        n = batch.num_rows
-        if n == 0:
+        if batch.num_rows == 0:
             continue
-        breaks = np.zeros(n, dtype=bool)
-        for name in names:
-            column = batch.column(name)
-            left, right = column.slice(0, n - 1), column.slice(1)
-            differ = pc.fill_null(pc.not_equal(left, right), False)
-            nulls = pc.xor(pc.is_null(left), pc.is_null(right))
-            breaks[1:] |= pc.or_(differ, nulls).to_numpy(zero_copy_only=False)
-        first = tuple(batch.column(c)[0].as_py() for c in names)
-        breaks[0] = last is None or first != last
-        last = tuple(batch.column(c)[n - 1].as_py() for c in names)
+        breaks, last = run_breaks(batch, names, last)
         starts = np.flatnonzero(breaks)
         if len(starts) == 0 or starts[0] != 0:
             starts = np.concatenate(([0], starts))
-        stops = np.concatenate((starts[1:], [n]))
+        stops = np.append(starts[1:], batch.num_rows)
         yield batch, [(int(s), int(e), bool(breaks[s])) for s, e in zip(starts, stops)]
 
 
@@ -87,16 +91,6 @@ class RowBuffer:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def filtered(batches, names, decide, columns):
-    """Keep the rows for which ``decide(batch, start, stop, fresh)`` is true."""
-    for batch, spans in batch_runs(batches, names):
-        mask = np.zeros(batch.num_rows, dtype=bool)
-        for start, stop, fresh in spans:
-            mask[start:stop] = decide(batch, start, stop, fresh)
-        if mask.any():
-            yield batch.filter(pa.array(mask)).select(columns)
-
-
 # ------------------------------------------------------------------- cooldown
 
 
@@ -112,119 +106,201 @@ def _joined(runs):
     return out
 
 
-def cooldown_steps(keys, gap, width, schema):
-    """Per (key, bucket): which last kept time each possible entry row leads to.
+class EntryChains:
+    """The kept chains of one bucket, one per distinct last kept time.
 
     A carried time lies before the bucket, so the first kept row is one of the
     rows inside the first ``gap`` of the bucket, or the first row after them.
-    Entries that lead to the same last kept time are emitted as runs, each by
-    its latest entry time. State: one chain per distinct last kept time.
+    Entries that lead to the same last kept time form runs.
     """
 
-    def run(batches):
-        out = RowBuffer(schema)
-        chains = deque()  # (runs of entries, last kept time), oldest time first
-        current, closed, start_time, entries = None, False, 0, 0
-
-        def advance(t, entry):
-            nonlocal entries
-            runs = [(entries, entries, t)] if entry else []
-            entries += len(runs)
-            while chains and chains[0][1] + gap <= t:
-                runs += chains.popleft()[0]
-            if not runs:
-                return
-            if chains and chains[-1][1] == t:
-                runs += chains.pop()[0]
-            chains.append((_joined(runs), t))
+    def __init__(self, start, gap):
+        self.start, self.gap = start, gap
+        self.chains = deque()  # (runs of entries, last kept time), oldest time first
+        self.closed, self.entries = False, 0
+
+    def _advance(self, t, entry):
+        runs = [(self.entries, self.entries, t)] if entry else []
+        self.entries += len(runs)
+        while self.chains and self.chains[0][1] + self.gap <= t:
+            runs += self.chains.popleft()[0]
+        if not runs:
+            return
+        if self.chains and self.chains[-1][1] == t:
+            runs += self.chains.pop()[0]
+        self.chains.append((_joined(runs), t))
+
+    def add(self, t):
+        i, n = 0, len(t)
+        while i < n and not self.closed:
+            self.closed = bool(t[i] >= self.start + self.gap)
+            self._advance(int(t[i]), True)
+            i += 1
+        while i < n:
+            i += int(np.searchsorted(t[i:], self.chains[0][1] + self.gap))
+            if i < n:
+                self._advance(int(t[i]), False)
+                i += 1
+
+    def steps(self):
+        """(latest entry time of a run, last kept time) pairs."""
+        return [(entry, leave) for runs, leave in self.chains for _, _, entry in runs]
+
+
+def _follow(t, last, gap, mask=None):
+    """Walk times ``t`` after a kept ``last``; returns the last kept time."""
+    i = 0
+    while i < len(t):
+        i += int(np.searchsorted(t[i:], last + gap))
+        if i < len(t):
+            last = int(t[i])
+            if mask is not None:
+                mask[i] = True
+            i += 1
+    return last
 
-        def flush():
-            for runs, leave in chains:
-                for _, _, entry in runs:
-                    out.add(current + (entry, leave))
 
-        for batch, spans in batch_runs(batches, keys + ["_bucket"]):
-            times = numbers(batch, "_t")
-            for start, stop, fresh in spans:
-                if fresh:
-                    if current is not None:
-                        flush()
-                    current = key_of(batch, start, keys + ["_bucket"])
-                    start_time, closed, entries = current[-1] * width, False, 0
-                    chains.clear()
-                t = times[start:stop]
-                i, n = 0, stop - start
-                while i < n and not closed:
-                    closed = bool(t[i] >= start_time + gap)
-                    advance(int(t[i]), True)
-                    i += 1
-                while i < n:
-                    i += int(np.searchsorted(t[i:], chains[0][1] + gap))
-                    if i < n:
-                        advance(int(t[i]), False)
-                        i += 1
+def cooldown_steps(keys, gap, width, schema):
+    """Per (key, bucket): which last kept time each possible entry row leads to.
+
+    A row at least ``gap`` after the row before it is kept whatever came earlier,
+    so only what follows the last such row of a bucket is walked, and a bucket
+    that ends on one needs no walk. A last kept time that cannot reach the next
+    bucket is not emitted. State: the chains of the bucket at hand.
+    """
+    names = keys + ["_bucket"]
+
+    def reaches(bucket, leave):
+        return width < gap or leave > (bucket + 1) * width - gap
+
+    def run(batches):
+        out = RowBuffer(schema)
+        open_key, open_chains, last = None, None, None
+
+        def emit(key, steps):
+            if any(reaches(key[-1], leave) for _, leave in steps):
+                for step in steps:
+                    out.add(key + step)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            breaks, last = run_breaks(batch, names, last)
+            t, buckets = numbers(batch, "_t"), numbers(batch, "_bucket")
+            starts = np.flatnonzero(breaks)
+            first = int(starts[0]) if len(starts) else len(t)
+            if open_key is not None:
+                open_chains.add(t[:first])
+                if len(starts):
+                    emit(open_key, open_chains.steps())
+                    open_key = None
+            if len(starts) == 0:
+                continue
+            stops = np.append(starts[1:], len(t))
+            sure = np.zeros(len(t), dtype=bool)
+            sure[1:] = ~breaks[1:] & (np.diff(t) >= gap)
+            sure[starts] = t[starts] >= buckets[starts] * width + gap
+            # The last bucket of the batch may go on in the next one.
+            starts, stops, tail = starts[:-1], stops[:-1], int(starts[-1])
+            ends = stops - 1
+            simple = (ends == starts) | sure[ends]
+            wanted = ends[simple & (reaches(buckets[ends], t[ends]) if width >= gap else True)]
+            if len(wanted):
+                rows = batch.take(pa.array(wanted))
+                columns = [rows.column(c) for c in names] + [rows.column("_t"), rows.column("_t")]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            for s, e in zip(starts[~simple].tolist(), stops[~simple].tolist()):
+                key = key_of(batch, s, names)
+                heads = np.flatnonzero(sure[s:e])
+                if len(heads):
+                    head = s + int(heads[-1])
+                    emit(key, [(int(t[head]), _follow(t[head + 1 : e], int(t[head]), gap))])
+                else:
+                    chains = EntryChains(key[-1] * width, gap)
+                    chains.add(t[s:e])
+                    emit(key, chains.steps())
+            open_key = key_of(batch, tail, names)
+            open_chains = EntryChains(open_key[-1] * width, gap)
+            open_chains.add(t[tail:])
             if out.full():
                 yield out.take()
-        if current is not None:
-            flush()
+        if open_key is not None:
+            emit(open_key, open_chains.steps())
         yield out.take()
 
     return run
 
 
 def cooldown_chain(keys, gap, width, schema):
-    """Walk a key's buckets in order; emit the last kept time going into each.
-
-    State: one time per key. A carried time too old to matter is not emitted.
-    """
+    """Walk a key's buckets in order; emit the last kept time going into a bucket
+    when it still matters there. State: one time per key."""
 
     def run(batches):
         out = RowBuffer(schema)
         key, last, bucket, entered = None, None, None, False
+        wide = width >= gap  # then a kept time reaches at most the next bucket
+
+        def leave():
+            if wide and last is not None and bucket is not None and last + gap > (bucket + 1) * width:
+                out.add(key + (int(bucket) + 1, int(last)))
+
         for batch, spans in batch_runs(batches, keys):
             buckets = numbers(batch, "_bucket")
             entries, leaves = numbers(batch, "_entry"), numbers(batch, "_exit")
             for start, stop, fresh in spans:
                 if fresh:
+                    leave()
                     key, last, bucket = key_of(batch, start, keys), None, None
                 for i in range(start, stop):
                     if buckets[i] != bucket:
+                        leave()
                         bucket, entered = buckets[i], False
-                        if last is not None and last + gap > bucket * width:
+                        if not wide and last is not None and last + gap > bucket * width:
                             out.add(key + (int(bucket), int(last)))
                     if not entered and (last is None or entries[i] >= last + gap):
                         last, entered = leaves[i], True
             if out.full():
                 yield out.take()
+        leave()
         yield out.take()
 
     return run
 
 
 def cooldown_keep(keys, gap, columns):
-    """Keep rows at least ``gap`` after the last kept one. State: one time."""
+    """Keep rows at least ``gap`` after the last kept one. State: one time.
+
+    Rows that follow the row before them by ``gap`` are kept at once; only the
+    stretches between such rows are walked.
+    """
 
     def run(batches):
-        state = {"last": None}
-
-        def decide(batch, start, stop, fresh):
-            if fresh:
-                state["last"] = None
-            mask = np.zeros(stop - start, dtype=bool)
-            t = numbers(batch, "_t")[start:stop]
-            i = 0
-            if numbers(batch, "_flag")[start] == 0:
-                state["last"], i = int(t[0]), 1
-            while i < len(t):
-                if state["last"] is not None:
-                    i += int(np.searchsorted(t[i:], state["last"] + gap))
-                if i < len(t):
-                    mask[i] = True
-                    state["last"] = int(t[i])
-                    i += 1
-            return mask
-
-        yield from filtered(batches, keys + ["_bucket"], decide, columns)
+        key, last, before = None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            breaks, key = run_breaks(batch, keys + ["_bucket"], key)
+            t, flags = numbers(batch, "_t"), numbers(batch, "_flag")
+            head = breaks.copy()
+            head[1:] |= np.diff(t) >= gap
+            if not breaks[0]:
+                head[0] = t[0] - before >= gap
+            mask = head.copy()
+            heads = np.flatnonzero(head)
+            first = int(heads[0]) if len(heads) else n
+            if first > 0:
+                last = _follow(t[:first], last, gap, mask[:first])
+            if len(heads):
+                stops = np.append(heads[1:], n)
+                for s, e in zip(heads[stops - heads > 1].tolist(), stops[stops - heads > 1].tolist()):
+                    last = _follow(t[s + 1 : e], int(t[s]), gap, mask[s + 1 : e])
+                if heads[-1] == n - 1:
+                    last = int(t[-1])
+            before = t[-1]
+            mask &= flags == 1
+            if mask.any():
+                yield batch.filter(pa.array(mask)).select(columns)
 
     return run
 
@@ -232,43 +308,79 @@ def cooldown_keep(keys, gap, columns):
 # -------------------------------------------------------------- smoothed rate
 
 
-def _decay(keep):
-    steps = np.arange(CHUNK)
-    return np.tril(keep ** np.maximum(steps[:, None] - steps[None, :], 0).astype(float))
+def _affine_scan(a, b):
+    """Running value of x → a·x + b over the rows, all rows at once by doubling.
+
+    A row with ``a`` 0 starts a new run.
+    """
+    a, b = a.copy(), b.copy()
+    step = 1
+    while step < len(a) and np.abs(a[step:]).max() > 1e-18:
+        b[step:] = b[step:] + a[step:] * b[:-step]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return b
 
 
-def _gains(t, previous, gain):
-    """Step inputs for times ``t`` after ``previous``; zero-length steps are dropped."""
-    times = t if previous is None else np.concatenate(([previous], t))
-    dt = np.diff(times)
-    return gain * 1e6 / dt[dt > 0]
+def _rate_rows(t, fresh, keep, gain):
+    """Factor and input of each row: a step of zero length changes nothing."""
+    dt = np.diff(t, prepend=t[0])
+    moves = (dt > 0) & ~fresh
+    a = np.where(fresh, 0.0, np.where(moves, keep, 1.0))
+    b = np.zeros(len(t))
+    b[moves] = gain * 1e6 / dt[moves]
+    return a, b, moves
 
 
 def rate_summary(keys, keep, gain, schema):
-    """Per (key, bucket): first and last time and the affine map of its steps."""
+    """Per (key, bucket): first and last time, and the affine map of its steps."""
+    names = keys + ["_bucket"]
+    kinds = [f.type for f in schema][-4:]
+
+    def closed(held):
+        numbers_ = [pa.array([x], kind) for x, kind in zip(held[1:], kinds)]
+        return pa.RecordBatch.from_arrays(held[0] + numbers_, schema=schema)
 
     def run(batches):
-        out = RowBuffer(schema)
-        current, first, last, scale, shift = None, None, None, 1.0, 0.0
-        for batch, spans in batch_runs(batches, keys + ["_bucket"]):
-            times = numbers(batch, "_t")
-            for start, stop, fresh in spans:
-                if fresh:
-                    if current is not None:
-                        out.add(current + (first, last, scale, shift))
-                    current = key_of(batch, start, keys + ["_bucket"])
-                    first, last, scale, shift = int(times[start]), None, 1.0, 0.0
-                steps = _gains(times[start:stop], last, gain)
-                m = len(steps)
-                weights = keep ** np.arange(m - 1, -1, -1, dtype=float)
-                shift = shift * keep**m + float(weights @ steps)
-                scale *= keep**m
-                last = int(times[stop - 1])
-            if out.full():
-                yield out.take()
-        if current is not None:
-            out.add(current + (first, last, scale, shift))
-        yield out.take()
+        key = None
+        held = None  # the open bucket: its key row, first time, last time, scale, shift
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            breaks, key = run_breaks(batch, names, key)
+            t = numbers(batch, "_t")
+            go_on = held is not None and not breaks[0]
+            if held is not None and not go_on:
+                yield closed(held)
+            fresh = breaks.copy()
+            fresh[0] = True
+            times = t
+            if go_on:
+                times = np.concatenate(([held[2]], t))
+                fresh = np.concatenate(([True], breaks))
+            a, b, moves = _rate_rows(times, fresh, keep, gain)
+            b[0] = held[4] if go_on else 0.0
+            values = _affine_scan(a, b)
+            counts = np.cumsum(moves)
+            starts = np.flatnonzero(fresh)
+            ends = np.append(starts[1:], len(times)) - 1
+            scale = keep ** (counts[ends] - counts[starts]).astype(float)
+            first, last, shift = times[starts].copy(), times[ends], values[ends]
+            if go_on:
+                first[0], scale[0] = held[1], scale[0] * held[3]
+            rows = ends - (1 if go_on else 0)
+            keyed = batch.take(pa.array(rows))
+            columns = [keyed.column(c) for c in names] + [pa.array(x) for x in (first, last, scale, shift)]
+            done = len(starts) - 1
+            if done:
+                ready = [c.slice(0, done).cast(f.type) for c, f in zip(columns, schema)]
+                yield pa.RecordBatch.from_arrays(ready, schema=schema)
+            held = (
+                [c.slice(done, 1) for c in columns[:-4]],
+                int(first[-1]), int(last[-1]), float(scale[-1]), float(shift[-1]),
+            )
+        if held is not None:
+            yield closed(held)
 
     return run
 
@@ -277,24 +389,31 @@ def rate_chain(keys, keep, gain, schema):
     """Carry (last time, rate) over a key's buckets; one row of state."""
 
     def run(batches):
-        out = RowBuffer(schema)
-        key, last, rate = None, None, 0.0
-        for batch, spans in batch_runs(batches, keys):
-            cols = {c: numbers(batch, c) for c in ("_bucket", "_first", "_last", "_scale", "_shift")}
-            for start, stop, fresh in spans:
-                if fresh:
-                    key, last, rate = key_of(batch, start, keys), None, 0.0
-                for i in range(start, stop):
-                    if last is not None:
-                        out.add(key + (int(cols["_bucket"][i]), int(last), float(rate)))
-                        dt = cols["_first"][i] - last
-                        if dt > 0:
-                            rate = keep * rate + gain * 1e6 / dt
-                    rate = cols["_scale"][i] * rate + cols["_shift"][i]
-                    last = cols["_last"][i]
-            if out.full():
-                yield out.take()
-        yield out.take()
+        key, before, rate = None, None, 0.0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            breaks, key = run_breaks(batch, keys, key)
+            first, last, scale, shift = (numbers(batch, c) for c in ("_first", "_last", "_scale", "_shift"))
+            into = np.append(before if before is not None else 0, last[:-1])
+            dt = np.where(breaks, 0, first - into)
+            moves = dt > 0
+            step = np.zeros(n)
+            step[moves] = gain * 1e6 / dt[moves]
+            a = np.where(breaks, 0.0, scale * np.where(moves, keep, 1.0))
+            b = scale * step + shift
+            if not breaks[0]:
+                b[0] += a[0] * rate
+                a[0] = 0.0
+            out = _affine_scan(a, b)
+            carried = np.append(rate, out[:-1])
+            wanted = ~breaks
+            before, rate = int(last[-1]), float(out[-1])
+            if wanted.any():
+                rows = [batch.column(c) for c in keys] + [batch.column("_bucket"), pa.array(into), pa.array(carried)]
+                made = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(rows, schema)], schema=schema)
+                yield made.filter(pa.array(wanted))
 
     return run
 
@@ -303,32 +422,24 @@ def rate_series(keys, keep, gain, columns, schema):
     """Append the smoothed rate to each row. State: (last time, rate)."""
 
     def run(batches):
-        decay = _decay(keep)
-        last, rate = None, 0.0
-        for batch, spans in batch_runs(batches, keys + ["_bucket"]):
-            times, flags, rates = (numbers(batch, c) for c in ("_t", "_flag", "_rate"))
-            values = np.zeros(batch.num_rows)
-            for start, stop, fresh in spans:
-                if fresh:
-                    last, rate = None, 0.0
-                if flags[start] == 0:
-                    last, rate = int(times[start]), float(rates[start])
-                    start += 1
-                while start < stop:
-                    end = min(start + CHUNK, stop)
-                    t = times[start:end]
-                    before = t[0] if last is None else last
-                    dt = np.diff(np.concatenate(([before], t)))
-                    moves = dt > 0
-                    steps = gain * 1e6 / dt[moves]
-                    m = len(steps)
-                    path = decay[:m, :m] @ steps + rate * keep ** np.arange(1, m + 1)
-                    path = np.concatenate(([rate], path))
-                    values[start:end] = path[np.cumsum(moves)]
-                    rate, last = float(path[-1]), int(t[-1])
-                    start = end
-            rows = batch.select(columns).append_column("rate", pa.array(values))
-            rows = rows.filter(pa.array(flags == 1))
+        key, last, rate = None, None, 0.0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            breaks, key = run_breaks(batch, keys + ["_bucket"], key)
+            t, flags, carried = (numbers(batch, c) for c in ("_t", "_flag", "_rate"))
+            go_on = not breaks[0]
+            times = np.append(last, t) if go_on else t
+            fresh = np.append(True, breaks) if go_on else breaks
+            a, b, _ = _rate_rows(times, fresh, keep, gain)
+            starts = np.flatnonzero(breaks)
+            given = starts[flags[starts] == 0]
+            b[given + (1 if go_on else 0)] = carried[given]
+            if go_on:
+                b[0] = rate
+            values = _affine_scan(a, b)[1 if go_on else 0 :]
+            last, rate = int(t[-1]), float(values[-1])
+            rows = batch.select(columns).append_column("rate", pa.array(values)).filter(pa.array(flags == 1))
             yield pa.RecordBatch.from_arrays(rows.columns, schema=schema)
 
     return run

@@ -89,10 +89,10 @@ def conform_schema(df: DataFrame, schema: T.StructType, defaults: dict | None =
 
 def append_gallery(gallery: DataFrame, new: DataFrame, row_id: str, embedding: str = "embedding", gallery_id: str = "gallery_id") -> DataFrame:
     """Append unit vectors with ids that continue the gallery's; ``row_id`` orders them."""
-    top = gallery.agg(F.coalesce(F.max(gallery_id), F.lit(-1)).alias("_top"))
+    top = gallery.agg(F.coalesce(F.max(gallery_id), F.lit(-1))).scalar()
     unit = new.withColumn(embedding, l2_normalize(F.col(embedding).cast("array<double>")))
-    numbered = dense_ids(unit.crossJoin(F.broadcast(top)), row_id, gallery_id, start=F.col("_top") + 1)
-    return gallery.unionByName(numbered.drop("_top"), allowMissingColumns=True)
+    numbered = dense_ids(unit, row_id, gallery_id, start=top + 1)
+    return gallery.unionByName(numbered, allowMissingColumns=True)
 
 
 def rebuild_gallery(gallery: DataFrame, entities: DataFrame, payloads: DataFrame, row_id: str, path: str = "image_path", gallery_id: str = "gallery_id") -> DataFrame:
@@ -227,13 +227,11 @@ def detail_view(captures: DataFrame) -> DataFrame:
 
 def inventory(entities: DataFrame, gallery: DataFrame) -> DataFrame:
     """Row counts, vector count, dimension and entities with vectors, as one row."""
-    g = gallery.agg(
+    return gallery.agg(
         F.count(F.lit(1)).alias("total_vectors"),
         F.max(F.size("embedding")).alias("dimension"),
         F.count_distinct("entity_id").alias("entities_with_vectors"),
-    )
-    e = entities.agg(F.count(F.lit(1)).alias("total_entities"))
-    return e.crossJoin(g)  # one row each
+    ).withColumn("total_entities", entities.agg(F.count(F.lit(1))).scalar())
 
 
 def inventory_sample(gallery: DataFrame, payloads: DataFrame, row_id: str, n: int = 10, path: str = "image_path") -> DataFrame:

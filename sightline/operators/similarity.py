@@ -97,8 +97,8 @@ def similarity_topk(
         several = True
     else:
         n_blocks = max(1, math.ceil(g.count() / block_rows))
-        parallel = max(spark.sparkContext.defaultParallelism, 1)
-        blocks, lanes = F.lit(n_blocks), F.lit(max(1, math.ceil(parallel / n_blocks)))
+        n_lanes = max(1, math.ceil(spark.sparkContext.defaultParallelism / n_blocks))
+        blocks, lanes = F.lit(n_blocks), F.lit(n_lanes)
         cell = ["_block", "_lane"]
         several = n_blocks > 1
 
@@ -122,9 +122,12 @@ def similarity_topk(
             T.StructField("similarity", T.DoubleType(), True),
         ]
     )
+    if by:
+        placed = rows.repartition(*cell)
+    else:  # one cell per partition: an even spread, and one block in memory per task
+        placed = rows.repartitionById(n_blocks * n_lanes, F.col("_block") * n_lanes + F.col("_lane"))
     hits = (
-        rows.repartition(*cell)
-        .sortWithinPartitions(*cell, *order)
+        placed.sortWithinPartitions(*cell, *order)
         .mapInArrow(
             kernels.topk_cells(
                 cell, k, floor, per_label, exclude_label, exclude_id, earlier is not None, to_arrow_schema(schema)

@@ -300,9 +300,9 @@ def track_recognition(spark, sf):
 
     probes = views.probes(spark, sf).select("capture_id", "embedding")
     best = tracks.best_track_row(views.track_rows(spark, sf), ["track_id"], "second", ["det_key"])
-    # Each best row borrows a probe's vector; the number of probes is one row.
-    n = probes.agg(F.count(F.lit(1)).alias("n"))
-    rows = best.crossJoin(F.broadcast(n)).withColumn("capture_id", (F.col("det_key") % F.col("n")) * 5).join(probes, "capture_id")
+    # Each best row borrows a probe's vector.
+    n = probes.agg(F.count(F.lit(1))).scalar()
+    rows = best.withColumn("capture_id", (F.col("det_key") % n) * 5).join(probes, "capture_id")
     found = tracks.recognise_tracks(
         rows, views.gallery(spark, sf), "det_key", "capture_id", F.col("sharpness") / 100.0, p=MATCH
     )

@@ -23,9 +23,7 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """``primary``, or ``fallback`` when ``primary`` has no rows."""
-    any_row = primary.limit(1).select(F.lit(True).alias("_any"))  # at most one row
-    unused = fallback.join(F.broadcast(any_row), F.lit(True), "left_anti")
-    return primary.unionByName(unused, allowMissingColumns=True)
+    return primary.unionByName(fallback.where(~primary.exists()), allowMissingColumns=True)
 
 
 def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:

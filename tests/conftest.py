@@ -18,3 +18,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(params=[10_000, 7])
+def batch_rows(request, spark):
+    """Arrow batch sizes: keys must survive the border between two batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield request.param
+    spark.conf.set(name, before)

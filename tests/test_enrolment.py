@@ -30,7 +30,7 @@ def captures(spark, n=200, seed=0):
 
 @pytest.mark.parametrize("block", [5, 10_000])
 @pytest.mark.parametrize("interval", [0.0, 1.5])
-def test_accept_samples(spark, block, interval):
+def test_accept_samples(spark, batch_rows, block, interval):
     rows, unit, df = captures(spark)
     p = EnrolParams(duplicate_similarity=0.8)
     want, held = {}, {}
@@ -90,7 +90,7 @@ def steps(df):
     return [(r.seq, r.state, r.samples, r.locked, r.reason) for r in df.orderBy("seq").collect()]
 
 
-def test_target_lock_cases(spark):
+def test_target_lock_cases(spark, batch_rows):
     out = enrolment.target_lock(lock_rows(spark), ["session"], "ts")
     assert steps(out) == WANT
     tracks = {r.seq: r.track for r in out.collect()}

@@ -47,7 +47,7 @@ def found(df):
 
 @pytest.mark.parametrize("block", [7, 1000])
 @pytest.mark.parametrize("copies", [0.0, 0.4])
-def test_topk(spark, block, copies):
+def test_topk(spark, batch_rows, block, copies):
     q, qm, qk = vectors(spark, 40, seed=1)
     g, gm, gk = vectors(spark, 90, seed=2, copies=copies)
     assert found(similarity_topk(q, g, "id", "id", 4, 0.2, block_rows=block)) == brute(qm, qk, gm, gk, 4, 0.2)
@@ -97,7 +97,7 @@ def greedy(unit, keys, order, threshold, cap=None):
 
 @pytest.mark.parametrize("block", [9, 10_000])
 @pytest.mark.parametrize("copies", [0.0, 0.5])
-def test_deduplicate(spark, block, copies):
+def test_deduplicate(spark, batch_rows, block, copies):
     df, unit, keys = vectors(spark, 150, seed=7, copies=copies)
     order = sorted(range(150), key=lambda i: (-(i % 7), i))
     got = {r.id for r in deduplicate(df, ["entity_id"], "id", threshold=0.4, block_rows=block, lanes=3).collect()}

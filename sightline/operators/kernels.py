@@ -586,6 +586,9 @@ class VectorConflict:
     def clash(self, a, b):
         return np.round(a @ b.T, 12) >= self.threshold
 
+    def clash_rows(self, a, b):
+        return np.round(np.einsum("ij,ij->i", a, b), 12) >= self.threshold
+
 
 class BoxConflict:
     """Two boxes clash when their IoU reaches the threshold."""
@@ -598,24 +601,38 @@ class BoxConflict:
         return np.column_stack([rows, size])
 
     def clash(self, a, b):
-        wide = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-        tall = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+        return self.clash_rows(a[:, None, :], b[None, :, :])
+
+    def clash_rows(self, a, b):
+        wide = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+        tall = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
         inter = np.maximum(wide, 0.0) * np.maximum(tall, 0.0)
-        union = a[:, None, 4] + b[None, :, 4] - inter
+        union = a[..., 4] + b[..., 4] - inter
         share = np.divide(inter, union, out=np.zeros_like(inter), where=(inter > 0) & (union > 0))
         return share >= self.threshold
 
 
+SHORT_RUN = 16
+
+
 def greedy_scan(keys, conflict, columns, cap=None):
     """Per key, in row order, keep a row that conflicts with no kept row.
 
-    State: the kept rows of one key.
+    State: the kept rows of one key. Short keys that lie inside a batch are
+    resolved together, one row position at a time.
     """
 
+    def together(rows, starts, lengths, mask):
+        for place in range(int(lengths.max(initial=0))):
+            at = starts[lengths > place] + place
+            free = np.ones(len(at), dtype=bool)
+            for back in range(1, place + 1):
+                rivals = np.flatnonzero(free & mask[at - back])
+                free[rivals] = ~conflict.clash_rows(rows[at[rivals]], rows[at[rivals] - back])
+            mask[at] = free
+
     def choose(rows, kept, room):
         """Positions in ``rows`` to keep, given the kept rows so far."""
-        if len(rows) == 1 and kept is None:
-            return [0]
         free = np.ones(len(rows), dtype=bool) if kept is None else ~conflict.clash(rows, kept).any(axis=1)
         clash = conflict.clash(rows, rows)
         chosen = []
@@ -627,10 +644,22 @@ def greedy_scan(keys, conflict, columns, cap=None):
         return chosen
 
     def run(batches):
-        kept = None
-        for batch, spans in batch_runs(batches, keys):
-            mask = np.zeros(batch.num_rows, dtype=bool)
-            rows = conflict.prepare(matrix(batch.column("_vec"), 0, batch.num_rows))
+        key, kept = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            breaks, key = run_breaks(batch, keys, key)
+            mask = np.zeros(n, dtype=bool)
+            rows = conflict.prepare(matrix(batch.column("_vec"), 0, n))
+            starts = np.flatnonzero(breaks)
+            lengths = np.diff(np.append(starts, n))
+            short = lengths <= (SHORT_RUN if cap is None else min(cap, SHORT_RUN))
+            short[-1:] = False  # the last key may go on in the next batch
+            together(rows, starts[short], lengths[short], mask)
+            spans = [(int(s), int(s + m), True) for s, m in zip(starts[~short], lengths[~short])]
+            if not breaks[0]:
+                spans.insert(0, (0, int(starts[0]) if len(starts) else n, False))
             for start, stop, fresh in spans:
                 if fresh:
                     kept = None

@@ -172,6 +172,15 @@ def six_factor_score(
     )
 
 
+def six_factor_rejects(
+    blur: Column, area_px: Column, yaw: Column, brightness: Column, occlusion: Column
+) -> Column:
+    """True when the documented six-factor engine rejects a capture outright."""
+    return (
+        (blur < 30) | (area_px < 900) | (F.abs(yaw) > 0.6) | (brightness < 30) | (brightness > 240) | (occlusion > 0.4)
+    )
+
+
 def first_failure(b: Box, blur: Column, p: QualityParams = QualityParams()) -> Column:
     """Text of the first failing check, or the pass text; reads the face distances."""
     eyes, symmetry = F.col("face_eyes"), F.abs(_side())

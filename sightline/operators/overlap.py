@@ -16,7 +16,7 @@ from sightline.functions.geometry import area, association_score, box, iou, spat
 from sightline.params import EnrolParams, TrackParams
 from sightline.session import checkpointed
 
-CELL = 128.0
+CELL = 256.0
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
@@ -90,7 +90,7 @@ def frame_links(
     Columns: ``prev_<row_id>``, ``next_<row_id>``, ``iou``, ``band``.
 
     The pairs above a threshold are few beside the detections; they are computed
-    once and checkpointed, and both passes read them.
+    once and checkpointed as well, and both passes read them.
     """
     usable = detections.where(F.col("score") >= p.low_score).select(source, frame, row_id, "score", *CORNERS)
     # Equal boxes of a frame and band compete on equal terms and the smaller id
@@ -98,7 +98,8 @@ def frame_links(
     # other one, and any further copy in none.
     copies = usable.withColumn("high", F.col("score") >= p.high_score)
     nth = F.row_number().over(W.partitionBy(source, frame, *CORNERS, "high").orderBy(row_id))
-    boxes = copies.withColumn("_rn", nth).where(F.col("_rn") <= 2).drop("_rn")
+    # Both sides of the join read these slim rows, so they are shuffled once.
+    boxes = checkpointed(copies.withColumn("_rn", nth).where(F.col("_rn") <= 2).drop("_rn", "score"))
     earlier = boxes.withColumn(frame, F.col(frame) + 1)
     found = overlap_pairs(earlier, boxes, [source, frame], min(p.high_iou, p.low_iou), [row_id, "high"])
     prev, nxt = f"prev_{row_id}", f"next_{row_id}"
@@ -119,18 +120,19 @@ def frame_links(
     )
 
 
-def stitch_tracks(
+def track_ids(
     detections: DataFrame,
     source: str = "source_id",
     frame: str = "frame_id",
     row_id: str = "det_key",
     p: TrackParams = TrackParams(),
 ) -> DataFrame:
-    """Assign a stable track id to every detection that belongs to a track.
+    """Stable track id of every detection that belongs to a track: ``row_id``, ``track_id``.
 
     Links form chains; the chain's first detection is found by pointer doubling
-    (rounds = log2 of the longest chain, checkpointed in the shared folder).
-    A track begins at the chain's first detection that scores ``new_score``.
+    (rounds = log2 of the longest chain, checkpointed in the shared folder). Only
+    linked detections take part in the rounds. A track begins at the chain's first
+    detection that scores ``new_score``.
     """
     links = frame_links(detections, source, frame, row_id, p)
     pointers = checkpointed(
@@ -144,24 +146,33 @@ def stitch_tracks(
         if not moved:
             break
     roots = pointers.select(F.col("node").alias(row_id), "root")
-    rows = (
+    rows = checkpointed(
         detections.where(F.col("score") >= p.low_score)
+        .select(source, frame, row_id, "score")
         .join(roots, row_id, "left")
         .withColumn("_chain", F.coalesce("root", row_id))
+        .drop("root")
     )
     begins = (
         rows.where(F.col("score") >= p.new_score)
         .groupBy("_chain")
-        .agg(F.min_by(F.struct(F.col(row_id).alias("id"), F.col(frame).alias("at")), F.col(frame)).alias("_b"))
+        .agg(F.min_by(row_id, frame).alias("_head"), F.min(frame).alias("_at"))
     )
     return (
         rows.join(begins, "_chain")
-        .where(F.col(frame) >= F.col("_b.at"))
-        .withColumn("track_id", F.concat_ws(":", F.col(source), F.col("_b.id").cast("string")))
-        .drop("_chain", "_b", "root")
+        .where(F.col(frame) >= F.col("_at"))
+        .select(row_id, F.concat_ws(":", F.col(source), F.col("_head").cast("string")).alias("track_id"))
     )
 
 
+def stitch_tracks(
+    detections: DataFrame, source: str = "source_id", frame: str = "frame_id", row_id: str = "det_key",
+    p: TrackParams = TrackParams(),
+) -> DataFrame:
+    """Detections that belong to a track, with its ``track_id``."""
+    return detections.join(track_ids(detections, source, frame, row_id, p), row_id)
+
+
 def largest_box(boxes: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """The largest box of each group; the smaller id wins a tie."""
     order = F.struct(area(box()).alias("area"), -F.col(row_id))
@@ -223,11 +234,9 @@ def link_annotations(
         *on, annotation_id, F.col("detection_id").alias(row_id), F.lit(1.0).alias("iou"), F.lit("id").alias("method")
     )
     rest = named.where(F.col("_found").isNull()).select(*on, annotation_id, *CORNERS)
-    pairs = overlap_pairs(
-        rest.withColumnRenamed(annotation_id, "_id"),
-        detections.select(*on, *CORNERS, F.col(row_id).alias("_id")),
-        on, threshold, ["_id"],
-    )
+    # Of equal detections the smallest id wins, so only that one is compared.
+    single = detections.groupBy(*on, *CORNERS).agg(F.min(row_id).alias("_id"))
+    pairs = overlap_pairs(rest.withColumnRenamed(annotation_id, "_id"), single, on, threshold, ["_id"])
     best = F.max_by(F.struct(F.col("right__id"), F.col("iou")), F.struct(F.col("iou"), -F.col("right__id")))
     by_box = pairs.groupBy(*on, F.col("left__id").alias(annotation_id)).agg(best.alias("_b")).select(
         *on, annotation_id, F.col("_b.right__id").alias(row_id), F.col("_b.iou").alias("iou"), F.lit("iou").alias("method")

@@ -77,6 +77,7 @@ def similarity_topk(
     )
 
     if by:
+        g, q = g.where(F.col("_by").isNotNull()), q.where(F.col("_by").isNotNull())
         # Only keys above the block or lane size need more than one cell.
         sizes = (
             g.select("_by", F.lit(1).alias("g"), F.lit(0).alias("q"))

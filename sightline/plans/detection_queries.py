@@ -90,7 +90,7 @@ begins AS (SELECT root, arg_min(det_key, frame_id) AS head, min(frame_id) AS at
 SELECT r.det_key, concat(r.source_id,':',b.head) AS track_id FROM rows_ r JOIN begins b USING (root) WHERE r.frame_id>=b.at""",
     "detections", recursive=True))
 def track_stitch(spark, sf):
-    return overlap.stitch_tracks(views.detections(spark, sf)).select("det_key", "track_id")
+    return overlap.track_ids(views.detections(spark, sf))
 
 
 @query("largest_box", check_sql("""
@@ -200,7 +200,8 @@ BRIGHT = "CAST((det_key*17)%256 AS DOUBLE)"
 @query("quality_score_b", check_sql(ANGLES + f"""
 SELECT det_key, round(greatest(0,least(1,0.4*least(sharpness/100,1)+0.3*(1-abs({BRIGHT}-128)/128)+0.3*least(eyes/60,1))),8) AS score,
   round(0.30*least(1,greatest(0,sharpness/500))+0.20*least(1,greatest(0,((x2-x1)*(y2-y1)-1000)/49000))+0.15*(1-abs(yaw))
-    +0.15*least(1,greatest(0,({BRIGHT}-40)/180))+0.10*(1-0.25)+0.10*least(1,greatest(0,sharpness/1000)),6) AS six_factor
+    +0.15*least(1,greatest(0,({BRIGHT}-40)/180))+0.10*(1-0.25)+0.10*least(1,greatest(0,sharpness/1000)),6) AS six_factor,
+  sharpness<30 OR (x2-x1)*(y2-y1)<900 OR abs(yaw)>0.6 OR {BRIGHT}<30 OR {BRIGHT}>240 AS rejected
 FROM angles""", "landmark_points"))
 def quality_score_b(spark, sf):
     sharp, bright = F.col("sharpness"), F.expr(BRIGHT)
@@ -208,6 +209,7 @@ def quality_score_b(spark, sf):
     return faces(spark, sf).select(
         "det_key", fq.sample_score(sharp, bright, F.col("face_eyes"), digits=8).alias("score"),
         F.round(six, 6).alias("six_factor"),
+        fq.six_factor_rejects(sharp, geo.area(geo.box()), fq.pose_yaw(), bright, F.lit(0.25)).alias("rejected"),
     )
 
 

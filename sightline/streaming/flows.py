@@ -15,11 +15,13 @@ from sightline.session import scratch_path
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType | str, files: str = "*.parquet", files_per_batch: int = 100
+    spark: SparkSession, folder: str, schema: T.StructType | str, files: str | None = None, files_per_batch: int = 100,
+    kind: str = "parquet",
 ) -> DataFrame:
-    """Parquet files of a folder as a stream; the file limit bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
-    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """Files of a folder (parquet, json, orc or csv) as a stream; the file limit
+    bounds a micro-batch."""
+    reader = spark.readStream.format(kind).schema(schema).option("pathGlobFilter", files or f"*.{kind}")
+    return reader.option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

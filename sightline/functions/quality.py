@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.geometry import Box, height, width
 from sightline.functions.text import fixed
-from sightline.params import EnrolParams, QualityParams
+from sightline.params import CAPTURE_FAILURES, CAPTURE_PASSES, SAMPLE_FAILURES, EnrolParams, QualityParams
 
 LEFT_EYE, RIGHT_EYE, NOSE, LEFT_MOUTH, RIGHT_MOUTH = range(5)
 
@@ -185,27 +185,18 @@ def first_failure(b: Box, blur: Column, p: QualityParams = QualityParams()) -> C
     """Text of the first failing check, or the pass text; reads the face distances."""
     eyes, symmetry = F.col("face_eyes"), F.abs(_side())
     w, h = width(b), height(b)
+
+    def told(check: str, *parts: Column | str) -> Column:
+        before, after = CAPTURE_FAILURES[check]
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in (before, *parts, after)])
+
+    size = (w.cast("int").cast("string"), "x", h.cast("int").cast("string"), f"px < {int(p.min_size)}")
     return (
-        F.when(
-            (w < p.min_size) | (h < p.min_size),
-            F.concat(
-                F.lit("Face size too small ("), w.cast("int").cast("string"), F.lit("x"),
-                h.cast("int").cast("string"), F.lit(f"px < {int(p.min_size)}px)"),
-            ),
-        )
-        .when(
-            eyes < p.min_eye_distance,
-            F.concat(F.lit("Low eye resolution ("), fixed(eyes, 1), F.lit("px)")),
-        )
-        .when(
-            symmetry > p.max_symmetry,
-            F.concat(F.lit("Extreme head yaw/turn (symmetry diff "), fixed(symmetry, 2), F.lit(")")),
-        )
-        .when(
-            blur < p.min_blur,
-            F.concat(F.lit("Blurry image (score: "), fixed(blur, 1), F.lit(f" < threshold: {p.min_blur})")),
-        )
-        .otherwise("Good Quality Face")
+        F.when((w < p.min_size) | (h < p.min_size), told("size", *size))
+        .when(eyes < p.min_eye_distance, told("eyes", fixed(eyes, 1)))
+        .when(symmetry > p.max_symmetry, told("turn", fixed(symmetry, 2)))
+        .when(blur < p.min_blur, told("blur", fixed(blur, 1), f" < threshold: {p.min_blur}"))
+        .otherwise(CAPTURE_PASSES)
     )
 
 
@@ -227,11 +218,11 @@ def failing_checks(
         cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
         mx, my = frame_w * 0.05, frame_h * 0.05
         in_frame = cx.between(mx, frame_w - mx) & cy.between(my, frame_h - my)
-    checks = (
-        (size_ok, "Face too small — move closer or choose a clearer face"),
-        (in_frame, "Keep the face fully inside the frame"),
-        (eyes >= QualityParams().min_eye_distance, "Ensure eyes are visible"),
-        (blur >= p.min_sharpness, "Image blurry — hold still"),
-        (brightness.between(p.min_brightness, p.max_brightness), "Adjust lighting"),
-    )
-    return F.array_compact(F.array(*[F.when(~ok, text) for ok, text in checks]))
+    passes = {
+        "size": size_ok,
+        "frame": in_frame,
+        "eyes": eyes >= QualityParams().min_eye_distance,
+        "sharpness": blur >= p.min_sharpness,
+        "light": brightness.between(p.min_brightness, p.max_brightness),
+    }
+    return F.array_compact(F.array(*[F.when(~passes[check], text) for check, text in SAMPLE_FAILURES.items()]))

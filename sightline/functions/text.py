@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.params import MatchParams
+from sightline.params import POSE_GUIDANCE, POSES_DONE_TEXT, MatchParams
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -163,3 +163,11 @@ def next_missing(required, collected: Column) -> Column:
     """First required name not yet in ``collected``; null when none is missing."""
     wanted = F.array(*[F.lit(r) for r in required])
     return F.try_element_at(F.array_except(wanted, collected), F.lit(1))
+
+
+def guidance(next_pose: Column) -> Column:
+    """What to ask of the person for the next missing pose, or that none is missing."""
+    text = F.when(next_pose.isNull(), POSES_DONE_TEXT)
+    for pose, instruction in POSE_GUIDANCE.items():
+        text = text.when(next_pose == pose, instruction)
+    return text.otherwise("Adjust face angle")

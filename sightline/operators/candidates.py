@@ -9,6 +9,7 @@ from sightline.functions.text import basename, stamp
 from sightline.operators import kernels
 from sightline.operators.greedy import greedy_keep
 from sightline.operators.similarity import similarity_topk
+from sightline.params import CANDIDATE_QUALITY, CANDIDATE_STATUS
 from sightline.sources.tables import encode_embedding, json_list
 
 
@@ -20,13 +21,13 @@ def create_candidates(tracks: DataFrame, as_of: Column) -> tuple[DataFrame, Data
     """
     rows = tracks.withColumn("candidate_id", F.concat(F.lit("CAND_"), F.upper(F.substring(F.sha1("track_id"), 1, 12))))
     candidates = rows.select(
-        "candidate_id", F.lit("READY").alias("status"), F.lit(0.85).alias("avg_quality"),
+        "candidate_id", F.lit(CANDIDATE_STATUS).alias("status"), F.lit(CANDIDATE_QUALITY).alias("avg_quality"),
         json_list(F.array("source_id")).alias("seen_sources"), as_of.alias("first_seen"), as_of.alias("last_seen"),
         as_of.alias("created_at"),
     )
     images = rows.select(
         "candidate_id", "image_path", encode_embedding(F.col("embedding")).alias("embedding_blob"),
-        F.lit(0.85).alias("quality_score"), F.lit("FRONTAL").alias("pose_bin"), "source_id", as_of.alias("created_at"),
+        F.lit(CANDIDATE_QUALITY).alias("quality_score"), F.lit("FRONTAL").alias("pose_bin"), "source_id", as_of.alias("created_at"),
     )
     return candidates, images
 

@@ -13,7 +13,7 @@ from sightline.operators import kernels
 from sightline.operators.greedy import BLOCK_ROWS, LANES, _strike, greedy_keep
 from sightline.operators.match import check_duplicates, near_duplicates
 from sightline.operators.registry import append_gallery, audit_rows, upsert_entities
-from sightline.params import POSES_SESSION, EnrichParams, EnrolParams
+from sightline.params import AUDIT_REGISTER, POSES_SESSION, EnrichParams, EnrolParams
 from sightline.session import checkpointed
 
 
@@ -240,5 +240,5 @@ def commit_sessions(
     return {
         "entities": registry,
         "gallery": append_gallery(gallery, new, row_id, gallery_id=gallery_id),
-        "audit": audit_rows(done.join(names, "entity_id"), "REGISTER_PERSON", details),
+        "audit": audit_rows(done.join(names, "entity_id"), AUDIT_REGISTER, details),
     }

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from sightline.functions.text import after_first_word, entity_image_url, first_word
 from sightline.functions.vector import l2_normalize
 from sightline.operators.numbering import dense_ids
+from sightline.params import AUDIT_DELETE
 
 
 def upsert_entities(entities: DataFrame, changes: DataFrame, key: str = "entity_id", version: str = "gallery_version") -> DataFrame:
@@ -140,7 +141,7 @@ def cascade_delete(removed: DataFrame, **tables: DataFrame) -> dict[str, DataFra
     """All tables without the removed entities' rows, and an audit row per entity."""
     ids = removed.select("entity_id")
     out = {name: df.join(ids, "entity_id", "left_anti") for name, df in tables.items()}
-    out["audit"] = audit_rows(removed, "DELETE_PERSON", F.concat(F.lit("Deleted "), F.col("entity_id")))
+    out["audit"] = audit_rows(removed, AUDIT_DELETE, F.concat(F.lit("Deleted "), F.col("entity_id")))
     return out
 
 

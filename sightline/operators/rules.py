@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.text import is_known, stamp
 from sightline.operators.numbering import dense_ids
 from sightline.operators.ordered import cooldown
-from sightline.params import CooldownParams
+from sightline.params import ALERT_STATUS, ALERT_TYPE, ATTENDANCE_TYPE, VISIT_CATEGORY, CooldownParams
 
 Rule = Callable[[DataFrame], DataFrame]
 
@@ -23,7 +23,7 @@ def attendance(sightings: DataFrame, seconds: float = CooldownParams().attendanc
     """Entry records: an entity's sightings more than ``seconds`` after its last record."""
     kept = cooldown(known_only(sightings), ["entity_id"], "ts", seconds, ["id"], strict=True)
     return kept.select(
-        "id", "entity_id", "name", F.lit("ENTRY_LOG").alias("type"), stamp(F.col("ts")).alias("timestamp"),
+        "id", "entity_id", "name", F.lit(ATTENDANCE_TYPE).alias("type"), stamp(F.col("ts")).alias("timestamp"),
         F.col("similarity").alias("confidence"),
     )
 
@@ -36,15 +36,15 @@ def alerts(sightings: DataFrame, entities: DataFrame | None = None, roles: list[
         watched = entities.where(F.col("role").isin(*roles)).select("entity_id")
         rows = rows.join(watched, "entity_id", "left_semi")
     return dense_ids(rows, "id", "alert_id", start=1).select(
-        "alert_id", "id", "entity_id", "name", F.lit("WATCHLIST_MATCH").alias("alert_type"),
+        "alert_id", "id", "entity_id", "name", F.lit(ALERT_TYPE).alias("alert_type"),
         stamp(F.col("ts")).alias("timestamp"), F.col("similarity").alias("match_similarity"),
-        F.lit("ACTIVE_ALERT").alias("status"),
+        F.lit(ALERT_STATUS).alias("status"),
     )
 
 
 def visits(sightings: DataFrame) -> DataFrame:
     return known_only(sightings).select(
-        "id", "entity_id", "name", F.lit("VIP_CUSTOMER").alias("category"), stamp(F.col("ts")).alias("timestamp")
+        "id", "entity_id", "name", F.lit(VISIT_CATEGORY).alias("category"), stamp(F.col("ts")).alias("timestamp")
     )
 
 

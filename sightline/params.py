@@ -122,3 +122,31 @@ POSE_GUIDANCE = {
     "DOWN": "Tilt head slightly downward",
 }
 POSES_DONE_TEXT = "Great. All key poses captured."
+
+# Texts of failing enrolment checks, in the order they are reported.
+SAMPLE_FAILURES = {
+    "size": "Face too small — move closer or choose a clearer face",
+    "frame": "Keep the face fully inside the frame",
+    "eyes": "Ensure eyes are visible",
+    "sharpness": "Image blurry — hold still",
+    "light": "Adjust lighting",
+}
+
+# Texts of the first failing capture check, filled with the measured value.
+CAPTURE_FAILURES = {
+    "size": ("Face size too small (", "px)"),
+    "eyes": ("Low eye resolution (", "px)"),
+    "turn": ("Extreme head yaw/turn (symmetry diff ", ")"),
+    "blur": ("Blurry image (score: ", ")"),
+}
+CAPTURE_PASSES = "Good Quality Face"
+
+# Constants of the rule feeds, the audit log and new candidates.
+ATTENDANCE_TYPE = "ENTRY_LOG"
+ALERT_TYPE = "WATCHLIST_MATCH"
+ALERT_STATUS = "ACTIVE_ALERT"
+VISIT_CATEGORY = "VIP_CUSTOMER"
+AUDIT_REGISTER = "REGISTER_PERSON"
+AUDIT_DELETE = "DELETE_PERSON"
+CANDIDATE_STATUS = "READY"
+CANDIDATE_QUALITY = 0.85

@@ -7,11 +7,12 @@ from pyspark.sql import types as T
 
 from sightline import schemas
 from sightline.functions import quality as fq
+from sightline.functions import text as fx
 from sightline.operators import match, registry
 from sightline.operators.enrolment import accept_samples, committable, enrich_gallery, pose_coverage
 from sightline.operators.greedy import deduplicate, fill_buffer
 from sightline.operators.similarity import similarity_topk
-from sightline.params import DuplicateParams, EnrichParams, EnrolParams, MatchParams
+from sightline.params import POSES_ALL, DuplicateParams, EnrichParams, EnrolParams, MatchParams
 from sightline.plans.catalog import query
 from sightline.sources import views
 from sightline.sources.views import check_sql
@@ -296,6 +297,22 @@ def session_pose_coverage(spark, sf):
     return pose_coverage(sampled(spark, sf), ["entity_id"], "pose", ENROL)
 
 
+@query("next_pose", check_sql(f"""
+, seen AS (SELECT entity_id, list(DISTINCT {ENROL_POSE}) AS s FROM gallery WHERE quality>=0.7 GROUP BY 1),
+n AS (SELECT entity_id, list_filter(['FRONTAL','SLIGHT_LEFT','SLIGHT_RIGHT','LEFT_PROFILE','RIGHT_PROFILE','UP','DOWN'],
+  lambda p: NOT list_contains(s, p))[1] AS next_pose FROM seen)
+SELECT entity_id, next_pose, CASE next_pose WHEN 'FRONTAL' THEN 'Look straight toward the camera'
+  WHEN 'SLIGHT_LEFT' THEN 'Turn slightly left' WHEN 'SLIGHT_RIGHT' THEN 'Turn slightly right'
+  WHEN 'LEFT_PROFILE' THEN 'Turn head further to the left' WHEN 'RIGHT_PROFILE' THEN 'Turn head further to the right'
+  WHEN 'UP' THEN 'Tilt head slightly upward' WHEN 'DOWN' THEN 'Tilt head slightly downward'
+  ELSE 'Great. All key poses captured.' END AS guidance FROM n""", "gallery"))
+def next_pose(spark, sf):
+    rows = views.gallery(spark, sf).where("quality >= 0.7").select("entity_id", enrol_pose().alias("pose"))
+    seen = rows.groupBy("entity_id").agg(F.collect_set("pose").alias("poses"))
+    asked = seen.withColumn("next_pose", fx.next_missing(POSES_ALL, F.col("poses")))
+    return asked.select("entity_id", "next_pose", fx.guidance(F.col("next_pose")).alias("guidance"))
+
+
 @query("session_commit", check_sql("""
 , pairs AS (SELECT p.entity_id AS pe, list_cosine_similarity(p.embedding, g.embedding) AS sim
   FROM probes p JOIN gallery g ON p.entity_id<>g.entity_id),

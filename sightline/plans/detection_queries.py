@@ -101,10 +101,10 @@ def largest_box(spark, sf):
     return overlap.largest_box(rows, ["source_id", "frame_id"], "det_key").select("source_id", "frame_id", "det_key")
 
 
-# Targets: the first detection of every fourth frame, followed in the next frame.
+# Targets: the largest box of every frame, looked for in the next frame; weak ones count as lost.
 @query("target_association", check_sql(f"""
-, t AS (SELECT source_id, frame_id+1 AS frame_id, det_key AS target_id, frame_id%3=0 AS lost, x1, y1, x2, y2
-  FROM detections WHERE det_id=1 AND frame_id%4=0),
+, t AS (SELECT source_id, frame_id+1 AS frame_id, det_key AS target_id, score<0.6 AS lost, x1, y1, x2, y2 FROM (SELECT *,
+  row_number() OVER (PARTITION BY source_id, frame_id ORDER BY (x2-x1)*(y2-y1) DESC, det_key) AS rn FROM detections) WHERE rn=1),
 s AS (SELECT t.target_id, t.lost, d.det_key, (d.det_key%100)/100.0 AS identity,
   0.7*(d.det_key%100)/100.0 + 0.2*(0.6*{iou_sql('d.', 't.')} + 0.4*greatest(0, 1-4*sqrt(power((d.x1+d.x2)/2-(t.x1+t.x2)/2,2)
     +power((d.y1+d.y2)/2-(t.y1+t.y2)/2,2))/sqrt(640.0*640+480*480))) + 0.1*least(1,d.score) AS association
@@ -115,8 +115,8 @@ SELECT target_id, lost, det_key, identity, round(association,6) AS association F
 WHERE rn=1 AND identity >= CASE WHEN lost THEN 0.60 ELSE 0.55 END""", "detections"))
 def target_association(spark, sf):
     rows = views.detections(spark, sf)
-    targets = rows.where("det_id = 1 AND frame_id % 4 = 0").selectExpr(
-        "source_id", "frame_id + 1 AS frame_id", "det_key AS target_id", "frame_id % 3 = 0 AS lost", "x1", "y1", "x2", "y2"
+    targets = overlap.largest_box(rows, ["source_id", "frame_id"], "det_key").selectExpr(
+        "source_id", "frame_id + 1 AS frame_id", "det_key AS target_id", "score < 0.6 AS lost", "x1", "y1", "x2", "y2"
     )
     seen = rows.withColumn("identity", (F.col("det_key") % 100) / F.lit(100.0))
     out = overlap.associate_target(targets, seen, ["source_id", "frame_id"], "target_id", "det_key")
@@ -124,8 +124,8 @@ def target_association(spark, sf):
 
 
 @query("annotation_link", check_sql(f"""
-, a AS (SELECT source_id, frame_id, det_key AS note_id, CASE WHEN det_key%3=0 THEN det_key END AS detection_id,
-  x1+9 AS x1, y1+7 AS y1, x2+9 AS x2, y2+7 AS y2 FROM detections WHERE det_id=2),
+, a AS (SELECT source_id, frame_id, det_key AS note_id, CASE WHEN score>=0.7 THEN det_key END AS detection_id,
+  x1+9 AS x1, y1+7 AS y1, x2+9 AS x2, y2+7 AS y2 FROM detections),
 s AS (SELECT a.source_id, a.frame_id, a.note_id, d.det_key, {iou_sql('a.', 'd.')} AS iou FROM a JOIN detections d
   ON a.source_id=d.source_id AND a.frame_id=d.frame_id WHERE a.detection_id IS NULL)
 SELECT source_id, frame_id, note_id, note_id AS det_key, 1.0 AS iou, 'id' AS method FROM a WHERE detection_id IS NOT NULL
@@ -134,8 +134,8 @@ UNION ALL SELECT source_id, frame_id, note_id, det_key, round(iou,6), 'iou' FROM
     "detections"))
 def annotation_link(spark, sf):
     rows = views.detections(spark, sf)
-    notes = rows.where("det_id = 2").selectExpr(
-        "source_id", "frame_id", "det_key AS note_id", "CASE WHEN det_key % 3 = 0 THEN det_key END AS detection_id",
+    notes = rows.selectExpr(
+        "source_id", "frame_id", "det_key AS note_id", "CASE WHEN score >= 0.7 THEN det_key END AS detection_id",
         "x1 + 9 AS x1", "y1 + 7 AS y1", "x2 + 9 AS x2", "y2 + 7 AS y2",
     )
     found = overlap.link_annotations(notes, rows, ["source_id", "frame_id"], "note_id", "det_key", EnrolParams().select_iou)

@@ -475,22 +475,28 @@ VERSIONED = "CASE WHEN id%10=0 THEN NULL ELSE CAST(id%4+1 AS INT) END"
 
 
 @query("entity_upsert", check_sql(f"""
-, old AS (SELECT entity_id, name, department, {VERSIONED} AS gallery_version, id FROM entities)
-SELECT entity_id, CASE WHEN id%3=0 THEN upper(name) ELSE name END AS name,
-  CASE WHEN id%3=0 THEN 'UPDATED' ELSE department END AS department,
-  CAST(CASE WHEN id%3=0 THEN coalesce(gallery_version,1)+1 ELSE coalesce(gallery_version,0) END AS INTEGER) AS gallery_version FROM old
-UNION ALL SELECT concat('N_',id), upper(name), 'UPDATED', 1 FROM old WHERE id%7=0""", "entities"))
+, old AS (SELECT entity_id, name, department, {VERSIONED} AS gallery_version, id, role,
+  role IN ('Employee','Contractor') AS hit FROM entities)
+SELECT entity_id, CASE WHEN hit THEN upper(name) ELSE name END AS name,
+  CASE WHEN hit THEN 'UPDATED' ELSE department END AS department,
+  CAST(CASE WHEN hit THEN coalesce(gallery_version,1)+1 ELSE coalesce(gallery_version,0) END AS INTEGER) AS gallery_version FROM old
+UNION ALL SELECT concat('N_',id), upper(name), 'UPDATED', 1 FROM old WHERE role='VIP'""", "entities"))
 def entity_upsert(spark, sf):
     people = views.entities(spark, sf)
     old = people.selectExpr("entity_id", "name", "department", f"{VERSIONED} AS gallery_version")
-    known = people.where("id % 3 = 0").selectExpr("entity_id", "upper(name) AS name", "'UPDATED' AS department")
-    new = people.where("id % 7 = 0").selectExpr("concat('N_', id) AS entity_id", "upper(name) AS name", "'UPDATED' AS department")
+    known = people.where("role IN ('Employee', 'Contractor')").selectExpr("entity_id", "upper(name) AS name", "'UPDATED' AS department")
+    new = people.where("role = 'VIP'").selectExpr("concat('N_', id) AS entity_id", "upper(name) AS name", "'UPDATED' AS department")
     rows = registry.upsert_entities(old, known.unionByName(new))
     return rows.withColumn("gallery_version", F.coalesce("gallery_version", F.lit(0)))
 
 
-@query("entity_patch", check_sql("""
-, r AS (SELECT *, id%5 AS m FROM entities)
+# Which kind of patch a department's people get.
+PATCH_KIND = """CASE department WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2
+  WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END"""
+
+
+@query("entity_patch", check_sql(f"""
+, r AS (SELECT *, {PATCH_KIND} AS m FROM entities)
 SELECT entity_id,
   CASE m WHEN 0 THEN concat('Ann ',id) WHEN 1 THEN concat('Only',id) WHEN 2 THEN 'Mia Lou Ray' ELSE name END AS name,
   CASE m WHEN 0 THEN 'Ann' WHEN 1 THEN concat('Only',id) WHEN 2 THEN 'Mia' WHEN 3 THEN split_part(name,' ',1) END AS first_name,
@@ -503,12 +509,12 @@ def entity_patch(spark, sf):
         "entity_id", "name", F.lit(None).cast("string").alias("first_name"), F.lit("old").alias("last_name"),
         "department", "role",
     )
-    patches = people.where("id % 5 < 4").selectExpr(
+    patches = people.selectExpr("*", f"{PATCH_KIND} AS m").where("m < 4").selectExpr(
         "entity_id",
-        "CASE id%5 WHEN 0 THEN ' Ann ' END AS first_name",
-        "CASE id%5 WHEN 0 THEN CAST(id AS STRING) WHEN 3 THEN '' END AS last_name",
-        "CASE id%5 WHEN 1 THEN concat('Only', id) WHEN 2 THEN 'Mia Lou Ray' END AS name",
-        "CASE id%5 WHEN 0 THEN 'NEW' WHEN 1 THEN '' END AS department",
+        "CASE m WHEN 0 THEN ' Ann ' END AS first_name",
+        "CASE m WHEN 0 THEN CAST(id AS STRING) WHEN 3 THEN '' END AS last_name",
+        "CASE m WHEN 1 THEN concat('Only', id) WHEN 2 THEN 'Mia Lou Ray' END AS name",
+        "CASE m WHEN 0 THEN 'NEW' WHEN 1 THEN '' END AS department",
         "CAST(NULL AS STRING) AS role",
     )
     return registry.patch_entities(old, patches)
@@ -546,9 +552,9 @@ def archive_previous(spark, sf):
 
 
 @query("source_snapshot", check_sql("""
-SELECT source_id, CASE WHEN id%4=1 THEN 'moved' ELSE location END AS location FROM sources WHERE id%6<>0""", "sources"))
+SELECT source_id, CASE WHEN status='OFFLINE' THEN 'moved' ELSE location END AS location FROM sources WHERE enabled""", "sources"))
 def source_snapshot(spark, sf):
     rows = views.sources(spark, sf)
-    changes = rows.where("id % 4 = 1").withColumn("location", F.lit("moved"))
+    changes = rows.where("status = 'OFFLINE'").withColumn("location", F.lit("moved"))
     updated = registry.upsert_source(rows, changes)
-    return registry.delete_source(updated, rows.where("id % 6 = 0")).select("source_id", "location")
+    return registry.delete_source(updated, rows.where("NOT enabled")).select("source_id", "location")

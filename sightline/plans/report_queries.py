@@ -420,6 +420,16 @@ def entity_sessions(spark, sf):
     return sessions(rows, ["entity_id"], "ts", 6 * HOUR)
 
 
+@query("track_sessions", check_sql("""
+, f AS (SELECT track_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts-lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS o
+  FROM sightings WINDOW w AS (PARTITION BY track_id ORDER BY ts)),
+n AS (SELECT track_id, ts, sum(o) OVER (PARTITION BY track_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT track_id, CAST(k AS BIGINT) AS session_no, min(ts) AS session_start, max(ts) AS session_end, count(*) AS rows
+FROM n GROUP BY track_id, k""", "sightings"))
+def track_sessions(spark, sf):
+    return sessions(views.sightings(spark, sf), ["track_id"], "ts", 12 * HOUR)
+
+
 @query("source_search", check_sql("""
 SELECT id, source_id, name, location FROM sources WHERE (contains(lower(name),'0001') OR contains(lower(source_id),'0001')
   OR contains(lower(location),'0001')) AND enabled AND status<>'OFFLINE'""", "sources"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm.common import table, written
 from sightline.llm.decontamination import drop_contaminated
+from sightline.llm.ngram_join import keep_first
 from sightline.llm.quality_rules import quality_filter
 
 
@@ -14,12 +15,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return keep_first(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality), ("decontaminate", decontaminate)]
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate)]
 
 # Line rules, the tagger and the merges of the last stage are not expressible in SQL.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import table
 from sightline.llm.decontamination import contamination
+from sightline.llm.ngram_join import ngram_components
 from sightline.llm.quality_rules import quality_report
 
 QUERIES = {}
@@ -59,3 +60,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))

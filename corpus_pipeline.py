@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sightline.llm.common import table, written
 from sightline.llm.decontamination import drop_contaminated
 from sightline.llm.ngram_join import keep_first
+from sightline.llm.pii import mask_pii
 from sightline.llm.quality_rules import quality_filter
 
 
@@ -25,7 +26,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind."""
+    return mask_pii(docs)
+
+
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data)]
 
 # Line rules, the tagger and the merges of the last stage are not expressible in SQL.
 ORACLE_SQL = None

@@ -38,11 +38,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(kind).to_pylist()]
 
 
-def batches(schema: pa.Schema, rows: Callable[[pa.RecordBatch], dict]) -> Callable:
-    """A mapInArrow function that turns every batch into the columns rows() gives."""
+def batches(schema: pa.Schema, rows: Callable[[pa.RecordBatch], dict], step: int = 512) -> Callable:
+    """A mapInArrow function that turns every ``step`` rows into the columns rows() gives."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (whole.slice(k, step) for whole in stream for k in range(0, len(whole), step)):
             columns = rows(batch)
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns.values(), schema.types, strict=True)],

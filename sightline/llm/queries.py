@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.llm.common import table
 from sightline.llm.decontamination import contamination
 from sightline.llm.ngram_join import ngram_components
+from sightline.llm.pii import pii_report
 from sightline.llm.quality_rules import quality_report
 
 QUERIES = {}
@@ -48,6 +49,12 @@ FROM w LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 @query("op5_decontaminate", OP5)
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

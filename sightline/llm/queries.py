@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.bpe import bpe_digests
 from sightline.llm.common import table
 from sightline.llm.decontamination import contamination
 from sightline.llm.ngram_join import ngram_components
 from sightline.llm.pii import pii_report
 from sightline.llm.quality_rules import quality_report
+from sightline.llm.token_files import tokens_round_trip
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {}
 CHECKS: dict[str, str] = {}
@@ -72,3 +77,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), VOCABULARY)

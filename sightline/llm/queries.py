@@ -7,15 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.bpe import bpe_digests
+from sightline.llm.chat_format import formatted
 from sightline.llm.common import table
 from sightline.llm.decontamination import contamination
+from sightline.llm.html_text import extract_text
 from sightline.llm.ngram_join import ngram_components
 from sightline.llm.pii import pii_report
 from sightline.llm.quality_rules import quality_report
 from sightline.llm.token_files import tokens_round_trip
+from sightline.llm.url_filter import judged
+from sightline.llm.warc import archive_round_trip
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+# The rules of query 7.
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
 QUERIES = {}
 CHECKS: dict[str, str] = {}
 
@@ -30,6 +37,49 @@ def query(name: str, check: str | None = None):
     return add
 
 
+# Holds for pages that mark their article and have no furniture inside it.
+OP1 = r"""
+WITH steps AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM steps),
+decoded AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t
+  FROM plain),
+spaced AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM spaced
+"""
+
+
+@query("op1_html_text", OP1)
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+OP4 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS latest FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN latest IS NULL OR latest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN latest <> page_id THEN latest END AS refers_to
+FROM p LEFT JOIN m USING (d)
+"""
+
+
+@query("op4_warc_index", OP4)
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 OP5 = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -54,12 +104,6 @@ FROM w LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-@query("op2_pii")
-def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_report(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
-
-
 @query("op5_decontaminate", OP5)
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -74,16 +118,44 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.greatest(1 - F.col("quality"), F.col("toxic")).cast("double").alias("bad")
+    )
+    return judged(table(spark, sf_dir, "pages"), labels, RULES)
+
+
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'),
+    '(<)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|<SYS>>|</SYS>>)', '\1\\\2', 'g') AS x1 FROM t),
+f AS (SELECT *, regexp_replace(x1, '(\[)(/?INST\])', '\1\\\2', 'g') AS x FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(x) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op8_chat_format", OP8)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return formatted(turns.unionByName(own)).drop("n_faults")
+
+
 @query("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-@query("op3_token_files")
-def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
-
-
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), VOCABULARY)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sightline.llm.bpe import bpe_tokens
 from sightline.llm.common import table, written
 from sightline.llm.decontamination import drop_contaminated
 from sightline.llm.ngram_join import keep_first
@@ -31,7 +33,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mask_pii(docs)
 
 
-STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the remaining texts."""
+    return bpe_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data),
+    ("bpe", token_ids),
+]
 
 # Line rules, the tagger and the merges of the last stage are not expressible in SQL.
 ORACLE_SQL = None

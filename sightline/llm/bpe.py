@@ -157,24 +157,35 @@ def merges_of(raw: str) -> tuple[Merges, ChunkIds]:
 
 
 def bpe_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) of each row of ``docs``; ``vocabulary`` is the file's path on the driver."""
+    """(doc_id, n_tokens, ids) of each row of ``docs``; ``vocabulary`` is the file's path on the driver."""
     raw = docs.sparkSession.sparkContext.broadcast(checked_vocabulary(vocabulary))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def rows(batch: pa.RecordBatch) -> dict:
-        merges, chunks = merges_of(raw.value)
-        flat, ends = chunks.ids(texts_of(batch.column(1)))
-        decoded = [merges.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), "decoded": decoded}
+        flat, ends = merges_of(raw.value)[1].ids(texts_of(batch.column(1)))
+        return {"doc_id": batch.column(0), "n_tokens": np.diff(ends), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(batches(schema, rows, 256), "doc_id long, ids array<int>, decoded string")
+    return picked.mapInArrow(batches(schema, rows, 256), "doc_id long, n_tokens long, ids array<int>")
+
+
+def bpe_texts(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) decoded from a column of ids; a null list is the empty text."""
+    raw = tokens.sparkSession.sparkContext.broadcast(checked_vocabulary(vocabulary))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        merges = merges_of(raw.value)[0]
+        return {"doc_id": batch.column(0), "text": [merges.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]}
+
+    picked = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    return picked.mapInArrow(batches(schema, rows, 256), "doc_id long, text string")
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs``.
 
-    As bpe_tokens(), but only the digests of ids and decoded texts leave the worker.
+    As bpe_tokens() and bpe_texts(), but only the digests of ids and decoded texts leave the worker.
     """
     raw = docs.sparkSession.sparkContext.broadcast(checked_vocabulary(vocabulary))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -25,10 +25,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class TreeSpec:
-    """Trees and their depth, and the most labelled URLs that they learn from."""
+    """Trees, their depth, the least URLs of a leaf, and the most labelled URLs that they learn from."""
 
     trees: int = 10
     depth: int = 3
+    leaf: int = 20
     sample: int = 20_000
     seed: int = 11
 
@@ -113,7 +114,7 @@ def judged(
         joined = frame.join(F.broadcast(rates), "suffix", "left").fillna({"suffix_known": 0.0, "suffix_rate": base})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
-    learner = GBTClassifier(maxIter=spec.trees, maxDepth=spec.depth, seed=spec.seed, labelCol="label")
+    learner = GBTClassifier(maxIter=spec.trees, maxDepth=spec.depth, minInstancesPerNode=spec.leaf, seed=spec.seed, labelCol="label")
     model = learner.fit(vectors(sample).select("features", "label").coalesce(4))
     scored = model.transform(vectors(with_features(urls.withColumn("rule", rule))))
     tree = F.col("prediction") == 1.0

@@ -908,35 +908,106 @@ def target_lock(session, p, schema):
     return run
 
 
-class BoxOverlap:
-    """One-to-one links between the boxes of two frames by mutual best IoU."""
+class FrameLinker:
+    """Links each frame's detections to the tracks that were alive in the frame before.
 
-    def shares(self, a, b):
-        wide = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-        tall = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-        inter = np.maximum(wide, 0.0) * np.maximum(tall, 0.0)
-        size_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
-        size_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        union = size_a[:, None] + size_b[None, :] - inter
-        return np.divide(inter, union, out=np.zeros_like(inter), where=(inter > 0) & (union > 0))
-
-    def mutual(self, shares, rows, columns, threshold):
-        """Mutual best pairs among the given rows and columns; first index on ties."""
-        if len(rows) == 0 or len(columns) == 0:
-            return []
-        part = shares[np.ix_(rows, columns)]
-        best_column, best_row = part.argmax(axis=1), part.argmax(axis=0)
-        return [
-            (int(rows[i]), int(columns[j]))
-            for i, j in enumerate(best_column)
-            if best_row[j] == i and part[i, j] >= threshold
-        ]
-
-    def links(self, old, new, scores, high_score, high_iou, low_iou):
-        shares = self.shares(old, new)
-        high = np.flatnonzero(scores >= high_score)
-        low = np.flatnonzero(scores < high_score)
-        first = self.mutual(shares, np.arange(len(old)), high, high_iou)
-        taken = {i for i, _ in first}
-        free = np.array([i for i in range(len(old)) if i not in taken], dtype=int)
-        return first + self.mutual(shares, free, low, low_iou)
+    Of the pairs above the threshold the best is taken first (overlap, then the earlier
+    rows), until no pair of free rows is left: first detections of the high band, then,
+    among the tracks still free, those of the low band. A high detection without a link
+    begins a track at ``new_score``. Held: the tracked boxes of one frame.
+    """
+
+    def __init__(self, high_score, high_iou, low_iou, new_score):
+        self.high_score, self.high_iou, self.low_iou = high_score, high_iou, low_iou
+        self.new_score = max(new_score, high_score)
+        self.restart(None, [], np.zeros((0, 4)), [])
+
+    def restart(self, frame, ids, boxes, heads):
+        self.frame, self.ids, self.boxes, self.heads = frame, list(ids), boxes, list(heads)
+
+    def overlaps(self, old, new, least):
+        """(old row, new row, overlap) of pairs at ``least`` or above, a bounded share at a time."""
+        size_new = (new[:, 2] - new[:, 0]) * (new[:, 3] - new[:, 1])
+        found = []
+        step = max(1, MAX_CELLS // max(len(new), 1))
+        for at in range(0, len(old), step):
+            a = old[at : at + step]
+            wide = np.minimum(a[:, None, 2], new[None, :, 2]) - np.maximum(a[:, None, 0], new[None, :, 0])
+            tall = np.minimum(a[:, None, 3], new[None, :, 3]) - np.maximum(a[:, None, 1], new[None, :, 1])
+            inter = np.maximum(wide, 0.0) * np.maximum(tall, 0.0)
+            size_old = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+            union = size_old[:, None] + size_new[None, :] - inter
+            share = np.divide(inter, union, out=np.zeros_like(inter), where=(inter > 0) & (union > 0))
+            i, j = np.nonzero(share >= least)
+            found.append((i + at, j, share[i, j]))
+        return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+
+    def step(self, frame, ids, scores, boxes):
+        """One frame; returns, per detection, (previous id, overlap, high band, head of its track)."""
+        n = len(ids)
+        before, share, heads = [None] * n, [None] * n, [None] * n
+        high = scores >= self.high_score
+        if self.frame is not None and frame == self.frame + 1 and self.ids:
+            i, j, s = self.overlaps(self.boxes, boxes, min(self.high_iou, self.low_iou))
+            enough = s >= np.where(high[j], self.high_iou, self.low_iou)
+            i, j, s = i[enough], j[enough], s[enough]
+            taken = set()
+            for k in np.lexsort((j, i, -s, ~high[j])).tolist():
+                a, b = int(i[k]), int(j[k])
+                if a not in taken and before[b] is None:
+                    taken.add(a)
+                    before[b], share[b], heads[b] = self.ids[a], float(s[k]), self.heads[a]
+        for b in range(n):
+            if before[b] is None and scores[b] >= self.new_score:
+                heads[b] = ids[b]
+        live = [b for b in range(n) if heads[b] is not None]
+        self.restart(frame, [ids[b] for b in live], boxes[live], [heads[b] for b in live])
+        return before, share, high.tolist(), heads
+
+
+def frame_walk(group, frame, row_id, limits, schema):
+    """Runs the linker over each group's rows, sorted by frame and id.
+
+    Rows with ``_carried`` are the tracked rows of the frame before the group's first.
+    ``_open`` marks tracks whose head is a carried row. Held: two frames' rows.
+    """
+
+    def run(batches):
+        linker, held, key, number, carried = FrameLinker(*limits), [], None, None, set()
+
+        def close():
+            if not held:
+                return []
+            if held[0][2]:
+                ids = [r[1] for r in held]
+                carried.update(ids)
+                linker.restart(number, ids, np.array([r[4] for r in held], dtype=float), ids)
+                return []
+            ids, scores = [r[1] for r in held], np.array([r[3] for r in held], dtype=float)
+            boxes = np.array([r[4] for r in held], dtype=float)
+            found = zip(*linker.step(number, ids, scores, boxes))
+            return [(*key, number, r[1], *r[4], *f, f[3] in carried) for r, f in zip(held, found)]
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+
+        out = []
+        fields = [*group, frame, row_id, "_carried", "score", "x1", "y1", "x2", "y2"]
+        at = len(group)
+        for batch in batches:
+            for row in zip(*[batch.column(f).to_pylist() for f in fields]):
+                if row[:at] != key or row[at] != number:
+                    out += close()
+                    held = []
+                    if row[:at] != key:
+                        key, carried = row[:at], set()
+                        linker.restart(None, [], np.zeros((0, 4)), [])
+                    number = row[at]
+                held.append((number, row[at + 1], row[at + 2], row[at + 3], row[at + 4 :]))
+            if len(out) >= CHUNK:
+                yield batch_of(out)
+                out = []
+        out += close()
+        yield batch_of(out)
+
+    return run

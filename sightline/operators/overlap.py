@@ -9,10 +9,12 @@ boxes far apart are never compared.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sightline.functions.geometry import area, association_score, box, iou, spatial_score
+from sightline.operators import kernels
 from sightline.params import EnrolParams, TrackParams
 from sightline.session import checkpointed
 
@@ -65,104 +67,105 @@ def iou_pairs(boxes: DataFrame, on: list[str], row_id: str, threshold: float) ->
     )
 
 
-def _mutual_best(pairs: DataFrame, prev: str, nxt: str) -> DataFrame:
-    """Pairs in which each side is the other's best (IoU, then smaller id)."""
-    best_next = pairs.groupBy(prev).agg(
-        F.max_by(F.struct(nxt, "iou"), F.struct(F.col("iou"), -F.col(nxt))).alias("_b")
-    )
-    best_prev = pairs.groupBy(nxt).agg(F.max_by(prev, F.struct(F.col("iou"), -F.col(prev))).alias("_p"))
-    chosen = best_next.select(prev, F.col(f"_b.{nxt}").alias(nxt), F.col("_b.iou").alias("iou"))
-    return chosen.join(best_prev, nxt).where(F.col("_p") == F.col(prev)).drop("_p")
+BUCKET_FRAMES = 512
+WARM_FRAMES = 16
+
+
+def _limits(p: TrackParams) -> tuple[float, float, float, float]:
+    return p.high_score, p.high_iou, p.low_iou, p.new_score
+
+
+def linked_frames(
+    detections: DataFrame, source: str = "source_id", frame: str = "frame_id", row_id: str = "det_key",
+    p: TrackParams = TrackParams(), bucket_frames: int = BUCKET_FRAMES, warm_frames: int = WARM_FRAMES,
+) -> DataFrame:
+    """Every usable detection with its link to the frame before and the head of its track.
+
+    Columns: ``source``, ``_bucket``, ``frame``, ``row_id``, the box, ``_prev``, ``_iou``,
+    ``_high``, ``_head``, ``_open``. A source's frames are cut into buckets that are walked
+    apart. What a bucket needs of the one before is which rows of its last frame are in a
+    track; the first guess comes from walking only the last frames of each bucket. Buckets
+    whose guess proves wrong are walked again until none is, so the outcome is that of one
+    walk over all frames; most guesses hold, since tracks end and begin all the time.
+    """
+    bucket = F.floor(F.col(frame) / bucket_frames).cast("long")
+    rows = detections.where((F.col("score") >= p.low_score) & F.col(frame).isNotNull()).select(
+        source, bucket.alias("_bucket"), F.col(frame).cast("long").alias(frame), row_id, *[F.col(c).cast("double").alias(c) for c in CORNERS],
+        F.col("score").cast("double").alias("score"), F.lit(False).alias("_carried"),
+    )
+    rows = checkpointed(rows)
+    found = T.StructType(
+        [rows.schema[source], rows.schema["_bucket"], rows.schema[frame], rows.schema[row_id], *[rows.schema[c] for c in CORNERS]]
+        + [T.StructField("_prev", rows.schema[row_id].dataType), *T._parse_datatype_string("_iou double, _high boolean")]
+        + [T.StructField("_head", rows.schema[row_id].dataType), T.StructField("_open", T.BooleanType())]
+    )
+    found = T.StructType([T.StructField(f.name, f.dataType, True) for f in found])
+    key = [source, "_bucket"]
+
+    def walk(part: DataFrame) -> DataFrame:
+        dealt = part.repartition(*key).sortWithinPartitions(*key, frame, row_id)
+        return dealt.mapInArrow(kernels.frame_walk(key, frame, row_id, _limits(p), to_arrow_schema(found)), found)
+
+    def carry_of(result: DataFrame) -> DataFrame:
+        last = result.where((F.pmod(F.col(frame), F.lit(bucket_frames)) == bucket_frames - 1) & F.col("_head").isNotNull())
+        return last.select(
+            source, (F.col("_bucket") + 1).alias("_bucket"), frame, row_id, *CORNERS, F.lit(None).cast("double").alias("score"), F.lit(True).alias("_carried")
+        )
+
+    def marks(carry: DataFrame, name: str) -> DataFrame:
+        return carry.groupBy(*key).agg(F.sort_array(F.collect_set(row_id)).alias(name))
+
+    warm = rows.where(F.pmod(F.col(frame), F.lit(bucket_frames)) >= bucket_frames - warm_frames)
+    used = checkpointed(carry_of(walk(warm)))
+    result = checkpointed(walk(rows.unionByName(used)))
+    while True:
+        now = checkpointed(carry_of(result))
+        differ = marks(used, "_used").join(marks(now, "_now"), key, "full").where(~F.col("_used").eqNullSafe(F.col("_now")))
+        changed = checkpointed(differ.select(*key))
+        if changed.isEmpty():
+            return result
+        again = walk(rows.unionByName(now).join(changed, key, "left_semi"))
+        result, used = checkpointed(result.join(changed, key, "left_anti").unionByName(again)), now
 
 
 def frame_links(
-    detections: DataFrame,
-    source: str = "source_id",
-    frame: str = "frame_id",
-    row_id: str = "det_key",
-    p: TrackParams = TrackParams(),
+    detections: DataFrame, source: str = "source_id", frame: str = "frame_id", row_id: str = "det_key", p: TrackParams = TrackParams(), **options
 ) -> DataFrame:
-    """One-to-one links between detections of consecutive frames of a source.
+    """One-to-one links between the detections of a frame and the tracks alive in the frame before.
 
-    First detections scoring at least ``high_score`` are linked at IoU ≥
-    ``high_iou``; the earlier ones still free are then linked to detections in the
-    low band at IoU ≥ ``low_iou``. A link is a mutual best match.
+    First detections scoring at least ``high_score`` are linked at IoU ≥ ``high_iou``; the
+    tracks still free are then linked to detections in the low band at IoU ≥ ``low_iou``.
     Columns: ``prev_<row_id>``, ``next_<row_id>``, ``iou``, ``band``.
-
-    The pairs above a threshold are few beside the detections; they are computed
-    once and checkpointed as well, and both passes read them.
     """
-    usable = detections.where(F.col("score") >= p.low_score).select(source, frame, row_id, "score", *CORNERS)
-    # Equal boxes of a frame and band compete on equal terms and the smaller id
-    # wins: the first takes part in the first pass, the second at most in the
-    # other one, and any further copy in none.
-    copies = usable.withColumn("high", F.col("score") >= p.high_score)
-    nth = F.row_number().over(W.partitionBy(source, frame, *CORNERS, "high").orderBy(row_id))
-    # Both sides of the join read these slim rows, so they are shuffled once.
-    boxes = checkpointed(copies.withColumn("_rn", nth).where(F.col("_rn") <= 2).drop("_rn", "score"))
-    earlier = boxes.withColumn(frame, F.col(frame) + 1)
-    found = overlap_pairs(earlier, boxes, [source, frame], min(p.high_iou, p.low_iou), [row_id, "high"])
-    prev, nxt = f"prev_{row_id}", f"next_{row_id}"
-    enough = F.col("iou") >= F.when(F.col("right_high"), p.high_iou).otherwise(p.low_iou)
-    pairs = checkpointed(
-        found.where(enough).select(
-            F.col(f"left_{row_id}").alias(prev), F.col(f"right_{row_id}").alias(nxt), "iou",
-            F.col("right_high").alias("high"),
-        )
-    )
-    first = _mutual_best(pairs.where("high"), prev, nxt)
-    free = pairs.where("NOT high").join(first.select(prev), prev, "left_anti")
-    second = _mutual_best(free, prev, nxt)
-    return (
-        first.withColumn("band", F.lit("high"))
-        .unionByName(second.withColumn("band", F.lit("low")))
-        .select(prev, nxt, "iou", "band")
-    )
+    rows = linked_frames(detections, source, frame, row_id, p, **options).where(F.col("_prev").isNotNull())
+    band = F.when(F.col("_high"), F.lit("high")).otherwise(F.lit("low"))
+    return rows.select(F.col("_prev").alias(f"prev_{row_id}"), F.col(row_id).alias(f"next_{row_id}"), F.col("_iou").alias("iou"), band.alias("band"))
 
 
 def track_ids(
-    detections: DataFrame,
-    source: str = "source_id",
-    frame: str = "frame_id",
-    row_id: str = "det_key",
-    p: TrackParams = TrackParams(),
+    detections: DataFrame, source: str = "source_id", frame: str = "frame_id", row_id: str = "det_key", p: TrackParams = TrackParams(), **options
 ) -> DataFrame:
     """Stable track id of every detection that belongs to a track: ``row_id``, ``track_id``.
 
-    Links form chains; the chain's first detection is found by pointer doubling
-    (rounds = log2 of the longest chain, checkpointed in the shared folder). Only
-    linked detections take part in the rounds. A track begins at the chain's first
-    detection that scores ``new_score``.
+    Inside a bucket the walk knows each track's head. Only tracks that come from the bucket
+    before are chained, over the rows of bucket borders, by pointer doubling (rounds = log2
+    of the buckets that a track spans).
     """
-    links = frame_links(detections, source, frame, row_id, p)
+    rows = linked_frames(detections, source, frame, row_id, p, **options).where(F.col("_head").isNotNull())
+    # A border row's head may be a border row of the bucket before, and so on.
+    borders = rows.where("_open").select(F.col("_head").alias("node")).distinct()
     pointers = checkpointed(
-        links.select(F.col(f"next_{row_id}").alias("node"), F.col(f"prev_{row_id}").alias("root"))
-    )
-    while True:
-        hop = pointers.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        jumped = checkpointed(pointers.join(hop, "root", "left"))
-        moved = not jumped.where(F.col("_up").isNotNull()).isEmpty()
-        pointers = jumped.select("node", F.coalesce("_up", "root").alias("root"))
-        if not moved:
-            break
-    roots = pointers.select(F.col("node").alias(row_id), "root")
-    rows = checkpointed(
-        detections.where(F.col("score") >= p.low_score)
-        .select(source, frame, row_id, "score")
-        .join(roots, row_id, "left")
-        .withColumn("_chain", F.coalesce("root", row_id))
-        .drop("root")
-    )
-    begins = (
-        rows.where(F.col("score") >= p.new_score)
-        .groupBy("_chain")
-        .agg(F.min_by(row_id, frame).alias("_head"), F.min(frame).alias("_at"))
-    )
-    return (
-        rows.join(begins, "_chain")
-        .where(F.col(frame) >= F.col("_at"))
-        .select(row_id, F.concat_ws(":", F.col(source), F.col("_head").cast("string")).alias("track_id"))
+        borders.join(rows.select(F.col(row_id).alias("node"), F.col("_head").alias("up"), F.col("_open").alias("more")), "node")
     )
+    while not pointers.where("more").isEmpty():
+        hop = pointers.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("more").alias("_more"))
+        ahead = pointers.where("more").join(hop, "up")
+        pointers = checkpointed(
+            pointers.where("NOT more").unionByName(ahead.select("node", F.col("_up").alias("up"), F.col("_more").alias("more")))
+        )
+    through = rows.where("_open").join(pointers.select(F.col("node").alias("_head"), F.col("up").alias("_root")), "_head")
+    rooted = rows.where("NOT _open").withColumn("_root", F.col("_head")).select(source, row_id, "_root").unionByName(through.select(source, row_id, "_root"))
+    return rooted.select(row_id, F.concat_ws(":", F.col(source), F.col("_root").cast("string")).alias("track_id"))
 
 
 def stitch_tracks(

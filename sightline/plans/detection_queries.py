@@ -63,31 +63,36 @@ def box_nms_overlay(spark, sf):
     return suppress_boxes(rows, ["source_id", "frame_id"], rank, "det_key", NMS_IOU).select("source_id", "frame_id", "det_key")
 
 
+# One candidate pair of a source after the other, best first within each frame, carrying which
+# rows are linked: a walk, where the operator works per frame and bucket.
 LINKS = f"""
 , usable AS (SELECT * FROM detections WHERE score>=0.10),
-pairs AS (SELECT a.det_key AS p, b.det_key AS n, b.score, {iou_sql('a.', 'b.')} AS iou FROM usable a JOIN usable b
-  ON a.source_id=b.source_id AND b.frame_id=a.frame_id+1),
-high AS (SELECT p, n, iou FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY iou DESC, n) AS rp,
-  row_number() OVER (PARTITION BY n ORDER BY iou DESC, p) AS rn FROM pairs WHERE iou>=0.2 AND score>=0.35) WHERE rp=1 AND rn=1),
-low AS (SELECT p, n, iou FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY iou DESC, n) AS rp,
-  row_number() OVER (PARTITION BY n ORDER BY iou DESC, p) AS rn FROM pairs WHERE iou>=0.5 AND score<0.35
-  AND p NOT IN (SELECT p FROM high)) WHERE rp=1 AND rn=1),
-links AS (SELECT *, 'high' AS band FROM high UNION ALL SELECT *, 'low' FROM low)
+pairs AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY frame_id, high DESC, iou DESC, p, n) AS k FROM (
+  SELECT b.source_id, b.frame_id, a.det_key AS p, b.det_key AS n, a.score>=0.40 AS starts, b.score>=0.35 AS high,
+    {iou_sql('a.', 'b.')} AS iou FROM usable a JOIN usable b ON a.source_id=b.source_id AND b.frame_id=a.frame_id+1)
+  WHERE iou>=CASE WHEN high THEN 0.2 ELSE 0.5 END),
+steps AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS got, CAST([] AS BIGINT[]) AS used,
+    CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS n, CAST(0 AS DOUBLE) AS iou, false AS high, false AS ok FROM usable
+  UNION ALL
+  SELECT source_id, k, CASE WHEN ok THEN list_append(got, n) ELSE got END, CASE WHEN ok THEN list_append(used, p) ELSE used END,
+    p, n, iou, high, ok FROM (
+    SELECT s.source_id, c.k, list_filter(s.got, lambda x: x//64>=c.frame_id-1) AS got, list_filter(s.used, lambda x: x//64>=c.frame_id-1) AS used,
+      c.p, c.n, c.iou, c.high, (c.starts OR list_contains(s.got, c.p)) AND NOT list_contains(s.used, c.p) AND NOT list_contains(s.got, c.n) AS ok
+    FROM steps s JOIN pairs c ON c.source_id=s.source_id AND c.k=s.k+1)),
+links AS (SELECT p, n, iou, CASE WHEN high THEN 'high' ELSE 'low' END AS band FROM steps WHERE ok)
 """
 
 
 @query("frame_association", check_sql(LINKS + """
-SELECT p AS prev_det_key, n AS next_det_key, round(iou,6) AS iou, band FROM links""", "detections"))
+SELECT p AS prev_det_key, n AS next_det_key, round(iou,6) AS iou, band FROM links""", "detections", recursive=True))
 def frame_association(spark, sf):
     return overlap.frame_links(views.detections(spark, sf)).withColumn("iou", F.round("iou", 6))
 
 
 @query("track_stitch", check_sql(LINKS + """
-, walk AS (SELECT det_key AS root, det_key FROM usable WHERE det_key NOT IN (SELECT n FROM links)
-  UNION ALL SELECT w.root, l.n FROM walk w JOIN links l ON l.p=w.det_key),
-rows_ AS (SELECT w.root, u.* FROM walk w JOIN usable u USING (det_key)),
-begins AS (SELECT root, arg_min(det_key, frame_id) AS head, min(frame_id) AS at FROM rows_ WHERE score>=0.40 GROUP BY root)
-SELECT r.det_key, concat(r.source_id,':',b.head) AS track_id FROM rows_ r JOIN begins b USING (root) WHERE r.frame_id>=b.at""",
+, walk AS (SELECT det_key AS root, det_key, source_id FROM usable WHERE score>=0.40 AND det_key NOT IN (SELECT n FROM links)
+  UNION ALL SELECT w.root, l.n, w.source_id FROM walk w JOIN links l ON l.p=w.det_key)
+SELECT det_key, concat(source_id,':',root) AS track_id FROM walk""",
     "detections", recursive=True))
 def track_stitch(spark, sf):
     return overlap.track_ids(views.detections(spark, sf))

@@ -240,39 +240,32 @@ def track_frames(
 ) -> DataFrame:
     """Track ids over a stream of detections, equal to the batch stitching.
 
-    State per source: the boxes of its last frame and the track each belongs to.
+    State per source: the tracked boxes of its last frame and the track each belongs to.
     All detections of a frame arrive in one batch.
     """
     corners = ["x1", "y1", "x2", "y2"]
     schema = _nullable(
         T.StructType([stream.schema[row_id], T.StructField("track_id", T.StringType())])
     )
-    overlap = kernels.BoxOverlap()
-    low, limits, new = p.low_score, (p.high_score, p.high_iou, p.low_iou), p.new_score
+    low, limits = p.low_score, (p.high_score, p.high_iou, p.low_iou, p.new_score)
     idle = int(idle_seconds * MICROS)
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        last, before = json.loads(state.get[0]) if state.exists else (None, [])
+        linker = kernels.FrameLinker(*limits)
+        if state.exists:
+            last, ids, boxes, heads = json.loads(state.get[0])
+            linker.restart(last, ids, np.array(boxes, dtype=float).reshape(-1, 4), heads)
         rows = _gather(frames, [frame, row_id])
         rows = rows[rows["score"] >= low]
         out = []
         for number, group in rows.groupby(frame, sort=True):
-            boxes, scores = group[corners].to_numpy(dtype=float), group["score"].to_numpy()
-            tracks = [None] * len(group)
-            if last == number - 1 and before:
-                old = np.array([b[0] for b in before])
-                for i, j in overlap.links(old, boxes, scores, *limits):
-                    tracks[j] = before[i][1]
-            for j, rid in enumerate(group[row_id].tolist()):
-                if tracks[j] is None and scores[j] >= new:
-                    tracks[j] = f"{key[0]}:{rid}"
-                if tracks[j] is not None:
-                    out.append((rid, tracks[j]))
-            last, before = int(number), [[b, t] for b, t in zip(boxes.tolist(), tracks)]
-        state.update((json.dumps([last, before]),))
+            ids = group[row_id].tolist()
+            *_, heads = linker.step(int(number), ids, group["score"].to_numpy(), group[corners].to_numpy(dtype=float))
+            out += [(rid, f"{key[0]}:{head}") for rid, head in zip(ids, heads) if head is not None]
+        state.update((json.dumps([linker.frame, linker.ids, linker.boxes.tolist(), linker.heads]),))
         _expire_at(state, int(rows["_t"].max() if len(rows) else 0) + idle)
         if out:
             yield pd.DataFrame(out, columns=[row_id, "track_id"])

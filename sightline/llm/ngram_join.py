@@ -7,7 +7,8 @@
    exact under any order.
 3. The order's first part of each set, its prefix, must meet the prefix of every linked set
    (prefix filter). Prefix n-grams are dealt by n-gram, very frequent ones salted, and
-   sorted; each run of a bucket links its classes to the run's first class as candidates.
+   sorted, and buckets of one class fall away. Each class is held against the most central
+   class that it meets in a bucket.
 4. Candidates are verified over vertical fragments of the order: overlaps are counted
    fragment by fragment and summed per pair, in blocks of bounded size.
 5. Verified links give components. Then each class is held against the *other* components
@@ -207,42 +208,42 @@ def _prefixes(sets: DataFrame, levels, spec: JoinSpec) -> DataFrame:
 def _runs(spec: JoinSpec):
     """Streams rows sorted by (gram, salt, cid); keeps those of runs with two classes or more.
 
-    ``pivot`` is the first class of the run. Rows of salted n-grams all stay: their runs
-    are parts of one bucket. Only the last row seen is held.
+    Rows of salted n-grams all stay: their runs are parts of one bucket. Only the last
+    run's first row is held, until a second one shows that the run is to be kept.
     """
-    schema = pa.schema([("gram", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("pivot", pa.int64()), ("pivot_n", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("cid", pa.int64()), ("n", pa.int64())])
     full = int(math.log2(spec.run))
 
     def run(stream):
-        held = np.empty((0, 6), np.int64)  # the last run's first row as (gram, salt, cid, n, ...), and whether it was given out
-        given = True
-        last = None
+        held = None  # the first row of the open run, if it was not given out
+        run_key = last = None
         for batch in stream:
             if not len(batch):
                 continue
             gram, salt, cid, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
             new = np.ones(len(gram), bool)
             new[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]) | (cid[1:] != cid[:-1])
-            if last is not None:
-                new[0] = (gram[0], salt[0], cid[0]) != last
-            last = (gram[-1], salt[-1], cid[-1])
+            new[0] = (int(gram[0]), int(salt[0]), int(cid[0])) != last
+            last = (int(gram[-1]), int(salt[-1]), int(cid[-1]))
             gram, salt, cid, n = gram[new], salt[new], cid[new], n[new]
             if not len(gram):
                 continue
-            carried = len(held) > 0 and (held[0, 0], held[0, 1]) == (gram[0], salt[0])
-            if carried:  # the open run goes on: its first row leads again
-                gram, salt, cid, n = (np.concatenate([held[0, k : k + 1], x]) for k, x in enumerate((gram, salt, cid, n)))
             start = np.ones(len(gram), bool)
             start[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
             first = np.flatnonzero(start)
             lengths = np.diff(np.append(first, len(gram)))
-            lead = np.repeat(first, lengths)
             out = (np.repeat(lengths, lengths) > 1) | ((gram >> BITS) > full)
-            if carried and given:
-                out[0] = False
-            held = np.array([[gram[first[-1]], salt[first[-1]], cid[first[-1]], n[first[-1]], 0, 0]])
-            given = bool(out[first[-1]]) or (carried and given and len(first) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (gram, cid, n, cid[lead], n[lead])], schema=schema)
+            before = []
+            if run_key == (int(gram[0]), int(salt[0])):  # the open run goes on
+                out[: lengths[0]] = True
+                before = [held] if held is not None else []
+                held = None
+            at = first[-1]
+            if len(first) > 1 or run_key != (int(gram[at]), int(salt[at])):
+                held = None if out[at] else (int(gram[at]), int(cid[at]), int(n[at]))
+            run_key = (int(gram[at]), int(salt[at]))
+            columns = [np.concatenate([np.array([r[k] for r in before], np.int64), x[out]]) for k, x in enumerate((gram, cid, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
 
     return run
 
@@ -252,6 +253,11 @@ def least_overlap(n: Column, m: Column, spec: JoinSpec) -> Column:
     return F.ceil((n + m) * spec.percent / (100 + spec.percent) - 1e-9)
 
 
+def _beyond_prefix(n: Column, m: Column, spec: JoinSpec) -> Column:
+    """The most n-grams that two sets can share outside the prefix that ends first."""
+    return F.ceil(F.greatest(n, m) * spec.percent / 100) - 1
+
+
 def _cuts(spec: JoinSpec) -> np.ndarray:
     """Ends of the vertical fragments: equal parts of the rare n-grams, then the frequent ones."""
     parts = max(spec.fragments - 1, 1)
@@ -290,12 +296,13 @@ def _segments(sets: DataFrame, wanted: DataFrame, levels, spec: JoinSpec) -> Dat
                 cid, n, part, data = [], [], [], []
                 for c, size, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     keys = _ordered(unpacked(raw), levels.value, spec)
+                    # The level has done its part once the set is cut.
                     for f, piece in enumerate(np.split(keys, np.searchsorted(keys, cuts))):
                         if f == 0 or len(piece):
                             cid.append(c)
                             n.append(size)
                             part.append(f)
-                            data.append(piece.astype("<i8").tobytes())
+                            data.append(packed(piece & np.uint64((1 << BITS) - 1)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary())], schema=schema
                 )
@@ -338,7 +345,7 @@ def _overlaps(spec: JoinSpec):
                     targets, probes, sums = {}, {}, []
                 if frag != fragment:
                     fragment, pieces, index = frag, [], None
-                tokens = np.frombuffer(data, "<i8")
+                tokens = unpacked(data)
                 if role == 0:
                     slot = targets.setdefault(cid, (len(targets), n))[0]
                     pieces.append((tokens, slot))
@@ -387,11 +394,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     levels = docs.sparkSession.sparkContext.broadcast(_levels(sets, spec))
 
     dealt = _prefixes(sets, levels, spec).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "cid")
-    buckets = written(dealt.mapInArrow(_runs(spec), "gram long, cid long, n long, pivot long, pivot_n long"), "ngram-buckets")
-
-    # Candidates of the first pass: each class and the run leader it meets most often.
+    buckets = written(dealt.mapInArrow(_runs(spec), "gram long, cid long, n long"), "ngram-buckets")
+
+    # First pass. The most central class of a bucket leads it: the one whose prefix lies in
+    # the fullest buckets. Candidates are each class and the leader that it meets most often,
+    # if often enough. What this misses is left to the second pass.
+    fullness = buckets.join(buckets.groupBy("gram").agg(F.log2(F.count("*")).alias("m")).where("m > 0"), "gram")
+    prefix = F.col("n") - F.ceil(F.col("n") * spec.percent / 100) + 1
+    central = fullness.groupBy("cid", "n").agg(F.sum("m").alias("m")).select("cid", (F.col("m") / prefix).alias("central"))
+    lead = buckets.join(central, "cid").groupBy("gram").agg(F.max(F.struct("central", "cid", "n")).alias("lead"))
+    led = buckets.join(lead, "gram").select("cid", "n", F.col("lead.cid").alias("pivot"), F.col("lead.n").alias("pivot_n"))
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * spec.percent
-    met = buckets.where((F.col("cid") != F.col("pivot")) & close).groupBy("cid", "pivot").agg(F.count("*").alias("k"))
+    met = led.where((F.col("cid") != F.col("pivot")) & close).groupBy("cid", "n", "pivot", "pivot_n").agg(F.count("*").alias("k"))
+    met = met.where(F.col("k") + _beyond_prefix(F.col("n"), F.col("pivot_n"), spec) >= least_overlap(F.col("n"), F.col("pivot_n"), spec))
     best = checkpointed(met.groupBy("cid").agg(F.max(F.struct("k", "pivot"))["pivot"].alias("pivot")))
     probes = best.select(F.col("pivot").alias("block"), F.lit(0).alias("part"), "cid")
     targets = best.select(F.col("pivot").alias("block"), F.lit(0).alias("part"), F.col("pivot").alias("cid")).distinct()
@@ -413,8 +428,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     low = F.greatest("low", F.ceil(F.col("n") * spec.percent / 100))
     high = F.least("high", F.floor(F.col("n") * 100 / spec.percent))
-    rest = F.greatest(F.ceil(F.col("n") * spec.percent / 100), F.ceil(high * spec.percent / 100)) - 1
-    open_pairs = checkpointed(meets.where(F.col("k") + rest >= least_overlap(F.col("n"), low, spec)).select("cid", "other", "other_members"))
+    open_pairs = checkpointed(meets.where(F.col("k") + _beyond_prefix(F.col("n"), high, spec) >= least_overlap(F.col("n"), low, spec)).select("cid", "other", "other_members"))
     blocks = F.ceil(F.col("other_members") / spec.block).cast("int")
     probes = open_pairs.select(F.col("other").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), "cid")
     asked = open_pairs.select("other", "other_members").distinct()

@@ -406,7 +406,12 @@ def trained_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = [training_windows([t], spec) for t in texts_of(batch.column(1))]
         return {"h": batch.column(0), "codes": [c.astype(np.uint8).tobytes() for c, _ in rows], "tags": [t.astype(np.uint8).tobytes() for _, t in rows]}
 
-    some = labelled.select(F.xxhash64("_id", "_text").alias("h"), "_text").orderBy("h").limit(spec.sample)
+    hashed = labelled.select(F.xxhash64("_id", "_text").alias("h"), "_text")
+    # The bound is found among hashes alone, so no task gathers texts to choose from.
+    bound = hashed.select("h").orderBy("h").limit(spec.sample).agg(F.max("h")).first()[0]
+    if bound is None:
+        return None
+    some = hashed.where(F.col("h") <= bound).dropDuplicates(["h"])
     rows = some.mapInArrow(batches(schema, cut), "h long, codes binary, tags binary").collect()
     codes = [np.frombuffer(r["codes"], np.uint8).reshape(-1, spec.window) for r in sorted(rows, key=lambda r: (r["h"], r["codes"]))]
     tags = [np.frombuffer(r["tags"], np.uint8).reshape(-1, spec.window) for r in sorted(rows, key=lambda r: (r["h"], r["codes"]))]

@@ -97,7 +97,9 @@ def judged(
     urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     known = labels.where("id IS NOT NULL AND bad IS NOT NULL").groupBy("id").agg(F.avg("bad").alias("_bad"))
     labelled = urls.join(known, F.col("page_id") == F.col("id")).select("page_id", "url", "host", "path", (F.col("_bad") >= 0.5).cast("double").alias("label"))
-    picked = labelled.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(spec.sample)
+    hashed = labelled.withColumn("_h", F.xxhash64("page_id", "url"))
+    bound = hashed.select("_h").orderBy("_h").limit(spec.sample).agg(F.max("_h")).first()[0]
+    picked = hashed.where(F.col("_h") <= F.lit(bound)).dropDuplicates(["_h"]).drop("_h")
     sample = checkpointed(with_features(picked))
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     rule = best_rule(F.col("host"), F.col("path"), rules)

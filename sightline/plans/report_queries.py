@@ -332,12 +332,13 @@ def visits(spark, sf):
     return rules.visits(views.sightings(spark, sf))
 
 
-@query("rule_counts", check_sql(f"""
+@query("rule_counts", cooldown_check("entity_id", 86400, "id", strict=True).rpartition("SELECT")[0] + f"""
 SELECT 'alerts' AS feed, count(*) AS records FROM sightings WHERE {KNOWN}
-UNION ALL SELECT 'visits', count(*) FROM sightings WHERE {KNOWN}""", "sightings"))
+UNION ALL SELECT 'visits', count(*) FROM sightings WHERE {KNOWN}
+UNION ALL SELECT 'attendance', count(*) FROM walk""")
 def rule_counts(spark, sf):
     log = views.sightings(spark, sf)
-    return reports.rule_counts(alerts=rules.alerts(log), visits=rules.visits(log))
+    return reports.rule_counts(alerts=rules.alerts(log), visits=rules.visits(log), attendance=rules.attendance(log, 24 * HOUR))
 
 
 # ---------------------------------------------------------------- source health

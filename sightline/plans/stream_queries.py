@@ -127,16 +127,37 @@ def stream_tracks(spark, sf):
     return flows.drain(state.track_frames(stream, "source_id", "frame_id", "det_key", "ts"), "tracks")
 
 
-@query("stream_rules", check_sql(f"""
-SELECT 'alerts' AS feed, count(*) AS records, CAST(sum(id) AS BIGINT) AS checksum FROM sightings WHERE {rq.KNOWN}
-UNION ALL SELECT 'visits', count(*), CAST(sum(id) AS BIGINT) FROM sightings WHERE {rq.KNOWN}""", "sightings"))
+def timed_batches(spark, df, ts, edges, name, files=8):
+    """A table as a stream of micro-batches in time order: ``edges`` cut it."""
+    path = scratch_path(spark, name)
+    for low, high in zip([None, *edges], [*edges, None]):
+        rows = df.where((F.lit(True) if low is None else F.col(ts) >= low) & (F.lit(True) if high is None else F.col(ts) < high))
+        rows.repartition(files).write.mode("append").parquet(path)
+    return flows.file_stream(spark, path, df.schema, files_per_batch=files)
+
+
+FEED_CHECK = rq.cooldown_check("entity_id", 86400, "id", strict=True).rpartition("SELECT")[0] + """
+SELECT 'attendance' AS feed, id, entity_id, CAST(0 AS BIGINT) AS record_no, similarity AS value FROM walk JOIN k USING (id)
+UNION ALL SELECT 'alerts', id, entity_id, row_number() OVER (ORDER BY id), similarity FROM k
+UNION ALL SELECT 'visits', id, entity_id, 0, 0 FROM k"""
+
+
+@query("stream_rules", FEED_CHECK)
 def stream_rules(spark, sf):
-    feeds = rules.default_rules().enabled({"alerts": {"enabled": True}, "visits": {"enabled": True}}, active="")
-    path, _ = flows.rule_stream(sighting_stream(spark, sf), feeds, "rules")
+    """All three feeds over four micro-batches, in time order."""
+    feeds = rules.default_rules(24 * HOUR).enabled({n: {"enabled": True} for n in ("attendance", "alerts", "visits")}, active="")
+    log = views.sightings(spark, sf).select("id", "entity_id", "name", "similarity", "ts")
+    edges = [F.to_timestamp(F.lit(f"2024-01-{d:02d} 00:00:00")) for d in (8, 16, 24)]
+    path, failed = flows.rule_stream(timed_batches(spark, log, "ts", edges, "rule-events"), feeds, "rules")
+    if failed:
+        raise RuntimeError(f"feeds failed: {failed}")
+    none = F.lit(0)
+    shape = {
+        "attendance": (none.cast("long"), F.col("confidence")), "alerts": (F.col("alert_id"), F.col("match_similarity")),
+        "visits": (none.cast("long"), none.cast("double")),
+    }
     parts = [
-        spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("records"), F.sum("id").alias("checksum")).select(
-            F.lit(name).alias("feed"), "records", "checksum"
-        )
-        for name in sorted(feeds)
+        spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("feed"), "id", "entity_id", number.alias("record_no"), value.alias("value"))
+        for name, (number, value) in shape.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.operators.match import match_with_status
-from sightline.operators.rules import Rule, dispatch
+from sightline.operators.rules import Feed, dispatch
 from sightline.params import MatchParams
 from sightline.session import scratch_path
 
@@ -95,21 +96,89 @@ def match_stream(
     return probes.sparkSession.read.parquet(f"{path}/out").drop("batch")
 
 
-def rule_stream(events: DataFrame, rules: dict[str, Rule], name: str) -> tuple[str, list[str]]:
-    """Give each micro-batch to every rule, each with its own output folder.
+def _next_number(spark: SparkSession, path: str, name: str, batch_id: int) -> int:
+    """The first free number of a feed: one past the last that an earlier micro-batch gave."""
+    folder = f"{path}/_numbers/{name}"
+    if not _exists(spark, folder):
+        return 1
+    last = spark.read.parquet(folder).where(F.col("batch") < batch_id).agg(F.max("last")).first()[0]
+    return 1 if last is None else last + 1
 
-    A batch is written under its id, so a repeated batch replaces itself. Returns
-    the path and the names of rules that failed at least once.
+
+def _run_feed(rows: DataFrame, feed: Feed, name: str, path: str, batch_id: int) -> None:
+    """Write one feed's records of a micro-batch under the batch's id, and its last number."""
+    spark, out = rows.sparkSession, f"{path}/{name}/batch={batch_id}"
+    if feed.number is None:
+        feed.run(rows).write.mode("overwrite").parquet(out)
+        return
+    first = _next_number(spark, path, name, batch_id)
+    feed.run(rows, start=first).write.mode("overwrite").parquet(out)
+    last = spark.read.parquet(out).agg(F.coalesce(F.max(feed.number), F.lit(first - 1)).cast("long").alias("last"))
+    last.write.mode("overwrite").parquet(f"{path}/_numbers/{name}/batch={batch_id}")
+
+
+def rule_stream(events: DataFrame, feeds: dict[str, Feed], name: str) -> tuple[str, dict[str, str]]:
+    """Run the feeds over a stream, each with its own output folder.
+
+    Stateful feeds are streaming queries of their own. The others get each micro-batch,
+    written under its id, so a repeated batch replaces itself. What a failed feed was to
+    get is kept under ``_failed`` for replay_failed(). Returns the path and the error
+    text of each feed that failed.
     """
-    failed: list[str] = []
+    path = scratch_path(events.sparkSession, name)
+    failed: dict[str, str] = {}
+    by_batch = {n: f for n, f in feeds.items() if f.live is None}
 
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
+    def live(feed: str) -> None:
+        writer = feeds[feed].live(events).writeStream.format("parquet").outputMode("append").option("path", f"{path}/{feed}")
+        writer.option("checkpointLocation", f"{path}/_progress/{feed}").trigger(availableNow=True).start().awaitTermination()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        errors = dispatch(
-            batch, rules,
-            lambda rule, rows: rows.write.mode("overwrite").parquet(f"{path}/{rule}/batch={batch_id}"),
-        )
-        failed.extend(n for n in errors if n not in failed)
+        errors = dispatch(list(by_batch), lambda n: _run_feed(batch, by_batch[n], n, path, batch_id))
+        for n in errors:
+            batch.write.mode("overwrite").parquet(f"{path}/_failed/{n}/batch={batch_id}")
+        failed.update(errors)
         batch.unpersist()
 
-    return drain_batches(events, name, write), failed
+    failed.update(dispatch([n for n in feeds if n not in by_batch], live))
+    events.writeStream.outputMode("append").option("checkpointLocation", f"{path}/_progress/_batches").foreachBatch(write).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return path, failed
+
+
+def replay_failed(spark: SparkSession, path: str, feeds: dict[str, Feed]) -> dict[str, str]:
+    """Give the kept micro-batches of failed feeds to the feeds again, in order.
+
+    A batch that succeeds now is marked and not offered another time. Numbers go on after
+    the last one given. Returns the error text of each feed that still fails.
+    """
+
+    def again(name: str) -> None:
+        kept = spark.read.parquet(f"{path}/_failed/{name}")
+        done = [r["batch"] for r in _marked(spark, f"{path}/_replayed/{name}")]
+        for row in kept.select("batch").distinct().orderBy("batch").collect():
+            if row["batch"] in done:
+                continue
+            rows = kept.where(F.col("batch") == row["batch"]).drop("batch")
+            _run_feed(rows, feeds[name], name, path, REPLAY + row["batch"])
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/_replayed/{name}/batch={row['batch']}")
+
+    return dispatch([n for n in feeds if _exists(spark, f"{path}/_failed/{n}")], again)
+
+
+#: Replayed batches are written beyond all batch ids of the stream.
+REPLAY = 1 << 40
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    try:
+        spark.read.parquet(folder)
+    except AnalysisException:
+        return False
+    return True
+
+
+def _marked(spark: SparkSession, folder: str) -> list:
+    return spark.read.parquet(folder).select("batch").distinct().collect() if _exists(spark, folder) else []

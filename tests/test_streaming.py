@@ -89,19 +89,34 @@ def test_gallery_change_shows_in_the_next_batch(spark):
     assert known < found.where("similarity > 0").count() + 1
 
 
-def test_rules_are_isolated(spark):
+def test_rules_are_isolated_and_replayed(spark):
     feeds = rules.default_rules()
 
-    def broken(batch):
+    def broken(batch, start=1):
         raise ValueError("no")
 
-    feeds.register("broken", broken)
-    on = feeds.enabled({"broken": {"enabled": True}, "alerts": {"enabled": False}}, active="visits")
-    assert sorted(on) == ["broken", "visits"]
+    feeds.register("broken", rules.Feed(broken, number="alert_id"))
+    on = feeds.enabled({"broken": {"enabled": True}, "alerts": {"enabled": True}}, active="visits")
+    assert sorted(on) == ["alerts", "broken", "visits"]
     log = views.sightings(spark, SF)
     path, failed = flows.rule_stream(in_files(spark, log, "ts", 3), on, "r")
-    assert failed == ["broken"]
-    assert spark.read.parquet(f"{path}/visits").count() == rules.visits(log).count()
+    assert set(failed) == {"broken"}
+    assert rows_of(spark.read.parquet(f"{path}/visits"), "id") == rows_of(rules.visits(log), "id")
+    want = rows_of(rules.alerts(log), "alert_id", "id")
+    assert rows_of(spark.read.parquet(f"{path}/alerts"), "alert_id", "id") == want
+    assert set(flows.replay_failed(spark, path, on)) == {"broken"}
+    mended = on | {"broken": rules.Feed(rules.alerts, number="alert_id")}
+    for _ in range(2):  # the second call finds nothing left to do
+        assert flows.replay_failed(spark, path, mended) == {}
+        assert rows_of(spark.read.parquet(f"{path}/broken"), "alert_id", "id") == want
+
+
+def test_attendance_looks_back_over_batches(spark):
+    log = views.sightings(spark, SF)
+    on = rules.default_rules(40 * 3600.0).enabled({}, active="attendance")
+    path, failed = flows.rule_stream(in_files(spark, log.select("id", "entity_id", "name", "similarity", "ts"), "ts", 4), on, "a")
+    assert not failed
+    assert rows_of(spark.read.parquet(f"{path}/attendance"), "id", "confidence") == rows_of(rules.attendance(log, 40 * 3600.0), "id", "confidence")
 
 
 @pytest.mark.parametrize("seed", [1])

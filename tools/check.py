@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -25,7 +26,7 @@ def canonical(frame):
     frame = frame[sorted(frame.columns)]
     rows = []
     for row in frame.itertuples(index=False):
-        rows.append(tuple("" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in row))
+        rows.append(tuple("" if v is None or v is pd.NA or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in row))
     return sorted(rows)
 
 

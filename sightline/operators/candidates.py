@@ -76,8 +76,8 @@ def merge_candidates(
     """Candidate of each unknown track: in time order a track joins the most similar
     open candidate above ``threshold``, else it opens one.
 
-    The openers are a greedy keep in time order; every other track is then looked
-    up among the openers before it.
+    The openers are a greedy keep in order of time, then id; every other track is then
+    looked up among the openers before it in that order.
     """
     above = threshold + 1e-12
     vec = F.col(embedding).cast("array<double>")

@@ -466,37 +466,39 @@ class GalleryBlock:
         self.stops = np.append(self.starts[1:], len(ids))
 
     def search(self, vectors, labels, ids, positions, k, floor, exclude_label, exclude_id):
-        """Yield (query row, gallery row, similarity), best first per query."""
+        """(query rows, gallery rows, similarities), best first per query.
+
+        ``positions``: a gallery row must come before the query by (position, id).
+        """
         scores = np.round(unit_rows(vectors) @ self.vectors.T, 12)
         if exclude_label:
             codes = np.array([self.code_of.get(x, -1) for x in labels.to_pylist()])
             scores[codes[:, None] == self.codes[None, :]] = -np.inf
         if exclude_id:
-            for row, at in enumerate(pc.index_in(ids, value_set=self.ids).to_pylist()):
-                if at is not None:
-                    scores[row, at] = -np.inf
+            at = pc.index_in(ids, value_set=self.ids)
+            known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            scores[known, at.take(pa.array(known)).to_numpy()] = -np.inf
         if positions is not None:
-            scores[self.positions[None, :] > positions[:, None]] = -np.inf
+            in_order = np.empty(len(self.ids), dtype=object)
+            in_order[self.rank] = self.ids.to_pylist()
+            own = np.searchsorted(in_order, np.array(ids.to_pylist(), dtype=object), "left")
+            after = (self.positions[None, :] == positions[:, None]) & (self.rank[None, :] >= own[:, None])
+            scores[(self.positions[None, :] > positions[:, None]) | after] = -np.inf
         scores[scores < floor] = -np.inf
-        best = np.maximum.reduceat(scores, self.starts, axis=1)
-        for row in range(len(best)):
-            line = best[row]
-            hits = np.flatnonzero(line > -np.inf)
-            if len(hits) > k:
-                edge = np.partition(line[hits], len(hits) - k)[len(hits) - k]
-                hits = hits[line[hits] >= edge]
-            places = [self._place(scores[row], h) for h in hits]
-            order = sorted(zip(places, hits), key=lambda p: (-line[p[1]], self.rank[p[0]]))
-            for place, hit in order[:k]:
-                yield row, place, float(line[hit])
-
-    def _place(self, line, hit):
-        start, stop = self.starts[hit], self.stops[hit]
-        if stop - start == 1:
-            return int(start)
-        part = line[start:stop]
-        ties = np.flatnonzero(part == part.max())
-        return int(start + ties[np.argmin(self.rank[start:stop][ties])])
+        best = np.maximum.reduceat(scores, self.starts, axis=1) if len(self.starts) < len(self.ids) else scores
+        edge = np.partition(best, best.shape[1] - k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(best), -np.inf)
+        rows, hits = np.nonzero((best >= edge[:, None]) & (best > -np.inf))
+        values = best[rows, hits]
+        places = self.starts[hits]
+        for i in np.flatnonzero(self.stops[hits] - places > 1).tolist():
+            part = slice(places[i], self.stops[hits[i]])
+            ties = np.flatnonzero(scores[rows[i], part] == values[i])
+            places[i] += ties[np.argmin(self.rank[part][ties])]
+        order = np.lexsort((self.rank[places], -values, rows))
+        rows, places, values = rows[order], places[order], values[order]
+        first = np.searchsorted(rows, rows)
+        kept = np.arange(len(rows)) - first < k
+        return rows[kept], places[kept], values[kept]
 
 
 def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, earlier, schema):
@@ -533,14 +535,11 @@ def topk_cells(cell, k, floor, per_label, exclude_label, exclude_id, earlier, sc
                 step = max(1, MAX_CELLS // len(block.ids))
                 for at in range(split, stop, step):
                     end = min(at + step, stop)
-                    found = list(
-                        block.search(
-                            matrix(vec, at, end), labels.slice(at, end - at), batch.column("_gid").slice(at, end - at),
-                            places_in_order[at:end] if earlier else None, k, floor, exclude_label, exclude_id,
-                        )
+                    rows, places, sims = block.search(
+                        matrix(vec, at, end), labels.slice(at, end - at), batch.column("_gid").slice(at, end - at),
+                        places_in_order[at:end] if earlier else None, k, floor, exclude_label, exclude_id,
                     )
-                    if found:
-                        rows, places, sims = zip(*found)
+                    if len(rows):
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column("_qid").slice(at, end - at).take(pa.array(rows)),

@@ -1,8 +1,9 @@
 """Blocked vector similarity join.
 
 The gallery is cut into blocks of bounded size. Each block is shuffled to one
-task (or to a few, for parallelism), which holds it as a matrix while the
-queries of its cell stream past. Only the best ``k`` hits per query and block
+task for each lane of queries, which holds it as a matrix while the queries of
+its cell stream past: each query's vector goes to every block, each gallery row to
+every lane. Only the best ``k`` hits per query and block
 leave the task, so the shuffle after it carries queries × blocks × k small rows
 and never a cross product.
 """
@@ -41,13 +42,15 @@ def similarity_topk(
     earlier: str | None = None,
     distinct: bool = False,
     block_rows: int = BLOCK_ROWS,
+    lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
     """Best ``k`` gallery rows per query with cosine ≥ ``floor``.
 
     ``per_label``: the best row of each label, best ``k`` labels. ``by``: only
     rows with an equal value of that column are compared. ``exclude_label`` and
     ``exclude_id`` skip gallery rows that share the query's label or id; ``earlier``
-    names a numeric column in which the gallery row must come before the query.
+    names a numeric column in which, ties broken by id, the gallery row must come before
+    the query.
     ``distinct`` is for queries that stand in several ``by`` groups.
     Ties go to the smaller gallery id. Columns: ``query_id``, ``gallery_id``,
     ``label``, ``similarity``, ``rank``.
@@ -57,7 +60,7 @@ def similarity_topk(
     label_type = gallery.schema[label].dataType
     position = F.col(earlier).cast("double") if earlier else F.lit(0.0)
     own_label = F.col(query_label) if query_label else F.lit(None)
-    own_id = F.col(query_id).cast(id_type) if exclude_id else F.lit(None).cast(id_type)
+    own_id = F.col(query_id).cast(id_type) if exclude_id or earlier else F.lit(None).cast(id_type)
 
     g = gallery.where(F.col(gallery_vec).isNotNull()).select(
         *([F.col(by).alias("_by")] if by else []),
@@ -84,11 +87,11 @@ def similarity_topk(
             .unionByName(q.select("_by", F.lit(0).alias("g"), F.lit(1).alias("q")))
             .groupBy("_by")
             .agg(F.sum("g").alias("g"), F.sum("q").alias("q"))
-            .where((F.col("g") > block_rows) | (F.col("q") > LANE_ROWS))
+            .where((F.col("g") > block_rows) | (F.col("q") > lane_rows))
             .select(
                 "_by",
                 F.ceil(F.col("g") / block_rows).cast("int").alias("_nb"),
-                F.ceil(F.col("q") / LANE_ROWS).cast("int").alias("_nl"),
+                F.ceil(F.col("q") / lane_rows).cast("int").alias("_nl"),
             )
         )
         g = g.join(sizes, "_by", "left")
@@ -97,8 +100,12 @@ def similarity_topk(
         cell = ["_by", "_block", "_lane"]
         several = True
     else:
-        n_blocks = max(1, math.ceil(g.count() / block_rows))
-        n_lanes = max(1, math.ceil(spark.sparkContext.defaultParallelism / n_blocks))
+        # One pass over the slim sides counts both; lanes grow with the queries as blocks do
+        # with the gallery, so no task holds more than a block or sorts more than a lane.
+        sides = g.select(F.lit(1).alias("g")).unionByName(q.select(F.lit(0).alias("g")))
+        of_gallery, all_rows = sides.agg(F.coalesce(F.sum("g"), F.lit(0)), F.count(F.lit(1))).first()
+        n_blocks = max(1, math.ceil(of_gallery / block_rows))
+        n_lanes = max(1, math.ceil(spark.sparkContext.defaultParallelism / n_blocks), math.ceil((all_rows - of_gallery) / lane_rows))
         blocks, lanes = F.lit(n_blocks), F.lit(n_lanes)
         cell = ["_block", "_lane"]
         several = n_blocks > 1

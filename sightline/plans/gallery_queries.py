@@ -152,7 +152,7 @@ def centroid_match(spark, sf):
 # The greedy walk in SQL: one step per rank, the kept vectors carried along.
 DEDUP = """
 , ranked AS (SELECT entity_id, capture_id, embedding, row_number() OVER (PARTITION BY entity_id ORDER BY {order}) AS rn
-  FROM gallery {where}),
+  FROM captures {where}),
 walk AS (SELECT entity_id, capture_id, rn, true AS keep, [embedding] AS kept FROM ranked WHERE rn=1
   UNION ALL SELECT entity_id, capture_id, rn, keep, CASE WHEN keep THEN list_append(kept, embedding) ELSE kept END FROM (
     SELECT r.entity_id, r.capture_id, r.rn, r.embedding, w.kept,
@@ -162,17 +162,17 @@ walk AS (SELECT entity_id, capture_id, rn, true AS keep, [embedding] AS kept FRO
 
 
 @query("capture_dedup", check_sql(DEDUP.format(order="quality DESC, capture_id", where="") + """
-SELECT entity_id, capture_id FROM walk WHERE keep""", "gallery", recursive=True))
+SELECT entity_id, capture_id FROM walk WHERE keep""", "captures", recursive=True))
 def capture_dedup(spark, sf):
-    kept = deduplicate(views.gallery(spark, sf), ["entity_id"], "capture_id", threshold=0.25)
+    kept = deduplicate(views.captures(spark, sf), ["entity_id"], "capture_id", threshold=0.25)
     return kept.select("entity_id", "capture_id")
 
 
 @query("capture_buffer", check_sql(DEDUP.format(order="capture_id", where="WHERE quality>=0.2") + """
 SELECT entity_id, capture_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY rn) AS k FROM walk WHERE keep)
-WHERE k<=10""", "gallery", recursive=True))
+WHERE k<=10""", "captures", recursive=True))
 def capture_buffer(spark, sf):
-    rows = views.gallery(spark, sf).where("quality >= 0.2")
+    rows = views.captures(spark, sf).where("quality >= 0.2")
     kept = fill_buffer(rows, ["entity_id"], "second", "capture_id", threshold=0.25, capacity=10)
     return kept.select("entity_id", "capture_id")
 
@@ -217,19 +217,19 @@ def quality_score_a(spark, sf):
 
 @query("diverse_captures", check_sql(f"""
 , b AS (SELECT entity_id, pose_bin, capture_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, pose_bin
-  ORDER BY quality DESC, capture_id) AS rn FROM (SELECT *, {POSE} AS pose_bin FROM gallery)) WHERE rn=1)
+  ORDER BY quality DESC, capture_id) AS rn FROM (SELECT *, {POSE} AS pose_bin FROM captures)) WHERE rn=1)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY quality DESC, capture_id) AS position FROM b)
-WHERE position<=6""", "gallery"))
+WHERE position<=6""", "captures"))
 def diverse_captures(spark, sf):
-    rows = views.gallery(spark, sf).withColumn("pose_bin", pose()).select("entity_id", "pose_bin", "capture_id", "quality")
+    rows = views.captures(spark, sf).withColumn("pose_bin", pose()).select("entity_id", "pose_bin", "capture_id", "quality")
     return registry.diverse_captures(rows, "entity_id", "pose_bin", "quality", "capture_id", 6)
 
 
 @query("best_capture", check_sql("""
 SELECT entity_id, capture_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY entity_id
-  ORDER BY quality DESC, capture_id) AS rn FROM gallery) WHERE rn=1""", "gallery"))
+  ORDER BY quality DESC, capture_id) AS rn FROM captures) WHERE rn=1""", "captures"))
 def best_capture(spark, sf):
-    rows = views.gallery(spark, sf).select("entity_id", "capture_id", "quality")
+    rows = views.captures(spark, sf).select("entity_id", "capture_id", "quality")
     return registry.best_capture(rows, "entity_id", "quality", "capture_id")
 
 
@@ -298,16 +298,16 @@ def session_pose_coverage(spark, sf):
 
 
 @query("next_pose", check_sql(f"""
-, seen AS (SELECT entity_id, list(DISTINCT {ENROL_POSE}) AS s FROM gallery WHERE quality>=0.7 GROUP BY 1),
+, seen AS (SELECT entity_id, list(DISTINCT {ENROL_POSE}) AS s FROM captures GROUP BY 1),
 n AS (SELECT entity_id, list_filter(['FRONTAL','SLIGHT_LEFT','SLIGHT_RIGHT','LEFT_PROFILE','RIGHT_PROFILE','UP','DOWN'],
   lambda p: NOT list_contains(s, p))[1] AS next_pose FROM seen)
 SELECT entity_id, next_pose, CASE next_pose WHEN 'FRONTAL' THEN 'Look straight toward the camera'
   WHEN 'SLIGHT_LEFT' THEN 'Turn slightly left' WHEN 'SLIGHT_RIGHT' THEN 'Turn slightly right'
   WHEN 'LEFT_PROFILE' THEN 'Turn head further to the left' WHEN 'RIGHT_PROFILE' THEN 'Turn head further to the right'
   WHEN 'UP' THEN 'Tilt head slightly upward' WHEN 'DOWN' THEN 'Tilt head slightly downward'
-  ELSE 'Great. All key poses captured.' END AS guidance FROM n""", "gallery"))
+  ELSE 'Great. All key poses captured.' END AS guidance FROM n""", "captures"))
 def next_pose(spark, sf):
-    rows = views.gallery(spark, sf).where("quality >= 0.7").select("entity_id", enrol_pose().alias("pose"))
+    rows = views.captures(spark, sf).select("entity_id", enrol_pose().alias("pose"))
     seen = rows.groupBy("entity_id").agg(F.collect_set("pose").alias("poses"))
     asked = seen.withColumn("next_pose", fx.next_missing(POSES_ALL, F.col("poses")))
     return asked.select("entity_id", "next_pose", fx.guidance(F.col("next_pose")).alias("guidance"))

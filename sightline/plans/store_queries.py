@@ -83,11 +83,14 @@ def unknown_tracks(spark, sf):
 
 
 @query("candidate_list", check_sql("""
-SELECT concat('CAND_',upper(substr(sha1(concat('t',capture_id)),1,12))) AS candidate_id, 'READY' AS status,
-  concat('["cam_',capture_id%3,'"]') AS seen_sources, CAST(1 AS BIGINT) AS image_count FROM captures WHERE quality>=0.5""", "captures"))
+SELECT concat('CAND_',upper(substr(sha1(concat('t',capture_id)),1,12))) AS candidate_id, CASE WHEN quality>=0.5 THEN 'READY' ELSE 'REVIEWED' END AS status,
+  concat('["cam_',capture_id%3,'"]') AS seen_sources, CAST(1 AS BIGINT) AS image_count FROM captures""", "captures"))
 def candidate_list(spark, sf):
-    made, images = cand.create_candidates(unknown_tracks(spark, sf).where("quality >= 0.5"), F.to_timestamp(F.lit(AS_OF)))
-    return cand.list_candidates(made, images, "READY").select("candidate_id", "status", "seen_sources", "image_count")
+    tracks = unknown_tracks(spark, sf)
+    made, images = cand.create_candidates(tracks, F.to_timestamp(F.lit(AS_OF)))
+    weak = cand.create_candidates(tracks.where("quality < 0.5"), F.to_timestamp(F.lit(AS_OF)))[0].select("candidate_id").withColumn("_weak", F.lit(True))
+    reviewed = made.join(weak, "candidate_id", "left").withColumn("status", F.when(F.col("_weak"), "REVIEWED").otherwise(F.col("status"))).drop("_weak")
+    return cand.list_candidates(reviewed, images).select("candidate_id", "status", "seen_sources", "image_count")
 
 
 @query("candidate_images", check_sql("""
@@ -109,7 +112,7 @@ def candidate_queue(spark, sf):
 
 
 @query("candidate_merge", check_sql("""
-, ranked AS (SELECT capture_id, embedding, row_number() OVER (ORDER BY second, capture_id) AS rn FROM captures),
+, ranked AS (SELECT capture_id, embedding, row_number() OVER (ORDER BY capture_id//4, capture_id) AS rn FROM captures),
 walk AS (SELECT capture_id, rn, capture_id AS candidate, CAST(1 AS DOUBLE) AS similarity,
     [{'id':capture_id,'v':embedding}] AS kept FROM ranked WHERE rn=1
   UNION ALL SELECT capture_id, rn, CASE WHEN best.s > 0.3 THEN best.id ELSE capture_id END,
@@ -120,7 +123,8 @@ walk AS (SELECT capture_id, rn, capture_id AS candidate, CAST(1 AS DOUBLE) AS si
     FROM walk w JOIN ranked r ON r.rn=w.rn+1))
 SELECT capture_id, candidate, round(similarity,6) AS similarity FROM walk""", "captures", recursive=True))
 def candidate_merge(spark, sf):
-    rows = views.captures(spark, sf).select("capture_id", "second", "embedding")
+    # Four tracks share each time, so their ids decide among them.
+    rows = views.captures(spark, sf).select("capture_id", F.floor(F.col("capture_id") / 4).alias("second"), "embedding")
     merged = cand.merge_candidates(rows, "capture_id", "second", threshold=0.3)
     return merged.withColumn("similarity", F.round("similarity", 6))
 

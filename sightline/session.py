@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,9 @@ def build_session(master: str | None = None, app: str = "sightline", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only in local mode (tests); on a cluster the
-    setting is required, because checkpoints must outlive a lost executor.
+    Where it is unset, a temporary folder stands in, but only if the master is plain
+    ``local``, as in tests; on any cluster, one of local processes too, the setting is
+    required, because checkpoints must outlive a lost executor.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
@@ -41,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current is not None:
         return current
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="sightline-")
     context.setCheckpointDir(folder)

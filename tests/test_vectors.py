@@ -51,6 +51,7 @@ def test_topk(spark, batch_rows, block, copies):
     q, qm, qk = vectors(spark, 40, seed=1)
     g, gm, gk = vectors(spark, 90, seed=2, copies=copies)
     assert found(similarity_topk(q, g, "id", "id", 4, 0.2, block_rows=block)) == brute(qm, qk, gm, gk, 4, 0.2)
+    assert found(similarity_topk(q, g, "id", "id", 4, 0.2, block_rows=block, lane_rows=3)) == brute(qm, qk, gm, gk, 4, 0.2)
     other = similarity_topk(q, g, "id", "id", 4, 0.2, query_label="entity_id", exclude_label=True, block_rows=block)
     assert found(other) == brute(qm, qk, gm, gk, 4, 0.2, other=True)
     same = similarity_topk(g, g, "id", "id", 2, -1.0, by="entity_id", exclude_id=True, block_rows=block)
@@ -176,3 +177,32 @@ def test_suppress_boxes(spark, block):
             mine.append(r)
     got = suppress_boxes(df, ["f"], F.col("score"), "id", block_rows=block, lanes=3).collect()
     assert {r.id for r in got} == {r[0] for v in kept.values() for r in v}
+
+
+def test_lanes_grow_with_the_queries(spark):
+    q, _, _ = vectors(spark, 200, seed=3)
+    g, _, _ = vectors(spark, 30, seed=4)
+    lanes = similarity_topk(q, g, "id", "id", 1, -1.0, block_rows=10, lane_rows=5)
+    plan = lanes._jdf.queryExecution().executedPlan().toString()
+    # 3 blocks x 40 lanes: one cell per task.
+    assert ", 120)" in plan or ",120" in plan.replace(" ", "")
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_merge_with_equal_times(spark, block):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 8))
+    m = [base[int(rng.integers(0, 6))] + 0.35 * rng.standard_normal(8) for _ in range(60)]
+    rows = [(int(i), float(i // 6), v.tolist()) for i, v in zip(rng.permutation(60), m)]
+    df = spark.createDataFrame(rows, "id long, t double, embedding array<double>")
+    opened, want = [], {}
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        u = np.array(v) / np.linalg.norm(v)
+        best = max(((round(float(u @ w), 12), -j) for j, w in opened), default=(-1.0, 0))
+        if best[0] > 0.75:
+            want[i] = -best[1]
+        else:
+            opened.append((i, u))
+            want[i] = i
+    got = merge_candidates(df, "id", "t", threshold=0.75, block_rows=block)
+    assert {r["id"]: r["candidate"] for r in got.collect()} == want

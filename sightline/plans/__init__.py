@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sightline.plans.catalog import CHECKS, QUERIES
 
-MODULES = ("report_queries", "gallery_queries", "detection_queries", "stream_queries", "store_queries")
+MODULES = ("report_queries", "gallery_queries", "detection_queries", "stream_queries", "store_queries", "source_queries")
 
 
 def _load() -> None:

@@ -39,8 +39,8 @@ from sightline.llm.common import checkpointed, ragged, utf8, written
 from sightline.llm.components import components
 
 BITS = 48
-WORDS_HELD = 200_000
-SETS_SEEN = 200_000
+WORDS_HELD = 100_000
+SETS_SEEN = 100_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def _sets(spec: JoinSpec):
 
     def run(stream):
         known, seen = _Hashes(), set()
-        counts = np.zeros(1 << spec.sketch_bits, np.int64)
+        counts = np.zeros(1 << spec.sketch_bits, np.int32)
         shift = np.uint64(BITS - spec.sketch_bits)
         for whole in stream:
             for at in range(0, len(whole), 512):
@@ -135,7 +135,7 @@ def _sets(spec: JoinSpec):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([1] * len(used), pa.int32()), pa.array(used, pa.int64()), pa.array([0] * len(used), pa.int64()),
-                pa.array([0] * len(used), pa.int64()), pa.array([parts[i].astype("<i8").tobytes() for i in used], pa.binary()),
+                pa.array([0] * len(used), pa.int64()), pa.array([parts[i].astype("<i4").tobytes() for i in used], pa.binary()),
             ],
             schema=schema,
         )
@@ -155,8 +155,10 @@ def _gathered(parts: DataFrame, kind: str, join) -> dict[int, np.ndarray]:
         for batch in stream:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 piece = np.frombuffer(data, kind)
+                if kind == "<i4":  # sums are kept in 64 bits and cut on the way out
+                    piece = piece.astype(np.int64)
                 total[block] = join(total[block], piece) if block in total else piece
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(v, np.iinfo(kind).max).astype(kind).tobytes() for v in total.values()], pa.binary())], schema=schema)
 
     rows = parts.repartition("block").mapInArrow(run, "block long, data binary").collect()
     return {r["block"]: np.frombuffer(r["data"], kind) for r in rows}
@@ -165,9 +167,9 @@ def _gathered(parts: DataFrame, kind: str, join) -> dict[int, np.ndarray]:
 def _levels(sets: DataFrame, spec: JoinSpec) -> np.ndarray:
     """Frequency level of each counter: 0 for usual counts, else log2 of the count.
 
-    The collected sketch has a fixed size, 8 bytes x 2^sketch_bits, whatever the input.
+    The collected sketch has a fixed size, 4 bytes x 2^sketch_bits, whatever the input.
     """
-    found = _gathered(sets.where("kind = 1").select(F.col("doc_id").alias("block"), F.col("tokens").alias("data")), "<i8", np.add)
+    found = _gathered(sets.where("kind = 1").select(F.col("doc_id").alias("block"), F.col("tokens").alias("data")), "<i4", np.add)
     wide = 1 << min(BLOCK_BITS, spec.sketch_bits)
     counts = np.zeros(1 << spec.sketch_bits, np.int64)
     for block, part in found.items():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.chunks import ChunkIds, Rules, checked_vocabulary
-from sightline.llm.common import batches, texts_of
+from sightline.llm.common import batches, texts_of, worker_store
 
 
 def byte_letters() -> list[str]:
@@ -143,17 +143,16 @@ class Merges:
         return " ".join(map(self.text.__getitem__, ids.tolist()))
 
 
-_held: dict[str, tuple[Merges, ChunkIds]] = {}
-
-
 def merges_of(raw: str) -> tuple[Merges, ChunkIds]:
-    """The tables of a vocabulary, made once per worker."""
-    key = hashlib.sha256(raw.encode()).hexdigest()
-    if key not in _held:
-        _held.clear()
-        made = Merges(raw)
-        _held[key] = made, ChunkIds(made.rules, made.encode_words)
-    return _held[key]
+    """The tables of a vocabulary, made once per worker, and an empty store of chunks.
+
+    The store ends with its task, so that workers hold no more than the tables in between.
+    """
+    held, key = worker_store(), hashlib.sha256(raw.encode()).hexdigest()
+    if held.get("merges", ("",))[0] != key:
+        held["merges"] = key, Merges(raw)
+    made = held["merges"][1]
+    return made, ChunkIds(made.rules, made.encode_words)
 
 
 def bpe_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,12 +160,16 @@ def bpe_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     raw = docs.sparkSession.sparkContext.broadcast(checked_vocabulary(vocabulary))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        flat, ends = merges_of(raw.value)[1].ids(texts_of(batch.column(1)))
+    def begin():
+        _, chunks = merges_of(raw.value)
+        return lambda batch: rows(batch, chunks)
+
+    def rows(batch: pa.RecordBatch, chunks: ChunkIds) -> dict:
+        flat, ends = chunks.ids(texts_of(batch.column(1)))
         return {"doc_id": batch.column(0), "n_tokens": np.diff(ends), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(batches(schema, rows, 256), "doc_id long, n_tokens long, ids array<int>")
+    return picked.mapInArrow(batches(schema, begin, 256, True), "doc_id long, n_tokens long, ids array<int>")
 
 
 def bpe_texts(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -174,12 +177,15 @@ def bpe_texts(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_co
     raw = tokens.sparkSession.sparkContext.broadcast(checked_vocabulary(vocabulary))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        merges = merges_of(raw.value)[0]
+    def begin():
+        merges, _ = merges_of(raw.value)
+        return lambda batch: rows(batch, merges)
+
+    def rows(batch: pa.RecordBatch, merges: Merges) -> dict:
         return {"doc_id": batch.column(0), "text": [merges.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]}
 
     picked = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return picked.mapInArrow(batches(schema, rows, 256), "doc_id long, text string")
+    return picked.mapInArrow(batches(schema, begin, 256, True), "doc_id long, text string")
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,8 +196,11 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     raw = docs.sparkSession.sparkContext.broadcast(checked_vocabulary(vocabulary))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def rows(batch: pa.RecordBatch) -> dict:
+    def begin():
         merges, chunks = merges_of(raw.value)
+        return lambda batch: rows(batch, merges, chunks)
+
+    def rows(batch: pa.RecordBatch, merges: Merges, chunks: ChunkIds) -> dict:
         flat, ends = chunks.ids(texts_of(batch.column(1)))
         flat = flat.astype("<u4")
         parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -201,4 +210,4 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         }
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(batches(schema, rows, 256), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return picked.mapInArrow(batches(schema, begin, 256, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

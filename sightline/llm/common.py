@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.session import checkpointed, scratch_path
+from sightline import session
+from sightline.session import scratch_path
 
-__all__ = ["table", "written", "checkpointed", "scratch_path", "texts_of", "batches", "utf8", "ragged"]
+__all__ = ["table", "written", "checkpointed", "scratch_path", "texts_of", "batches", "utf8", "ragged", "worker_store"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder: for tables far smaller than the input, in
+    few files, at most three per core."""
+    return session.checkpointed(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)
@@ -38,12 +47,16 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(kind).to_pylist()]
 
 
-def batches(schema: pa.Schema, rows: Callable[[pa.RecordBatch], dict], step: int = 512) -> Callable:
-    """A mapInArrow function that turns every ``step`` rows into the columns rows() gives."""
+def batches(schema: pa.Schema, rows: Callable, step: int = 512, per_task: bool = False) -> Callable:
+    """A mapInArrow function that turns every ``step`` rows into the columns rows() gives.
+
+    With ``per_task``, rows() is called once a task and gives the function to use.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = rows() if per_task else rows
         for batch in (whole.slice(k, step) for whole in stream for k in range(0, len(whole), step)):
-            columns = rows(batch)
+            columns = made(batch)
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns.values(), schema.types, strict=True)],
                 schema=schema,
@@ -57,3 +70,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def worker_store() -> dict:
+    """A dict that lasts as long as the Python worker, from one task to the next."""
+    return sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__

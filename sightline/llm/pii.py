@@ -14,11 +14,12 @@ without any trigger within reach cannot carry personal data of these kinds and a
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import batches, texts_of
@@ -433,17 +434,26 @@ def all_spans(texts: list[str], tagger: Tagger | None) -> list[tuple[list, list]
     return [(b, sorted(b + m, key=lambda s: (s[1], KINDS.index(s[0])))) for b, m in zip(base, free, strict=True)]
 
 
+def _shared(spark: SparkSession, tagger: Tagger | None) -> Broadcast:
+    """The tagger's sizes and weights, a few thousand numbers, for all tasks."""
+    return spark.sparkContext.broadcast(None if tagger is None else (asdict(tagger.spec), tagger.w))
+
+
+def _tagger_of(shared: tuple | None) -> Tagger | None:
+    return None if shared is None else Tagger(TaggerSpec(**shared[0]), shared[1])
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: TaggerSpec | None = None) -> DataFrame:
     """One row per row of ``docs``: counts of the base kinds, base spans, all spans."""
-    tagger = docs.sparkSession.sparkContext.broadcast(trained_tagger(docs, id_col, text_col, spec))
+    tagger = _shared(docs.sparkSession, trained_tagger(docs, id_col, text_col, spec))
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()), ("spans", pa.string())])
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = all_spans(texts_of(batch.column(1)), tagger.value)
+        found = all_spans(texts_of(batch.column(1)), _tagger_of(tagger.value))
         counts = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in found] for k in KINDS}
         return {"doc_id": batch.column(0), **counts, "base_spans": [joined(b) for b, _ in found], "spans": [joined(a) for _, a in found]}
 
@@ -466,13 +476,13 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", spec: TaggerSpec | None = None) -> DataFrame:
     """``docs`` with personal data replaced by ``<kind>``; all rows and columns stay."""
-    tagger = docs.sparkSession.sparkContext.broadcast(trained_tagger(docs, id_col, text_col, spec))
+    tagger = _shared(docs.sparkSession, trained_tagger(docs, id_col, text_col, spec))
 
     def run(stream):
         for batch in (whole.slice(k, STEP) for whole in stream for k in range(0, len(whole), STEP)):
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
-            spans = all_spans(["" if t is None else t for t in texts], tagger.value)
+            spans = all_spans(["" if t is None else t for t in texts], _tagger_of(tagger.value))
             new = [None if t is None else masked(t, s) for t, (_, s) in zip(texts, spans, strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)

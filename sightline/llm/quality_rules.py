@@ -149,7 +149,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", length_col: str | No
     rules = rules or QualityRules()
 
     def run(stream):
-        for batch in stream:
+        for batch in (whole.slice(k, 512) for whole in stream for k in range(0, len(whole), 512)):
             at = batch.schema.get_field_index(text_col)
             found = [judge(t, rules) for t in texts_of(batch.column(at))]
             keep = pa.array([x["kept"] for x in found], pa.bool_())

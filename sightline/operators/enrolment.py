@@ -13,7 +13,7 @@ from sightline.operators import kernels
 from sightline.operators.greedy import BLOCK_ROWS, LANES, _strike, greedy_keep
 from sightline.operators.match import check_duplicates, near_duplicates
 from sightline.operators.registry import append_gallery, audit_rows, upsert_entities
-from sightline.params import AUDIT_REGISTER, POSES_SESSION, EnrichParams, EnrolParams
+from sightline.params import AUDIT_ENRICH, AUDIT_REGISTER, POSES_SESSION, EnrichParams, EnrolParams
 from sightline.session import checkpointed
 
 
@@ -200,6 +200,30 @@ def enrich_gallery(
     )
 
 
+def commit_enrichment(added: DataFrame, entities: DataFrame, gallery: DataFrame, row_id: str, gallery_id: str) -> dict[str, DataFrame]:
+    """Write enrich_gallery()'s captures into the tables: new registry, gallery and audit rows.
+
+    Each capture raises its entity's version by one and is active from then on.
+    ``added`` has ``entity_id``, ``pose_bin``, ``embedding`` and ``version_step``.
+    """
+    good = checkpointed(added)
+    steps = good.groupBy("entity_id").agg(F.max("version_step").alias("_steps"))
+    before = entities.select("entity_id", F.col("name").alias("_name"), F.coalesce("gallery_version", F.lit(1)).alias("_version"))
+    new = good.join(before, "entity_id").withColumn("gallery_version", (F.col("_version") + F.col("version_step")).cast("int"))
+    details = F.concat(
+        F.lit("Added new "), F.col("pose_bin"), F.lit(" capture to "), F.col("_name"), F.lit("'s profile (version "),
+        F.col("gallery_version"), F.lit(")."),
+    )
+    raised = (F.coalesce("gallery_version", F.lit(1)) + F.coalesce("_steps", F.lit(0))).cast("int")
+    return {
+        "entities": entities.join(steps, "entity_id", "left").withColumn("gallery_version", raised).select(*entities.columns),
+        "gallery": append_gallery(
+            gallery, new.drop("_name", "_version", "version_step").withColumn("is_active", F.lit(True)), row_id, gallery_id=gallery_id
+        ),
+        "audit": audit_rows(new, AUDIT_ENRICH, details),
+    }
+
+
 def committable(
     samples: DataFrame, gallery: DataFrame, entity: str, row_id: str, gallery_id: str,
     duplicate_threshold: float, p: EnrolParams = EnrolParams(),

@@ -135,13 +135,15 @@ def entity_similarities(
 
 
 def centroids(
-    vectors: DataFrame, key: str, order: list[str], embedding: str = "embedding", limit: int | None = None
+    vectors: DataFrame, key: str, order: list[str], embedding: str = "embedding", limit: int | None = None,
+    similarity: str | None = None, least: float = 0.60,
 ) -> DataFrame:
-    """Unit mean vector per key, of its first ``limit`` vectors when given.
+    """Unit mean vector per key, of its first ``limit`` vectors when given, and only of
+    those whose ``similarity`` is at ``least`` or above when that column is named.
 
     The mean is taken per dimension, so no key's vectors are gathered anywhere.
     """
-    rows = vectors
+    rows = vectors if similarity is None else vectors.where(F.col(similarity) >= least)
     if limit is not None:
         nth = F.row_number().over(W.partitionBy(key).orderBy(*order))
         rows = rows.withColumn("_rn", nth).where(F.col("_rn") <= limit)

@@ -12,17 +12,16 @@ RANGE_ROWS = 1 << 20
 
 
 def dense_ids(
-    df: DataFrame, order_id: str, out: str, start: Column | int = 0, span: int = RANGE_ROWS, sparse: bool = False
+    df: DataFrame, order_id: str, out: str, start: Column | int = 0, span: int = RANGE_ROWS, sparse: bool = True
 ) -> DataFrame:
     """Append ``out``: ``start``, ``start``+1, … in the order of the unique ``order_id``.
 
-    Row keys are dense: ids fall into ranges of ``span`` values, so a range holds at
-    most ``span`` rows and the table of range counts stays short. Rows are numbered
-    inside their range and the counts give each range its offset.
+    Rows are range-partitioned by sampled bounds and numbered inside their partition;
+    the counts per partition give each its offset, whatever holes the ids have. The
+    partitioned rows are checkpointed, because a recomputed sample could move the bounds.
 
-    ``sparse`` is for ids with wide holes (hashes): rows are range-partitioned by
-    sampled bounds instead and the counts are per partition. The partitioned rows
-    are checkpointed, because a recomputed sample could move the bounds.
+    Without ``sparse`` the ids are taken to be nearly dense: they fall into ranges of
+    ``span`` values, which needs no checkpoint, and the table of range counts stays short.
     """
     if sparse:
         parts = df.repartitionByRange(order_id).sortWithinPartitions(order_id).withColumn("_range", F.spark_partition_id())

@@ -7,6 +7,8 @@ a small table with a few rows per bucket, chained per key, and handed back.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sightline.operators import kernels
 
 MICROS = 1_000_000
-BUCKET_GAPS = 32  # a bucket spans this many cooldown lengths
+BUCKET_GAPS = 32  # a bucket spans this many cooldown lengths at most
 MIN_BUCKET = 3600 * MICROS
+DAY = 86400 * MICROS
+BUCKET_ROWS = 1_000_000  # rows of a key that a bucket should hold at most
 
 
 def _micros(seconds: float) -> int:
@@ -28,6 +32,27 @@ def _bucket(width: int) -> Column:
     return F.expr(f"(_t - pmod(_t, {width}L)) div {width}L")
 
 
+def fitting_width(df: DataFrame, keys: list[str], ts: str, widest: int, least: int = MICROS) -> int:
+    """The widest bucket in which no key has more than BUCKET_ROWS rows, ``least`` at the least.
+
+    Each look is a count per (key, bucket), combined before the shuffle. Results do not
+    depend on the width, only the size of tasks does.
+    """
+    times = df.where(F.col(ts).isNotNull()).select(*keys, F.unix_micros(F.col(ts)).alias("_t"))
+    width = widest
+    while width > least:
+        counts = times.groupBy(*keys, _bucket(width).alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+        fullest = counts.agg(F.max("n")).first()[0] or 0
+        if fullest <= BUCKET_ROWS:
+            break
+        width = max(least, width >> max(1, math.ceil(math.log2(fullest / BUCKET_ROWS))))
+    return width
+
+
+def _width(df: DataFrame, keys: list[str], ts: str, bucket_seconds: float | None) -> int:
+    return _micros(bucket_seconds) if bucket_seconds else fitting_width(df, keys, ts, DAY)
+
+
 def _timed(df: DataFrame, ts: str, width: int) -> DataFrame:
     return df.withColumn("_t", F.unix_micros(F.col(ts))).withColumn("_bucket", _bucket(width))
 
@@ -59,7 +84,10 @@ def cooldown(
     possible first kept row leads, and one of the full rows that applies it.
     """
     gap = _micros(seconds) + (1 if strict else 0)
-    width = _micros(bucket_seconds) if bucket_seconds else max(BUCKET_GAPS * gap, MIN_BUCKET)
+    if bucket_seconds:
+        width = _micros(bucket_seconds)
+    else:
+        width = fitting_width(df, keys, ts, max(BUCKET_GAPS * gap, MIN_BUCKET), max(2 * gap, MICROS))
     timed = _timed(df.where(F.col(ts).isNotNull()), ts, width)
 
     steps_schema = _schema(df, keys, "_bucket long, _entry long, _exit long")
@@ -83,14 +111,14 @@ def cooldown(
 
 
 def smoothed_rate(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], keep: float = 0.9, bucket_seconds: float = 86400.0
+    df: DataFrame, keys: list[str], ts: str, order: list[str], keep: float = 0.9, bucket_seconds: float | None = None
 ) -> DataFrame:
     """Append ``rate``: keep·previous + (1−keep)/Δt over each key's rows in time order.
 
     Steps of zero length leave the rate unchanged; the first row has rate 0.
     """
     gain = round(1.0 - keep, 12)
-    width = _micros(bucket_seconds)
+    width = _width(df, keys, ts, bucket_seconds)
     timed = _timed(df.where(F.col(ts).isNotNull()), ts, width)
     sum_schema = _schema(df, keys, "_bucket long, _first long, _last long, _scale double, _shift double")
     carry_schema = _schema(df, keys, "_bucket long, _t long, _rate double")
@@ -113,14 +141,14 @@ def smoothed_rate(
     )
 
 
-def gaps(df: DataFrame, keys: list[str], ts: str, limit_seconds: float, bucket_seconds: float = 86400.0) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], ts: str, limit_seconds: float, bucket_seconds: float | None = None) -> DataFrame:
     """Pairs of neighbouring rows of a key that lie more than ``limit_seconds`` apart.
 
     Columns: keys, ``gap_start``, ``gap_end``, ``gap_seconds``. Gaps inside a
     bucket come from a window over (key, bucket); gaps across buckets from the
     table of bucket borders.
     """
-    limit, width = _micros(limit_seconds), _micros(bucket_seconds)
+    limit, width = _micros(limit_seconds), _width(df, keys, ts, bucket_seconds)
     timed = _timed(df.where(F.col(ts).isNotNull()), ts, width).select(*keys, "_bucket", "_t")
     inner = W.partitionBy(*keys, "_bucket").orderBy("_t")
     inside = timed.withColumn("_prev", F.lag("_t").over(inner)).select(*keys, "_prev", "_t")
@@ -143,7 +171,7 @@ def gaps(df: DataFrame, keys: list[str], ts: str, limit_seconds: float, bucket_s
 
 
 def sessions(
-    df: DataFrame, keys: list[str], ts: str, idle_seconds: float, bucket_seconds: float = 86400.0
+    df: DataFrame, keys: list[str], ts: str, idle_seconds: float, bucket_seconds: float | None = None
 ) -> DataFrame:
     """Runs of a key's rows whose neighbours are at most ``idle_seconds`` apart.
 
@@ -151,7 +179,7 @@ def sessions(
     per idle gap and bucket, are merged per key.
     Columns: keys, ``session_start``, ``session_end``, ``rows``, ``session_no``.
     """
-    idle, width = _micros(idle_seconds), _micros(bucket_seconds)
+    idle, width = _micros(idle_seconds), _width(df, keys, ts, bucket_seconds)
     timed = _timed(df.where(F.col(ts).isNotNull()), ts, width).select(*keys, "_bucket", "_t")
     inner = W.partitionBy(*keys, "_bucket").orderBy("_t")
     opened = F.coalesce((F.col("_t") - F.lag("_t").over(inner) > idle).cast("int"), F.lit(1))
@@ -176,13 +204,13 @@ def sessions(
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], ts: str, value: str, order: list[str], bucket_seconds: float = 86400.0
+    df: DataFrame, keys: list[str], ts: str, value: str, order: list[str], bucket_seconds: float | None = None
 ) -> DataFrame:
     """Append ``previous_<value>``: the value of the key's latest earlier row.
 
     The bucket borders supply the value for each bucket's first row.
     """
-    width = _micros(bucket_seconds)
+    width = _width(df, keys, ts, bucket_seconds)
     name = f"previous_{value}"
     timed = _timed(df, ts, width)
     ordering = [F.col("_t"), *[F.col(o) for o in order]]

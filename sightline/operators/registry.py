@@ -17,9 +17,20 @@ from sightline.operators.numbering import dense_ids
 from sightline.params import AUDIT_DELETE
 
 
-def upsert_entities(entities: DataFrame, changes: DataFrame, key: str = "entity_id", version: str = "gallery_version") -> DataFrame:
+def one_per_key(changes: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The last change of each key: the greatest by ``order``, then by all its columns."""
+    rest = [c for c in changes.columns if c != key]
+    last = F.struct(*[F.col(c) for c in [*(order or []), *rest]])
+    return changes.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in changes.columns]), last).alias("_c")).select("_c.*")
+
+
+def upsert_entities(
+    entities: DataFrame, changes: DataFrame, key: str = "entity_id", version: str = "gallery_version", order: list[str] | None = None
+) -> DataFrame:
     """Apply full new rows: a known key is replaced and its version raised, a new key
-    starts at version 1. Columns that ``changes`` lacks keep the old value."""
+    starts at version 1. Columns that ``changes`` lacks keep the old value. Of several
+    changes of a key the last by ``order`` counts."""
+    changes = one_per_key(changes, key, order)
     old, new = entities.alias("o"), changes.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     changed = F.col("n._new").isNotNull()
@@ -139,9 +150,9 @@ def entities_without_vectors(entities: DataFrame, gallery: DataFrame) -> DataFra
 
 def cascade_delete(removed: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     """All tables without the removed entities' rows, and an audit row per entity."""
-    ids = removed.select("entity_id")
+    ids = removed.select("entity_id").distinct()
     out = {name: df.join(ids, "entity_id", "left_anti") for name, df in tables.items()}
-    out["audit"] = audit_rows(removed, AUDIT_DELETE, F.concat(F.lit("Deleted "), F.col("entity_id")))
+    out["audit"] = audit_rows(ids, AUDIT_DELETE, F.concat(F.lit("Deleted "), F.col("entity_id")))
     return out
 
 
@@ -243,7 +254,9 @@ def inventory_sample(gallery: DataFrame, payloads: DataFrame, row_id: str, n: in
     )
 
 
-def upsert_source(sources: DataFrame, changes: DataFrame, key: str = "source_id") -> DataFrame:
+def upsert_source(sources: DataFrame, changes: DataFrame, key: str = "source_id", order: list[str] | None = None) -> DataFrame:
+    """Replace or add sources; of several changes of a key the last by ``order`` counts."""
+    changes = one_per_key(changes, key, order)
     return sources.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 

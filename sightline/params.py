@@ -148,5 +148,6 @@ ALERT_STATUS = "ACTIVE_ALERT"
 VISIT_CATEGORY = "VIP_CUSTOMER"
 AUDIT_REGISTER = "REGISTER_PERSON"
 AUDIT_DELETE = "DELETE_PERSON"
+AUDIT_ENRICH = "PROGRESSIVE_LEARNING_ADD"
 CANDIDATE_STATUS = "READY"
 CANDIDATE_QUALITY = 0.85

@@ -9,7 +9,8 @@ from sightline import schemas
 from sightline.functions import quality as fq
 from sightline.functions import text as fx
 from sightline.operators import match, registry
-from sightline.operators.enrolment import accept_samples, committable, enrich_gallery, pose_coverage
+from sightline.operators.enrolment import accept_samples, commit_enrichment, committable, enrich_gallery, pose_coverage
+from sightline.operators.numbering import dense_ids
 from sightline.operators.greedy import deduplicate, fill_buffer
 from sightline.operators.similarity import similarity_topk
 from sightline.params import POSES_ALL, DuplicateParams, EnrichParams, EnrolParams, MatchParams
@@ -328,7 +329,7 @@ def session_commit(spark, sf):
 ENRICH = EnrichParams(match=0.3, quality=0.3, duplicate=0.33, max_active=38)
 
 
-@query("enrich_gallery", check_sql(BEST + """
+ENRICHED = BEST + """
 , m AS (SELECT p.capture_id, b.ge AS entity_id, round(b.sim,4) AS similarity, p.second, p.embedding
   FROM best b JOIN probes p ON p.capture_id=b.pid WHERE b.sim>=0.30 AND p.quality>=0.3),
 fresh AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY second, capture_id) AS rn FROM m WHERE NOT EXISTS (
@@ -338,17 +339,61 @@ walk AS (SELECT entity_id, capture_id, similarity, rn, true AS keep, [embedding]
     SELECT r.*, w.kept, len(list_filter(w.kept, lambda x: list_cosine_similarity(x, r.embedding) >= 0.33)) = 0 AS keep
     FROM walk w JOIN fresh r ON r.entity_id=w.entity_id AND r.rn=w.rn+1)),
 added AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY rn) AS version_step FROM walk WHERE keep),
-act AS (SELECT entity_id, count(*) FILTER (is_active) AS n FROM gallery GROUP BY 1)
-SELECT entity_id, capture_id, similarity, version_step FROM added LEFT JOIN act USING (entity_id)
-WHERE version_step <= 38 - coalesce(n,0)""", "probes", "gallery", recursive=True))
-def enrich(spark, sf):
+act AS (SELECT entity_id, count(*) FILTER (is_active) AS n FROM gallery GROUP BY 1),
+taken AS (SELECT entity_id, capture_id, similarity, version_step FROM added LEFT JOIN act USING (entity_id)
+  WHERE version_step <= 38 - coalesce(n,0))
+"""
+
+
+def enriched(spark, sf):
     g = views.gallery(spark, sf)
     hits = match.match_with_status(views.probes(spark, sf), g, "capture_id", "capture_id", MATCH)
-    rows = hits.where("status <> 'UNKNOWN'").join(
-        views.probes(spark, sf).select("capture_id", "quality", "second", "embedding"), "capture_id"
-    )
-    added = enrich_gallery(rows, g, "entity_id", "capture_id", "capture_id", "second", F.col("is_active"), ENRICH)
-    return added.select("entity_id", "capture_id", F.col("similarity"), "version_step")
+    probes = views.probes(spark, sf).withColumn("pose_bin", pose()).select("capture_id", "quality", "second", "pose_bin", "embedding")
+    rows = hits.where("status <> 'UNKNOWN'").join(probes, "capture_id")
+    return enrich_gallery(rows, g, "entity_id", "capture_id", "capture_id", "second", F.col("is_active"), ENRICH)
+
+
+@query("enrich_gallery", check_sql(ENRICHED + "SELECT * FROM taken", "probes", "gallery", recursive=True))
+def enrich(spark, sf):
+    return enriched(spark, sf).select("entity_id", "capture_id", "similarity", "version_step")
+
+
+def enrich_tables(spark, sf):
+    people = views.entities(spark, sf).select("entity_id", "name", F.lit(1).alias("gallery_version"))
+    g = dense_ids(views.gallery(spark, sf), "capture_id", "gallery_id").select("entity_id", "capture_id", "embedding", "gallery_id", "is_active")
+    return commit_enrichment(enriched(spark, sf), people, g, "capture_id", "gallery_id")
+
+
+@query("enrich_commit", check_sql(ENRICHED + f"""
+SELECT capture_id, entity_id, (SELECT count(*) FROM gallery)-1+row_number() OVER (ORDER BY capture_id) AS gallery_id,
+  CAST(1+version_step AS INTEGER) AS gallery_version, true AS is_active FROM taken""", "probes", "gallery", recursive=True))
+def enrich_commit(spark, sf):
+    new = enrich_tables(spark, sf)["gallery"].where("gallery_version IS NOT NULL")
+    return new.select("capture_id", "entity_id", "gallery_id", "gallery_version", "is_active")
+
+
+@query("enrich_audit", check_sql(ENRICHED + f"""
+, p AS (SELECT capture_id, {POSE} AS pose_bin FROM probes)
+SELECT 'PROGRESSIVE_LEARNING_ADD' AS action, t.entity_id, concat('Added new ',p.pose_bin,' capture to ',e.name,
+  chr(39),'s profile (version ',1+t.version_step,').') AS details FROM taken t JOIN p USING (capture_id) JOIN entities e ON e.entity_id=t.entity_id
+UNION ALL SELECT 'VERSION', e.entity_id, CAST(1+coalesce(max(t.version_step),0) AS VARCHAR) FROM entities e LEFT JOIN taken t
+  ON t.entity_id=e.entity_id GROUP BY e.entity_id""", "probes", "gallery", "entities", recursive=True))
+def enrich_audit(spark, sf):
+    """Audit rows, and the version that each entity has afterwards."""
+    made = enrich_tables(spark, sf)
+    versions = made["entities"].select(F.lit("VERSION").alias("action"), "entity_id", F.col("gallery_version").cast("string").alias("details"))
+    return made["audit"].unionByName(versions)
+
+
+@query("bounded_centroid", check_sql("""
+, r AS (SELECT entity_id, embedding, row_number() OVER (PARTITION BY entity_id ORDER BY capture_id) AS rn FROM captures WHERE quality>=0.60),
+d AS (SELECT entity_id, d AS pos, avg(embedding[d]) AS m FROM r, range(1,65) x(d) WHERE rn<=5 GROUP BY 1,2),
+c AS (SELECT entity_id, sqrt(sum(m*m))+1e-8 AS n FROM d GROUP BY 1)
+SELECT entity_id, CAST(pos-1 AS INTEGER) AS pos, round(m/n,6) AS value FROM d JOIN c USING (entity_id)""", "captures"))
+def bounded_centroid(spark, sf):
+    """Of each entity's references that pass the gate (here by quality), the first five."""
+    cent = match.centroids(views.captures(spark, sf), "entity_id", ["capture_id"], limit=5, similarity="quality", least=0.60)
+    return cent.select("entity_id", F.posexplode("centroid").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 # ----------------------------------------------------------------------- registry

@@ -27,9 +27,10 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_report_csv(sightings: DataFrame, folder: str, start: datetime, stop: datetime) -> str:
-    """The report export as a folder of CSV files named after its range."""
+    """The report export as a folder of CSV files named after its range, in time order
+    within and over the files."""
     path = f"{folder.rstrip('/')}/{csv_name(start, stop)}"
-    csv_rows(sightings).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+    csv_rows(sightings.orderBy("ts", "id")).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
     return path
 
 

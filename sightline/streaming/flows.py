@@ -69,9 +69,13 @@ def session_counts(stream: DataFrame, keys: list[str], ts: str, idle_seconds: fl
     )
 
 
-def rate_slots(stream: DataFrame, keys: list[str], ts: str, per_second: float, delay: str = "1 hour") -> DataFrame:
-    """The first row to arrive for each key and time slot."""
+def rate_slots(stream: DataFrame, keys: list[str], ts: str, per_second: float, delay_seconds: int = 3600) -> DataFrame:
+    """The first row to arrive for each key and time slot.
+
+    A slot is remembered for its own length at least, so that it is never given out twice.
+    """
     slot = int(round(1_000_000 / per_second))
+    delay = f"{max(delay_seconds, -(-slot // 1_000_000))} seconds"
     return (
         stream.withColumn("_t", F.unix_micros(ts))
         .withColumn("slot", F.expr(f"(_t - pmod(_t, {slot}L)) div {slot}L"))
@@ -89,8 +93,10 @@ def match_stream(
     a gallery change shows from the next batch on."""
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
+        batch.persist()  # read for the match and for the probes without one
         found = match_with_status(batch, gallery(), probe_id, gallery_id, p)
         found.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        batch.unpersist()
 
     path = drain_batches(probes, name, write)
     return probes.sparkSession.read.parquet(f"{path}/out").drop("batch")

@@ -1,17 +1,16 @@
 """Stateful streaming operators.
 
-A group function receives the rows a micro-batch brings for one lane of keys, or
-for one key; their number is bounded by the source's admission limit. What is
-kept between batches is a small value per open key, dropped once the watermark
-has passed the point where it matters. Rows later than the watermark are dropped.
+A group function receives the rows a micro-batch brings for one key; their number is
+bounded by the source's admission limit. What is kept between batches is a small
+value per open key in Spark's state store, dropped once the watermark has passed the
+point where it matters, so a batch costs its own keys and not the idle ones. Rows
+later than the watermark are dropped.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
 import sys
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EVENT_TIME = GroupStateTimeout.EventTimeTimeout
 MICROS = 1_000_000
-LANES = 256
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -48,31 +46,8 @@ def _expire_at(state: GroupState, micros: int) -> None:
     state.setTimeoutTimestamp(int(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1)))
 
 
-def _in_lanes(stream: DataFrame, keys: list[str], lanes: int):
-    """Group keys into lanes: one call and one stored value per lane, not per key.
-
-    Keys stay apart inside the lane's state. Rows are spread by the hash of the
-    whole key, so a busy source with many tracks is spread over all lanes.
-    """
-    return stream.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int")).groupBy("_lane")
-
-
-def _load(state: GroupState) -> dict:
-    return pickle.loads(state.get[0]) if state.exists else {}
-
-
-def _store(state: GroupState, opened: dict, deadline: Callable) -> None:
-    """Keep the open keys and wake up at the first deadline; nothing open, nothing kept."""
-    if opened:
-        state.update((pickle.dumps(opened),))
-        _expire_at(state, min(deadline(v) for v in opened.values()))
-    elif state.exists:
-        state.remove()
-
-
 def cooldown(
-    stream: DataFrame, keys: list[str], ts: str, seconds: float, row_id: str, strict: bool = False,
-    delay: str = "10 minutes", lanes: int = LANES,
+    stream: DataFrame, keys: list[str], ts: str, seconds: float, row_id: str, strict: bool = False, delay: str = "10 minutes"
 ) -> DataFrame:
     """Anchored cooldown over a stream; the state is each key's last kept time, kept
     until the watermark has passed its cooldown."""
@@ -80,29 +55,30 @@ def cooldown(
     schema = _nullable(stream.schema)
     names = stream.columns
 
-    def step(lane, frames, state: GroupState):
-        last = _load(state)
-        if not state.hasTimedOut:
-            rows = _gather(frames, ["_t", row_id])
-            kept = []
-            for i, (t, *key) in enumerate(zip(rows["_t"].tolist(), *[rows[k].tolist() for k in keys])):
-                before = last.get(tuple(key))
-                if before is None or t - before >= gap:
-                    last[tuple(key)] = t
-                    kept.append(i)
-            if kept:
-                yield rows.iloc[kept][names]
-        mark = state.getCurrentWatermarkMs() * 1000
-        _store(state, {k: t for k, t in last.items() if t + gap > mark}, lambda t: t + gap)
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = _gather(frames, ["_t", row_id])
+        kept = []
+        for i, t in enumerate(rows["_t"].tolist()):
+            if last is None or t - last >= gap:
+                last = t
+                kept.append(i)
+        state.update((last,))
+        _expire_at(state, last + gap)
+        if kept:
+            yield rows.iloc[kept][names]
 
     timed = stream.withWatermark(ts, delay).withColumn("_t", F.unix_micros(ts))
-    return _in_lanes(timed, keys, lanes).applyInPandasWithState(step, schema, "open binary", "append", EVENT_TIME)
+    return timed.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", EVENT_TIME)
 
 
 def best_row(
     stream: DataFrame, track: list[str], ts: str, row_id: str, estimate: Column,
     max_rows: int = TrackParams().window_rows, max_seconds: float = TrackParams().window_seconds,
-    idle_seconds: float = TrackParams().idle_seconds, delay: str = "1 second", lanes: int = LANES,
+    idle_seconds: float = TrackParams().idle_seconds, delay: str = "1 second",
 ) -> DataFrame:
     """Best row of a track's opening window, emitted once when the window closes:
     by row count, by a later row, or by the timer. A track is forgotten when idle."""
@@ -110,50 +86,43 @@ def best_row(
     fields = [stream.schema[c] for c in [*track, row_id]]
     schema = _nullable(T.StructType([*fields, T.StructField("estimate", T.DoubleType())]))
     names = schema.names
+    held = T.StructType(
+        [*T._parse_datatype_string("first long, seen long, best double, closed boolean, last long"), _nullable(T.StructType([stream.schema[row_id]]))[0]]
+    )
 
-    def deadline(entry):
-        first, _, _, _, done, last = entry
-        return last + idle if done else first + span
-
-    def step(lane, frames, state: GroupState):
-        opened, out = _load(state), []
-
-        def close(key, entry):
-            out.append((*key, entry[3], entry[2]))
-            entry[4] = True
-
-        if not state.hasTimedOut:
+    def step(key, frames, state: GroupState):
+        first, seen, best, closed, last, winner = state.get if state.exists else (None, 0, -1.0, False, None, None)
+        was_closed = closed
+        if state.hasTimedOut:
+            if closed:
+                state.remove()
+                return
+            closed = True
+        else:
             rows = _gather(frames, ["_t", row_id])
-            columns = [rows[c].tolist() for c in ("_t", row_id, "_estimate", *track)]
-            for t, rid, value, *key in zip(*columns):
-                # first, rows seen, best estimate, best row, closed, last
-                entry = opened.setdefault(tuple(key), [t, 0, -1.0, None, False, t])
-                entry[5] = max(entry[5], t)
-                if entry[4]:
+            for t, rid, value in zip(*[rows[c].tolist() for c in ("_t", row_id, "_estimate")]):
+                first, last = (t, t) if first is None else (first, max(last, t))
+                if closed:
                     continue
-                if t - entry[0] < span:
-                    entry[1] += 1
-                    if value > entry[2]:
-                        entry[2], entry[3] = value, rid
-                if t - entry[0] >= span or entry[1] >= max_rows:
-                    close(key, entry)
-        mark = state.getCurrentWatermarkMs() * 1000
-        for key, entry in opened.items():
-            if not entry[4] and entry[0] + span <= mark:
-                close(key, entry)
-        if out:
-            yield pd.DataFrame(out, columns=names)
-        _store(state, {k: e for k, e in opened.items() if deadline(e) > mark}, deadline)
+                if t - first < span:
+                    seen += 1
+                    if value > best:
+                        best, winner = value, rid
+                closed = t - first >= span or seen >= max_rows
+        state.update((first, seen, best, closed, last, winner))
+        _expire_at(state, last + idle if closed else first + span)
+        if closed and not was_closed:
+            yield pd.DataFrame([(*key, winner, best)], columns=names)
 
     timed = stream.withWatermark(ts, delay).select(
         *track, row_id, ts, F.unix_micros(ts).alias("_t"), estimate.alias("_estimate")
     )
-    return _in_lanes(timed, track, lanes).applyInPandasWithState(step, schema, "open binary", "append", EVENT_TIME)
+    return timed.groupBy(*track).applyInPandasWithState(step, schema, held, "append", EVENT_TIME)
 
 
 def consensus(
     stream: DataFrame, track: list[str], ts: str, row_id: str, entity: str = "entity_id",
-    similarity: str = "similarity", p: TrackParams = TrackParams(), delay: str = "1 second", lanes: int = LANES,
+    similarity: str = "similarity", p: TrackParams = TrackParams(), delay: str = "1 second",
 ) -> DataFrame:
     """Track decision over a stream: state is the start, at most ``vote_limit`` votes
     and whether the track is decided. A decided track stays frozen until idle."""
@@ -163,36 +132,36 @@ def consensus(
     schema = _nullable(T.StructType([*fields, *extra]))
     names, limit = schema.names, p.vote_limit
 
-    def step(lane, frames, state: GroupState):
-        opened, out = _load(state), []
-        if not state.hasTimedOut:
-            rows = _gather(frames, ["_t", row_id])
-            columns = [rows[c].tolist() for c in ("_t", "_known", entity, similarity, *track)]
-            for t, known, name, sim, *key in zip(*columns):
-                # first, votes, decided, last
-                entry = opened.setdefault(tuple(key), [t, [], False, t])
-                entry[3] = max(entry[3], t)
-                if entry[2]:
-                    continue
-                if known:
-                    entry[1].append((name, sim))
-                if t - entry[0] >= window or len(entry[1]) >= limit:
-                    best = {}
-                    for n, s in entry[1]:
-                        best[n] = max(s, best.get(n, s))
-                    winner = max(best, key=best.get, default="unknown")
-                    votes = sum(1 for n, _ in entry[1] if n == winner)
-                    out.append((*key, winner, best.get(winner, 0.0), votes))
-                    entry[1], entry[2] = [], True
+    def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, decided, held = state.get if state.exists else (None, None, False, "[]")
+        votes, out = json.loads(held), []
+        rows = _gather(frames, ["_t", row_id])
+        for t, known, name, sim in zip(*[rows[c].tolist() for c in ("_t", "_known", entity, similarity)]):
+            first, last = (t, t) if first is None else (first, max(last, t))
+            if decided:
+                continue
+            if known:
+                votes.append((name, sim))
+            if t - first >= window or len(votes) >= limit:
+                best = {}
+                for n, s in votes:
+                    best[n] = max(s, best.get(n, s))
+                winner = max(best, key=best.get, default="unknown")
+                out.append((*key, winner, best.get(winner, 0.0), sum(1 for n, _ in votes if n == winner)))
+                votes, decided = [], True
+        state.update((first, last, decided, json.dumps(votes)))
+        _expire_at(state, last + idle)
         if out:
             yield pd.DataFrame(out, columns=names)
-        mark = state.getCurrentWatermarkMs() * 1000
-        _store(state, {k: e for k, e in opened.items() if e[3] + idle > mark}, lambda e: e[3] + idle)
 
     timed = stream.withWatermark(ts, delay).select(
         *track, row_id, ts, entity, similarity, F.unix_micros(ts).alias("_t"), is_known(F.col(entity)).alias("_known")
     )
-    return _in_lanes(timed, track, lanes).applyInPandasWithState(step, schema, "open binary", "append", EVENT_TIME)
+    held = "first long, last long, decided boolean, votes string"
+    return timed.groupBy(*track).applyInPandasWithState(step, schema, held, "append", EVENT_TIME)
 
 
 def target_lock(

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators import ordered
 from sightline.operators.ordered import cooldown, gaps, previous_row, sessions, smoothed_rate
 
 BASE = 1_700_000_000_000_000
@@ -93,3 +94,21 @@ def test_smoothed_rate(spark, batch_rows, bucket):
     got = {r.id: r.rate for r in smoothed_rate(df, ["key"], "ts", ["id"], bucket_seconds=bucket).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+@pytest.mark.parametrize("bound", [5, 60])
+def test_buckets_fit_the_rows(spark, monkeypatch, bound):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", bound)
+    rows, df = make(spark, 3, n=900)
+    width = ordered.fitting_width(df, ["key"], "ts", ordered.DAY)
+    assert width < ordered.DAY
+    counts = df.groupBy("key", F.floor(F.unix_micros("ts") / width)).count().agg(F.max("count")).first()[0]
+    assert counts <= bound or width == ordered.MICROS
+    kept = cooldown(df, ["key"], "ts", 300, ["id"])
+    assert {r.id for r in kept.collect()} == fold(rows, 300, False)
+    by_key = {}
+    for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_key.setdefault(key, []).append(t)
+    want = sum(sum(1 for a, b in zip(v, v[1:]) if b - a > 20e6) + 1 for v in by_key.values())
+    assert sessions(df, ["key"], "ts", 20).count() == want
+    assert gaps(df, ["key"], "ts", 20).count() == want - len(by_key)

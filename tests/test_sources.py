@@ -157,3 +157,24 @@ def test_wrong_fallback_is_not_used(spark):
     b = spark.range(10, 13)
     assert tables.with_fallback(a, b).count() == 2
     assert tables.with_fallback(a.where("id > 5"), b).count() == 3
+
+
+def test_repeated_changes_of_a_key_give_one_row(spark):
+    old = spark.createDataFrame([("a", "A", 3), ("b", "B", 1)], "entity_id string, name string, gallery_version int")
+    changes = spark.createDataFrame([("a", "first", 1), ("a", "last", 2), ("c", "new", 1), ("c", "newer", 2)], "entity_id string, name string, seq int")
+    got = registry.upsert_entities(old, changes, order=["seq"]).collect()
+    assert sorted((r["entity_id"], r["name"], r["gallery_version"]) for r in got) == [("a", "last", 4), ("b", "B", 1), ("c", "newer", 1)]
+    sources = registry.upsert_source(old.withColumnRenamed("entity_id", "source_id"), changes.withColumnRenamed("entity_id", "source_id"), order=["seq"])
+    assert sorted((r["source_id"], r["name"]) for r in sources.collect()) == [("a", "last"), ("b", "B"), ("c", "newer")]
+    gone = registry.cascade_delete(changes, entities=old)
+    assert gone["entities"].count() == 1 and gone["audit"].count() == 2
+
+
+def test_report_csv_is_in_time_order(spark):
+    rows = [(i, "P_1", "n", 0.5, "cam_1", "t", f"2024-01-{1 + (i * 7) % 20:02d} 00:00:00") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, entity_id string, name string, similarity double, source_id string, track_id string, t string")
+    df = df.withColumn("ts", F.to_timestamp("t")).drop("t")
+    path = sinks.write_report_csv(df.repartition(5), scratch_path(spark, "csv-order"), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31))
+    files = sorted(spark.read.text(path).inputFiles())
+    times = [r["Timestamp"] for f in files for r in spark.read.option("header", True).csv(f).collect()]
+    assert len(times) == 40 and times == sorted(times)

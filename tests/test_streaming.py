@@ -36,7 +36,7 @@ def rows_of(df, *columns):
 def test_cooldown(spark):
     log = rules.known_only(views.sightings(spark, SF)).select("id", "entity_id", "ts")
     for hours, strict in ((6, False), (40, True)):
-        kept = state.cooldown(in_files(spark, log, "ts", 5), ["entity_id"], "ts", hours * 3600, "id", strict, lanes=3)
+        kept = state.cooldown(in_files(spark, log, "ts", 5), ["entity_id"], "ts", hours * 3600, "id", strict)
         want = cooldown(log, ["entity_id"], "ts", hours * 3600, ["id"], strict)
         assert rows_of(flows.drain(kept, "c"), "id") == rows_of(want, "id")
 
@@ -47,7 +47,7 @@ def test_best_row(spark):
     )
     value = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * F.col("sharpness")
     stream = in_files(spark, rows, "ts", 4)
-    got = flows.drain(state.best_row(stream, ["track_id"], "ts", "det_key", value, lanes=3), "b")
+    got = flows.drain(state.best_row(stream, ["track_id"], "ts", "det_key", value), "b")
     want = {r[0]: r[1] for r in rows_of(best_track_row(rows, ["track_id"], "second", ["det_key"]), "track_id", "det_key")}
     found = {r[0]: r[1] for r in rows_of(got, "track_id", "det_key")}
     assert found.items() <= want.items()
@@ -60,7 +60,7 @@ def test_best_row(spark):
 def test_consensus(spark):
     p = TrackParams(vote_window_seconds=86400.0, vote_limit=4, idle_seconds=40 * 86400.0)
     log = views.sightings(spark, SF).select("track_id", "id", "entity_id", "similarity", "ts")
-    got = flows.drain(state.consensus(in_files(spark, log, "ts", 5), ["track_id"], "ts", "id", p=p, lanes=3), "v")
+    got = flows.drain(state.consensus(in_files(spark, log, "ts", 5), ["track_id"], "ts", "id", p=p), "v")
     batch = consensus_window(log.withColumn("second", F.unix_micros("ts") / 1e6), ["track_id"], "second", "id", p=p)
     columns = ("track_id", "entity_id", "similarity", "votes")
     assert rows_of(got, *columns) == rows_of(batch, *columns)

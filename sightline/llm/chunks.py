@@ -18,7 +18,7 @@ import regex
 from sightline.llm.common import ragged
 
 # Python's split() takes these for white space, the vocabulary's rules do not.
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 # Characters that the vocabulary's rules (Unicode 16) take for neither letters nor
@@ -37,13 +37,16 @@ LATER = (
 # Capitals newer than Python's tables, with their small letters (Unicode 16 and 17).
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LATER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-NEW_CAPITAL = re.compile("[" + "".join(map(chr, LATER_CAPITALS)) + "]")
+# The first bytes that they share in UTF-8: a quick look for texts without any.
+NEW_CAPITAL = tuple(sorted({chr(c).encode()[:-1] for c in LATER_CAPITALS}))
 
 HELD = 400_000
+#: The number that stands for the end of a chunk; the first place of a pool of words is taken by it.
+END = 0
 
 
 def chunks_of(text: str) -> list[str]:
-    if ODD.search(text):
+    if any(c in text for c in ODD):
         return [c for c in SPACE.split(text) if c]
     return text.split()
 
@@ -73,25 +76,28 @@ class Rules:
             pattern = pattern.replace(rf"[\p{{{kind}}}]", rf"[\p{{{kind}}}--[{LATER}]]")
         pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]")
         self.words = regex.compile(pattern, regex.V1)
-        self.plain = re.compile(r"[a-z]+")
-
-    def pieces(self, chunk: str) -> list[str]:
-        """Normalised words of a chunk; special strings stay as they are."""
-        if self.cut and "<|" in chunk:
-            found: list[str] = []
-            for part in self.cut.split(chunk):
-                found.extend([part] if part in self.special else self._words(part))
-            return found
-        return self._words(chunk)
-
-    def _words(self, part: str) -> list[str]:
-        if part.isascii():
-            low = part.lower()
-            return [low] if self.plain.fullmatch(low) else self.words.findall(low)
-        low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        if NEW_CAPITAL.search(low):
-            low = low.translate(LATER_CAPITALS)
-        return self.words.findall(low)
+        self.words_and_ends = regex.compile(pattern + r"|\n", regex.V1)
+
+    @staticmethod
+    def normal(text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        data = low.encode("utf-8", "surrogatepass")
+        return low.translate(LATER_CAPITALS) if any(b in data for b in NEW_CAPITAL) else low
+
+    def words_of(self, chunks: list[str]) -> list[str]:
+        """Normalised words of all chunks, with a line end after each chunk's."""
+        return self.words_and_ends.findall(self.normal("\n".join([*chunks, ""]))) if chunks else []
+
+    def special_pieces(self, chunk: str) -> list[str] | None:
+        """Words and special strings of a chunk that holds a special string, else None."""
+        if self.cut is None or not self.cut.search(chunk):
+            return None
+        found: list[str] = []
+        for part in self.cut.split(chunk):
+            found.extend([part] if part in self.special else self.words.findall(self.normal(part)))
+        return found
 
 
 class _Pool(dict):
@@ -131,7 +137,7 @@ class _Pool(dict):
         return self.flat[ragged(self.starts[numbers], lengths)], lengths
 
 
-def _sums(lengths: np.ndarray, counts: list[int]) -> np.ndarray:
+def _sums(lengths: np.ndarray, counts: list[int] | np.ndarray) -> np.ndarray:
     """Ends, from 0, of groups of counts[k] lengths each."""
     return np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
@@ -139,29 +145,56 @@ def _sums(lengths: np.ndarray, counts: list[int]) -> np.ndarray:
 class ChunkIds:
     """Ids of texts; ``encode`` gives (flat ids, lengths) of words it is handed."""
 
-    def __init__(self, rules: Rules, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.rules, self.encode = rules, encode
+    def __init__(self, rules: Rules, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], held: int = HELD):
+        self.rules, self.encode, self.held = rules, encode, held
         self.chunks, self.words = _Pool(), _Pool()
+        self.words["\n"] = END
 
     def _settle(self) -> None:
         if not self.chunks.fresh:
             return
-        numbers: list[int] = []
-        counts = []
-        for chunk in self.chunks.fresh:
-            parts = self.rules.pieces(chunk)
-            counts.append(len(parts))
-            numbers.extend(map(self.words.__getitem__, parts))
+        # Chunks of letters alone are one word each; the others are cut by the rules together.
+        letters, at_letters, mixed, at_mixed, special = [], [], [], [], {}
+        for k, chunk in enumerate(self.chunks.fresh):
+            if chunk.isalpha():
+                letters.append(chunk)
+                at_letters.append(k)
+            elif "<|" in chunk and (found := self.rules.special_pieces(chunk)) is not None:
+                special[k] = found
+            else:
+                mixed.append(chunk)
+                at_mixed.append(k)
+        low = self.rules.normal("\n".join(letters)).split("\n") if letters else []
+        for chunk, k, word in zip(letters, at_letters, low, strict=True):
+            if not word.isalpha():  # a letter became a letter and a mark
+                special[k] = self.rules.words.findall(word)
+        number = self.words.__getitem__
+        counts = np.ones(len(self.chunks.fresh), np.int64)
+        marked = np.fromiter(map(number, self.rules.words_of(mixed)), np.int64)
+        ends = np.flatnonzero(marked == END)
+        counts[at_mixed] = np.diff(np.append(-1, ends)) - 1
+        for k, parts in special.items():
+            counts[k] = len(parts)
+        numbers = np.zeros(int(counts.sum()), np.int64)
+        starts = np.cumsum(counts) - counts
+        plain = np.array([k for k in at_letters if k not in special] if special else at_letters, np.int64)
+        words = [w for w, k in zip(low, at_letters) if k not in special] if special else low
+        numbers[starts[plain]] = np.fromiter(map(number, words), np.int64, len(words))
+        numbers[ragged(starts[at_mixed], counts[at_mixed])] = marked[marked != END]
+        for k, parts in special.items():
+            numbers[starts[k] : starts[k] + len(parts)] = [number(w) for w in parts]
         if self.words.fresh:
             self.words.settle(*self.encode(self.words.fresh))
-        flat, lengths = self.words.ids(np.array(numbers, np.int64))
+        flat, lengths = self.words.ids(numbers)
         self.chunks.settle(flat, np.diff(_sums(lengths, counts)))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ends): the ids of text k are flat[ends[k] : ends[k + 1]]."""
-        if len(self.chunks) > HELD:
+        if len(self.chunks) > self.held:
             self.chunks.wipe()
+        if len(self.words) > self.held:
             self.words.wipe()
+            self.words["\n"] = END
         numbers, counts = [], []
         for text in texts:
             parts = chunks_of(text)

@@ -11,6 +11,7 @@ next to each other, ordered by text; a null id comes first; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from itertools import chain
@@ -23,28 +24,33 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sightline.llm.chunks import ChunkIds, Rules, checked_vocabulary
-from sightline.llm.common import scratch_path, texts_of
+from sightline.llm.common import scratch_path, texts_of, worker_store
 
-ROWS = "part int, doc_id long, start long, n_tokens long, ids array<int>"
-
-_held: dict[int, ChunkIds] = {}
+#: Words that are encoded as one text, and chunks and words whose ids a worker keeps (about 180 bytes each).
+LINE = 64
+WORKER_HELD = 800_000
 
+ROWS = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 
 def library_ids(raw: str) -> ChunkIds:
     """Ids by the tokenizers library, made once per worker."""
-    key = hash(raw)
-    if key not in _held:
-        _held.clear()
+    held, key = worker_store(), hashlib.sha256(raw.encode()).hexdigest()
+    if held.get("library", ("",))[0] != key:
         # Words come normalised by the rules; normalising them again could change them.
         library = Tokenizer.from_str(json.dumps(json.loads(raw) | {"normalizer": None}))
 
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+            # 64 words a text: the library numbers the words of a text, and none is cut in two.
+            lines = [" ".join(words[k : k + LINE]) for k in range(0, len(words), LINE)]
+            found = library.encode_batch(lines, add_special_tokens=False)
+            ids = [e.ids for e in found]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(counts.sum())
+            number = np.fromiter(chain.from_iterable(e.word_ids for e in found), np.int64, total) + np.repeat(np.arange(len(ids)) * LINE, counts)
+            return np.fromiter(chain.from_iterable(ids), np.int32, total), np.bincount(number, minlength=len(words))
 
-        _held[key] = ChunkIds(Rules(raw), encode)
-    return _held[key]
+        held["library"] = key, ChunkIds(Rules(raw), encode, WORKER_HELD)
+    return held["library"][1]
 
 
 def encoded_rows(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,9 +59,9 @@ def encoded_rows(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(stream):
-        part, start = TaskContext.get().partitionId(), 0
+        part, start, store = TaskContext.get().partitionId(), 0, library_ids(raw.value)
         for batch in (whole.slice(k, 256) for whole in stream for k in range(0, len(whole), 256)):
-            flat, ends = library_ids(raw.value).ids(texts_of(batch.column(1)))
+            flat, ends = store.ids(texts_of(batch.column(1)))
             flat = np.insert(flat, ends[1:], end_id)
             ends = ends + np.arange(len(ends))
             counts = np.diff(ends)

@@ -143,6 +143,10 @@ class Merges:
         return " ".join(map(self.text.__getitem__, ids.tolist()))
 
 
+#: Chunks and words whose ids a task keeps (about 180 bytes each).
+TASK_HELD = 100_000
+
+
 def merges_of(raw: str) -> tuple[Merges, ChunkIds]:
     """The tables of a vocabulary, made once per worker, and an empty store of chunks.
 
@@ -152,7 +156,7 @@ def merges_of(raw: str) -> tuple[Merges, ChunkIds]:
     if held.get("merges", ("",))[0] != key:
         held["merges"] = key, Merges(raw)
     made = held["merges"][1]
-    return made, ChunkIds(made.rules, made.encode_words)
+    return made, ChunkIds(made.rules, made.encode_words, TASK_HELD)
 
 
 def bpe_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

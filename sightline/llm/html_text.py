@@ -8,14 +8,17 @@ Where a page marks its article, lines of the article always pass the threshold a
 outside weigh nothing.
 
 Defined cases: null or empty html gives an empty text; html without any tag is one line;
-unclosed elements end where an article begins or the page ends; repeated rows get equal
-texts; pages of any length are read whole; other columns are never read.
+unclosed furniture ends where an article begins or the page ends; what is left out whole
+(titles, lists of options, drawings, templates) ends at its own end tag, or where that is
+missing, at the next tag of a block; an unclosed script or style ends with the page; repeated
+rows get equal texts; pages of any length are read whole; other columns are never read.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +30,24 @@ from sightline.llm.common import batches, texts_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object|head|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>"
     r"|</?(?P<odd>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# Left out whole: in the first three a tag is plain text; the others may hold their like.
+RAW_TEXT = frozenset("title textarea iframe".split())
+RAW = RAW_TEXT | frozenset("noscript template select svg object".split())
+BOUND = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?:(?P<name>title|textarea|iframe|noscript|template|select|svg|object)"
+    r"|address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header"
+    r"|hgroup|hr|html|li|main|menu|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>])[^>]*>",
+    re.S | re.I,
+)
 NAME_PART = re.compile(r"[A-Za-z]+")
 
 INLINE = frozenset(
@@ -65,7 +79,7 @@ class LineBlocks:
 def is_furniture(name: str, rest: str) -> bool:
     if name in FURNITURE:
         return True
-    if not rest or name in ("html", "body"):
+    if not rest or name in ("html", "head", "body"):
         return False
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -81,6 +95,51 @@ def is_furniture(name: str, rest: str) -> bool:
     return False
 
 
+class RawEnds:
+    """Where each element of RAW ends: behind its own end tag, or if that is missing, at the next tag of a block."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.pairs: dict[int, int] | None = None
+        self.blocks: list[int] = []
+
+    def of(self, name: str, start: int, end: int) -> int:
+        """End of the element ``name`` whose opening tag is ``page[start:end]``."""
+        if name == "svg" and self.page[end - 2] == "/":
+            return end
+        if self.pairs is None:
+            # Most hold neither a block nor their like: the first tag that matters is their end tag.
+            for m in BOUND.finditer(self.page, end):
+                found = (m.group("name") or "").lower()
+                if found == name and m.group("end"):
+                    return m.end()
+                if found == name or (m.group("end") is not None and not found):
+                    break
+            self._pair()
+        if start in self.pairs:
+            return self.pairs[start]
+        k = bisect_left(self.blocks, end)
+        return self.blocks[k] if k < len(self.blocks) else len(self.page)
+
+    def _pair(self) -> None:
+        """Gives each opening tag of the page its end tag; one without gets none."""
+        self.pairs = {}
+        still: dict[str, list[tuple[int, int]]] = {name: [] for name in RAW}
+        for m in BOUND.finditer(self.page):
+            if m.group("end") is None:
+                continue
+            name = (m.group("name") or "").lower()
+            if not name:
+                self.blocks.append(m.start())
+            elif m.group("end"):
+                if still[name]:
+                    self.pairs[still[name].pop()[0]] = m.end()
+            elif name == "svg" and m.group().endswith("/>"):
+                continue
+            elif name not in RAW_TEXT or not still[name] or still[name][-1][1] < len(self.blocks):
+                still[name].append((m.start(), len(self.blocks)))
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters inside links, whether in an article) of each line; furniture is left out."""
     lines: list[tuple[str, int, bool]] = []
@@ -106,7 +165,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 linked += len(piece)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    raw_ends = RawEnds(page)
+    while (m := TOKEN.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
         name = m.group("name") or m.group("odd")
@@ -114,6 +174,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         name = name.lower()
         opening = not (m.group("end") or page[m.start() + 1] == "/")
+        if opening and name in RAW:
+            at = raw_ends.of(name, m.start(), at)
+            continue
         if skipped:
             # Furniture ends with its own end tag, or where an article begins; a header inside an article keeps its headings.
             if name == skipped:

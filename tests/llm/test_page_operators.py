@@ -37,6 +37,27 @@ def test_main_text():
         assert main_text(page or "", SPEC) == want, page
 
 
+UNCLOSED = [
+    (f"<html><head><title>t</title><body><article><p>{LEAD}</p></article></html>", LEAD),
+    (f"<html><head><meta charset=x><title>t<link rel=y><body><article><p>{LEAD}</p><svg><title>i</title></svg><p>End.</p></article></html>", f"{LEAD} End."),
+    (f"<head><title>t</title><style>p{{}}</style><p>{LEAD}</p>", LEAD),
+    *((f"<body><{n} class=x>a b<article><p>{LEAD}</p></article>", LEAD) for n in ("title", "noscript", "template", "textarea", "select", "svg", "iframe", "object")),
+    *((f"<{n}>a<article><p>{LEAD}</p><{n}>b<i>c</i></{n}><p>End.</p></article>", f"{LEAD} End.") for n in ("noscript", "select", "svg", "textarea", "object")),
+    (f"<article><p>{LEAD}<noscript><img src=x></p><p>Two.</p></article><article><p>End.</p></article>", f"{LEAD} Two. End."),
+    (f"<nav><svg><path></nav><p>{LEAD}</p>", LEAD),
+    (f"<article><p>one<svg class=x /></p><p>{LEAD}</p><svg><g><svg><p>x</p></svg></g>y</svg></article>", f"one {LEAD}"),
+    (f"<article><title-card>one</title-card><select-box>two</select-box><p>{LEAD}</p></article>", f"one two {LEAD}"),
+    (f"<noscript><p>closed</p><article>no</article></noscript><title>The <p> and <title> tags</title><textarea><article></textarea><article>{LEAD}</article>", LEAD),
+    (f"<article>{LEAD}</article><script>never closed <article>no</article>", LEAD),
+]
+
+
+def test_unclosed_elements_do_not_take_the_page():
+    for page, want in UNCLOSED:
+        assert main_text(page, SPEC) == want, page
+    assert main_text("<svg><p>x</p>" * 20_000 + f"<article>{LEAD}</article>", SPEC) == LEAD
+
+
 def test_line_blocks_cut_what_nothing_marks():
     body = "".join(f"<p>{prose(random.Random(k), 30)}</p>" for k in range(5))
     links = "".join(f"<div><a href=x>{prose(random.Random(k), 4)}</a></div>" for k in range(6))

@@ -7,6 +7,12 @@ the sum passes a threshold and dives where it falls to nothing; what lies betwee
 Where a page marks its article, lines of the article always pass the threshold and lines
 outside weigh nothing.
 
+A class or id names furniture by the last part of one of its words, place and number aside
+('sidebar', 'main-menu', 'related-posts', but not 'related-work'), unless the word speaks of
+the page's layout ('with-sidebar'). A block that holds most of the page's text outside links
+is no furniture by such a name; adverts, consents and comments are, since they may well be
+longer than the text. Elements whose end tag may be left out end as HTML says.
+
 Defined cases: null or empty html gives an empty text; html without any tag is one line;
 unclosed furniture ends where an article begins or the page ends; what is left out whole
 (titles, lists of options, drawings, templates) ends at its own end tag, or where that is
@@ -64,6 +70,26 @@ WORDS = frozenset(
     "subscription share sharing social related comment comments disqus respond replies login signup search widget pagination pager "
     "toolbar gdpr".split()
 )
+# Named for what they are, not for their place: these may be longer than the text.
+LONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr comment comments disqus respond replies".split()
+)
+COMMENT = frozenset(("comment", "comments"))
+# Parts of a class that say where or how furniture stands, and parts that speak of the layout around it.
+PLACES = frozenset(
+    "left right top bottom upper lower first second third primary secondary main inner outer small large mobile desktop area bar block box "
+    "button buttons column container form group holder icon icons inner item items link links list module outer panel post posts section slot "
+    "stories story strip unit wrap wrapper".split()
+)
+LAYOUT = frozenset("with without no not has have layout page content".split())
+# Elements whose end tag may be left out: the opening tags that end them, and the elements that may hold their like.
+ROWS = frozenset("tbody thead tfoot".split())
+SIBLINGS = {
+    "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option", "optgroup")),
+    "td": frozenset(("td", "th", "tr")) | ROWS, "th": frozenset(("td", "th", "tr")) | ROWS, "tr": frozenset(("tr",)) | ROWS,
+    "tbody": ROWS, "thead": ROWS, "tfoot": ROWS,
+}
+HOLDERS = frozenset("ul ol menu dir dl table datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
@@ -76,23 +102,36 @@ class LineBlocks:
     most_links: float = 0.5
 
 
-def is_furniture(name: str, rest: str) -> bool:
+def named(value: str, words: frozenset[str]) -> bool:
+    """Whether one word of a class or id names furniture out of ``words``."""
+    for token in value.split():
+        parts = NAME_PART.findall(token)
+        if words.isdisjoint(parts) or not LAYOUT.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and parts[-1] in PLACES and parts[-1] not in words:
+            parts.pop()
+        if parts[-1] in words:
+            return True
+    return False
+
+
+def furniture(name: str, rest: str) -> int:
+    """0: the element is no furniture; 1: it is by its class or id, unless it holds most of the text; 2: it is."""
     if name in FURNITURE:
-        return True
+        return 2
     if not rest or name in ("html", "head", "body"):
-        return False
+        return 0
+    found = 0
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
-            return True
+            return 2
         if key in ("class", "id"):
-            parts = NAME_PART.findall(value)
-            if name in ARTICLE:
-                if "comment" in parts or "comments" in parts:
-                    return True
-            elif not WORDS.isdisjoint(parts):
-                return True
-    return False
+            if named(value, COMMENT if name in ARTICLE else LONG_WORDS):
+                return 2
+            if name not in ARTICLE and named(value, WORDS):
+                found = 1
+    return found
 
 
 class RawEnds:
@@ -140,6 +179,51 @@ class RawEnds:
                 still[name].append((m.start(), len(self.blocks)))
 
 
+def large_blocks(page: str, raw_ends: RawEnds) -> set[int]:
+    """Where the elements begin that are furniture by class or id, but hold most of the page's text outside links."""
+    total = in_link = at = 0
+    stack: list[tuple[str, int, int]] = []
+    places: dict[str, list[int]] = {}
+    held: list[tuple[int, int]] = []
+
+    def last(names: frozenset[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def end(k: int) -> None:
+        while len(stack) > k:
+            name, start, before = stack.pop()
+            places[name].pop()
+            if start >= 0:
+                held.append((start, total - before))
+
+    while (m := TOKEN.search(page, at)) is not None:
+        if not in_link:
+            total += len("".join(page[at : m.start()].split()))
+        at = m.end()
+        name = (m.group("name") or m.group("odd") or "").lower()
+        opening = not (m.group("end") or page[m.start() + 1] == "/")
+        if name == "a":
+            in_link = max(0, in_link + (1 if opening else -1))
+        elif opening and name in RAW:
+            at = raw_ends.of(name, m.start(), at)
+        elif name and name not in VOID:
+            if opening:
+                enders = [n for n, opened in SIBLINGS.items() if name in opened and places.get(n)]
+                if enders:
+                    outer = last(HOLDERS)
+                    over = [k for n in enders for k in places[n][-1:] if k > outer]
+                    if over:
+                        end(min(over))
+                places.setdefault(name, []).append(len(stack))
+                stack.append((name, m.start() if furniture(name, m.group("rest") or "") == 1 else -1, total))
+            elif places.get(name):
+                end(places[name][-1])
+    if not in_link:
+        total += len("".join(page[at:].split()))
+    end(0)
+    return {start for start, n in held if 2 * n > total}
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters inside links, whether in an article) of each line; furniture is left out."""
     lines: list[tuple[str, int, bool]] = []
@@ -147,6 +231,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     linked = 0
     in_link = article = 0
     skipped, depth, heading = "", 0, 0
+    inside: dict[str, int] = {}
+    large: set[int] | None = None
 
     def close() -> None:
         nonlocal linked
@@ -157,6 +243,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.clear()
         linked = 0
 
+    def is_article(name: str, m: re.Match) -> bool:
+        return name in ARTICLE and not furniture(name, m.group("rest") or "")
+
     def add(piece: str) -> None:
         nonlocal linked
         if piece and (not skipped or heading):
@@ -179,17 +268,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if skipped:
             # Furniture ends with its own end tag, or where an article begins; a header inside an article keeps its headings.
-            if name == skipped:
+            if skipped in SIBLINGS:
+                # Its end tag may be missing: a sibling's opening tag or the end tag of an element around it ends it too.
+                nested = any(inside.get(h) for h in HOLDERS)
+                if not opening and name == skipped and not nested:
+                    close()
+                    skipped, heading = "", 0
+                    continue
+                if name in INLINE or name in VOID or name == "p":
+                    continue
+                if opening:
+                    if (nested or name not in SIBLINGS[skipped]) and not is_article(name, m):
+                        inside[name] = inside.get(name, 0) + 1
+                        continue
+                elif inside.get(name):
+                    inside[name] -= 1
+                    continue
+                elif nested and name in SIBLINGS:
+                    continue
+                close()
+                skipped, heading = "", 0
+            elif name == skipped:
                 depth += 1 if opening else -1
                 if depth <= 0 or (skipped == "p" and opening):
                     close()
                     skipped, heading = "", 0
                 continue
-            if skipped == "header" and article and name in HEADING:
+            elif skipped == "header" and article and name in HEADING:
                 close()
                 heading = int(opening)
                 continue
-            if not (name in ARTICLE and opening and not is_furniture(name, m.group("rest") or "")) and not (skipped == "p" and name not in INLINE and name not in VOID):
+            elif not (opening and is_article(name, m)) and not (skipped == "p" and name not in INLINE and name not in VOID):
                 continue
             close()
             skipped, heading = "", 0
@@ -199,9 +308,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
             close()
         if opening:
-            if name not in VOID and is_furniture(name, m.group("rest") or ""):
+            sort = 0 if name in VOID else furniture(name, m.group("rest") or "")
+            if sort == 1 and large is None:
+                large = large_blocks(page, raw_ends)
+            if sort == 2 or (sort == 1 and m.start() not in large):
                 close()
-                skipped, depth = name, 1
+                skipped, depth, inside = name, 1, {}
                 continue
             if name in ARTICLE:
                 article += 1

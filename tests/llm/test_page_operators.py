@@ -52,6 +52,36 @@ UNCLOSED = [
 ]
 
 
+TAIL = "The last paragraph, which is just as long as the first, ends it."
+NAMED = [
+    *((f"<body><p>Top of it all</p><div {c}><h1>T</h1><p>{LEAD}</p><p>{TAIL}</p></div></body>", f"Top of it all T {LEAD} {TAIL}")
+      for c in ("class='layout with-sidebar'", "class=no-sidebar", "id=content-menu-left", "class=sidebar", "class=widget", "id='modal'")),
+    *((f"<article><p>{LEAD}</p><section class='{c}'><p>{TAIL}</p></section><p>It ends after this line, which is longer than all that stands before it in the story, so no block holds most of the text.</p></article>",
+       f"{LEAD} {TAIL} It ends after this line, which is longer than all that stands before it in the story, so no block holds most of the text.")
+      for c in ("related-work", "share-price", "search_results", "has-ads x", "layout-menu")),
+    (f"<article class='post no-comments'><p>{LEAD}</p></article>", LEAD),
+    *((f"<article><p>{LEAD}</p><div class='{c}'>Out.</div><p>End.</p></article>", f"{LEAD} End.")
+      for c in ("sidebar-left", "x main-menu", "related-posts", "ad_slot2", "share-buttons", "comment-list", "cookie-notice", "post-related-links")),
+    (f"<p>{LEAD}</p><div class=ad>{TAIL} {TAIL}</div><section id=comments>{TAIL}<p>{TAIL}</section>", LEAD),
+    (f"<div class=sidebar><div class=menu><p>{LEAD}</p><p>{TAIL}</p></div><ul class=related><li>a</ul></div>", f"{LEAD} {TAIL}"),
+    *((f"<article><{h}><{n} class=related>no<i>x</i><{n}>yes</{h}><p>{LEAD}</p></article>", f"yes {LEAD}")
+      for h, n in (("ul", "li"), ("dl", "dd"), ("dl", "dt"), ("table", "tr"), ("table", "td"), ("table", "th"), ("table", "tbody"), ("datalist", "option"))),
+    *((f"<article><ul><li class=related>no{e}</ul><p>{LEAD}</p></article>", LEAD) for e in ("", "</li>", "<ul><li>no<li>no</ul>", "<ul><li>no</li></ul></li>", "<ol><li>no<li>no</ol></li>", "<div>no</div>", "<p>no</p>")),
+    (f"<article><ul><li class=ad>no<ul><li>no</ul><li>yes<li class=ad>no</ul><p>{LEAD}</p></article>", f"yes {LEAD}"),
+    (f"<article><table><tr><td class=sidebar>no<table><tr><td>no<td>no</table><td>yes</table><dl><dt class=ad>no<dd>yes</dl><p>{LEAD}</article>", f"yes yes {LEAD}"),
+    (f"<div><li class=ad>no</div><p>{LEAD}</p>", LEAD),
+    (f"<ul><li class=ad>no<article><p>{LEAD}</p></article>", LEAD),
+]
+
+
+def test_names_and_left_out_end_tags_do_not_take_the_text():
+    for page, want in NAMED:
+        assert main_text(page, SPEC) == want, page
+    deep = "<div class=sidebar>" * 20_000
+    assert main_text(f"{deep}<p>{LEAD}</p>", SPEC) == LEAD
+    assert main_text("<ul>" + "<li class=menu>x<li>y" * 20_000, SPEC).startswith("y y y")
+
+
 def test_unclosed_elements_do_not_take_the_page():
     for page, want in UNCLOSED:
         assert main_text(page, SPEC) == want, page

@@ -1,7 +1,8 @@
 """Quality rules, line first: each line is judged by itself, failing lines go, and a
 document that loses too much of its text goes as a whole.
 
-A line without a word never fails. Defined cases: a null text is an empty text; an empty
+A line without a word never fails. A phrase of page furniture fails a line only where the
+phrases cover enough of its words, so a paragraph that mentions one stays. Defined cases: a null text is an empty text; an empty
 text has no words and fails the base rule; rows are judged one by one, so repeated rows
 get equal verdicts; columns other than the two named ones are neither read nor harmed.
 """
@@ -27,6 +28,14 @@ BOILERPLATE = (
     "lorem ipsum", "privacy policy", "sign up for our newsletter", "skip to content", "subscribe to our", "terms of use",
 )
 
+# The words of the usual filler paragraph; they count as covered where its first two stand.
+FILLER = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad "
+    "minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate "
+    "velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim "
+    "id est laborum".split()
+)
+
 SEPARATORS = {"|", "»", "›", ">", "<", "/", "·", "•", "::", "->", "→"}
 SHOUT = re.compile(r"[!?]{2,}$")
 
@@ -41,6 +50,7 @@ class QualityRules:
     symbol_word: float = 0.3
     separator: float = 0.2
     shout: float = 0.5
+    boilerplate: float = 0.15
     max_lost: float = 0.3
 
 
@@ -83,8 +93,13 @@ def line_fault(line: str, rules: QualityRules) -> str | None:
         if sum(1 for w in words if SHOUT.search(w)) > rules.shout * n:
             return "punctuation"
     low = line.lower()
-    if any(p in low for p in BOILERPLATE):
-        return "boilerplate"
+    found = [p for p in BOILERPLATE if p in low]
+    if found:
+        covered = sum(low.count(p) * len(p.split()) for p in found if p != "lorem ipsum")
+        if "lorem ipsum" in found:
+            covered += sum(1 for w in low.split() if w.strip(".,;:!?\"'()") in FILLER)
+        if covered > rules.boilerplate * n:
+            return "boilerplate"
     return None
 
 

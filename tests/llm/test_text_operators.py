@@ -45,6 +45,22 @@ def test_quality_filter_cleans_and_rejects(spark):
     assert quality_filter(df.limit(0)).count() == 0
 
 
+def test_a_phrase_does_not_take_a_long_line(spark):
+    rng = random.Random(12)
+    first, second = (plain.prose(rng, 400) for _ in range(2))
+    lorem = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
+    one_line = [f"{plain.prose(rng, 400)} {x} {plain.prose(rng, 400)}" for x in ("click here", "our Privacy Policy, our terms of use", "the words lorem ipsum")]
+    short = ["All rights reserved.", "Copyright 2024 Example Company, all rights reserved.", "Please enable JavaScript to view the comments on it.", "You accept our terms of use and privacy policy by reading on", lorem]
+    texts = [*one_line, "\n".join(one_line), *(f"{first}\n{x}\n{second}" for x in short), lorem]
+    df = plain.documents(spark, texts)
+    got = {r["doc_id"]: r["text"] for r in quality_filter(df).collect()}
+    assert [got.get(i) for i in range(4)] == texts[:4]
+    assert [got.get(i) for i in range(4, 4 + len(short))] == [f"{first}\n{second}"] * len(short)
+    assert len(texts) - 1 not in got
+    report = {r["doc_id"]: (r["n_failed_lines"], r["lost_chars"], r["kept"]) for r in quality_report(df).collect()}
+    assert [report[i] for i in range(4)] == [(0, 0, True)] * 4
+
+
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_contamination(spark, limit):
     rng = random.Random(9)

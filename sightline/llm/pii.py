@@ -293,23 +293,35 @@ def windows(text: str, starts: list[int], spec: TaggerSpec) -> np.ndarray:
 
 
 def reconciled(length: int, starts: list[int], paths: np.ndarray, spec: TaggerSpec) -> list[tuple[str, int, int]]:
-    """Spans from the tags of all windows: each character takes the tag of its deepest window."""
+    """Spans from the tags of all windows: each character takes the tag of its deepest window.
+
+    Of equally deep windows the earlier one counts. 'Outside' is a tag like the others, so the
+    spans of a passage depend on the windows over it alone.
+    """
+    marks = paths.any(1)
+    if not marks.any():
+        return []
+    # Only windows that overlap one with a mark can settle anything.
+    at = np.array(starts, np.int64)
+    marked = at[marks]
+    k = np.searchsorted(marked, at)
+    near = (marked[np.minimum(k, len(marked) - 1)] - at < spec.window) & (k < len(marked)) | (k > 0) & (at - marked[np.maximum(k, 1) - 1] < spec.window)
     depth = np.minimum(np.arange(spec.window), np.arange(spec.window)[::-1])
-    tags: dict[int, tuple[int, int]] = {}
-    for s, path in zip(starts, paths, strict=True):
-        marked = np.flatnonzero(path) if not tags else range(spec.window)
-        for k in marked:
-            p = s + int(k)
-            if p < length and (p not in tags or depth[k] > tags[p][0]):
-                tags[p] = (int(depth[k]), int(path[k]))
+    deepest, tags = np.full(length, -1, np.int32), np.zeros(length, np.int8)
+    for w in np.flatnonzero(near):
+        over = slice(starts[w], min(starts[w] + spec.window, length))
+        n = over.stop - over.start
+        better = depth[:n] > deepest[over]
+        deepest[over][better] = depth[:n][better]
+        tags[over][better] = paths[w, :n][better]
     spans, kind, begun, last = [], None, 0, -2
-    for p in sorted(tags):
-        tag = tags[p][1]
-        here = None if tag == 0 else KINDS[(tag - 1) // 2]
+    for p in np.flatnonzero(tags).tolist():
+        tag = int(tags[p])
+        here = KINDS[(tag - 1) // 2]
         if kind is not None and (here != kind or p != last + 1 or tag % 2 == 1):
             spans.append((kind, begun, last + 1))
             kind = None
-        if here is not None and kind is None:
+        if kind is None:
             kind, begun = here, p
         last = p
     if kind is not None:

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from sightline.llm.decontamination import contamination, drop_contaminated
 from sightline.llm.ngram_join import JoinSpec, keep_first, ngram_components
-from sightline.llm.pii import Tagger, TaggerSpec, base_spans, mask_pii, pii_report, tagged_spans, training_windows, trained_tagger
+from sightline.llm.pii import Tagger, TaggerSpec, base_spans, mask_pii, pii_report, reconciled, tagged_spans, training_windows, trained_tagger
 from sightline.llm.quality_rules import quality_filter, quality_report
 from tests.llm import helpers as plain
 
@@ -133,6 +134,33 @@ def test_tagger_learns_held_out_spans():
     assert sum(b in f for t, f in zip(held, found) for b in plain.personal_data(t)) >= 0.9 * len(held)
 
 
+def test_deepest_window_decides_from_the_first_mark_on():
+    spec = TaggerSpec()
+
+    def paths(marks, n):
+        out = np.zeros((n, spec.window), np.int64)
+        for w, a, b in marks:
+            out[w, a:b] = 2
+            out[w, a] = 1
+        return out
+
+    late = paths([(1, 1, 9)], 2)
+    assert reconciled(200, [0, 32], late, spec) == []
+    # The same passage behind another hit, and with the hit behind it.
+    assert reconciled(400, [0, 192, 224], paths([(0, 5, 12), (2, 1, 9)], 3), spec) == [("email", 5, 12)]
+    assert reconciled(400, [0, 32, 300], paths([(1, 1, 9), (2, 5, 12)], 3), spec) == [("email", 305, 312)]
+    assert reconciled(200, [0, 32], paths([(0, 33, 41)], 2), spec) == [("email", 33, 41)]
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        starts = sorted(rng.choice(20, 6, replace=False) * spec.stride)
+        length = int(starts[-1]) + int(rng.integers(1, 64))
+        tags = rng.integers(0, 9, (6, spec.window)) * (rng.random((6, 1)) < 0.5)
+        best = [max(((min(p - s, s + 63 - p), -w, w) for w, s in enumerate(starts) if s <= p < s + 64), default=None) for p in range(length)]
+        flat = [0 if b is None else int(tags[b[2], p - starts[b[2]]]) for p, b in enumerate(best)]
+        inside = {p for _, a, b in reconciled(length, [int(s) for s in starts], tags, spec) for p in range(a, b)}
+        assert inside == {p for p, t in enumerate(flat) if t}
+
+
 def test_tagger_gradients():
     import numpy as np
 

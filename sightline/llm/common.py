@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline import session
 from sightline.session import scratch_path
 
-__all__ = ["table", "written", "checkpointed", "scratch_path", "texts_of", "batches", "utf8", "ragged", "worker_store"]
+__all__ = ["table", "written", "checkpointed", "scratch_path", "texts_of", "batches", "utf8", "ragged", "worker_store", "spread_join"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +76,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def worker_store() -> dict:
     """A dict that lasts as long as the Python worker, from one task to the next."""
     return sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__
+
+
+HOT_SHARE = 256
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``many`` joined with ``one``, whose keys are unique and whose ``weight`` counts the rows of
+    ``many`` that have the key; ``total`` is their sum or more.
+
+    A key with a 256th of all rows or more would fill one task. There are at most 256 such keys,
+    so their rows of ``one`` are broadcast; the rest is shuffled. ``one`` should be a stored table.
+    """
+    hot = F.col(weight) * HOT_SHARE >= F.lit(total)
+    above, below = F.broadcast(one.where(hot)), one.where(~hot)
+    left = many.join(above.select(key), key, "left_anti").join(below, key)
+    return many.join(above, key).unionByName(left)

@@ -6,14 +6,20 @@
 2. Several independent trees stand over all classes. In a node of a tree a class chooses
    ``branches`` of its minwise tokens and follows each of them to a child. Classes that choose
    the same token meet there; a child with one class is nothing to look at.
-3. Leaders: the classes of each node are streamed in an order of their own. A class goes with
-   the leader it agrees with best, or becomes a leader. The pairs (class, best leader) are
-   confirmed on full sets and give first components, so a big group of near copies
-   costs about its size.
+3. Leaders: the classes of each node are streamed in an order of their own. A node's first
+   classes give its leaders, the most central ones first; every class goes with the leader of
+   another component that it agrees with best. The pairs (class, best leader) are confirmed on
+   full sets and give components, in ``rounds`` rounds, so a group of near copies costs
+   about its size.
 4. Nodes whose classes are all of one component are done. Of the others, nodes of at most
    ``node`` classes are compared exhaustively, across components only; larger ones branch again,
-   with further tokens. What is still large after ``depth`` levels is compared block by block.
-   Pairs that agree enough in the sketch are confirmed on full sets.
+   by further tokens. Where a sketch agrees enough with one of another component, the class
+   is held against the full sets of that component, part by part. Pairs are not written out:
+   a class has one row per component that it meets, and one link per part where it has any.
+5. After ``depth`` levels what is still large, families of texts that are alike without being
+   linked, branches once more in a way that loses nothing: a class follows all of its rarest
+   tokens, so many that a linked class must share one (rare by a counting sketch of fixed size,
+   which shapes only the order). Nodes that are large even then are compared block by block.
 
 Recall. A linked pair (similarity 0.85 or more) fails to meet in a tree with a chance of at most
 0.031 at any depth (the fixed point of q = (0.15 + 0.85 q)^2, two branches), so in all of
@@ -42,10 +48,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, spread_join, utf8, written
+from sightline.llm.common import checkpointed, ragged, spread_join, utf8, written
 from sightline.llm.components import components
+from sightline.llm.ngram_join import BITS, BLOCK_BITS, ngram_set, packed, unpacked
+from sightline.llm.ngram_join import _gathered as gathered
 from sightline.llm.ngram_join import _Hashes as Hashes
-from sightline.llm.ngram_join import ngram_set, packed
 
 SETS_SEEN = 100_000
 PROBES = 1024
@@ -55,16 +62,19 @@ PROBES = 1024
 class PathSpec:
     """``percent`` is the least similarity, ``sketch`` the number of minwise values, ``miss`` the chance
     that the sketch turns down a linked pair; a node has at most ``node`` classes to be compared
-    exhaustively, a streamed node ``leaders`` leaders at a time."""
+    exhaustively, a streamed node ``leaders`` leaders, a verifying task holds about ``held`` tokens."""
 
     size: int = 3
     percent: int = 85
     trees: int = 5
     branches: int = 2
-    sketch: int = 128
+    sketch: int = 256
     node: int = 256
-    depth: int = 6
+    depth: int = 2
     leaders: int = 64
+    rounds: int = 2
+    counter_bits: int = 20
+    held: int = 1 << 19
     miss: float = 1e-7
     seed: int = 11
 
@@ -171,62 +181,100 @@ def _branched(spec: PathSpec, roots: bool):
 
 
 def _led(spec: PathSpec):
-    """Streams rows sorted by node; gives (cid, leader, score) of the best leader so far.
+    """Streams rows (node, comp, cid, n, sketch) sorted by node; gives (cid, leader, score): the leader of
+    another component that a class agrees with best.
 
-    Held: the node's leaders, at most ``leaders`` of them, each a sketch.
+    Held: the first ``node`` classes of a node, then its leaders.
     """
     schema = pa.schema([("cid", pa.int64()), ("leader", pa.int64()), ("score", pa.int32())])
     least = spec.agreement()
 
+    def sizes_fit(a, b):
+        return 100 * np.minimum(a, b) >= spec.percent * np.maximum(a, b)
+
+    def chosen(comp, n, sketch):
+        """Places of the leaders: again and again the class that most others agree with."""
+        alike = np.empty((len(n), len(n)), bool)
+        for k in range(len(n)):
+            alike[k] = sizes_fit(n, n[k]) & (np.count_nonzero(sketch == sketch[k], axis=1) >= least)
+        degree, free, out = alike.sum(axis=1), np.ones(len(n), bool), []
+        while len(out) < spec.leaders and free.any():
+            best = int(np.where(free, degree, -1).argmax())
+            out.append(best)
+            gone = alike[best] & free
+            gone[best] = True
+            free &= ~gone
+            degree = degree - alike[:, gone].sum(axis=1)
+        return np.array(out)
+
+    def met(rows, leaders):
+        comp, cid, n, sketch = leaders
+        found = []
+        for c, i, size, raw in rows:
+            near = np.flatnonzero((comp != c) & sizes_fit(n, size))
+            if len(near):
+                score = np.count_nonzero(sketch[near] == np.frombuffer(raw, np.uint8), axis=1)
+                best = int(score.argmax())
+                if score[best] >= least:
+                    found.append((i, int(cid[near[best]]), int(score[best])))
+        return found
+
+    def first(rows):
+        comp, cid, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, spec.sketch)
+        if len(set(comp.tolist())) < 2 and len(rows) < spec.node:
+            return None, []
+        lead = chosen(comp, n, sketch)
+        leaders = comp[lead], cid[lead], n[lead], sketch[lead]
+        return leaders, met(rows, leaders)
+
     def run(stream):
-        at, held = None, 0
-        ids, sizes = np.zeros(spec.leaders, np.int64), np.zeros(spec.leaders, np.int64)
-        sketches = np.zeros((spec.leaders, spec.sketch), np.uint8)
+        at, rows, leaders = None, [], None
         for whole in stream:
             found = []
-            for node, cid, n, raw in zip(*(c.to_pylist() for c in whole.columns), strict=True):
-                sketch = np.frombuffer(raw, np.uint8)
+            for node, *row in zip(*(c.to_pylist() for c in whole.columns), strict=True):
                 if node != at:
-                    at, held = node, 0
-                if held:
-                    near = (100 * np.minimum(sizes[:held], n) >= spec.percent * np.maximum(sizes[:held], n)).nonzero()[0]
-                    if len(near):
-                        score = np.count_nonzero(sketches[near] == sketch, axis=1)
-                        best = int(score.argmax())
-                        if score[best] >= least:
-                            found.append((cid, int(ids[near[best]]), int(score[best])))
-                            continue
-                if held < spec.leaders:
-                    ids[held], sizes[held], sketches[held] = cid, n, sketch
-                    held += 1
+                    if rows:
+                        found += first(rows)[1]
+                    at, rows, leaders = node, [], None
+                if leaders is not None:
+                    found += met([row], leaders)
+                    continue
+                rows.append(row)
+                if len(rows) == spec.node:
+                    leaders, some = first(rows)
+                    found += some
+                    rows = []
             columns = list(zip(*found)) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+        found = first(rows)[1] if rows else []
+        columns = list(zip(*found)) if found else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return run
 
 
 def _compared(spec: PathSpec):
-    """Streams rows (node, comp, cid, n, sketch) sorted by node; gives pairs (a, b) of different
-    components that agree enough. Held: one node."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Streams rows (node, comp, cid, n, sketch) sorted by node; gives (cid, met): a class and another
+    component of which some class agrees enough with it. Held: one node."""
+    schema = pa.schema([("cid", pa.int64()), ("met", pa.int64())])
     least = spec.agreement()
 
-    def pairs(rows):
+    def meetings(rows):
         comp, cid, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, spec.sketch)
-        labels, kind, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        _, kind, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         a, b = [], []
-        if len(labels) > 1:
-            # Rows outside the largest component, each against those after it and all of that component.
-            order = np.argsort(sizes[kind], kind="stable")
-            comp, cid, n, sketch = comp[order], cid[order], n[order], sketch[order]
-            for k in range(len(cid) - int(sizes.max())):
-                rest = slice(k + 1, None)
-                fit = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= spec.percent * np.maximum(n[rest], n[k]))
-                near = np.flatnonzero(fit) + k + 1
-                near = near[np.count_nonzero(sketch[near] == sketch[k], axis=1) >= least]
-                a += [int(cid[k])] * len(near)
-                b += cid[near].tolist()
+        # Rows outside the largest component, each against those after it and all of that component.
+        order = np.argsort(sizes[kind], kind="stable")
+        comp, cid, n, sketch = comp[order], cid[order], n[order], sketch[order]
+        for k in range(len(cid) - int(sizes.max())):
+            rest = slice(k + 1, None)
+            fit = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= spec.percent * np.maximum(n[rest], n[k]))
+            near = np.flatnonzero(fit) + k + 1
+            found = np.unique(comp[near[np.count_nonzero(sketch[near] == sketch[k], axis=1) >= least]])
+            a += [int(cid[k])] * len(found)
+            b += found.tolist()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     def run(stream):
@@ -234,59 +282,82 @@ def _compared(spec: PathSpec):
         for batch in stream:
             for node, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if node != at and rows:
-                    yield pairs(rows)
+                    yield meetings(rows)
                     rows = []
                 at = node
                 rows.append(row)
         if rows:
-            yield pairs(rows)
+            yield meetings(rows)
 
     return run
 
 
 def _confirmed(spec: PathSpec):
-    """Streams (block, chunk, role, cid, digest, text) sorted by block, chunk and role: the target's set
-    is held while probes pass; linked pairs are given out."""
+    """Streams (met, part, chunk, role, cid, digest, text) sorted by these: the sets of a part of a
+    component are held while probes pass. A probe is given out with the first class of
+    the part that it is linked with, which is enough, since the part's classes are one component."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(stream):
         known = Hashes()
-        at, target, target_id = None, None, None
+        at, targets, index = None, {}, None
         for whole in stream:
             a, b = [], []
             for k in range(0, len(whole), 64):
                 part = whole.slice(k, 64)
-                ints = [part.column(c).to_pylist() for c in range(5)]
-                for block, chunk, role, cid, digest, text in zip(*ints, utf8(part.column(5)), strict=True):
-                    if (block, chunk) != at:
-                        at, target = (block, chunk), None
+                columns = [part.column(c).to_pylist() for c in range(6)]
+                for met, block, chunk, role, cid, digest, text in zip(*columns, utf8(part.column(6)), strict=True):
+                    if (met, block, chunk) != at:
+                        at, targets, index = (met, block, chunk), {}, None
                     tokens = ngram_set(text.lower().split(), spec.size, known)
                     if xxhash.xxh3_128_digest(packed(tokens)) != digest:
                         continue  # another row with the same id
                     if role == 0:
-                        target, target_id = tokens, cid
-                    elif target is not None:
-                        small, large = sorted((tokens, target), key=len)
-                        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int(np.count_nonzero(large[place] == small))
-                        if 100 * both >= spec.percent * (len(small) + len(large) - both):
-                            a.append(cid)
-                            b.append(target_id)
+                        targets[cid] = tokens
+                        continue
+                    if not targets:
+                        continue
+                    if index is None:
+                        ids, sizes = np.array(list(targets)), np.array([len(t) for t in targets.values()])
+                        every, owner = np.concatenate(list(targets.values())), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+                        order = np.argsort(every, kind="stable")
+                        index, targets = (every[order], owner[order]), dict.fromkeys(targets)
+                    left, right = np.searchsorted(index[0], tokens), np.searchsorted(index[0], tokens, "right")
+                    both = np.bincount(index[1][ragged(left, right - left)], minlength=len(ids))
+                    hit = np.flatnonzero((100 * both >= spec.percent * (sizes + len(tokens) - both)) & (ids != cid))
+                    if len(hit):
+                        a.append(cid)
+                        b.append(int(ids[hit[0]]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: PathSpec) -> DataFrame:
-    """The distinct ``pairs`` (a, b) whose full sets are similar enough."""
-    chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("chunks"))
-    targets = chunks.select(F.col("b").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("b").alias("cid"))
-    probes = pairs.join(chunks, "b").select(
-        F.col("b").alias("block"), F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("a").alias("cid")
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with their component so far; a class without links is its own."""
+    rows = rows.withColumn("comp", F.col("cid")) if labels is None else rows.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    return rows.select("node", "comp", "cid", "n", "sketch")
+
+
+def _verified(meetings: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, spec: PathSpec) -> DataFrame:
+    """Links (a, b): for each distinct (cid, met) a class of the component ``met`` that it is linked with.
+
+    ``members`` has (met, cid, n). A component is cut into parts of about ``held`` tokens.
+    """
+    counts = meetings.groupBy("met").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("chunks"))
+    asked = checkpointed(members.groupBy("met").agg(F.ceil(F.sum("n") / spec.held).cast("int").alias("parts"), F.count("*").alias("size")).join(counts, "met"))
+    total = asked.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("chunks"), F.lit(0))).first()
+    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part")
+    targets = spread_join(members.select("met", "cid"), asked, "met", "size", max(total[0], 1)).select(
+        "met", part, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "cid"
+    )
+    probes = spread_join(meetings, asked, "met", "chunks", max(total[1], 1)).select(
+        "met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"),
+        F.lit(1).alias("role"), "cid",
     )
     rows = targets.unionByName(probes).join(classes.select("cid", "first_id", "digest"), "cid")
-    rows = rows.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select("block", "chunk", "role", "cid", "digest", "text")
-    dealt = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "role")
+    rows = rows.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select("met", "part", "chunk", "role", "cid", "digest", "text")
+    dealt = rows.repartition("met", "part", "chunk").sortWithinPartitions("met", "part", "chunk", "role")
     return dealt.mapInArrow(_confirmed(spec), "a long, b long")
 
 
@@ -315,43 +386,59 @@ def path_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(spread_join(slim, _shared(slim), "node", "size", total).join(sketches, "cid").select("node", "cid", "n", "sketch"), "path-members")
 
     # Leaders.
-    order = F.xxhash64("cid", F.lit(spec.seed))
-    streamed = members.withColumn("turn", order).repartitionByRange("node", "turn").sortWithinPartitions("node", "turn")
-    led = streamed.select("node", "cid", "n", "sketch").mapInArrow(_led(spec), "cid long, leader long, score int")
-    best = checkpointed(led.groupBy("cid").agg(F.max(F.struct("score", "leader")).alias("best")).select(F.col("cid").alias("a"), F.col("best.leader").alias("b")))
-    first = checkpointed(_verified(best, classes, docs, spec))
-    labels = checkpointed(components(first).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
+    links, tried, labels = None, None, None
+    for turn in range(spec.rounds):
+        named = _named(members, labels)
+        streamed = named.withColumn("turn", F.xxhash64("cid", F.lit(spec.seed + turn))).repartitionByRange("node", "turn").sortWithinPartitions("node", "turn")
+        led = streamed.select("node", "comp", "cid", "n", "sketch").mapInArrow(_led(spec), "cid long, leader long, score int")
+        best = led.groupBy("cid").agg(F.max(F.struct("score", "leader"))["leader"].alias("met"))
+        pairs = best.select(F.least("cid", "met").alias("cid"), F.greatest("cid", "met").alias("met")).distinct()
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["cid", "met"], "left_anti"))
+        leaders = pairs.select("met").distinct().join(classes.select(F.col("cid").alias("met"), "n"), "met").select("met", F.col("met").alias("cid"), "n")
+        linked = checkpointed(_verified(pairs, leaders, classes, docs, spec))
+        links = linked if links is None else links.unionByName(linked)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = checkpointed(components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
 
     # Across components: small nodes at once, larger ones down their trees.
-    level, pairs = members, []
-    for depth in range(spec.depth + 1):
-        named = level.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        stats = named.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        open_nodes = checkpointed(stats.where("low != high").select("node", "size"))
-        small = named.join(open_nodes.where(F.col("size") <= spec.node), "node").select("node", "comp", "cid", "n", "sketch")
-        pairs.append(written(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), "a long, b long"), "path-pairs"))
-        large = open_nodes.where(F.col("size") > spec.node)
-        found = large.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        if not found:
+    level, met = members, []
+    for depth in range(spec.depth + 2):
+        named = _named(level, labels)
+        stats = named.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"))
+        stats = stats.select("node", "size", F.col("top.k").alias("top"), F.col("top.comp").alias("main")).where("top < size")
+        # Classes of a large node that is mostly one component are held against that as a whole.
+        main = F.when((F.col("size") > spec.node) & (2 * F.col("top") > F.col("size")), F.col("main"))
+        open_nodes = checkpointed(stats.select("node", "size", main.alias("main"), F.when(main.isNull(), F.col("size")).otherwise(F.col("size") - F.col("top")).alias("left")))
+        total = max(open_nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], 1)
+        opened = spread_join(named, open_nodes, "node", "size", total).where("main IS NULL OR comp != main")
+        met.append(opened.where("main IS NOT NULL").select("cid", F.col("main").alias("met")))
+        small = opened.where(F.col("left") <= spec.node).select("node", "comp", "cid", "n", "sketch")
+        met.append(written(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), "cid long, met long"), "path-met"))
+        large = open_nodes.where(F.col("left") > spec.node)
+        if large.isEmpty():
             break
-        wide = spread_join(named, large, "node", "size", found)
-        if depth == spec.depth:
-            pairs.append(written(_by_blocks(wide, spec), "path-pairs"))
+        wide = opened.where(F.col("left") > spec.node)
+        if depth > spec.depth:
+            met.append(written(_by_blocks(wide, spec), "path-met"))
             break
-        sigs = wide.select("node", "cid").join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
-        children = written(sigs.mapInArrow(_branched(spec, roots=False), "node long, cid long").distinct(), "path-children")
+        if depth == spec.depth:
+            branches = _rarest(wide.select("cid").distinct(), classes, docs, spec)
+        else:
+            sigs = wide.select("node", "cid").join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
+            branches = sigs.mapInArrow(_branched(spec, roots=False), "node long, cid long").distinct()
+        children = written(branches, "path-children")
         level = written(
-            spread_join(children, _shared(children), "node", "size", found * spec.branches).join(sketches, "cid").select("node", "cid", "n", "sketch"),
+            spread_join(children, _shared(children), "node", "size", max(children.count(), 1)).join(sketches, "cid").select("node", "cid", "n", "sketch"),
             "path-members",
         )
 
-    met = pairs[0]
-    for more in pairs[1:]:
-        met = met.unionByName(more)
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    tried = best.select(low.alias("a"), high.alias("b"))
-    second = _verified(checkpointed(met.select(low.alias("a"), high.alias("b")).distinct().join(tried, ["a", "b"], "left_anti")), classes, docs, spec)
-    final = components(first.unionByName(second))
+    rest = met[0]
+    for more in met[1:]:
+        rest = rest.unionByName(more)
+    rest = checkpointed(rest.distinct())
+    sizes = classes.select("cid", "n").join(labels, "cid", "left").select(F.coalesce("comp", "cid").alias("met"), "cid", "n")
+    asked = sizes.join(rest.select("met").distinct(), "met", "left_semi")
+    final = components(links.unionByName(_verified(rest, asked, classes, docs, spec)))
 
     joined = classes.select("cid", "digest", "first_id", "copies").join(final.withColumnRenamed("node", "cid"), "cid", "left")
     joined = joined.withColumn("component", F.coalesce("component", "cid"))
@@ -368,16 +455,62 @@ def path_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _rarest(wanted: DataFrame, classes: DataFrame, docs: DataFrame, spec: PathSpec) -> DataFrame:
+    """(node, cid): each wanted class at all of its rarest tokens, enough that a linked class shares one."""
+    schema = pa.schema([("cid", pa.int64()), ("tokens", pa.binary())])
+    wide, shift = 1 << BLOCK_BITS, np.uint64(BITS - spec.counter_bits)
+
+    def read(stream):
+        known = Hashes()
+        for whole in stream:
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
+                sets = [packed(ngram_set(t.lower().split(), spec.size, known)) for t in utf8(batch.column(2))]
+                same = [xxhash.xxh3_128_digest(x) == d for x, d in zip(sets, batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema).filter(pa.array(same, pa.bool_()))
+
+    def count(stream):
+        counts = np.zeros(1 << spec.counter_bits, np.int32)
+        for batch in stream:
+            for data in batch.column(0).to_pylist():
+                np.add.at(counts, (unpacked(data) >> shift).astype(np.int64), 1)
+        parts = counts.reshape(-1, min(wide, len(counts)))
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([parts[k].astype("<i4").tobytes() for k in used], pa.binary())], names=["block", "data"])
+
+    rows = wanted.join(classes.select("cid", "first_id", "digest"), "cid").join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id")
+    sets = written(rows.select("cid", "digest", "text").mapInArrow(read, "cid long, tokens binary"), "path-sets")
+    total = np.zeros(1 << spec.counter_bits, np.int64).reshape(-1, min(wide, 1 << spec.counter_bits))
+    for block, part in gathered(sets.select("tokens").mapInArrow(count, "block long, data binary"), "<i4", np.add).items():
+        total[block] = part
+    often = sets.sparkSession.sparkContext.broadcast(total.ravel())
+
+    def follow(stream):
+        for whole in stream:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                nodes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for cid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    tokens = unpacked(data)
+                    kept = len(tokens) + (-spec.percent * len(tokens)) // 100 + 1
+                    order = np.lexsort((tokens, often.value[(tokens >> shift).astype(np.int64)]))[:kept]
+                    nodes.append(mixed(tokens[order]).astype(np.int64))
+                    ids.append(np.full(kept, cid, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(ids))], names=["node", "cid"])
+
+    return sets.mapInArrow(follow, "node long, cid long").distinct()
+
+
 def _by_blocks(wide: DataFrame, spec: PathSpec) -> DataFrame:
-    """Pairs of nodes that branching did not cut down: every two blocks of a node's rows meet once."""
+    """Meetings in nodes that branching did not cut down: every two blocks of a node's rows meet once."""
     half = max(spec.node // 2, 1)
-    blocks = F.ceil(F.col("size") / half).cast("int")
+    blocks = F.ceil(F.col("left") / half).cast("int")
     rows = wide.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(spec.seed)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).select(
         F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "comp", "cid", "n", "sketch"
     )
-    return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), "a long, b long")
+    return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), "cid long, met long")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: PathSpec | None = None) -> DataFrame:

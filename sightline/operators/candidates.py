@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.text import basename, stamp
-from sightline.operators import kernels
-from sightline.operators.greedy import greedy_keep
 from sightline.operators.similarity import similarity_topk
 from sightline.params import CANDIDATE_QUALITY, CANDIDATE_STATUS
+from sightline.session import checkpointed
 from sightline.sources.tables import encode_embedding, json_list
 
+LOG = logging.getLogger(__name__)
+
 
 def create_candidates(tracks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Candidate and first-image rows of unknown tracks.
@@ -70,25 +75,51 @@ def review_queue(
     )
 
 
+def first_independent(
+    rows: DataFrame, row_id: str, order: str, floor: float, embedding: str = "embedding", **options
+) -> DataFrame:
+    """The rows that a walk in order (then id) keeps when it drops each row that is at least
+    ``floor`` similar to a kept one.
+
+    Resolved in rounds over all tasks: a row without an open earlier rival is kept, and kept rows
+    strike out their rivals. Only the best rival of a row is ever written down. The number of
+    rounds is the length of the longest chain of rivals, not of the table; each round
+    compares the rows still open. Equal vectors are one row from the start.
+    """
+    vec = F.col(embedding).cast("array<double>")
+    slim = rows.where(F.col(embedding).isNotNull()).select(row_id, order, vec.alias("embedding"))
+    nth = F.row_number().over(W.partitionBy("embedding").orderBy(order, row_id))
+    left = checkpointed(slim.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
+    kept, number, n_open = [], 0, left.count()
+    while n_open:
+        rivals = similarity_topk(left, left, row_id, row_id, 1, floor, label=row_id, earlier=order, **options)
+        marked = checkpointed(left.join(rivals.select(row_id, F.lit(True).alias("_rival")), row_id, "left"))
+        free = marked.where("_rival IS NULL").drop("_rival")
+        kept.append(free)
+        held = marked.where("_rival").drop("_rival")
+        struck = similarity_topk(held, free, row_id, row_id, 1, floor, label=row_id, earlier=order, **options)
+        left = checkpointed(held.join(struck.select(row_id), row_id, "left_anti"))
+        number, before, n_open = number + 1, n_open, left.count()
+        LOG.info("round %d: %d of %d rows still open", number, n_open, before)
+    chosen = reduce(DataFrame.unionByName, kept, left.limit(0)).select(row_id)
+    return rows.join(chosen, row_id, "left_semi")
+
+
 def merge_candidates(
     tracks: DataFrame, row_id: str, order: str, threshold: float = 0.75, embedding: str = "embedding", **options
 ) -> DataFrame:
     """Candidate of each unknown track: in time order a track joins the most similar
     open candidate above ``threshold``, else it opens one.
 
-    The openers are a greedy keep in order of time, then id; every other track is then
-    looked up among the openers before it in that order.
+    The openers are the rows that a walk in order of time, then id, would keep; every other
+    track is then looked up among the openers before it in that order.
     """
     above = threshold + 1e-12
-    vec = F.col(embedding).cast("array<double>")
-    rows = tracks.withColumn("_all", F.lit(0))
-    openers = greedy_keep(
-        rows, ["_all"], [F.asc(order), F.asc(row_id)], vec, kernels.VectorConflict(above), row_id, **options
-    )
+    openers = checkpointed(first_independent(tracks, row_id, order, above, embedding, **options))
     rest = tracks.join(openers.select(row_id), row_id, "left_anti")
     joined = similarity_topk(
         rest, openers, row_id, row_id, 1, above, query_vec=embedding, gallery_vec=embedding, label=row_id,
-        earlier=order,
+        earlier=order, **options,
     )
     opened = openers.select(row_id, F.col(row_id).alias("candidate"), F.lit(1.0).alias("similarity"))
     return opened.unionByName(joined.select(row_id, F.col("match_id").alias("candidate"), "similarity"))

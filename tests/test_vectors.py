@@ -1,11 +1,12 @@
 """Similarity join, greedy keep and box joins against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import kernels
-from sightline.operators.candidates import merge_candidates
+from sightline.operators.candidates import first_independent, merge_candidates
 from sightline.operators.greedy import deduplicate, fill_buffer, greedy_keep, suppress_boxes
 from sightline.operators.overlap import iou_pairs, overlap_pairs
 from sightline.operators.similarity import lsh_topk, similarity_topk
@@ -132,7 +133,7 @@ def test_merge_candidates(spark, block):
         else:
             openers.append(i)
             want[i] = i
-    got = merge_candidates(df, "id", "id", 0.5, block_rows=block, lanes=3)
+    got = merge_candidates(df, "id", "id", 0.5, block_rows=block)
     assert {r.id: r.candidate for r in got.collect()} == want
 
 
@@ -206,3 +207,21 @@ def test_merge_with_equal_times(spark, block):
             want[i] = i
     got = merge_candidates(df, "id", "t", threshold=0.75, block_rows=block)
     assert {r["id"]: r["candidate"] for r in got.collect()} == want
+
+
+def test_one_group_of_100_000_rows_settles_in_rounds(spark, caplog):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(1500, 12))
+    rows = (centres[rng.integers(0, 1500, 100_000)] + 0.2 * rng.normal(size=(100_000, 12))).round(4)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    kept = np.zeros((100_000, 12))
+    places = []
+    for i, v in enumerate(unit):  # the plain walk
+        if not len(places) or (kept[: len(places)] @ v).max() < 0.9:
+            kept[len(places)] = v
+            places.append(i)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(100_000), "embedding": list(rows)}), "id long, embedding array<double>").repartition(8)
+    with caplog.at_level("INFO"):
+        got = [r["id"] for r in first_independent(df, "id", "id", 0.9).select("id").collect()]
+    assert sorted(got) == places
+    assert 2 <= sum("round" in m for m in caplog.messages) < 40

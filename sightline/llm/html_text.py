@@ -9,7 +9,8 @@ outside weigh nothing.
 
 A class or id names furniture by the last part of one of its words, place and number aside
 ('sidebar', 'main-menu', 'related-posts', but not 'related-work'), unless the word speaks of
-the page's layout ('with-sidebar'). A block that holds most of the page's text outside links
+the page's layout ('with-sidebar'); 'header' names the page's head outside articles only. Attributes
+are read as whole names and values, left to right. A block that holds most of the page's text outside links
 is no furniture by such a name; adverts, consents and comments are, since they may well be
 longer than the text. Elements whose end tag may be left out end as HTML says.
 
@@ -42,7 +43,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# One attribute after the other: a whole name, and its value as one piece, so neither is found inside another's.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?")
 # Left out whole: in the first three a tag is plain text; the others may hold their like.
 RAW_TEXT = frozenset("title textarea iframe".split())
 RAW = RAW_TEXT | frozenset("noscript template select svg object".split())
@@ -68,8 +70,11 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs masthead footer cookie cookies consent notice notices popup modal overlay newsletter subscribe "
     "subscription share sharing social related comment comments disqus respond replies login signup search widget pagination pager "
-    "toolbar gdpr".split()
+    "toolbar gdpr copyright disclaimer legal alert alerts topbar colophon".split()
 )
+# Names the page's head outside an article only, and not the head of a text.
+HEAD = frozenset(("header",))
+TEXT_PARTS = frozenset("article entry post section story title chapter".split())
 # Named for what they are, not for their place: these may be longer than the text.
 LONG_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr comment comments disqus respond replies".split()
@@ -116,7 +121,8 @@ def named(value: str, words: frozenset[str]) -> bool:
 
 
 def furniture(name: str, rest: str) -> int:
-    """0: the element is no furniture; 1: it is by its class or id, unless it holds most of the text; 2: it is."""
+    """0: the element is no furniture; 1: it is by its class or id, unless it holds most of the text; 2: it is;
+    3: as 1, but only outside articles."""
     if name in FURNITURE:
         return 2
     if not rest or name in ("html", "head", "body"):
@@ -131,6 +137,8 @@ def furniture(name: str, rest: str) -> int:
                 return 2
             if name not in ARTICLE and named(value, WORDS):
                 found = 1
+            elif not found and name not in ARTICLE and any(named(t, HEAD) and TEXT_PARTS.isdisjoint(NAME_PART.findall(t)) for t in value.split()):
+                found = 3
     return found
 
 
@@ -215,7 +223,7 @@ def large_blocks(page: str, raw_ends: RawEnds) -> set[int]:
                     if over:
                         end(min(over))
                 places.setdefault(name, []).append(len(stack))
-                stack.append((name, m.start() if furniture(name, m.group("rest") or "") == 1 else -1, total))
+                stack.append((name, m.start() if furniture(name, m.group("rest") or "") in (1, 3) else -1, total))
             elif places.get(name):
                 end(places[name][-1])
     if not in_link:
@@ -309,6 +317,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close()
         if opening:
             sort = 0 if name in VOID else furniture(name, m.group("rest") or "")
+            if sort == 3:
+                sort = 0 if article else 1
             if sort == 1 and large is None:
                 large = large_blocks(page, raw_ends)
             if sort == 2 or (sort == 1 and m.start() not in large):

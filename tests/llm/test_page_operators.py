@@ -220,3 +220,31 @@ def test_chat_across_batches(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = read_segments(format_segments(df)).collect()
     assert {(r["conv_id"], r["n_turns"], r["n_faults"]) for r in got} == {(c, 12, 0) for c in range(5)}
+
+
+TEXT = "The council met on Monday and agreed on a plan for the bridge over the river, which had been closed since spring."
+ATTRIBUTES = [
+    'style="overflow:hidden"', 'title="a hidden gem"', 'data-id="ad-12"', 'onclick="el.hidden=true"', 'data-role="navigation"', 'data-class="menu"',
+    'aria-hidden="false"', "data-x='id=\"menu\" hidden'", "data-hidden=1 class=body", 'xid="sidebar"', 'style = "a" data-a = "class=ad"',
+]
+
+
+@pytest.mark.parametrize("attribute", ATTRIBUTES)
+def test_names_inside_other_attributes_mean_nothing(attribute):
+    for page in ("<body><article><div {}><p>{}</p></div></article></body>", "<body><div {}><p>{}</p></div></body>", "<article><p {}>{}</p></article>"):
+        assert main_text(page.format(attribute, TEXT), LineBlocks()) == TEXT
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', "HIDDEN", 'aria-hidden="true"', "aria-hidden=true", 'role="navigation"', "class=cookies", 'class="x" id="sidebar"'])
+def test_real_attributes_count(attribute):
+    page = f"<body><article><div {attribute}><p>Other words</p></div><p>{TEXT}</p></article></body>"
+    assert main_text(page, LineBlocks()) == TEXT
+
+
+@pytest.mark.parametrize("name", ["header", "site-header", "copyright", "disclaimer", "legal", "alert", "alert-box"])
+def test_heads_and_feet_named_by_class(name):
+    for key in ("id", "class"):
+        page = f'<body><div {key}="{name}">The Daily Site, news from all over</div><div><p>{TEXT}</p><p>{TEXT}</p></div></body>'
+        assert main_text(page, LineBlocks()) == f"{TEXT} {TEXT}"
+    head = f'<body><article><div class="entry-header"><h1>Bridge</h1></div><div class="header"><h2>Plan</h2></div><p>{TEXT}</p></article></body>'
+    assert main_text(head, LineBlocks()) == f"Bridge Plan {TEXT}"

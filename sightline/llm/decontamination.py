@@ -4,8 +4,8 @@ Words are runs of digits, letters a-z (after lower-casing A-Z) and characters be
 A window is ``size`` consecutive words of a benchmark item; an item with fewer words, but
 not none, is one window. The hashes of the windows' first words (at most four) form the
 broadcast set; every document's words are scanned against it, and each hit is verified by
-comparing the whole window's words. A benchmark beyond ``set_limit`` windows is not
-broadcast: the scanned positions are then joined by a shuffle.
+comparing the whole window's words. A benchmark with more than ``set_limit`` windows, those
+of every item counted, is not broadcast: the scanned positions are then joined by a shuffle.
 
 Defined cases: a null text has no words and no hits; an item without words has no window;
 repeated rows each get their own, equal, result; items of equal text are all reported;
@@ -68,8 +68,9 @@ def contamination(
     ``ranges`` are merged word ranges [from, to), counted from 0.
     """
     windows = checkpointed(benchmark_windows(benchmark, size=size))
-    sizes = {r["anchor_length"]: r["n"] for r in windows.groupBy("anchor_length").agg(F.countDistinct("anchor").alias("n")).collect()}
-    small = sum(sizes.values()) <= set_limit
+    sizes = [r["anchor_length"] for r in windows.select("anchor_length").distinct().collect()]
+    # The broadcast table has a row per window of each item, so its rows are what is bounded.
+    small = windows.count() <= set_limit
     picked = docs.select(
         F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text_key"),
         word_array(F.col(text_col)).alias("_w"),

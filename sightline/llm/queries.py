@@ -17,7 +17,7 @@ from sightline.llm.ngram_join import ngram_components
 from sightline.llm.pii import pii_report
 from sightline.llm.quality_rules import quality_report
 from sightline.llm.token_files import tokens_round_trip
-from sightline.llm.url_filter import judged
+from sightline.llm.url_filter import judged, rule_labels
 from sightline.llm.warc import archive_round_trip
 from sightline.llm.whitening import whitened_components
 
@@ -123,10 +123,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_url_filter")
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("id"), F.greatest(1 - F.col("quality"), F.col("toxic")).cast("double").alias("bad")
-    )
-    return judged(table(spark, sf_dir, "pages"), labels, RULES)
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages, rule_labels(pages, RULES), RULES)
 
 
 OP8 = r"""

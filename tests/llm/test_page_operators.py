@@ -1,14 +1,16 @@
 """HTML text, WARC index, URL filter, chat formatting: awkward cases against plain versions."""
 
 import hashlib
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm.chat_format import Template, escape, format_segments, formatted, read_segments, unescape
 from sightline.llm.common import scratch_path
 from sightline.llm.html_text import LineBlocks, extract_text, main_text
-from sightline.llm.url_filter import judged
+from sightline.llm.url_filter import entropy, held_out_accuracy, judged, labelled_sample, rule_labels
 from sightline.llm.warc import ArchiveSpec, archive_round_trip, look_up, query_keys, read_records, reversed_host_key, write_archives, write_index
 from tests.llm.helpers import prose
 
@@ -248,3 +250,26 @@ def test_heads_and_feet_named_by_class(name):
         assert main_text(page, LineBlocks()) == f"{TEXT} {TEXT}"
     head = f'<body><article><div class="entry-header"><h1>Bridge</h1></div><div class="header"><h2>Plan</h2></div><p>{TEXT}</p></article></body>'
     assert main_text(head, LineBlocks()) == f"Bridge Plan {TEXT}"
+
+
+def test_entropy_reads_the_whole_text(spark):
+    texts = ["", None, "a", "aab", "é😀é", "http://" + "ab" * 400 + "c" * 900]
+
+    def bits(t):
+        return sum(t.count(c) / len(t) * -math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", entropy(F.col("t")).alias("b")).collect()
+    assert all(abs(r["b"] - bits(texts[r["i"]] or "")) < 1e-9 for r in got) and len(got) == len(texts)
+
+
+def test_trees_carry_the_rules_over(spark):
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    labels = rule_labels(pages, rules)
+    assert {r["bad"] for r in labels.collect()} == {0.0, 1.0}
+    right, constant = held_out_accuracy(labelled_sample(pages, labels))
+    assert right > 0.9 > constant
+    rest = judged(pages, labels, rules).where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in rest} == {"allow", "block"}
+    odd = pages.limit(3).selectExpr("page_id", "CAST(NULL AS STRING) AS url", "'x' AS suffix", "'y' AS segment", "1 AS n", "2 AS bad")
+    assert judged(odd, rule_labels(odd, rules), rules).count() == 3

@@ -10,6 +10,7 @@ from sightline.functions.geometry import box, min_side
 from sightline.functions.text import detection_id, is_known, overlay_quality
 from sightline.operators.match import consensus, match_entities
 from sightline.params import MatchParams, TrackParams
+from sightline.session import checkpointed
 
 
 def opening_window(
@@ -52,6 +53,7 @@ def recognise_tracks(
     gate: float = TrackParams().service_quality_gate, p: MatchParams = MatchParams(), **options,
 ) -> DataFrame:
     """One decision per track from its best row; a row below the quality gate is unknown."""
+    best = checkpointed(best)  # ranked once: it feeds the match and the rows without one
     gated = best.where(quality * 100 >= gate)
     found = match_entities(gated, gallery, row_id, gallery_id, p, **options)
     return best.join(found, row_id, "left").withColumn(

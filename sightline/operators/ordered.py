@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sightline.operators import kernels
+from sightline.session import checkpointed
 
 MICROS = 1_000_000
 BUCKET_GAPS = 32  # a bucket spans this many cooldown lengths at most
@@ -81,13 +82,25 @@ def cooldown(
     last *kept* row (more than ``seconds`` when ``strict``); ``order`` breaks ties.
 
     Two shuffles: a slim one of (key, time) that finds, per bucket, where each
-    possible first kept row leads, and one of the full rows that applies it.
+    possible first kept row leads, and one of the full rows that applies it. A bucket is no
+    narrower than two gaps; keys with more rows than a bucket should hold even then are
+    resolved by ``pointer_cooldown``.
     """
     gap = _micros(seconds) + (1 if strict else 0)
     if bucket_seconds:
         width = _micros(bucket_seconds)
     else:
-        width = fitting_width(df, keys, ts, max(BUCKET_GAPS * gap, MIN_BUCKET), max(2 * gap, MICROS))
+        least = max(2 * gap, MICROS)
+        width = fitting_width(df, keys, ts, max(BUCKET_GAPS * gap, MIN_BUCKET), least)
+        if width == least and gap > 0:
+            timed = _timed(df.where(F.col(ts).isNotNull()), ts, width)
+            crowded = timed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS)
+            crowded = checkpointed(crowded.select(_key_text(keys).alias("_k")).distinct())
+            if crowded.count():
+                marked = df.withColumn("_k", _key_text(keys))
+                usual = marked.join(crowded, "_k", "left_anti").drop("_k")
+                rest = cooldown(usual, keys, ts, seconds, order, strict, width / MICROS)
+                return rest.unionByName(pointer_cooldown(marked.join(crowded, "_k", "left_semi").drop("_k"), keys, ts, gap, order))
     timed = _timed(df.where(F.col(ts).isNotNull()), ts, width)
 
     steps_schema = _schema(df, keys, "_bucket long, _entry long, _exit long")
@@ -110,6 +123,59 @@ def cooldown(
     )
 
 
+def _key_text(keys: list[str]) -> Column:
+    return F.to_json(F.struct(*keys))
+
+
+def next_times(times: DataFrame, gap: int, width: int) -> DataFrame:
+    """(_k, _t, _next): of each distinct (_k, _t) the key's first time at least ``gap`` later, where there is one.
+
+    Times and the wishes ``_t + gap`` are dealt to cells of ``width`` and walked from late to early;
+    where a cell has no time left, the first one of the key's next cell that has any is it.
+    """
+
+    def cell(x: str) -> Column:
+        return F.expr(f"({x} - pmod({x}, {width}L)) div {width}L").alias("_cell")
+
+    rows = times.select("_k", cell("_t"), F.col("_t").alias("_x"), F.col("_t").alias("_own"), F.lit(None).cast("long").alias("_from"))
+    wish = times.withColumn("_x", F.col("_t") + gap).select("_k", cell("_x"), "_x", F.lit(None).cast("long").alias("_own"), F.col("_t").alias("_from"))
+    points = rows.unionByName(wish)
+    # Late ones first; at the same time a row comes before a wish, which it fulfils.
+    back = W.partitionBy("_k", "_cell").orderBy(F.desc("_x"), F.col("_own").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = points.withColumn("_inside", F.min("_own").over(back)).where("_from IS NOT NULL")
+    firsts = points.groupBy("_k", "_cell").agg(F.min("_own").alias("_first"))
+    beyond = W.partitionBy("_k").orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    later = firsts.select("_k", "_cell", F.min("_first").over(beyond).alias("_later"))
+    joined = found.join(later, ["_k", "_cell"])
+    return joined.select("_k", F.col("_from").alias("_t"), F.coalesce("_inside", "_later").alias("_next")).where("_next IS NOT NULL")
+
+
+def pointer_cooldown(df: DataFrame, keys: list[str], ts: str, gap: int, order: list[str]) -> DataFrame:
+    """``cooldown`` for keys with very many rows within a gap.
+
+    Every time points to the key's next possible kept time. Pointers are doubled: after k rounds
+    the first 2^k kept times of each key are known, so rounds grow with the logarithm of the
+    longest chain, and each is a join by (key, time), which no key fills.
+    """
+    timed = df.where(F.col(ts).isNotNull()).withColumn("_k", _key_text(keys)).withColumn("_t", F.unix_micros(F.col(ts)))
+    times = checkpointed(timed.select("_k", "_t").distinct())
+    width = fitting_width(times.withColumn("_ts", F.timestamp_micros("_t")), ["_k"], "_ts", gap, 1)
+    jump = checkpointed(next_times(times, gap, width))
+    kept = checkpointed(times.groupBy("_k").agg(F.min("_t").alias("_t")))
+    n = kept.count()
+    while n:
+        reached = kept.join(jump, ["_k", "_t"]).select("_k", F.col("_next").alias("_t"))
+        more = checkpointed(kept.unionByName(reached))
+        n, before = more.count(), n
+        if n == before:
+            break
+        kept = more
+        far = jump.select("_k", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        jump = checkpointed(jump.join(far, ["_k", "_next"]).select("_k", "_t", F.col("_far").alias("_next")))
+    nth = F.row_number().over(W.partitionBy("_k", "_t").orderBy(*order))
+    return timed.join(kept, ["_k", "_t"], "left_semi").withColumn("_n", nth).where("_n = 1").select(*df.columns)
+
+
 def smoothed_rate(
     df: DataFrame, keys: list[str], ts: str, order: list[str], keep: float = 0.9, bucket_seconds: float | None = None
 ) -> DataFrame:

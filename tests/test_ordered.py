@@ -112,3 +112,32 @@ def test_buckets_fit_the_rows(spark, monkeypatch, bound):
     want = sum(sum(1 for a, b in zip(v, v[1:]) if b - a > 20e6) + 1 for v in by_key.values())
     assert sessions(df, ["key"], "ts", 20).count() == want
     assert gaps(df, ["key"], "ts", 20).count() == want - len(by_key)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_long_gaps_of_crowded_keys(spark, monkeypatch, strict):
+    """A day's gap, a third and more of all rows on one key, and buckets that may hold 25 rows."""
+    rng = random.Random(31)
+    rows = [(i, "hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}", rng.randrange(20 * 86400) * 1_000_000) for i in range(1500)]
+    rows += [(2000 + i, "hot", 86400_000_000 * (i // 2)) for i in range(40)] + [(3000, None, 5)] + [(3001 + i, None, 7_000_000) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, key string, t long").select("id", "key", F.timestamp_micros(F.col("t") + BASE).alias("ts"))
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 25)
+    called, widths = [], []
+    whole, near = ordered.pointer_cooldown, ordered.next_times
+    monkeypatch.setattr(ordered, "pointer_cooldown", lambda *a: called.append(1) or whole(*a))
+    monkeypatch.setattr(ordered, "next_times", lambda times, gap, width: widths.append((times, width)) or near(times, gap, width))
+    kept = {r.id for r in cooldown(df, ["key"], "ts", 86400, ["id"], strict).collect()}
+    assert called and kept == fold([(i, k, t + BASE) for i, k, t in rows], 86400, strict)
+    times, width = widths[0]
+    fullest = times.groupBy("_k", F.expr(f"_t div {width}L")).count().agg(F.max("count")).first()[0]
+    assert fullest <= 25
+
+
+def test_next_times(spark):
+    rng = random.Random(32)
+    times = {("a", t) for t in rng.sample(range(3000), 200)} | {("b", 5), ("b", 2900)}
+    df = spark.createDataFrame(sorted(times), "_k string, _t long")
+    for gap, width in ((1, 7), (50, 20), (400, 1000), (2895, 3)):
+        got = {(r["_k"], r["_t"]): r["_next"] for r in ordered.next_times(df, gap, width).collect()}
+        want = {(k, t): min((u for j, u in times if j == k and u >= t + gap), default=None) for k, t in times}
+        assert got == {key: u for key, u in want.items() if u is not None}

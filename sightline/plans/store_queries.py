@@ -10,11 +10,12 @@ from sightline.functions import text as fx
 from sightline.functions import quality as fq
 from sightline.operators import candidates as cand
 from sightline.operators.enrolment import commit_sessions, target_lock
+from sightline.operators.inverted import build_index, search_index
 from sightline.operators.numbering import dense_ids
-from sightline.operators.similarity import lsh_topk
+from sightline.operators.similarity import lsh_topk, similarity_topk
 from sightline.params import EnrolParams
 from sightline.plans.catalog import CHECKS, query
-from sightline.plans.gallery_queries import enrol_pose
+from sightline.plans.gallery_queries import PAIRS, enrol_pose
 from sightline.plans.report_queries import KNOWN, ranged
 from sightline.session import scratch_path
 from sightline.sources import sinks, tables, views
@@ -135,6 +136,28 @@ def vector_topk_approx(spark, sf):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("vector_topk_index")
+def vector_topk_index(spark, sf):
+    index = build_index(views.gallery(spark, sf), "capture_id")
+    hits = search_index(index, views.probes(spark, sf), "capture_id", "capture_id", 5, 0.2)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vector_index_recall", check_sql(PAIRS + """
+SELECT count(*) AS hits, true AS exact, true AS enough FROM (
+  SELECT row_number() OVER (PARTITION BY pid ORDER BY sim DESC, gid) AS rn FROM pairs WHERE sim>=0.2) WHERE rn<=5""",
+    "probes", "gallery"))
+def vector_index_recall(spark, sf):
+    """The index against the full search: the number of true hits, whether each found pair has its
+    true similarity, and whether nine of ten true hits are found."""
+    full = similarity_topk(views.probes(spark, sf), views.gallery(spark, sf), "capture_id", "capture_id", 5, 0.2)
+    found = vector_topk_index(spark, sf).select("capture_id", "match_id", F.col("similarity").alias("near"))
+    joined = full.join(found, ["capture_id", "match_id"], "left")
+    hits, met = F.count(F.lit(1)), F.count("near")
+    wrong = F.count_if(F.abs(F.col("near") - F.col("similarity")) > 1e-5)
+    return joined.agg(hits.alias("hits"), (wrong == 0).alias("exact"), (met * 10 >= hits * 9).alias("enough"))
+
+
 def commit_tables(spark, sf):
     people = views.entities(spark, sf)
     registry = people.select("entity_id", "name", "department", F.lit(1).alias("gallery_version"))

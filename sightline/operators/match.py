@@ -21,7 +21,11 @@ def match_entities(
     the best equals the best single vector; only that one is looked up.
     Columns: probe id, ``entity_id`` ('unknown' below ``accept``), ``similarity``.
     """
-    hits = similarity_topk(probes, gallery, probe_id, gallery_id, 1, p.floor, **options)
+    return decided(probes, similarity_topk(probes, gallery, probe_id, gallery_id, 1, p.floor, **options), probe_id, p)
+
+
+def decided(probes: DataFrame, hits: DataFrame, probe_id: str, p: MatchParams = MatchParams()) -> DataFrame:
+    """The decision on each probe from its best hit, if it has one."""
     joined = probes.select(probe_id).join(hits, probe_id, "left")
     accepted = F.coalesce(F.col("similarity") >= p.accept, F.lit(False))
     return joined.select(

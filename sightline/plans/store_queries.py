@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from sightline.functions import text as fx
 from sightline.functions import quality as fq
 from sightline.operators import candidates as cand
+from sightline.operators import registry
 from sightline.operators.enrolment import commit_sessions, target_lock
 from sightline.operators.inverted import build_index, search_index
 from sightline.operators.numbering import dense_ids
+from sightline.operators.refresh import refresh_topk
 from sightline.operators.similarity import lsh_topk, similarity_topk
 from sightline.params import EnrolParams
 from sightline.plans.catalog import CHECKS, query
@@ -19,6 +21,7 @@ from sightline.plans.gallery_queries import PAIRS, enrol_pose
 from sightline.plans.report_queries import KNOWN, ranged
 from sightline.session import scratch_path
 from sightline.sources import sinks, tables, views
+from sightline.sources.versioned import KeyedTable
 from sightline.sources.views import AS_OF, check_sql
 
 
@@ -231,3 +234,40 @@ def target_lock_states(spark, sf):
     p = EnrolParams(lock_similarity=0.0, reacquire_similarity=0.05, duplicate_similarity=0.25, min_confidence=0.2)
     out = target_lock(rows, ["session"], "ts", p)
     return out.withColumn("similarity", F.round("similarity", 6)).withColumn("track", F.coalesce("track", F.lit(-1)))
+
+
+# The gallery before the change has the captures with a payload; then the blurred ones of it go and those without come in.
+AFTER = "NOT has_payload OR blur >= 30"
+
+
+@query("gallery_change", check_sql(f"""
+, pairs AS (SELECT p.capture_id AS pid, g.capture_id AS gid, g.entity_id AS ge,
+  list_cosine_similarity(p.embedding, g.embedding) AS sim FROM probes p CROSS JOIN gallery g WHERE {AFTER.replace("has_payload", "g.has_payload").replace("blur", "g.blur")})
+SELECT pid AS capture_id, gid AS match_id, ge AS match_label, round(sim,6) AS similarity, rn AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, gid) AS rn FROM pairs WHERE sim>=0.2) WHERE rn<=5""",
+    "probes", "gallery"))
+def gallery_change(spark, sf):
+    probes, rows = views.probes(spark, sf), views.gallery(spark, sf)
+    old = rows.where("has_payload")
+    path = scratch_path(spark, "hits")
+    similarity_topk(probes, old, "capture_id", "capture_id", 5, 0.2).write.parquet(path)
+    hits = refresh_topk(
+        spark.read.parquet(path), probes, rows.where(AFTER), rows.where("NOT has_payload"), old.where("blur < 30"),
+        "capture_id", "capture_id", 5, 0.2,
+    )
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("registry_rewrite", check_sql("""
+, changed AS (SELECT entity_id, id, name, role IN ('Blacklist') AS gone, department='BUILDING' AS hit FROM entities)
+SELECT entity_id, CASE WHEN hit THEN upper(name) ELSE name END AS name,
+  CAST(CASE WHEN hit THEN 2 ELSE 1 END AS INTEGER) AS gallery_version FROM changed WHERE NOT gone""", "entities"))
+def registry_rewrite(spark, sf):
+    people = views.entities(spark, sf)
+    table = KeyedTable(scratch_path(spark, "registry"), "entity_id")
+    table.create(people.selectExpr("entity_id", "name", "1 AS gallery_version"), 16)
+    changes = people.where("department = 'BUILDING'").selectExpr("entity_id", "upper(name) AS name")
+    table.rewrite(changes, lambda old: registry.upsert_entities(old, changes))
+    removed = people.where("role = 'Blacklist'")
+    table.rewrite(removed, lambda old: registry.cascade_delete(removed, entities=old)["entities"])
+    return table.read(spark)

@@ -1,19 +1,24 @@
 """Personal data: fixed patterns, and a character-level tagger beside them.
 
 The tagger is a bidirectional LSTM with CRF transitions in numpy, trained from labelled
-spans of the four kinds. It reads overlapping windows around every place of a text that
-has a digit or an at sign; each window is decoded by Viterbi, and where windows overlap
-each character takes its tag from the window in whose middle it lies deepest. Spans of the
-patterns always stay; the tagger adds spans that touch none of them.
+spans of the four kinds: those that the patterns find, and the same values in other writings
+that the patterns miss (``written_otherwise``). It reads overlapping windows around every place of
+a text that has a digit, an at sign or a bracketed "at"; each window is decoded by Viterbi, and where
+windows overlap each character takes its tag from the window in whose middle it lies deepest. Spans
+of the patterns always stay; the tagger adds spans that touch none of them and whose value
+is valid for their kind (``plausible``).
 
 Defined cases: a null or empty text has no spans; repeated rows get equal spans; texts of any
-length are read whole, a batch of windows at a time; other columns are never read. Characters
-without any trigger within reach cannot carry personal data of these kinds and are not tagged.
+length are read whole: windows are cut and decoded some thousand at a time, and a few bytes are kept
+for each character; other columns are never read. Characters without any trigger within reach
+cannot carry personal data of these kinds and are not tagged.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -31,7 +36,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 
 NUMBERS = re.compile(r"[0-9][0-9. -]*")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -87,21 +91,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the tagger ----
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-MARKS = "0@.+-_()% :/\n"
+MARKS = "0@.+-_()% :/\n[]{}"
 N_CHARS = 1 + len(LETTERS) + len(MARKS) + 3  # other, letters, marks, upper case, other letters, other spaces
 N_TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]")
 
 
 def char_codes(text: str) -> np.ndarray:
-    """Small codes of characters: one for all digits, one for all capitals."""
+    """Small codes of characters, a byte each: one for all digits, one for all capitals."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    table = _TABLE
-    return np.where(points < len(table), table[np.minimum(points, len(table) - 1)], N_CHARS - 2).astype(np.int64)
+    return _TABLE[np.minimum(points, len(_TABLE) - 1)]
 
 
 def _table() -> np.ndarray:
-    table = np.zeros(128, np.int64)
+    table = np.zeros(129, np.uint8)
     for k, c in enumerate(LETTERS):
         table[ord(c)] = 1 + k
         table[ord(c.upper())] = N_CHARS - 3
@@ -110,6 +113,7 @@ def _table() -> np.ndarray:
     table[ord("0") : ord("9") + 1] = table[ord("0")]
     for c in "\t\r\v\f":
         table[ord(c)] = N_CHARS - 1
+    table[128] = N_CHARS - 2  # all code points from here on
     return table
 
 
@@ -118,17 +122,21 @@ _TABLE = _table()
 
 @dataclass(frozen=True)
 class TaggerSpec:
-    """Window length and reach around a trigger, sizes of the net, and the bounded training:
-    at most ``sample`` labelled documents and ``steps`` batches."""
+    """Window length and reach around a trigger, sizes of the net, and the bounded training: at most
+    ``sample`` documents, ``spans`` spans of each in ``variants`` other writings, ``windows`` windows
+    of each with a span and as many without, and ``steps`` batches."""
 
     window: int = 64
     stride: int = 32
     embed: int = 8
-    hidden: int = 12
-    steps: int = 160
+    hidden: int = 16
+    steps: int = 300
     batch: int = 48
-    rate: float = 0.03
+    rate: float = 0.025
     sample: int = 2000
+    spans: int = 8
+    variants: int = 4
+    windows: int = 64
     seed: int = 7
 
 
@@ -251,7 +259,7 @@ class Tagger:
         losses = []
         for step in range(1, self.spec.steps + 1):
             pick = rng.integers(0, len(codes), self.spec.batch)
-            loss, grads = self.gradients(codes[pick], tags[pick])
+            loss, grads = self.gradients(codes[pick].astype(np.int64), tags[pick].astype(np.int64))
             losses.append(loss)
             rate = self.spec.rate * min(1.0, 4 * (1 - step / (self.spec.steps + 1)))
             for k, g in grads.items():
@@ -271,28 +279,31 @@ def span_tags(length: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return tags
 
 
-def window_starts(text: str, spec: TaggerSpec) -> list[int]:
+def window_starts(text: str, spec: TaggerSpec) -> np.ndarray:
     """Starts of the overlapping windows that cover every trigger with half a window to spare.
 
     Starts are multiples of the stride, so neighbouring triggers share windows.
     """
-    starts: list[int] = []
+    starts = array("q")
     for m in TRIGGER.finditer(text):
         low = max(0, (m.start() - spec.window + spec.stride // 2) // spec.stride * spec.stride)
         if starts and starts[-1] >= m.start() // spec.stride * spec.stride:
             continue
         for s in range(max(low, starts[-1] + spec.stride if starts else 0), m.start() // spec.stride * spec.stride + 1, spec.stride):
             starts.append(s)
-    return starts
+    return np.frombuffer(starts, np.int64)
 
 
-def windows(text: str, starts: list[int], spec: TaggerSpec) -> np.ndarray:
-    codes = np.zeros(len(text) + spec.window, np.int64)
-    codes[: len(text)] = char_codes(text)
-    return codes[np.array(starts, np.int64)[:, None] + np.arange(spec.window)[None]]
+def windows(text: str, starts: np.ndarray, spec: TaggerSpec) -> np.ndarray:
+    """Codes of the windows at ascending ``starts``; only the text from the first to the last is read."""
+    low, high = int(starts[0]), int(starts[-1]) + spec.window
+    codes = np.zeros(high - low, np.uint8)
+    read = char_codes(text[low:high])
+    codes[: len(read)] = read
+    return codes[np.asarray(starts, np.int64)[:, None] - low + np.arange(spec.window)[None]]
 
 
-def reconciled(length: int, starts: list[int], paths: np.ndarray, spec: TaggerSpec) -> list[tuple[str, int, int]]:
+def reconciled(length: int, starts: np.ndarray, paths: np.ndarray, spec: TaggerSpec) -> list[tuple[str, int, int]]:
     """Spans from the tags of all windows: each character takes the tag of its deepest window.
 
     Of equally deep windows the earlier one counts. 'Outside' is a tag like the others, so the
@@ -302,14 +313,14 @@ def reconciled(length: int, starts: list[int], paths: np.ndarray, spec: TaggerSp
     if not marks.any():
         return []
     # Only windows that overlap one with a mark can settle anything.
-    at = np.array(starts, np.int64)
+    at = np.asarray(starts, np.int64)
     marked = at[marks]
     k = np.searchsorted(marked, at)
     near = (marked[np.minimum(k, len(marked) - 1)] - at < spec.window) & (k < len(marked)) | (k > 0) & (at - marked[np.maximum(k, 1) - 1] < spec.window)
-    depth = np.minimum(np.arange(spec.window), np.arange(spec.window)[::-1])
-    deepest, tags = np.full(length, -1, np.int32), np.zeros(length, np.int8)
+    depth = np.minimum(np.arange(spec.window), np.arange(spec.window)[::-1]).astype(np.int8)  # windows have up to 256 characters
+    deepest, tags = np.full(length, -1, np.int8), np.zeros(length, np.int8)
     for w in np.flatnonzero(near):
-        over = slice(starts[w], min(starts[w] + spec.window, length))
+        over = slice(int(at[w]), min(int(at[w]) + spec.window, length))
         n = over.stop - over.start
         better = depth[:n] > deepest[over]
         deepest[over][better] = depth[:n][better]
@@ -332,22 +343,39 @@ def reconciled(length: int, starts: list[int], paths: np.ndarray, spec: TaggerSp
 #: Rows taken at a time, which bounds what is held besides the batch.
 STEP = 512
 
-#: Least digits of an added span, and longest added span: what the tagger adds is plausible by itself.
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 14, "phone": 7}
+# What an added span has to look like: all of it, whatever its separators.
+FORMS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+( ?(\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\.) ?[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9])+"),
+    "phone": re.compile(r"\+?\(?[0-9](?:[ ().\/-]{0,2}[0-9])+"),
+}
 
 
-def plausible(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
-    """A tagged span without outer white space, if it can be of its kind."""
+def plausible(text: str, kind: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """The spans of valid values in a tagged span: itself without outer white space or, where several numbers
+    in a row were tagged as one card, those of them that are cards. An ip has four parts of at most
+    255; a card 14 to 19 digits that pass the checksum; a phone 10 to 15, with a plus or separators."""
     while a < b and text[a].isspace():
         a += 1
     while b > a and text[b - 1].isspace():
         b -= 1
     piece = text[a:b]
-    if not piece or sum("0" <= c <= "9" for c in piece) < LEAST_DIGITS[kind] or (kind == "email" and "@" not in piece):
-        return None
-    if kind == "card" and not (14 <= len(_digits(piece)) <= 19 and luhn(_digits(piece))):
-        return None
-    return kind, a, b
+    if not FORMS[kind].fullmatch(piece) or a > 0 and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
+        return []
+    digits = _digits(piece)
+    if kind == "ip":
+        good = all(int(p) <= 255 for p in re.findall("[0-9]+", piece))
+    elif kind == "card":
+        good = 14 <= len(digits) <= 19 and luhn(digits)
+        if not good and len(digits) > 19:
+            numbers = [(kind, a + m.start(), a + m.end()) for m in re.finditer("[0-9]+", piece)]
+            return [n for n in numbers if 14 <= n[2] - n[1] <= 19 and luhn(text[n[1] : n[2]])]
+    elif kind == "phone":
+        good = 10 <= len(digits) <= 15 and len(piece) > len(digits)
+    else:
+        good = True
+    return [(kind, a, b)] if good else []
 
 
 def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 1024) -> list[list[tuple[str, int, int]]]:
@@ -358,18 +386,15 @@ def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 1024) -> list[lis
 
     def decode() -> None:
         if held:
-            found = tagger.decode(np.concatenate([w for _, w in held]))
+            found = tagger.decode(np.concatenate([w for _, w in held])).astype(np.int8)
             for (k, w), path in zip(held, np.split(found, np.cumsum([len(w) for _, w in held])[:-1]), strict=True):
                 paths[k].append(path)
             held.clear()
 
     size = 0
     for k, (text, at) in enumerate(zip(texts, starts, strict=True)):
-        if not at:
-            continue
-        cut = windows(text, at, tagger.spec).astype(np.uint8)
-        for lo in range(0, len(cut), rows):
-            held.append((k, cut[lo : lo + rows]))
+        for lo in range(0, len(at), rows):
+            held.append((k, windows(text, at[lo : lo + rows], tagger.spec)))
             size += len(held[-1][1])
             if size >= rows:
                 decode()
@@ -377,39 +402,116 @@ def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 1024) -> list[lis
     decode()
     found = []
     for text, at, path in zip(texts, starts, paths, strict=True):
-        spans = reconciled(len(text), at, np.concatenate(path), tagger.spec) if at else []
-        found.append([x for x in (plausible(text, *s) for s in spans) if x is not None])
+        spans = reconciled(len(text), at, np.concatenate(path), tagger.spec) if len(at) else []
+        found.append([x for s in spans for x in plausible(text, *s)])
     return found
 
 
-def training_windows(texts: list[str], spec: TaggerSpec, spans=base_spans) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags of labelled texts; kinds are repeated until they are about even."""
-    codes, tags = [], []
+#: Characters of a text on each side of a span that is written otherwise.
+AROUND = 80
+
+
+def written_otherwise(kind: str, value: str, rng: np.random.Generator) -> tuple[str, int, int] | None:
+    """A writing of a real value that the patterns miss, and where in it the value stands.
+
+    Email: a bracketed at, with the dots as they are or in brackets, or spaces around the at sign. Ip: dots in
+    brackets or between spaces. Card: groups of four set off by dots, slashes or two spaces, or the
+    number right behind another one. Phone: no plus, with dots, spaces, slashes or brackets.
+    """
+    digits = _digits(value)
+    if kind == "email":
+        name, _, host = value.partition("@")
+        at = ["[at]", " [at] ", "(at)", " (at) ", " @ ", " {at} "][rng.integers(6)]
+        dot = ["[dot]", " [dot] ", "(dot)", " (dot) ", "."][rng.integers(5)]
+        form = name + at + host.replace(".", dot if at != " @ " else ".")
+    elif kind == "ip":
+        form = value.replace(".", ["[.]", " . ", "(.)"][rng.integers(3)])
+    elif kind == "card":
+        how = rng.integers(4)
+        if how == 3:
+            other = "".join(map(str, rng.integers(0, 10, 16)))
+            return f"{other} {digits}", 17, 17 + len(digits)
+        form = [".", "/", "  "][how].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    else:
+        if len(digits) < 10:
+            return None
+        head, a, b, c = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+        form = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{head} {a} {b} {c}", f"+{head}/{a}/{b}/{c}"][rng.integers(6)]
+    return form, 0, len(form)
+
+
+def none_of_these(rng: np.random.Generator) -> str:
+    """A number that is no personal data: a date, a time, a version, an amount, a plain run of digits, a key."""
+    n = [int(x) for x in rng.integers(1, 99, 6)]
+    run = "".join(map(str, rng.integers(0, 10, int(rng.integers(5, 24)))))
+    return [
+        f"{1950 + n[0]}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02}", f"{n[2] % 28 + 1}.{n[1] % 12 + 1}.{1950 + n[0]}", f"{n[0] % 24:02}:{n[1] % 60:02}:{n[2] % 60:02}",
+        f"{n[0]}.{n[1]}.{n[2]}", f"{n[0]},{n[1] * 10:03}.{n[2]:02}", f"{n[0]}.{n[1]}", run, f"{int(run):x}{n[3]}", f"{n[0]} - {n[1]}", f"{1900 + n[0]}-{1900 + n[1]}",
+    ][rng.integers(10)]
+
+
+def examples(text: str, spec: TaggerSpec, rng: np.random.Generator) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The text with its spans; then, around some of its spans, its passage with the value written otherwise,
+    and with a number that is no personal data in its place."""
+    spans = base_spans(text)
+    out = [(text, spans)]
+    for k in rng.permutation(len(spans))[: spec.spans]:
+        kind, a, b = spans[k]
+        before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        # Neighbours that the cut leaves whole keep their labels.
+        near = [(s, x, y) for s, x, y in spans if a - len(before) <= x and y <= a or b <= x and y <= b + len(after)]
+
+        def passage(form: str, label: list[tuple[str, int, int]], a=a, b=b, before=before, after=after, near=near) -> tuple[str, list]:
+            left = [(s, x - a + len(before), y - a + len(before)) for s, x, y in near if y <= a]
+            right = [(s, x - b + len(before) + len(form), y - b + len(before) + len(form)) for s, x, y in near if x >= b]
+            return before + form + after, left + [(s, x + len(before), y + len(before)) for s, x, y in label] + right
+
+        for _ in range(spec.variants):
+            made = written_otherwise(kind, text[a:b], rng)
+            if made:
+                out.append(passage(made[0], [(kind, made[1], made[2])]))
+        out.append(passage(none_of_these(rng), []))
+    return out
+
+
+def some_windows(text: str, spans: list[tuple[str, int, int]], spec: TaggerSpec, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags of a labelled text: at most ``spec.windows`` that hold a span, and as many that do not."""
+    starts = window_starts(text, spec)
+    labelled = np.zeros(len(text) + spec.window, np.uint8)
+    labelled[: len(text)] = span_tags(len(text), spans)
+    sums = np.concatenate([[0], np.cumsum(labelled > 0, dtype=np.int64)])
+    holds = sums[starts + spec.window] > sums[starts]
+    picked = np.sort(np.concatenate([rng.permutation(np.flatnonzero(which))[: spec.windows] for which in (holds, ~holds)]))
+    if not len(picked):
+        return np.zeros((0, spec.window), np.uint8), np.zeros((0, spec.window), np.uint8)
+    at = starts[picked]
+    return windows(text, at, spec), labelled[at[:, None] + np.arange(spec.window)[None]]
+
+
+def training_windows(texts: list[str], spec: TaggerSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags of texts, labelled by the patterns, with their other writings."""
+    found = []
     for text in texts:
-        starts = window_starts(text, spec)
-        if not starts:
-            continue
-        labelled = np.zeros(len(text) + spec.window, np.int64)
-        labelled[: len(text)] = span_tags(len(text), spans(text))
-        at = np.array(starts, np.int64)[:, None] + np.arange(spec.window)[None]
-        codes.append(windows(text, starts, spec))
-        tags.append(labelled[at])
-    if not codes:
-        return np.zeros((0, spec.window), np.int64), np.zeros((0, spec.window), np.int64)
-    codes, tags = np.concatenate(codes), np.concatenate(tags)
+        rng = np.random.default_rng([spec.seed, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
+        found += [some_windows(t, s, spec, rng) for t, s in examples(text, spec, rng)]
+    none = np.zeros((0, spec.window), np.uint8)
+    return np.concatenate([none, *(c for c, _ in found)]), np.concatenate([none, *(t for _, t in found)])
+
+
+def evened(codes: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of each kind are repeated until the kinds are even; windows without spans stand once."""
     which = [np.flatnonzero((tags == 1 + 2 * k).any(1)) for k in range(len(KINDS))]
     most = max([len(w) for w in which] + [1])
-    picked = [np.flatnonzero(~(tags > 0).any(1))] + [np.resize(w, most) for w in which if len(w)]
-    rows = np.concatenate(picked)
+    rows = np.concatenate([np.flatnonzero(~(tags > 0).any(1)), *(np.resize(w, most) for w in which if len(w))])
     return codes[rows], tags[rows]
 
 
 def trained_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: TaggerSpec | None = None) -> Tagger | None:
     """A tagger from at most ``spec.sample`` documents that hold a digit or an at sign.
 
-    The spans that label them come from the fixed patterns. The sample is the smallest
-    hashes of (id, text), so it is the same in every run. Texts enter whole up to the
-    sample's documents; only their windows are kept. None if no document is labelled.
+    The spans that label them come from the fixed patterns, in their own and other writings. The
+    sample is the smallest hashes of (id, text), so it is the same in every run. Windows are cut
+    in the tasks; the driver gets a bounded number for each document. None if no document has any.
     """
     spec = spec or TaggerSpec()
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").rlike("[0-9]{2}|@"))
@@ -417,7 +519,7 @@ def trained_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batch: pa.RecordBatch) -> dict:
         rows = [training_windows([t], spec) for t in texts_of(batch.column(1))]
-        return {"h": batch.column(0), "codes": [c.astype(np.uint8).tobytes() for c, _ in rows], "tags": [t.astype(np.uint8).tobytes() for _, t in rows]}
+        return {"h": batch.column(0), "codes": [c.tobytes() for c, _ in rows], "tags": [t.tobytes() for _, t in rows]}
 
     hashed = labelled.select(F.xxhash64("_id", "_text").alias("h"), "_text")
     # The bound is found among hashes alone, so no task gathers texts to choose from.
@@ -428,10 +530,10 @@ def trained_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = some.mapInArrow(batches(schema, cut), "h long, codes binary, tags binary").collect()
     codes = [np.frombuffer(r["codes"], np.uint8).reshape(-1, spec.window) for r in sorted(rows, key=lambda r: (r["h"], r["codes"]))]
     tags = [np.frombuffer(r["tags"], np.uint8).reshape(-1, spec.window) for r in sorted(rows, key=lambda r: (r["h"], r["codes"]))]
-    if not codes or not sum(map(len, codes)):
+    if not codes or not any(t.any() for t in tags):
         return None
     tagger = Tagger(spec).start()
-    tagger.train(np.concatenate(codes).astype(np.int64), np.concatenate(tags).astype(np.int64))
+    tagger.train(*evened(np.concatenate(codes), np.concatenate(tags)))
     tagger.w = {k: v.astype(np.float32) for k, v in tagger.w.items()}
     return tagger
 

@@ -7,7 +7,10 @@ import pytest
 
 from sightline.llm.decontamination import contamination, drop_contaminated
 from sightline.llm.ngram_join import JoinSpec, keep_first, ngram_components
-from sightline.llm.pii import Tagger, TaggerSpec, base_spans, mask_pii, pii_report, reconciled, tagged_spans, training_windows, trained_tagger
+from sightline.llm.pii import (
+    Tagger, TaggerSpec, all_spans, base_spans, evened, luhn, mask_pii, none_of_these, pii_report, plausible, reconciled, tagged_spans, training_windows,
+    trained_tagger, written_otherwise,
+)
 from sightline.llm.quality_rules import quality_filter, quality_report
 from tests.llm import helpers as plain
 
@@ -203,3 +206,59 @@ def test_ngram_components_empty_and_null_ids(spark):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_components(df).collect())
     assert got == [(-1, 116, 3), (3, 116, 3), (3, 116, 3), (4, 0, 4)]
     assert ngram_components(df.limit(0)).count() == 0
+
+
+def private(rng):
+    """A value of each kind as the patterns find it."""
+    card = f"4{rng.randint(10**13, 10**14 - 1)}"
+    card += next(str(d) for d in range(10) if luhn(card + str(d)))
+    return rng.choice([
+        f"{plain.prose(rng, 1)}@mail{rng.randint(0, 9)}.example.org", ".".join(str(rng.randint(1, 255)) for _ in range(4)), card,
+        f"+{rng.randint(1, 99)} ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
+    ])
+
+
+def test_tagger_adds_other_writings_and_leaves_other_numbers():
+    rng, other = random.Random(12), np.random.default_rng(5)
+    spec = TaggerSpec(variants=6)
+    train = [f"{plain.prose(rng, 15)} {private(rng)} {plain.prose(rng, 15)}" for _ in range(240)]
+    tagger = Tagger(spec).start()
+    tagger.train(*evened(*training_windows(train, spec)))
+    right = found = wanted = 0
+    for _ in range(200):
+        value = private(rng)
+        kind = base_spans(value)[0][0]
+        form, a, b = written_otherwise(kind, value, other)
+        before = plain.prose(rng, 12) + " "
+        text = f"{before}{form} {plain.prose(rng, 12)}"
+        base, spans = all_spans([text], tagger)[0]
+        want = (kind, len(before) + a, len(before) + b)
+        if all(want[2] <= x or y <= want[1] for _, x, y in base):
+            added = [s for s in spans if s not in base]
+            wanted, found, right = wanted + 1, found + len(added), right + (want in added)
+    assert wanted > 150 and right >= 0.9 * wanted and right >= 0.9 * found
+    clean = [f"{plain.prose(rng, 10)} {none_of_these(other)} {plain.prose(rng, 10)}" for _ in range(300)]
+    assert sum(bool(a) for _, a in all_spans(clean, tagger)) <= 3
+    # The same spans however the windows are sliced, and in one long text as in its pieces' places.
+    long = "\n".join(clean[:20] + train[:20]) * 30
+    assert tagged_spans([long], tagger, rows=37) == tagged_spans([long], tagger, rows=4096)
+
+
+def test_plausible_values():
+    def check(kind, piece, before="x ", after=" y"):
+        return [(before + piece + after)[a:b] for _, a, b in plausible(before + piece + after, kind, len(before) - 1, len(before) + len(piece))]
+
+    assert check("card", "4111.1111.1111.1111") == ["4111.1111.1111.1111"]
+    assert check("card", "4111.1111.1111.1112") == [] == check("card", "4111111111111111", after="9")
+    assert check("card", "1234567812345678 4111111111111111") == ["4111111111111111"]
+    assert check("ip", "10[.]0[.]0[.]7") == ["10[.]0[.]0[.]7"] and check("ip", "10[.]0[.]0[.]256") == []
+    assert check("phone", "(415) 555-2671") == ["(415) 555-2671"]
+    assert check("phone", "4155552671") == check("phone", "2024-01-02") == check("phone", "415 555 2671 a") == []
+    assert check("email", "a.b [at] c [dot] de") == ["a.b [at] c [dot] de"] and check("email", "at home.de") == []
+
+
+def test_sample_windows_are_bounded():
+    spec = TaggerSpec(windows=5, variants=1, spans=2)
+    text = " ".join(["4111111111111111 and 7 or", "10.0.0.7"] * 2000)
+    codes, tags = training_windows([text], spec)
+    assert len(codes) == len(tags) <= 5 * 2 * (1 + 2 * 2) and tags.any()

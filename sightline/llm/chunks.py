@@ -40,6 +40,15 @@ LATER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B
 # The first bytes that they share in UTF-8: a quick look for texts without any.
 NEW_CAPITAL = tuple(sorted({chr(c).encode()[:-1] for c in LATER_CAPITALS}))
 
+# Combining marks that the vocabulary's rules (Unicode 9 there) take for base characters,
+# so that they neither change places nor compose, and the vowel sign of a later composition.
+LATER_MARKS = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27"
+    "\U00010eab\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839\U0001183a"
+    "\U00011930\U0001193d\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44\U00011d45\U00011d97\U00011f41"
+    "\U00011f42\U00016ff0\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef]+)"
+)
+
 HELD = 400_000
 #: The number that stands for the end of a chunk; the first place of a pool of words is taken by it.
 END = 0
@@ -82,7 +91,11 @@ class Rules:
     def normal(text: str) -> str:
         if text.isascii():
             return text.lower()
-        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if LATER_MARKS.search(text):
+            composed = "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(LATER_MARKS.split(text)))
+        else:
+            composed = unicodedata.normalize("NFC", text)
+        low = composed.replace("Σ", "σ").lower()
         data = low.encode("utf-8", "surrogatepass")
         return low.translate(LATER_CAPITALS) if any(b in data for b in NEW_CAPITAL) else low
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ RNG = random.Random(3)
 LONG = plain.prose(RNG, 20_000)
 TEXTS = [
     None, "", "  \t\n", "Hello, World's 'll <|endoftext|>x<|startoftext|>", "ΑΣ İ Å ẛ̣ é", "a" * 3000, "ab" * 1500, "!" * 2000, "\x1c\x1fa\x85b\u3000c", "🎉 日本語 1234",
-    LONG, LONG, "</w> <|im_end|>", "\x00\x01 \ufeff",
+    LONG, LONG, "</w> <|im_end|>", "\x00\x01 \ufeff", "e\u0301\u08d3 \u0357\u1715 \U00011935\U00011930",
 ]
 
 
@@ -42,6 +43,26 @@ def test_merges_match_the_library(library):
         assert flat[a:b].tolist() == want.ids, repr(text)
 
 
+# Pairs of marks that Python's tables order or compose and the library's do not.
+MARKS = ["\u0301\u08d3", "\u0300\u0eba", "\u0357\u1715", "\u082b\u0d3b", "\u0301\u1ac3", "\u0300\U00011f41", "\U00011935\U00011930", "\U00011938"]
+
+
+def test_every_character_and_mark_matches_the_library(library):
+    """Every code point beside a base and marks of all classes, and random runs of marks."""
+    rng = random.Random(6)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) not in ("Co", "Cn")]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = MARKS + [f"e{m}" for m in MARKS] + [f"a\u0345{c}\u0301" for c in points]
+    texts += [f"e{m}\u0323\u0301 {m}\u0345{rng.choice(marks)}" for m in marks]
+    texts += ["".join(rng.choice(marks) if rng.random() < 0.7 else rng.choice(points) for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
+    chunks = merges_of(checked_vocabulary(FILE))[1]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        flat, ends = chunks.ids(part)
+        for text, a, b, want in zip(part, ends, ends[1:], library.encode_batch(part, add_special_tokens=False)):
+            assert flat[a:b].tolist() == want.ids, ascii(text)
+
+
 def test_bpe(spark, library):
     df = plain.documents(spark, TEXTS, extra=True)
     got = {r["doc_id"]: r for r in bpe_digests(df, FILE).collect()}

@@ -9,7 +9,8 @@ through one task, in order and spilled by the sort where need be.
 
 Defined cases: a null text or role is empty; turns that share a number are ordered by role,
 then text; rows without a conversation id form one conversation; repeated turns all stay;
-turns that break the order are formatted too and counted in ``n_faults``.
+turns that break the order are formatted too and counted in ``n_faults``, as is an end after
+a role that may not end a conversation.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,8 @@ SEGMENTS = "conv_id long, seq long, text string, loss boolean, fault boolean"
 class Template:
     """Marks, control strings, the roles whose texts are learnt, and the allowed next roles.
 
-    "" stands for the start of a conversation; ``last`` are the roles that may end it.
+    "" stands for the start of a conversation; ``last`` are the roles that may end it. The opening
+    and the closing mark are controls whether listed or not; all are escaped inside texts.
     """
 
     opening: str = "<|im_start|>"
@@ -45,12 +48,29 @@ class Template:
     after: tuple[tuple[str, tuple[str, ...]], ...] = (
         ("", ("system", "user")), ("system", ("user",)), ("user", ("assistant",)), ("assistant", ("user", "tool")), ("tool", ("assistant",)),
     )
+    last: tuple[str, ...] = ("assistant",)
+
+    def __post_init__(self):
+        for control in self.guarded():
+            if len(control) < 2 or "\\" in control:
+                raise ValueError(f"a mark or control string needs two characters or more, white space around it apart, and no backslash: {control!r}")
+        for start, roles in self.after:
+            if "" in roles:
+                raise ValueError(f"nothing leads back to the start, but {start!r} does")
+
+    def guarded(self) -> tuple[str, ...]:
+        """All strings that must not stand whole in an escaped text."""
+        return tuple(dict.fromkeys((*self.controls, self.opening.strip(), self.closing.strip())))
+
+
+@cache
+def _starts(controls: tuple[str, ...]) -> re.Pattern:
+    return re.compile(f"(?s)(?={'|'.join(map(re.escape, controls))}).")
 
 
 def escape(text: str, template: Template) -> str:
-    """The text with backslashes doubled and every control string broken after its first character."""
-    text = text.replace("\\", "\\\\")
-    return re.sub("|".join(re.escape(c) for c in template.controls), lambda m: m.group()[0] + "\\" + m.group()[1:], text)
+    """The text with backslashes doubled and every control string, overlapping ones too, broken after its first character."""
+    return _starts(template.guarded()).sub(lambda m: m.group() + "\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
@@ -73,20 +93,30 @@ def format_segments(
     allowed = dict(template.after)
     schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("text", pa.string()), ("loss", pa.bool_()), ("fault", pa.bool_())])
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(schema.types)], schema=schema)
+
     def run(stream):
-        current: object = run
+        # The closing segment waits for the next row: only then is it known whether the conversation ends.
+        waiting: tuple | None = None
         state, seq = "", 0
+
+        def closed(ends: bool) -> list[tuple]:
+            return [] if waiting is None else [(*waiting, template.closing, False, ends and state not in template.last)]
+
         for batch in (whole.slice(k, 1024) for whole in stream for k in range(0, len(whole), 1024)):
             out: list[tuple] = []
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if conv != current:
-                    current, state, seq = conv, "", 0
-                fault = role not in allowed.get(state, ())
-                out.append((conv, seq, template.opening + escape(role, template) + template.header_end, False, fault))
+                ends = waiting is not None and conv != waiting[0]
+                out += closed(ends)
+                if ends:
+                    state, seq = "", 0
+                out.append((conv, seq, template.opening + escape(role, template) + template.header_end, False, role not in allowed.get(state, ())))
                 out.append((conv, seq + 1, escape(text, template), role in template.learnt, False))
-                out.append((conv, seq + 2, template.closing, False, False))
-                state, seq = role, seq + 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+                waiting, state, seq = (conv, seq + 2), role, seq + 3
+            yield batch_of(out)
+        if waiting is not None:
+            yield batch_of(closed(True))
 
     return _ordered(turns, conv_col, turn_col, role_col, text_col).mapInArrow(run, SEGMENTS)
 

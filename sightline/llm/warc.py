@@ -83,18 +83,22 @@ def with_references(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     )
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, spec: ArchiveSpec) -> bytes:
     """One WARC record; a revisit has the HTTP header, but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>", f"WARC-Date: {spec.date}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {spec.date}",
         f"WARC-Target-URI: {quote(url or '', safe=chr(37) + '!$&()*+,/:;=?@#[]~-._')}", f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -263,7 +267,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def read_records(located: DataFrame, folder: str, stretch: int = 32 << 20) -> DataFrame:
-    """The records at (file, offset, length), read by byte range, each file's stretches in order."""
+    """The records at (file, offset, length), read by byte range, each task's in file order.
+
+    A task reads about ``stretch`` bytes of archives: the locations are written once, so that
+    their number and ranges follow the records' lengths and not the locations' own size.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(stream):
@@ -291,8 +299,10 @@ def read_records(located: DataFrame, folder: str, stretch: int = 32 << 20) -> Da
             if held is not None:
                 held.close()
 
-    dealt = located.select("file", "offset", "length", F.floor(F.col("offset") / stretch).alias("_stretch"))
-    return dealt.repartition("file", "_stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORDS)
+    located = written(located.select("file", "offset", "length"), "warc-located")
+    total = located.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // stretch), located.sparkSession.sparkContext.defaultParallelism)
+    return located.repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 def query_keys(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

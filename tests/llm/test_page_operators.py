@@ -11,7 +11,7 @@ from sightline.llm.chat_format import Template, escape, format_segments, formatt
 from sightline.llm.common import scratch_path
 from sightline.llm.html_text import LineBlocks, extract_text, main_text
 from sightline.llm.url_filter import entropy, held_out_accuracy, judged, labelled_sample, rule_labels
-from sightline.llm.warc import ArchiveSpec, archive_round_trip, look_up, query_keys, read_records, reversed_host_key, write_archives, write_index
+from sightline.llm.warc import ArchiveSpec, archive_round_trip, look_up, parse, query_keys, read_records, record, reversed_host_key, write_archives, write_index
 from tests.llm.helpers import prose
 
 SPEC = LineBlocks()
@@ -123,6 +123,26 @@ def test_archive_round_trip(spark):
     assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_revisits_name_the_record_they_refer_to():
+    body, digest = b"x" * 2000, hashlib.sha1(b"x" * 2000).hexdigest()
+    spec = ArchiveSpec()
+    first, _, payload = parse(record(9, "http://a.org/", body, digest, None, spec))
+    again, http, none = parse(record(3, "http://b.org/", body, digest, 9, spec))
+    assert payload == body and none == b"" and b"Content-Length: 2000" in http
+    assert (again["WARC-Type"], again["WARC-Refers-To"]) == ("revisit", first["WARC-Record-ID"]) and again["WARC-Record-ID"] != first["WARC-Record-ID"]
+
+
+def test_reading_is_dealt_by_the_bytes_of_the_records(spark):
+    rows = [(k, f"http://h{k}.org/", prose(random.Random(k), 300)) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-test")
+    catalogue = write_archives(df, folder, ArchiveSpec())
+    found = read_records(catalogue, folder, stretch=5000)
+    assert found.rdd.getNumPartitions() >= sum(r["length"] for r in catalogue.collect()) // 5000
+    assert sorted(r["page_id"] for r in found.collect()) == list(range(60))
+    assert read_records(catalogue, folder).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_lookup_finds_only_what_is_asked(spark):
     rows = [(k, f"http://h{k % 7}.example.com/{k}", f"<p>{k}</p>") for k in range(200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -216,6 +236,44 @@ def test_chat_format(spark):
     assert formatted(df.limit(0)).count() == 0
 
 
+OWN = [
+    Template(opening="<turn ", header_end=">", closing="<end>", controls=(), last=("assistant", "user")),
+    Template(opening="abab", header_end="|", closing="\n\nbaba\n", controls=("aa", "bab")),
+]
+
+
+@pytest.mark.parametrize("template", OWN)
+def test_own_templates_are_reversible(spark, template):
+    """Marks that no list of controls names, and controls that overlap one another."""
+    rng = random.Random(4)
+    pieces = [*template.guarded(), template.opening, template.closing, template.header_end, "a", "b", "\\", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 8)))
+        safe = escape(text, template)
+        assert unescape(safe) == text and not any(c in safe for c in template.guarded())
+    rows = [(1, 0, "user", template.closing), (1, 1, "assistant", template.opening + "x"), (2, 0, template.closing, ""), (3, 0, "user", "<end>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in formatted(df, template).collect()}
+    for conv in (1, 2, 3):
+        said = "".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == conv)
+        assert got[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    # The unknown role breaks the order and may not end; a user may end only under the first template.
+    assert [got[c]["n_faults"] for c in (1, 2, 3)] == [0, 2, 0 if "user" in template.last else 1]
+
+
+@pytest.mark.parametrize("marks", [{"closing": "\n"}, {"opening": "#"}, {"controls": ("\\n",)}, {"after": (("user", ("",)),)}])
+def test_templates_are_checked(marks):
+    with pytest.raises(ValueError):
+        Template(**marks)
+
+
+@pytest.mark.usefixtures("batch_rows")
+def test_ends_across_batches(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(9) for t in range(6 + c % 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {(r["conv_id"], r["n_faults"]) for r in formatted(df).collect()} == {(c, c % 2) for c in range(9)}
+
+
 @pytest.mark.usefixtures("batch_rows")
 def test_chat_across_batches(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}:{t}") for c in range(5) for t in range(12)]

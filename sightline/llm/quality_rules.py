@@ -2,7 +2,11 @@
 document that loses too much of its text goes as a whole.
 
 A line without a word never fails. A phrase of page furniture fails a line only where the
-phrases cover enough of its words, so a paragraph that mentions one stays. Defined cases: a null text is an empty text; an empty
+phrases cover enough of its words, so a paragraph that mentions one stays. Furniture in words
+that no list names is told by a line's build: a few words, half of them or more with a capital,
+that neither end a sentence nor go on with the line before (menus, buttons, links); short
+headings in capitals are built alike and go too. Scripts without capitals have no such lines.
+Defined cases: a null text is an empty text; an empty
 text has no words and fails the base rule; rows are judged one by one, so repeated rows
 get equal verdicts; columns other than the two named ones are neither read nor harmed.
 """
@@ -38,6 +42,9 @@ FILLER = frozenset(
 
 SEPARATORS = {"|", "»", "›", ">", "<", "/", "·", "•", "::", "->", "→"}
 SHOUT = re.compile(r"[!?]{2,}$")
+LOUD = re.compile(r"[!?]{3,}$")
+# A mark of rights next to a year, in either order.
+RIGHTS = re.compile(r"(?i)(?:©|\(c\)|\bcopyright\b)[\s©(c),-]{0,8}(?:19|20)\d\d|(?:19|20)\d\d\s{0,2}(?:©|\(c\)|\bcopyright\b)")
 
 
 @dataclass(frozen=True)
@@ -51,6 +58,10 @@ class QualityRules:
     separator: float = 0.2
     shout: float = 0.5
     boilerplate: float = 0.15
+    loud: float = 0.4
+    fragment_words: int = 10
+    capitals: float = 0.5
+    rights_words: int = 15
     max_lost: float = 0.3
 
 
@@ -77,8 +88,22 @@ def repeated_words(words: list[bytes], window: int) -> int:
     return int((np.cumsum(step)[:-1] > 0).sum())
 
 
-def line_fault(line: str, rules: QualityRules) -> str | None:
-    """The first rule that a line breaks, or None."""
+def is_fragment(words: list[str], before: list[str] | None, rules: QualityRules) -> bool:
+    """Whether a line is a few words, many with a capital, that end no sentence and continue none.
+
+    ``before`` are the words of the line with words before it. A line goes on with it where that one
+    is longer than a fragment and ends no sentence, as in text broken at a fixed width.
+    """
+    if len(words) > rules.fragment_words or not words[-1][-1].isalnum() or any(w[-1] in ".!?" and len(w) > 3 for w in words[:-1]):
+        return False
+    if before is not None and len(before) >= rules.fragment_words and (before[-1][-1].isalnum() or before[-1][-1] in ",;-"):
+        return False
+    cased = [w for w in (w.lstrip("\"'([{«“„‘¿¡") for w in words) if w and (w[0].isupper() or w[0].islower() or w[0].istitle())]
+    return bool(cased) and sum(1 for w in cased if not w[0].islower()) >= rules.capitals * len(cased)
+
+
+def line_fault(line: str, rules: QualityRules, before: list[str] | None = None) -> str | None:
+    """The first rule that a line breaks, or None; ``before`` are the words of the line before it."""
     words = line.split()
     n = len(words)
     if not n:
@@ -92,6 +117,12 @@ def line_fault(line: str, rules: QualityRules) -> str | None:
     if n >= 3 and ("!!" in line or "??" in line or "!?" in line):
         if sum(1 for w in words if SHOUT.search(w)) > rules.shout * n:
             return "punctuation"
+        if sum(1 for w in words if LOUD.search(w)) >= rules.loud * n:
+            return "punctuation"
+    if n <= rules.rights_words and RIGHTS.search(line):
+        return "boilerplate"
+    if is_fragment(words, before, rules):
+        return "fragment"
     low = line.lower()
     found = [p for p in BOILERPLATE if p in low]
     if found:
@@ -114,6 +145,7 @@ def judge(text: str, rules: QualityRules) -> dict:
     seen: set[str] = set()
     again = lost = failed = 0
     kept_lines = []
+    before = None
     for line in lines:
         if not line.strip(SPACES):
             kept_lines.append(line)
@@ -122,7 +154,9 @@ def judge(text: str, rules: QualityRules) -> dict:
             again += 1
         else:
             seen.add(line)
-        if line_fault(line, rules) is None:
+        fault = line_fault(line, rules, before)
+        before = line.split() or None
+        if fault is None:
             kept_lines.append(line)
         else:
             failed += 1

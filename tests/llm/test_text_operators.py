@@ -11,7 +11,7 @@ from sightline.llm.pii import (
     Tagger, TaggerSpec, all_spans, base_spans, evened, luhn, mask_pii, none_of_these, pii_report, plausible, reconciled, tagged_spans, training_windows,
     trained_tagger, written_otherwise,
 )
-from sightline.llm.quality_rules import quality_filter, quality_report
+from sightline.llm.quality_rules import QualityRules, judge, quality_filter, quality_report
 from tests.llm import helpers as plain
 
 RNG = random.Random(4)
@@ -65,6 +65,34 @@ def test_a_phrase_does_not_take_a_long_line(spark):
     assert [report[i] for i in range(4)] == [(0, 0, True)] * 4
 
 
+FURNITURE = [
+    "Home About Us Products Contact Login", "Share on Facebook Share on Twitter", "Copyright 2024 Example Inc.", "Sign in", "Read more",
+    "Buy now!!! Limited offer!!!", "Startseite Über uns Kontakt Impressum", "Mon compte Panier", "Iniciar sesión Registrarse", "© 2019 Verlag Beispiel GmbH.",
+    "Newsletter", "Tags: Politics Europe Economy", "Next Article »".rstrip(" »"), "Ähnliche Artikel",
+]
+PROSE = [
+    "The council met on Monday and agreed on a plan for the bridge over the river, which had been closed since spring.\n"
+    "How the work will be paid for\nNobody knew.\n\"Who pays?\" asked Mary Smith of Leeds Green Party.\nIn 2019 Copyright law was changed, and the members said that they had been told of it too late.",
+    "Die Brücke über den Fluss war seit dem Frühjahr gesperrt, weil die Pfeiler dem Hochwasser des\nWinters und den Lasten der Züge\nnicht mehr standhielten.\n"
+    "Der Rat der Stadt beschloss am Montag einen Plan.\nSah ein Knab ein Röslein stehn,\nRöslein auf der Heiden,\nwar so jung und morgenschön.",
+    "Le conseil s'est réuni lundi et a adopté un plan pour le pont.\nPourquoi le pont est fermé\n« Nous attendons depuis longtemps », a dit Marie Dupont.\nPersonne ne savait.",
+    "El consejo se reunió el lunes y aprobó un plan para el puente.\n¿Quién paga?\n¡Nadie lo sabía!\nLa obra de la ciudad empieza en mayo y termina en otoño",
+    "市议会星期一开会\n通过了桥梁计划\n没有人知道", "اجتمع المجلس يوم الاثنين\nووافق على خطة",
+]
+
+
+@pytest.mark.parametrize("line", FURNITURE)
+def test_furniture_is_told_by_its_build(line):
+    rules, prose = QualityRules(), PROSE[0].split("\n")[0]
+    assert judge(f"{prose}\n{line}\n{prose[:-1]} again.", rules)["clean"] == f"{prose}\n{prose[:-1]} again."
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_keeps_every_line(text):
+    """Headings in small letters, verses, short sentences, broken lines, scripts without capitals."""
+    assert judge(text, QualityRules())["clean"] == text
+
+
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_contamination(spark, limit):
     rng = random.Random(9)

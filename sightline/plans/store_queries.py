@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from sightline.functions import text as fx
 from sightline.functions import quality as fq
 from sightline.operators import candidates as cand
-from sightline.operators import registry
+from sightline.operators import registry, reports, rollups
 from sightline.operators.enrolment import commit_sessions, target_lock
 from sightline.operators.inverted import build_index, search_index
 from sightline.operators.numbering import dense_ids
+from sightline.operators.paging import PagedLog
 from sightline.operators.refresh import refresh_topk
 from sightline.operators.similarity import lsh_topk, similarity_topk
 from sightline.params import EnrolParams
 from sightline.plans.catalog import CHECKS, query
 from sightline.plans.gallery_queries import PAIRS, enrol_pose
-from sightline.plans.report_queries import KNOWN, ranged
+from sightline.plans.report_queries import EVENT_COLUMNS, KNOWN, ranged
 from sightline.session import scratch_path
 from sightline.sources import sinks, tables, views
 from sightline.sources.versioned import KeyedTable
@@ -271,3 +272,73 @@ def registry_rewrite(spark, sf):
     removed = people.where("role = 'Blacklist'")
     table.rewrite(removed, lambda old: registry.cascade_delete(removed, entities=old)["entities"])
     return table.read(spark)
+
+
+def rolled_up(spark, sf, start=datetime(2024, 1, 1), stop=datetime(2024, 1, 31), source=None):
+    """Roll-ups of the log's first half, brought up to date from the whole log, for a range."""
+    log = views.sightings(spark, sf)
+    stored = rollups.Rollups(scratch_path(spark, "rollups"))
+    stored.create(log.where("ts < '2024-01-15 06:00:00'"), 16)
+    stored.refresh(log, log.where("ts >= '2024-01-15'").select(fx.day_key(F.col("ts")).alias("day")))
+    return stored.between(log, start, stop, source)
+
+
+@query("rollup_totals", CHECKS["report_totals"])
+def rollup_totals(spark, sf):
+    return rollups.totals(rolled_up(spark, sf)[0])
+
+
+@query("rollup_totals_part_days", CHECKS["report_totals_default_range"])
+def rollup_totals_part_days(spark, sf):
+    return rollups.totals(rolled_up(spark, sf, datetime(2024, 1, 23, 12), datetime(2024, 1, 30, 12), "cam_3")[0])
+
+
+@query("rollup_approx_entities", check_sql(f"""
+SELECT count(*) AS total_events, count(DISTINCT entity_id) FILTER ({KNOWN}) AS unique_entities, true AS within_five_percent
+FROM sightings WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'""", "sightings"))
+def rollup_approx_entities(spark, sf):
+    entities, sources = rolled_up(spark, sf)
+    both = rollups.quick_totals(sources).join(rollups.totals(entities), "total_events")
+    near = F.abs(F.col("approx_entities") - F.col("unique_entities")) <= 0.05 * F.col("unique_entities")
+    return both.select("total_events", "unique_entities", near.alias("within_five_percent"))
+
+
+@query("rollup_by_source", CHECKS["report_by_source"])
+def rollup_by_source(spark, sf):
+    return rollups.by_source(rolled_up(spark, sf)[1])
+
+
+@query("rollup_by_day", CHECKS["report_by_day"])
+def rollup_by_day(spark, sf):
+    return rollups.by_day(rolled_up(spark, sf)[1])
+
+
+@query("rollup_top_entities", CHECKS["report_top_entities"])
+def rollup_top_entities(spark, sf):
+    return rollups.top_entities(rolled_up(spark, sf)[0])
+
+
+@query("rollup_grouping_sets", CHECKS["report_grouping_sets"])
+def rollup_grouping_sets(spark, sf):
+    return rollups.breakdown(rolled_up(spark, sf)[0])
+
+
+@query("history_deep_page", check_sql(f"""
+SELECT {EVENT_COLUMNS} FROM sightings WHERE source_id='cam_2' ORDER BY ts DESC, id DESC LIMIT 50
+OFFSET (SELECT count(*)*9//10 FROM sightings WHERE source_id='cam_2')""", "sightings"))
+def history_deep_page(spark, sf):
+    log = views.sightings(spark, sf)
+    paged = PagedLog(scratch_path(spark, "pages"), "ts")
+    paged.write(log, 24)
+    offset = log.where("source_id = 'cam_2'").count() * 9 // 10
+    return paged.page(spark, 50, offset, "cam_2")
+
+
+@query("event_snapshots", check_sql(f"""
+SELECT {EVENT_COLUMNS}, CASE WHEN id%3<>0 THEN concat('/faces/snapshots/',track_id,'_',CAST(id AS VARCHAR(20)),'.jpg') END AS snapshot_url
+FROM sightings ORDER BY id DESC LIMIT 200""", "sightings"))
+def event_snapshots(spark, sf):
+    """Latest events with links to their snapshots; every third event has none."""
+    path = F.expr("CASE WHEN id % 3 <> 0 THEN concat('data/snapshots/', source_id, '/', track_id, '_', id, '.jpg') WHEN id % 2 = 0 THEN '' END")
+    named = views.sightings(spark, sf).withColumn("source_id", fx.or_default(F.col("source_id"), "default"))
+    return reports.history_page(named.withColumn("snapshot_path", path), 200)

@@ -23,12 +23,12 @@ START = 1_704_067_200_000_000  # frame clocks start here; time 0 would count as
 
 
 def sighting_stream(spark, sf):
-    events = flows.file_stream(spark, sf, views.TABLES["events"], "events.parquet")
+    events = flows.table_stream(spark, f"{sf}/events.parquet", views.TABLES["events"])
     return views._view(spark, views.SIGHTINGS, events=events)
 
 
 def capture_stream(spark, sf):
-    rows = flows.file_stream(spark, sf, views.TABLES["embeddings"], "embeddings.parquet")
+    rows = flows.table_stream(spark, f"{sf}/embeddings.parquet", views.TABLES["embeddings"])
     return views._view(spark, views.CAPTURES.replace("{embedding}", views.SPARK_EMBEDDING), embeddings=rows)
 
 
@@ -36,7 +36,7 @@ def staged_stream(spark, df, name):
     """A derived table written to the shared folder and read back as a stream."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return flows.file_stream(spark, path, df.schema)
+    return flows.table_stream(spark, path, df.schema)
 
 
 @query("stream_cooldown", CHECKS["cooldown_source_entity"])

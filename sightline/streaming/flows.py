@@ -25,6 +25,14 @@ def file_stream(
     return reader.option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream of one micro-batch: its files
+    are in no order of time, so in several batches rows of later ones would count as late."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # A pattern that fits this path alone; a plain path has to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over all data available now; return what it wrote.
 
@@ -99,7 +107,10 @@ def match_stream(
         batch.unpersist()
 
     path = drain_batches(probes, name, write)
-    return probes.sparkSession.read.parquet(f"{path}/out").drop("batch")
+    spark = probes.sparkSession
+    if not _exists(spark, f"{path}/out"):  # no file has come
+        return match_with_status(spark.createDataFrame([], probes.schema), gallery(), probe_id, gallery_id, p)
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 def _next_number(spark: SparkSession, path: str, name: str, batch_id: int) -> int:

@@ -134,3 +134,22 @@ def test_late_rows_are_suppressed(spark, seed):
     stream = flows.file_stream(spark, path, df.schema, files_per_batch=1)
     kept = flows.drain(state.cooldown(stream, ["k"], "ts", 10, "id", delay="1 second"), "late")
     assert rows_of(kept, "id") == [(i,) for i in range(0, 60, 10)]
+
+
+def test_tables_of_many_files(spark, tmp_path):
+    """A table may be a folder; its files come in no order of time and more than a hundred may lie in it."""
+    from sightline.plans import all_queries
+
+    for name, files in (("events", 110), ("embeddings", 3)):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        rows.repartition(files, rows.columns[0]).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_cooldown", "stream_match"):
+        query = all_queries()[name]
+        want = query(spark, SF)
+        assert rows_of(query(spark, str(tmp_path)), *want.columns) == rows_of(want, *want.columns)
+
+
+def test_match_without_files(spark, tmp_path):
+    probes = views.probes(spark, SF)
+    stream = flows.file_stream(spark, str(tmp_path), probes.schema)
+    assert flows.match_stream(stream, lambda: views.gallery(spark, SF), "capture_id", "capture_id", "none").collect() == []

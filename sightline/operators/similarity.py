@@ -1,11 +1,11 @@
 """Blocked vector similarity join.
 
-The gallery is cut into blocks of bounded size. Each block is shuffled to one
-task for each lane of queries, which holds it as a matrix while the queries of
-its cell stream past: each query's vector goes to every block, each gallery row to
-every lane. Only the best ``k`` hits per query and block
-leave the task, so the shuffle after it carries queries × blocks × k small rows
-and never a cross product.
+The gallery is cut into parts and the queries into lanes. A task holds one part as a
+matrix while one lane streams past: each query's vector goes to every part, each gallery
+row to every lane. The number of tasks follows from the cluster and a part from the
+memory of a task, so what is shuffled grows with the two sides, not with their
+product, as long as a part in every task holds the gallery. Only the best ``k`` hits per
+query and part leave the task, and never a cross product.
 """
 
 from __future__ import annotations
@@ -21,7 +21,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sightline.operators import kernels
 
 BLOCK_ROWS = 32_768
-LANE_ROWS = 100_000
+LANE_ROWS = 400_000
+PART_VALUES = 1 << 22  # of a part's matrix, 32 MB
+TASK_PAIRS = 1 << 26  # worth a task of their own
+
+
+def grid(of_gallery: int, of_queries: int, width: int, tasks: int, block_rows: int = BLOCK_ROWS, lane_rows: int = LANE_ROWS) -> tuple[int, int]:
+    """(parts of the gallery, lanes of queries).
+
+    Parts are blocks of ``block_rows`` while these are no more than ``tasks``. Beyond that there are
+    ``tasks`` cells, or four times as many where there is work for them, near the ratio that
+    shuffles least; a part holds ``PART_VALUES`` values at most, or a block if that is more.
+    """
+    wanted = tasks * min(4, max(1, of_gallery * of_queries // (TASK_PAIRS * tasks)))
+    parts = math.ceil(of_gallery / block_rows)
+    if parts > tasks:
+        held = max(PART_VALUES // max(width, 1), block_rows)
+        even = round(math.sqrt(wanted * of_gallery / max(of_queries, 1)))
+        parts = min(parts, max(math.ceil(of_gallery / held), min(even, wanted)))
+    parts = max(1, parts)
+    return parts, max(1, math.ceil(wanted / parts), math.ceil(of_queries / lane_rows))
 
 
 def similarity_topk(
@@ -41,6 +60,7 @@ def similarity_topk(
     exclude_id: bool = False,
     earlier: str | None = None,
     distinct: bool = False,
+    within: str | None = None,
     block_rows: int = BLOCK_ROWS,
     lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
@@ -51,10 +71,13 @@ def similarity_topk(
     ``exclude_id`` skip gallery rows that share the query's label or id; ``earlier``
     names a numeric column in which, ties broken by id, the gallery row must come before
     the query.
-    ``distinct`` is for queries that stand in several ``by`` groups.
+    ``distinct`` is for queries that stand in several ``by`` groups. ``within`` names an int column
+    of the gallery and an array of ints of the queries: only rows named there are compared.
     Ties go to the smaller gallery id. Columns: ``query_id``, ``gallery_id``,
     ``label``, ``similarity``, ``rank``.
     """
+    if within and per_label:
+        raise ValueError("within and per_label do not go together")
     spark = queries.sparkSession
     id_type = gallery.schema[gallery_id].dataType
     label_type = gallery.schema[label].dataType
@@ -69,6 +92,7 @@ def similarity_topk(
         F.col(label).alias("_label"),
         F.col(gallery_vec).cast("array<double>").alias("_vec"),
         position.alias("_pos"),
+        (F.array(within) if within else F.lit(None).cast("array<int>")).alias("_within"),
     )
     q = queries.where(F.col(query_vec).isNotNull()).select(
         *([F.col(by).alias("_by")] if by else []),
@@ -77,6 +101,7 @@ def similarity_topk(
         own_label.cast(label_type).alias("_label"),
         F.col(query_vec).cast("array<double>").alias("_vec"),
         position.alias("_pos"),
+        (F.col(within) if within else F.lit(None)).cast("array<int>").alias("_within"),
     )
 
     if by:
@@ -100,12 +125,10 @@ def similarity_topk(
         cell = ["_by", "_block", "_lane"]
         several = True
     else:
-        # One pass over the slim sides counts both; lanes grow with the queries as blocks do
-        # with the gallery, so no task holds more than a block or sorts more than a lane.
-        sides = g.select(F.lit(1).alias("g")).unionByName(q.select(F.lit(0).alias("g")))
-        of_gallery, all_rows = sides.agg(F.coalesce(F.sum("g"), F.lit(0)), F.count(F.lit(1))).first()
-        n_blocks = max(1, math.ceil(of_gallery / block_rows))
-        n_lanes = max(1, math.ceil(spark.sparkContext.defaultParallelism / n_blocks), math.ceil((all_rows - of_gallery) / lane_rows))
+        # One pass over the slim sides counts both; blocks are the parts here.
+        sides = g.select(F.lit(1).alias("g"), F.size("_vec").alias("w")).unionByName(q.select(F.lit(0).alias("g"), F.lit(0).alias("w")))
+        of_gallery, all_rows, width = sides.agg(F.coalesce(F.sum("g"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("w"), F.lit(1))).first()
+        n_blocks, n_lanes = grid(of_gallery, all_rows - of_gallery, width, spark.sparkContext.defaultParallelism, block_rows, lane_rows)
         blocks, lanes = F.lit(n_blocks), F.lit(n_lanes)
         cell = ["_block", "_lane"]
         several = n_blocks > 1
@@ -117,11 +140,11 @@ def similarity_topk(
     q = q.withColumn("_lane", F.pmod(F.xxhash64("_qid"), F.greatest(lanes, one)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.greatest(blocks, one) - 1))
     )
-    columns = [*cell, "_side", "_qid", "_gid", "_label", "_vec", "_pos"]
+    columns = [*cell, "_side", "_qid", "_gid", "_label", "_vec", "_pos", *(["_within"] if within else [])]
     rows = g.withColumn("_side", F.lit(0)).select(columns).unionByName(
         q.withColumn("_side", F.lit(1)).select(columns)
     )
-    order = ["_side", "_label", "_gid"] if per_label else ["_side", "_gid"]
+    order = ["_side", *(["_within"] if within else []), *(["_label"] if per_label else []), "_gid"]
     schema = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType, True),
@@ -138,7 +161,7 @@ def similarity_topk(
         placed.sortWithinPartitions(*cell, *order)
         .mapInArrow(
             kernels.topk_cells(
-                cell, k, floor, per_label, exclude_label, exclude_id, earlier is not None, to_arrow_schema(schema)
+                cell, k, floor, per_label, exclude_label, exclude_id, earlier is not None, to_arrow_schema(schema), within is not None
             ),
             schema,
         )

@@ -225,3 +225,32 @@ def test_one_group_of_100_000_rows_settles_in_rounds(spark, caplog):
         got = [r["id"] for r in first_independent(df, "id", "id", 0.9).select("id").collect()]
     assert sorted(got) == places
     assert 2 <= sum("round" in m for m in caplog.messages) < 40
+
+
+def test_shuffled_rows_grow_with_the_sides():
+    """Vectors that are shuffled per row of input: no more on a gallery sixty times as large."""
+    from sightline.operators.similarity import grid
+
+    def copies(gallery, queries, block):
+        parts, lanes = grid(gallery, queries, 64, 12, block_rows=block)
+        assert gallery / parts <= 2 * 65_536
+        return (parts * queries + lanes * gallery) / (gallery + queries)
+
+    for block in (100, 150, 32_768):
+        assert copies(984_000, 246_000, block) <= 8
+        assert copies(984_000, 246_000, block) <= 2.5 * copies(16_400, 4_100, block)
+
+
+def test_equal_vectors_are_one_search(spark):
+    """Tracks that share a vector, or have none, each get the decision."""
+    from sightline.operators.tracks import recognise_tracks
+    from sightline.params import MatchParams
+
+    gallery, _, _ = vectors(spark, 30, seed=21)
+    some = gallery.where("id < 3").select("id", "embedding")
+    best = some.crossJoin(spark.range(5).withColumnRenamed("id", "copy")).selectExpr("id * 10 + copy AS det_key", "embedding")
+    best = best.unionByName(spark.createDataFrame([(99, None)], best.schema))
+    got = recognise_tracks(best, gallery, "det_key", "id", F.lit(1.0), p=MatchParams(accept=0.9, floor=0.5)).collect()
+    keys = {r.id: r.entity_id for r in gallery.collect()}
+    assert {r.det_key: r.entity_id for r in got} == {i * 10 + c: keys[i] for i in range(3) for c in range(5)} | {99: "unknown"}
+    assert {r.det_key: r.similarity for r in got}[99] == 0.0

@@ -52,10 +52,14 @@ def recognise_tracks(
     best: DataFrame, gallery: DataFrame, row_id: str, gallery_id: str, quality: Column,
     gate: float = TrackParams().service_quality_gate, p: MatchParams = MatchParams(), **options,
 ) -> DataFrame:
-    """One decision per track from its best row; a row below the quality gate is unknown."""
+    """One decision per track from its best row; a row below the quality gate is unknown.
+    Tracks with equal vectors are one search."""
     best = checkpointed(best)  # ranked once: it feeds the match and the rows without one
-    gated = best.where(quality * 100 >= gate)
-    found = match_entities(gated, gallery, row_id, gallery_id, p, **options)
+    gated = best.where(quality * 100 >= gate).select(row_id, "embedding")
+    single = checkpointed(gated.groupBy("embedding").agg(F.min(row_id).alias("_first")))
+    matched = match_entities(single, gallery, "_first", gallery_id, p, **options)
+    found = gated.join(single, "embedding").join(matched, "_first").select(row_id, "entity_id", "similarity")
+    # A row without a vector is looked up nowhere and stays unknown, as below the gate.
     return best.join(found, row_id, "left").withColumn(
         "entity_id", F.coalesce("entity_id", F.lit("unknown"))
     ).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))

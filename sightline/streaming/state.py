@@ -367,10 +367,12 @@ def track_frames(
         rows = _gather(frames, [frame, row_id])
         rows = rows[rows["score"] >= low]
         out = []
-        for number, group in rows.groupby(frame, sort=True):
-            ids = group[row_id].tolist()
-            *_, heads = linker.step(int(number), ids, group["score"].to_numpy(), group[corners].to_numpy(dtype=float))
-            out += [(rid, f"{key[0]}:{head}") for rid, head in zip(ids, heads) if head is not None]
+        numbers, ids = rows[frame].to_numpy(), rows[row_id].tolist()
+        scores, boxes = rows["score"].to_numpy(), rows[corners].to_numpy(dtype=float)
+        starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])).tolist() if len(rows) else []
+        for at, end in zip(starts, [*starts[1:], len(ids)]):
+            *_, heads = linker.step(int(numbers[at]), ids[at:end], scores[at:end], boxes[at:end])
+            out += [(rid, f"{key[0]}:{head}") for rid, head in zip(ids[at:end], heads) if head is not None]
         state.update((json.dumps([linker.frame, linker.ids, linker.boxes.tolist(), linker.heads]),))
         _expire_at(state, int(rows["_t"].max() if len(rows) else 0) + idle)
         if out:

@@ -19,6 +19,7 @@ from sightline.sources.views import check_sql
 from sightline.streaming import flows, state
 
 HOUR = 3600.0
+BATCH_ROWS = 4_000_000  # of a staged stream's micro-batch
 START = 1_704_067_200_000_000  # frame clocks start here; time 0 would count as late
 
 
@@ -32,11 +33,18 @@ def capture_stream(spark, sf):
     return views._view(spark, views.CAPTURES.replace("{embedding}", views.SPARK_EMBEDDING), embeddings=rows)
 
 
-def staged_stream(spark, df, name):
-    """A derived table written to the shared folder and read back as a stream."""
+def staged_stream(spark, df, name, ts="ts"):
+    """A derived table written to the shared folder and read back as a stream: at once, or in
+    micro-batches in time order where it has more than ``BATCH_ROWS`` rows."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return flows.table_stream(spark, path, df.schema)
+    rows = spark.read.schema(df.schema).parquet(path)
+    batches = -(-rows.count() // BATCH_ROWS)
+    if batches < 2:
+        return flows.table_stream(spark, path, df.schema)
+    shares = F.array(*[F.lit(k / batches) for k in range(1, batches)])
+    edges = rows.agg(F.percentile_approx(F.unix_micros(ts), shares)).first()[0]
+    return timed_batches(spark, rows, ts, [F.timestamp_micros(F.lit(t)) for t in sorted(set(edges))], f"{name}-batches")
 
 
 @query("stream_cooldown", CHECKS["cooldown_source_entity"])

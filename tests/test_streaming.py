@@ -153,3 +153,18 @@ def test_match_without_files(spark, tmp_path):
     probes = views.probes(spark, SF)
     stream = flows.file_stream(spark, str(tmp_path), probes.schema)
     assert flows.match_stream(stream, lambda: views.gallery(spark, SF), "capture_id", "capture_id", "none").collect() == []
+
+
+def test_large_staged_tables_come_in_time_order(spark, monkeypatch):
+    """Several micro-batches of bounded size give what one gives."""
+    from sightline.plans import all_queries, stream_queries
+
+    staged, cut = [], stream_queries.timed_batches
+    monkeypatch.setattr(stream_queries, "timed_batches", lambda *a, **o: staged.append(a[3]) or cut(*a, **o))
+    for name in ("stream_tracks", "stream_best_row"):
+        query = all_queries()[name]
+        monkeypatch.setattr(stream_queries, "BATCH_ROWS", 4_000_000)
+        want = query(spark, SF)
+        monkeypatch.setattr(stream_queries, "BATCH_ROWS", 2_500)
+        assert rows_of(query(spark, SF), *want.columns) == rows_of(want, *want.columns)
+    assert [len(edges) for edges in staged] == [1, 1]

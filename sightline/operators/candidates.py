@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.text import basename, stamp
+from sightline.operators.numbering import dense_ids
 from sightline.operators.similarity import similarity_topk
 from sightline.params import CANDIDATE_QUALITY, CANDIDATE_STATUS
 from sightline.session import checkpointed
@@ -75,32 +76,64 @@ def review_queue(
     )
 
 
+FIRST_RUN = 4096
+RUN_GROWTH = 8
+
+
+def _unstruck(rows: DataFrame, kept: DataFrame, row_id: str, floor: float, options: dict) -> DataFrame:
+    """The rows without an earlier rival among the kept ones."""
+    struck = similarity_topk(rows, kept, row_id, row_id, 1, floor, **options)
+    return rows.join(struck.select(row_id), row_id, "left_anti")
+
+
+def _settled(left: DataFrame, row_id: str, floor: float, options: dict) -> list[DataFrame]:
+    """The kept rows of one run, a table for each round."""
+    kept, number, n_open = [], 0, left.count()
+    while n_open:
+        rivals = similarity_topk(left, left, row_id, row_id, 1, floor, **options)
+        marked = checkpointed(left.join(rivals.select(row_id, F.lit(True).alias("_rival")), row_id, "left"))
+        free = marked.where("_rival IS NULL").drop("_rival")
+        kept.append(free)
+        left = checkpointed(_unstruck(marked.where("_rival").drop("_rival"), free, row_id, floor, options))
+        number, before, n_open = number + 1, n_open, left.count()
+        LOG.info("round %d: %d of %d rows still open", number, n_open, before)
+    return kept
+
+
 def first_independent(
     rows: DataFrame, row_id: str, order: str, floor: float, embedding: str = "embedding", **options
 ) -> DataFrame:
     """The rows that a walk in order (then id) keeps when it drops each row that is at least
     ``floor`` similar to a kept one.
 
-    Resolved in rounds over all tasks: a row without an open earlier rival is kept, and kept rows
-    strike out their rivals. Only the best rival of a row is ever written down. The number of
-    rounds is the length of the longest chain of rivals, not of the table; each round
-    compares the rows still open. Equal vectors are one row from the start.
+    The order is cut into runs, each ``RUN_GROWTH`` times as long as all before it. A run holds
+    only the rows that the runs before it left open; its kept rows strike out their rivals in all
+    that follows. So the table meets the kept rows, not itself, and rows are compared with each other
+    within what a run has open.
+
+    A run is resolved in rounds over all tasks: a row without an open earlier rival is kept,
+    and kept rows strike out their rivals. Only the best rival of a row is ever written down. The
+    number of rounds is the length of the longest chain of rivals in a run, not of the table; each
+    round compares the rows still open. Equal vectors are one row from the start.
     """
     vec = F.col(embedding).cast("array<double>")
-    slim = rows.where(F.col(embedding).isNotNull()).select(row_id, order, vec.alias("embedding"))
+    slim = rows.where(F.col(embedding).isNotNull()).select(*dict.fromkeys([row_id, order]), vec.alias("embedding"))
     nth = F.row_number().over(W.partitionBy("embedding").orderBy(order, row_id))
-    left = checkpointed(slim.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
-    kept, number, n_open = [], 0, left.count()
-    while n_open:
-        rivals = similarity_topk(left, left, row_id, row_id, 1, floor, label=row_id, earlier=order, **options)
-        marked = checkpointed(left.join(rivals.select(row_id, F.lit(True).alias("_rival")), row_id, "left"))
-        free = marked.where("_rival IS NULL").drop("_rival")
-        kept.append(free)
-        held = marked.where("_rival").drop("_rival")
-        struck = similarity_topk(held, free, row_id, row_id, 1, floor, label=row_id, earlier=order, **options)
-        left = checkpointed(held.join(struck.select(row_id), row_id, "left_anti"))
-        number, before, n_open = number + 1, n_open, left.count()
-        LOG.info("round %d: %d of %d rows still open", number, n_open, before)
+    once = slim.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    placed = once.withColumn("_place", F.struct(F.col(order).cast("double"), F.col(row_id)))
+    left = checkpointed(dense_ids(placed, "_place", "_at").drop("_place"))
+    options = {"label": row_id, "earlier": order, **options}
+    kept, total, end = [], left.count(), FIRST_RUN
+    while True:
+        found = _settled(left.where(F.col("_at") < end), row_id, floor, options)
+        kept += found
+        if end >= total:
+            break
+        left = left.where(F.col("_at") >= end)
+        if found:
+            openers = reduce(DataFrame.unionByName, found)
+            left = checkpointed(_unstruck(left, openers, row_id, floor, options))
+        end *= RUN_GROWTH
     chosen = reduce(DataFrame.unionByName, kept, left.limit(0)).select(row_id)
     return rows.join(chosen, row_id, "left_semi")
 

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import checkpointed, ragged, spread_join, utf8, written
 from sightline.llm.components import components
-from sightline.llm.ngram_join import BITS, BLOCK_BITS, ngram_set, packed, unpacked
+from sightline.llm.ngram_join import BITS, BLOCK_BITS, ngram_set, packed, unpacked, without
 from sightline.llm.ngram_join import _gathered as gathered
 from sightline.llm.ngram_join import _Hashes as Hashes
 
@@ -518,5 +518,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A document without an id stays.
     """
-    gone = path_components(docs, id_col, text_col, spec).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = path_components(docs, id_col, text_col, spec).where("NOT kept")
+    return without(docs, F.col(id_col).cast("long"), gone.select(F.col("doc_id").alias("_gone")).distinct())

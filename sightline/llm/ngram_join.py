@@ -30,6 +30,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -266,13 +267,9 @@ def _cuts(spec: JoinSpec) -> np.ndarray:
     return np.array([(k + 1) * (1 << BITS) // parts for k in range(spec.fragments - 1)], np.uint64)
 
 
-def _segments(sets: DataFrame, wanted: DataFrame, levels, spec: JoinSpec) -> DataFrame:
-    """(cid, n, fragment, tokens) of the wanted classes.
-
-    A bitmap of fixed size over hashed ids lets most other sets go before the shuffle; the
-    join behind it is exact.
-    """
-    bits, wide = 23, 1 << BLOCK_BITS
+def _marked(ids: DataFrame, bits: int = 23):
+    """Broadcast bitmap of fixed size, whatever the input: true at the low bits of each (hashed) id."""
+    wide = 1 << BLOCK_BITS
 
     def mark(stream):
         seen = np.zeros(1 << bits, bool)
@@ -283,15 +280,24 @@ def _segments(sets: DataFrame, wanted: DataFrame, levels, spec: JoinSpec) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([np.packbits(parts[i]).tobytes() for i in used], pa.binary())], names=["block", "data"])
 
     marked = np.zeros((1 << bits) // wide * wide, bool).reshape(-1, wide)
-    for block, part in _gathered(wanted.select("cid").mapInArrow(mark, "block long, data binary"), "u1", np.bitwise_or).items():
+    for block, part in _gathered(ids.mapInArrow(mark, "block long, data binary"), "u1", np.bitwise_or).items():
         marked[block] = np.unpackbits(part)
-    bitmap = sets.sparkSession.sparkContext.broadcast(marked.ravel())
+    return ids.sparkSession.sparkContext.broadcast(marked.ravel())
+
+
+def _segments(sets: DataFrame, wanted: DataFrame, levels, spec: JoinSpec) -> DataFrame:
+    """(cid, n, fragment, tokens) of the wanted classes.
+
+    A bitmap of fixed size over hashed ids lets most other sets go before the shuffle; the
+    join behind it is exact.
+    """
+    bitmap = _marked(wanted.select("cid"))
     schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.binary())])
     cuts = _cuts(spec)
 
     def run(stream):
         for whole in stream:
-            keep = bitmap.value[whole.column(0).to_numpy() & ((1 << bits) - 1)]
+            keep = bitmap.value[whole.column(0).to_numpy() & (len(bitmap.value) - 1)]
             kept = whole.filter(pa.array(keep))
             for at in range(0, len(kept), 256):
                 batch = kept.slice(at, 256)
@@ -453,10 +459,32 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def parted(docs: DataFrame, key: Column, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: the rows whose ``key`` is surely not among ``_gone``, by a bitmap over hashed keys, and the rest."""
+    bitmap = _marked(gone.select(F.xxhash64("_gone").alias("hash")))
+
+    def met(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.value[hashes.to_numpy() & (len(bitmap.value) - 1)])
+
+    maybe = F.pandas_udf(met, "boolean")(F.xxhash64(key))
+    return docs.where(~maybe), docs.where(maybe)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is among the distinct ``_gone``.
+
+    Most rows that stay go past the shuffle with their texts; the join of the rest is exact.
+    ``docs`` is read once for each.
+    """
+    gone = checkpointed(gone)
+    sure, rest = parted(docs, key, gone)
+    return sure.unionByName(rest.join(gone, key == F.col("_gone"), "left_anti"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: JoinSpec | None = None) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component; all columns stay.
 
     A document without an id stays.
     """
-    gone = ngram_components(docs, id_col, text_col, spec).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = ngram_components(docs, id_col, text_col, spec).where("component_id != doc_id")
+    return without(docs, F.col(id_col).cast("long"), gone.select(F.col("doc_id").alias("_gone")).distinct())

@@ -236,6 +236,22 @@ def test_ngram_components_empty_and_null_ids(spark):
     assert ngram_components(df.limit(0)).count() == 0
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Pipeline, near_duplicates: only documents that may go meet the ids that go."""
+    from pyspark.sql import functions as F
+
+    from sightline.llm.ngram_join import parted, without
+
+    docs = spark.range(20_000).selectExpr("IF(id % 1000 = 7, NULL, id) AS doc_id", "'text' AS text").unionByName(spark.createDataFrame([(30, "again")], "doc_id long, text string"))
+    gone = spark.range(0, 20_000, 10).select(F.col("id").alias("_gone"))
+    sure, rest = parted(docs, F.col("doc_id"), gone)
+    assert sure.count() + rest.count() == 20_001
+    assert rest.count() < 2_200
+    got = [r["doc_id"] for r in without(docs, F.col("doc_id"), gone).collect()]
+    assert sorted(i for i in got if i is not None) == [i for i in range(20_000) if i % 10 and i % 1000 != 7]
+    assert got.count(None) == 20
+
+
 def private(rng):
     """A value of each kind as the patterns find it."""
     card = f"4{rng.randint(10**13, 10**14 - 1)}"

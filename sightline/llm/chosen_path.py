@@ -13,9 +13,12 @@
    about its size.
 4. Nodes whose classes are all of one component are done. Of the others, nodes of at most
    ``node`` classes are compared exhaustively, across components only; larger ones branch again,
-   by further tokens. Where a sketch agrees enough with one of another component, the class
-   is held against the full sets of that component, part by part. Pairs are not written out:
-   a class has one row per component that it meets, and one link per part where it has any.
+   by further tokens. Pairs are not written out: a node gives one row for each class whose
+   sketch agrees enough with one of another component, in groups of classes that hang
+   together, and equal groups of several nodes are one. A group's full sets are compared in
+   one task, or in tasks of two parts of it each, which gives fewer links than the group has
+   components. The classes of a large node that is mostly one component are held against the
+   full sets of that component instead, part by part, and have one link per part where there is any.
 5. After ``depth`` levels what is still large, families of texts that are alike without being
    linked, branches once more in a way that loses nothing: a class follows all of its rarest
    tokens, so many that a linked class must share one (rare by a counting sketch of fixed size,
@@ -56,6 +59,7 @@ from sightline.llm.ngram_join import _Hashes as Hashes
 
 SETS_SEEN = 100_000
 PROBES = 1024
+FOUND = "found long, comp long, cid long, n long"
 
 
 @dataclass(frozen=True)
@@ -255,39 +259,90 @@ def _led(spec: PathSpec):
 
 
 def _compared(spec: PathSpec):
-    """Streams rows (node, comp, cid, n, sketch) sorted by node; gives (cid, met): a class and another
-    component of which some class agrees enough with it. Held: one node."""
-    schema = pa.schema([("cid", pa.int64()), ("met", pa.int64())])
+    """Streams rows (node, comp, cid, n, sketch) sorted by node; gives (found, comp, cid, n): the classes that
+    agree enough with one of another component, in groups of those that hang together. At most one
+    row per row read; ``found`` names a group by its classes, so nodes that find the same agree. Held: one node."""
+    schema = pa.schema([(c, pa.int64()) for c in ("found", "comp", "cid", "n")])
     least = spec.agreement()
 
-    def meetings(rows):
+    def groups(rows):
         comp, cid, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, spec.sketch)
         _, kind, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        a, b = [], []
         # Rows outside the largest component, each against those after it and all of that component.
-        order = np.argsort(sizes[kind], kind="stable")
+        order = np.lexsort((cid, sizes[kind]))
         comp, cid, n, sketch = comp[order], cid[order], n[order], sketch[order]
+        group, met = np.arange(len(cid)), np.zeros(len(cid), bool)
         for k in range(len(cid) - int(sizes.max())):
             rest = slice(k + 1, None)
             fit = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= spec.percent * np.maximum(n[rest], n[k]))
             near = np.flatnonzero(fit) + k + 1
-            found = np.unique(comp[near[np.count_nonzero(sketch[near] == sketch[k], axis=1) >= least]])
-            a += [int(cid[k])] * len(found)
-            b += found.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            near = near[np.count_nonzero(sketch[near] == sketch[k], axis=1) >= least]
+            if len(near):
+                met[k] = met[near] = True
+                group[np.isin(group, group[near])] = group[k]
+        found = np.zeros(len(cid), np.int64)
+        for g in np.unique(group[met]):
+            within = group == g
+            found[within] = np.array(xxhash.xxh3_64_intdigest(np.sort(cid[within]).tobytes()), np.uint64).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (found, comp, cid, n)], schema=schema)
 
     def run(stream):
         at, rows = None, []
         for batch in stream:
             for node, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if node != at and rows:
-                    yield meetings(rows)
+                    yield groups(rows)
                     rows = []
                 at = node
                 rows.append(row)
         if rows:
-            yield meetings(rows)
+            yield groups(rows)
+
+    return run
+
+
+def _linked(spec: PathSpec):
+    """Streams (found, one, two, comp, cid, digest, text) sorted by the first three; gives links (a, b) that
+    join the components of a group: one fewer than it has, at most. Held: the sets of one group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(sets, comps):
+        ids, sizes = np.array(list(sets)), np.array([len(t) for t in sets.values()])
+        every, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        part = np.unique([comps[i] for i in sets], return_inverse=True)[1]
+        a, b = [], []
+        for k, tokens in enumerate(sets.values()):
+            if (part == part[k]).all():
+                break
+            left, right = np.searchsorted(every, tokens), np.searchsorted(every, tokens, "right")
+            both = np.bincount(owner[ragged(left, right - left)], minlength=len(ids))
+            for hit in np.flatnonzero((100 * both >= spec.percent * (sizes + len(tokens) - both)) & (part != part[k])):
+                if part[hit] != part[k]:
+                    part[part == part[hit]] = part[k]
+                    a.append(int(ids[k]))
+                    b.append(int(ids[hit]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    def run(stream):
+        known = Hashes()
+        at, sets, comps = None, {}, {}
+        for whole in stream:
+            for k in range(0, len(whole), 64):
+                part = whole.slice(k, 64)
+                columns = [part.column(c).to_pylist() for c in range(6)]
+                for found, one, two, comp, cid, digest, text in zip(*columns, utf8(part.column(6)), strict=True):
+                    if (found, one, two) != at:
+                        if len(sets) > 1:
+                            yield links(sets, comps)
+                        at, sets, comps = (found, one, two), {}, {}
+                    tokens = ngram_set(text.lower().split(), spec.size, known)
+                    if xxhash.xxh3_128_digest(packed(tokens)) == digest:  # else another row with the same id
+                        sets[cid], comps[cid] = tokens, comp
+        if len(sets) > 1:
+            yield links(sets, comps)
 
     return run
 
@@ -361,6 +416,23 @@ def _verified(meetings: DataFrame, members: DataFrame, classes: DataFrame, docs:
     return dealt.mapInArrow(_confirmed(spec), "a long, b long")
 
 
+def _joined(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: PathSpec) -> DataFrame:
+    """Links (a, b) between the components of each group of (found, comp, cid, n), confirmed on full sets.
+
+    A group of more than about ``held`` tokens is cut into parts, every two of which meet once.
+    """
+    parts = groups.groupBy("found").agg(F.ceil(F.sum("n") / spec.held).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("cid", F.lit(spec.seed)), F.col("parts")).cast("int")
+    rows = groups.join(parts, "found").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.where("parts = 1 OR part != other").select(
+        "found", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "comp", "cid"
+    )
+    rows = rows.join(classes.select("cid", "first_id", "digest"), "cid")
+    rows = rows.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select("found", "one", "two", "comp", "cid", "digest", "text")
+    dealt = rows.repartition("found", "one", "two").sortWithinPartitions("found", "one", "two")
+    return dealt.mapInArrow(_linked(spec), "a long, b long")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """(node, size) of the nodes with two classes or more."""
     return checkpointed(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
@@ -401,7 +473,7 @@ def path_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = checkpointed(components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
 
     # Across components: small nodes at once, larger ones down their trees.
-    level, met = members, []
+    level, met, groups = members, [], []
     for depth in range(spec.depth + 2):
         named = _named(level, labels)
         stats = named.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"))
@@ -413,13 +485,13 @@ def path_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         opened = spread_join(named, open_nodes, "node", "size", total).where("main IS NULL OR comp != main")
         met.append(opened.where("main IS NOT NULL").select("cid", F.col("main").alias("met")))
         small = opened.where(F.col("left") <= spec.node).select("node", "comp", "cid", "n", "sketch")
-        met.append(written(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), "cid long, met long"), "path-met"))
+        groups.append(written(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), FOUND).distinct(), "path-found"))
         large = open_nodes.where(F.col("left") > spec.node)
         if large.isEmpty():
             break
         wide = opened.where(F.col("left") > spec.node)
         if depth > spec.depth:
-            met.append(written(_by_blocks(wide, spec), "path-met"))
+            groups.append(written(_by_blocks(wide, spec).distinct(), "path-found"))
             break
         if depth == spec.depth:
             branches = _rarest(wide.select("cid").distinct(), classes, docs, spec)
@@ -438,7 +510,13 @@ def path_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = checkpointed(rest.distinct())
     sizes = classes.select("cid", "n").join(labels, "cid", "left").select(F.coalesce("comp", "cid").alias("met"), "cid", "n")
     asked = sizes.join(rest.select("met").distinct(), "met", "left_semi")
-    final = components(links.unionByName(_verified(rest, asked, classes, docs, spec)))
+    found = groups[0]
+    for more in groups[1:]:
+        found = found.unionByName(more)
+    confirmed = _joined(written(found.distinct(), "path-groups"), classes, docs, spec)
+    if not rest.isEmpty():
+        confirmed = confirmed.unionByName(_verified(rest, asked, classes, docs, spec))
+    final = components(links.unionByName(checkpointed(confirmed)))
 
     joined = classes.select("cid", "digest", "first_id", "copies").join(final.withColumnRenamed("node", "cid"), "cid", "left")
     joined = joined.withColumn("component", F.coalesce("component", "cid"))
@@ -502,7 +580,7 @@ def _rarest(wanted: DataFrame, classes: DataFrame, docs: DataFrame, spec: PathSp
 
 
 def _by_blocks(wide: DataFrame, spec: PathSpec) -> DataFrame:
-    """Meetings in nodes that branching did not cut down: every two blocks of a node's rows meet once."""
+    """Groups of ``_compared`` in nodes that branching did not cut down: every two blocks of a node's rows meet once."""
     half = max(spec.node // 2, 1)
     blocks = F.ceil(F.col("left") / half).cast("int")
     rows = wide.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(spec.seed)), F.col("blocks")).cast("int"))
@@ -510,7 +588,7 @@ def _by_blocks(wide: DataFrame, spec: PathSpec) -> DataFrame:
     dealt = rows.withColumn("other", other).select(
         F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "comp", "cid", "n", "sketch"
     )
-    return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), "cid long, met long")
+    return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(spec), FOUND)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: PathSpec | None = None) -> DataFrame:

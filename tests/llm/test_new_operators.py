@@ -6,11 +6,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm import queries
-from sightline.llm.chosen_path import PathSpec, drop_near_copies, minwise, multipliers, path_components
+from sightline.llm.chosen_path import PathSpec, _compared, drop_near_copies, minwise, multipliers, path_components
 from sightline.llm.fill_middle import MiddleSpec, Summaries, chunk_starts, combined, fill_in_middle, restored
 from sightline.llm.whitening import WhitenSpec, coded, decoded, deviations, whiten, whitened_components
 from tests.llm import helpers as plain
@@ -93,6 +94,27 @@ def test_sketches_estimate_similarity_and_turn_down_no_linked_pair():
         PathSpec(trees=200)
 
 
+def test_alike_unlinked_classes_give_a_row_each():
+    spec, rng = PathSpec(), np.random.default_rng(2)
+    base, k = rng.integers(0, 256, spec.sketch, dtype=np.uint8), 120
+    sketches = np.tile(base, (k, 1))
+    for row in sketches:  # every two agree in some 200 places, as sets do that are alike without being linked
+        row[rng.choice(spec.sketch, 28, replace=False)] = rng.integers(0, 256, 28, dtype=np.uint8)
+    columns = [pa.array([1] * k + [2] * k), pa.array([*range(k)] * 2), pa.array([*range(k)] * 2), pa.array([300] * 2 * k)]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in sketches] * 2)], names=["node", "comp", "cid", "n", "sketch"])
+    out = pa.Table.from_batches(_compared(spec)(iter([batch])))
+    assert out.num_rows == 2 * k and sorted(out.column("cid").to_pylist()) == sorted([*range(k)] * 2)
+    assert len(set(out.column("found").to_pylist())) == 1  # both nodes find the same group
+
+
+def test_path_groups_are_cut_into_parts(spark):
+    rng = random.Random(9)
+    base = plain.prose(rng, 120)
+    texts = [edited(rng, base, rng.choice([2, 3, 7, 8])) for _ in range(50)]
+    got = path_components(plain.documents(spark, texts), spec=PathSpec(held=700, leaders=1, rounds=1)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_groups(dict(enumerate(texts)))
+
+
 def test_op11(spark):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op11_chosen_path"](spark, SF).collect()}
